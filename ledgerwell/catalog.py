@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from .domain import MIN_DAYS, SURGE, Domain
-from .operators import plan, stock
+from .operators import plan, stock, transfers
 from .registry import add_all
 
 # -- stock position and demand -------------------------------------------------------------
@@ -33,3 +33,35 @@ add_all({
     "D17_pick_series": lambda d: plan.pick_series(d.ledger, d.facilities, d.items),
     "D18_threshold_alert": lambda d: plan.threshold_alert(d.reorder),
 })
+
+# -- redistribution and access -------------------------------------------------------------
+
+add_all({
+    "D19_model_chain": lambda d: plan.model_chain(d.forecast, d.reorder, d.recs),
+    "E1_recommendations": lambda d: transfers.recommendations(d.reorder, d.stock, d.facilities),
+    "E2_batch_risk": lambda d: transfers.batch_risk(d.stock, d.reorder),
+    "E3_fefo_batch_choice": lambda d: transfers.fefo_batch(transfers.batch_risk(d.stock, d.reorder)),
+    "E4_transfer_effects": lambda d: transfers.transfer_effects(d.recs),
+    "E5_substitutes": lambda d: transfers.substitutes(d.reorder),
+    "E5_best_substitutes": lambda d: transfers.best_substitutes(transfers.substitutes(d.reorder)),
+    "E6_substitution_constraint": lambda d: transfers.substitution_constraint(d.reorder),
+    "E7_donor_safety_check": lambda d: transfers.donor_safety_check(d.recs),
+    "E8_score_redistribution": lambda d: transfers.score_redistribution(
+        d.reorder.select("facility_id", "item_id", "on_hand", "avg_daily_demand")
+         .withColumnRenamed("avg_daily_demand", "daily_demand"),
+        transfers.places(d.facilities), 14, 150.0),
+    "E9_nearest_help": lambda d: transfers.nearest_help(d.reorder, d.facilities),
+    "E10_access_summary": lambda d: transfers.access_summary(d.access),
+    "E11_triage": lambda d: transfers.triage(d.reorder, d.recs),
+    "E11_triage_summary": lambda d: transfers.triage_summary(transfers.triage(d.reorder, d.recs)),
+    "E12_transfer_lifecycle": lambda d: transfers.apply_requests(d.requests),
+    "E12_rejected_requests": lambda d: transfers.rejected_requests(
+        d.requests, transfers.apply_requests(d.requests)),
+    "E13_transfer_pending": lambda d: transfers.transfer_pending(transfers.apply_requests(d.requests)),
+    "E14_movement_reconcile": lambda d: transfers.movement_reconcile(
+        d.requests.filter("step IN ('dispatched', 'received')")
+         .select(transfers.movement_id("step").alias("event_id")),
+        transfers.apply_requests(d.requests)),
+    "E15_alerts": lambda d: transfers.alerts(d.reorder),
+    "E16_recommendation_list": lambda d: transfers.recommendation_list(d.recs),
+})

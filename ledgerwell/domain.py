@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import plan, stock
+from .operators import plan, stock, transfers
 from .plans.snapshot import snapshot
 from .sources import testbed as tb
 
@@ -92,3 +92,16 @@ class Domain:
     def reorder(self) -> DataFrame:
         return snapshot(plan.reorder_status(self.baseline, self.facilities, self.items, self.stock),
                         "reorder_status")
+
+    @cached_property
+    def recs(self) -> DataFrame:
+        return snapshot(transfers.recommendations(self.reorder, self.stock, self.facilities),
+                        "recommendations")
+
+    @cached_property
+    def access(self) -> DataFrame:
+        return snapshot(transfers.nearest_help(self.reorder, self.facilities), "nearest_help")
+
+    @property
+    def requests(self) -> DataFrame:
+        return tb.transfer_requests(self.spark, self.sf_dir)

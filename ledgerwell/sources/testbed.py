@@ -194,3 +194,13 @@ def staffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.num import ratio, rnd
     return (out.withColumn("vacant", F.col("sanctioned") - F.col("in_position"))
                .withColumn("vacancy_rate", rnd(ratio("vacant", "sanctioned"), 4)))
+
+
+def transfer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("event_type")
+    return read(spark, sf_dir, "events").select(
+        F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("recommendation_id"),
+        F.concat(F.lit("Q"), F.col("event_id").cast("string")).alias("request_id"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.when(t == "click", "approved").when(t == "view", "dispatched")
+         .when(t == "purchase", "received").otherwise("recommended").alias("step"))
