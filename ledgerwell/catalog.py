@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from .domain import MIN_DAYS, SURGE, Domain
-from .operators import plan, stock, transfers
+from .functions.months import CALENDAR, FISCAL
+from .functions.num import rnd
+from .operators import plan, seasonal, stock, surge, transfers
 from .registry import add_all
 
 # -- stock position and demand -------------------------------------------------------------
@@ -65,3 +67,64 @@ add_all({
     "E15_alerts": lambda d: transfers.alerts(d.reorder),
     "E16_recommendation_list": lambda d: transfers.recommendation_list(d.recs),
 })
+
+# -- seasonal exchange ---------------------------------------------------------------------
+
+_six = lambda df: df.withColumn("profile_distance", rnd("profile_distance", 6))
+
+add_all({
+    "G1_district_profiles": lambda d: seasonal.district_profiles(d.facilities, d.demand),
+    "G2_pattern_vectors": lambda d: seasonal.pattern_vectors(d.demand, d.items),
+    "G3_district_matches": lambda d: _six(seasonal.district_matches(d.profiles)),
+    "G4_district_matches_same_state": lambda d: _six(seasonal.district_matches(d.profiles, True)),
+    "G5_exchange_eval": lambda d: seasonal.exchange_eval(d.vectors, d.matches_out, d.matches_in)
+        .withColumns({f"{a}_abs_error": rnd(f"{a}_abs_error", 4) for a in seasonal.ARMS}),
+    "G6_exchange_wmape": lambda d: seasonal.exchange_wmape(d.exchange),
+    "G7_published_vector": lambda d: seasonal.spread(
+        seasonal.published_vector(d.vectors), "monthly_multipliers", FISCAL),
+    "G8_thin_history_pick": lambda d: seasonal.thin_history_pick(d.exchange, 100.0),
+    "G9_local_patterns": lambda d: seasonal.spread(
+        seasonal.local_patterns(d.demand, d.items), "monthly_coefficients", CALENDAR),
+    "G10_class_units": lambda d: seasonal.class_units(d.items),
+    "G11_outlook_curve": lambda d: seasonal.outlook_curve(d.exchange, seasonal.class_units(d.items)),
+    "G11_outlook_accuracy": lambda d: seasonal.outlook_accuracy(d.exchange),
+    "G11_outlook_classes": lambda d: seasonal.outlook_classes(d.exchange, seasonal.class_units(d.items)),
+    "G11_outlook_donors": lambda d: seasonal.outlook_donors(d.exchange),
+    "G12_outlook_reliability": lambda d: seasonal.outlook_reliability(
+        seasonal.outlook_curve(d.exchange, seasonal.class_units(d.items)),
+        seasonal.outlook_accuracy(d.exchange)),
+    "G13_peer_vector_store": lambda d: seasonal.spread(
+        seasonal.peer_vector_store(d.published), "monthly_coefficients", FISCAL),
+})
+
+# -- surge ---------------------------------------------------------------------------------
+
+_scenario = lambda d: surge.scenario_transfers(d.reorder, d.facilities, 3.0)
+
+add_all({
+    "H1_surge_signals": lambda d: surge.surge_signals(d.vectors, **SURGE),
+    "H2_surge_summary": lambda d: surge.surge_summary(d.signals),
+    "H3_surge_by_class": lambda d: surge.surge_by_class(d.signals),
+    "H3_top_surges": lambda d: surge.top_surges(d.signals, d.reorder),
+    "H4_signal_labels": lambda d: surge.signal_labels(d.items, d.signal_classes),
+    "H5_lead_measure": lambda d: surge.lead_measure(d.demand, "1-URGENT", "3-MEDIUM"),
+    "H6_signals_by_class_kind": lambda d: surge.signals_by_class_kind(d.signals, d.labels),
+    "H7_surge_cards": lambda d: surge.surge_cards(d.signals, d.labels),
+    "H8_surge_supply_impact": lambda d: surge.surge_supply_impact(d.reorder, d.signals),
+    "H8_surge_impact_list": lambda d: surge.surge_impact_list(d.impact),
+    "H9_network_absorption": lambda d: surge.network_absorption(d.reorder),
+    "H10_surge_recommendations": lambda d: surge.surge_recommendations(
+        d.impact, d.reorder, d.stock, d.facilities),
+    "H11_lead_time_bands": lambda d: surge.lead_time_bands(d.impact),
+    "H12_absorption_by_multiplier": lambda d: surge.absorption_by_multiplier(d.absorption),
+    "H12_claims_by_ven": lambda d: surge.claims_by_ven(d.surge_recs),
+    "H13_scenario_facilities": lambda d: surge.scenario_facilities(d.reorder, 3.0),
+    "H13_scenario_transfers": _scenario,
+    "H13_scenario_verdict": lambda d: surge.scenario_verdict(
+        surge.scenario_facilities(d.reorder, 3.0), _scenario(d), 3.0),
+    "H14_scenario_options": lambda d: surge.scenario_options(d.reorder),
+    "H15_surge_month": lambda d: surge.surge_month(d.stock),
+    "H15_surge_transfers": lambda d: surge.surge_transfers(d.surge_recs, surge.surge_month(d.stock)),
+    "H16_early_warning_count": lambda d: surge.early_warning_count(
+        surge.surge_cards(d.signals, d.labels, limit=None)),
+})

@@ -9,8 +9,9 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import plan, stock, transfers
+from .operators import plan, seasonal, stock, surge, transfers
 from .plans.snapshot import snapshot
 from .sources import testbed as tb
 
@@ -105,3 +106,58 @@ class Domain:
     @property
     def requests(self) -> DataFrame:
         return tb.transfer_requests(self.spark, self.sf_dir)
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return snapshot(seasonal.district_profiles(self.facilities, self.demand), "district_profiles")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return snapshot(seasonal.pattern_vectors(self.demand, self.items), "pattern_vectors")
+
+    @cached_property
+    def matches_out(self) -> DataFrame:
+        return snapshot(seasonal.district_matches(self.profiles), "district_matches")
+
+    @cached_property
+    def matches_in(self) -> DataFrame:
+        return snapshot(seasonal.district_matches(self.profiles, True), "district_matches_same_state")
+
+    @cached_property
+    def exchange(self) -> DataFrame:
+        return snapshot(seasonal.exchange_eval(self.vectors, self.matches_out, self.matches_in),
+                        "exchange_eval")
+
+    @property
+    def published(self) -> DataFrame:
+        """Vectors as the districts send them: by class, in the order of their names."""
+        v = seasonal.published_vector(self.vectors)
+        return v.select(F.lit("IN").alias("country_code"), F.col("atc_class").alias("atc_code"),
+                        F.col("monthly_multipliers").alias("monthly_coefficients"),
+                        F.col("district_key").alias("source_district"),
+                        F.col("district_key").alias("ingested_at"))
+
+    @property
+    def signal_classes(self) -> DataFrame:
+        return self.spark.createDataFrame(tb.SIGNAL_CLASSES, "demand_driver string, signal_class string")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return snapshot(surge.surge_signals(self.vectors, **SURGE), "surge_signals")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return snapshot(surge.signal_labels(self.items, self.signal_classes), "signal_labels")
+
+    @cached_property
+    def impact(self) -> DataFrame:
+        return snapshot(surge.surge_supply_impact(self.reorder, self.signals), "surge_supply_impact")
+
+    @cached_property
+    def absorption(self) -> DataFrame:
+        return snapshot(surge.network_absorption(self.reorder), "network_absorption")
+
+    @cached_property
+    def surge_recs(self) -> DataFrame:
+        return snapshot(surge.surge_recommendations(self.impact, self.reorder, self.stock, self.facilities),
+                        "surge_recommendations")

@@ -62,7 +62,7 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
 # -- nearest donor -----------------------------------------------------------------------
 
 def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: float,
-               accept: Column, order: list, name: str) -> DataFrame:
+               accept: Column, order: list, name: str, also_on: tuple | list = ()) -> DataFrame:
     """For each need row the first acceptable offer: same item before same class, then
     by ``order`` (which starts with distance).
 
@@ -78,7 +78,7 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
     steps = [(item, ["requested_item_id"], inner), (item, ["requested_item_id"], radius_km),
              (group, ["atc_class"], inner), (group, ["atc_class"], radius_km)]
     for i, (side, on, radius) in enumerate(steps):
-        pairs = near_pairs(left, side, radius, on=on).filter(
+        pairs = near_pairs(left, side, radius, on=[*also_on, *on]).filter(
             F.col("to_facility_id") != F.col("from_facility_id"))
         if on == ["atc_class"]:
             pairs = pairs.filter(F.col("supplied_item_id") != F.col("requested_item_id"))

@@ -17,6 +17,8 @@ CADRES = {"AUTOMOBILE": "Doctor (allopathic)", "BUILDING": "Nursing staff",
           "MACHINERY": "Laboratory technician"}
 PHC_ONLY_CADRES = ("Doctor (allopathic)", "Health assistants")
 DRIVERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+SIGNAL_CLASSES = [("1-URGENT", "leading"), ("2-HIGH", "leading"), ("3-MEDIUM", "coincident"),
+                  ("4-NOT SPECIFIED", "programme"), ("5-LOW", "coincident")]
 UNITS = ["tablet", "vial", "sachet", "bottle"]
 VEN = ["Vital", "Essential", "Desirable"]
 CAPTURE_BY_DIGIT = ["voice", "chat", "tap"]
