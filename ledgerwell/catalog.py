@@ -1,11 +1,14 @@
 """Registration of the queries, one table per group of operators."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .domain import MIN_DAYS, SURGE, Domain
 from .functions.months import CALENDAR, FISCAL
 from .functions.num import rnd
-from .operators import plan, seasonal, stock, surge, transfers
+from .operators import plan, quality, resources, seasonal, stock, surge, transfers
 from .registry import add_all
+from .sources import testbed as tb
 
 # -- stock position and demand -------------------------------------------------------------
 
@@ -128,3 +131,104 @@ add_all({
     "H16_early_warning_count": lambda d: surge.early_warning_count(
         surge.surge_cards(d.signals, d.labels, limit=None)),
 })
+
+# -- beds and staff ------------------------------------------------------------------------
+
+_season = lambda d: quality.demand_seasonality(d.demand)
+_load = lambda d: quality.demand_scale(d.demand, d.facilities, "ASIA")
+
+add_all({
+    "B6_bed_norm": lambda d: resources.bed_norm(plan.lead_time(d.register)),
+    "I1_bed_status": lambda d: resources.bed_status(d.captures, d.facilities),
+    "I2_bed_referrals": lambda d: resources.bed_referrals(d.beds),
+    "I3_bed_summary": lambda d: resources.bed_summary(d.beds),
+    "I3_bed_list": lambda d: resources.bed_list(d.beds),
+    "I4_facility_staffing": lambda d: resources.facility_staffing(d.staffing, d.facilities),
+    "I5_staffing_norm_gap": lambda d: resources.staffing_norm_gap(d.posts),
+    "I6_staff_status": lambda d: resources.staff_status(d.posts, d.facilities),
+    "I7_staff_summary": lambda d: resources.staff_summary(d.staff),
+    "I7_staff_by_cadre": lambda d: resources.staff_by_cadre(d.staff),
+    "I7_staff_list": lambda d: resources.staff_list(d.staff),
+    "I8_staff_reallocation_diag": lambda d: resources.staff_reallocation_diag(d.staff),
+    "I9_resource_coverage": lambda d: resources.resource_coverage(d.resource_events, d.staff),
+    "I10_leaked_column_check": lambda d: resources.leaked_column_check(d.staff),
+    "I11_bed_demand": lambda d: resources.bed_demand(
+        _load(d).filter("indicator = '2-HIGH'").select("state", "district_key", F.col("per_phc").alias("admissions")),
+        _season(d).filter("indicator = '2-HIGH'").drop("indicator"), d.facilities, 0.5),
+})
+
+# -- reporting, capture and quality --------------------------------------------------------
+
+_gate = lambda d: quality.capture_gate(quality.verify_item(quality.parse_reply(d.replies), d.items))
+_counts = lambda d: d.captures.filter("resource_type = 'medicine'")
+_reporting = lambda d: quality.facility_reporting(_counts(d), d.facilities, period_days=2)
+
+
+def _score(d: Domain):
+    rows = d.gate.withColumn("case_id", F.col("report_id"))
+    events = rows.filter("route = 'events'")
+    off = F.pmod(F.substring("report_id", 2, 20).cast("bigint"), F.lit(5)) == 0
+    want = events.select("case_id", "item_id", F.when(F.col("event_type") == "count", "received")
+                         .otherwise(F.col("event_type")).alias("event_type"),
+                         (F.col("quantity") + F.when(off, 1).otherwise(0)).alias("quantity"))
+    accept = (events.filter("event_type = 'count'").select("case_id", "item_id", "event_type").distinct()
+              .withColumn("stands_for", F.lit("received")))
+    review = rows.filter("route = 'review'").select("case_id", "item_id")
+    asked = rows.filter("route = 'requests'").select("case_id", "item_id")
+    return quality.extraction_score(rows, want, review, asked, accept)
+
+
+def _approvals(d: Domain):
+    return quality.review_approve(d.gate.filter("route = 'review'"), tb.approvals(d.spark, d.sf_dir))
+
+
+def _parts(d: Domain):
+    parts = tb.impact_parts(d.ledger, d.facilities)
+    again = parts.filter("part = 'ASIA'").withColumns({c: F.col(c) * 2 for c in (
+        "units_dispensed", "units_unmet", "units_expired_fefo", "units_expired_fifo")})
+    return quality.impact_metrics(parts, again)
+
+
+add_all({
+    "J1_facility_reporting": _reporting,
+    "J1_reporting_summary": lambda d: quality.reporting_summary(_reporting(d)),
+    "J2_capture_gate": lambda d: _gate(d).select(
+        "event_id", "report_id", "item_id", "matched_by", "event_type", "quantity", "confidence",
+        "resource_subtype", "review_reason", "route"),
+    "J3_loss_reason": lambda d: d.gate.filter("event_type = 'lost' AND route <> 'errors'")
+        .groupBy("resource_subtype").agg(F.count("*").alias("n")),
+    "J4_overdraw_hold": lambda d: quality.overdraw_hold(
+        d.gate.filter("route = 'events'"), stock.ledger_balance(d.ledger))
+        .select("event_id", "report_id", "facility_id", "item_id", "event_type", "quantity", "held", "on_record"),
+    "J5_review_approve": _approvals,
+    "J6_confirm_rows": lambda d: quality.confirm_rows(
+        quality.verify_item(quality.parse_reply(d.replies), d.items))
+        .groupBy("route", F.coalesce("review_reason", F.lit("")).alias("why")).agg(F.count("*").alias("n")),
+    "J7_captures": lambda d: quality.captures(d.ledger),
+    "J8_reported_today": lambda d: quality.reported_today(d.captures, "personnel", d.staff),
+    "J8_reported_latest": lambda d: quality.reported_latest(d.captures, "personnel", d.staff),
+    "J9_data_quality": lambda d: quality.data_quality(d.facilities, d.items),
+    "J10_geo_summary": lambda d: quality.geo_summary(d.facilities),
+    "J11_list_states": lambda d: quality.list_states(quality.geo_summary(d.facilities)),
+    "J11_list_districts": lambda d: quality.list_districts(
+        quality.geo_summary(d.facilities), display={("ASIA", "NATION_2"): "Nation Two"}),
+    "J11_facility_counts": lambda d: quality.facility_counts(quality.geo_summary(d.facilities)),
+    "J11_national_summary": lambda d: quality.national_summary(quality.geo_summary(d.facilities)),
+    "J11_scope_facilities": lambda d: quality.scope_facilities(d.facilities),
+    "J12_population_reach": lambda d: quality.population_reach(d.facilities, d.demand),
+    "J12_reach_check": lambda d: quality.reach_check(d.facilities),
+    "J13_priced_expiry": lambda d: quality.priced_expiry(d.ledger, d.items, tb.prices(d.items)),
+    "J13_waste_value": lambda d: quality.waste_value(
+        quality.priced_expiry(d.ledger, d.items, tb.prices(d.items))),
+    "J14_impact_parts": _parts,
+    "J15_issue_policy_replay": lambda d: quality.issue_policy_replay(d.ledger),
+    "J16_reach_read": lambda d: quality.population_reach(d.facilities, d.demand).orderBy("tier_order"),
+    "J16_reporting_read": lambda d: quality.reporting_read(_reporting(d)),
+    "J17_demand_seasonality": lambda d: _season(d).withColumn("multiplier", rnd("multiplier", 6)),
+    "J18_demand_scale": lambda d: _load(d).withColumn("per_phc", rnd("per_phc", 6)),
+    "J19_number_check": lambda d: quality.number_check(tb.notes(d.spark, d.sf_dir)),
+    "J20_code_lookup": lambda d: quality.code_lookup(
+        tb.teachings(d.spark, d.sf_dir), tb.scans(d.spark, d.sf_dir), d.items),
+    "J21_sms_parse": lambda d: quality.sms_parse(tb.sms(d.spark, d.sf_dir)),
+    "J22_extraction_score": _score,
+})

@@ -11,12 +11,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import plan, seasonal, stock, surge, transfers
+from .operators import plan, quality, resources, seasonal, stock, surge, transfers
 from .plans.snapshot import snapshot
 from .sources import testbed as tb
 
 MIN_DAYS = 8           # the test ledger has about two dozen events per series
-SURGE = {"z_cut": 2.5, "min_ratio": 1.5, "min_absolute": 20.0}
+SURGE = {"z_cut": 1.5, "min_ratio": 1.2, "min_absolute": 10.0}
 
 
 class Domain:
@@ -59,7 +59,7 @@ class Domain:
     # written once
     @cached_property
     def facilities(self) -> DataFrame:
-        return snapshot(plan.lead_time(self.register), "facilities")
+        return snapshot(resources.bed_norm(plan.lead_time(self.register)), "facilities")
 
     @cached_property
     def items(self) -> DataFrame:
@@ -161,3 +161,24 @@ class Domain:
     def surge_recs(self) -> DataFrame:
         return snapshot(surge.surge_recommendations(self.impact, self.reorder, self.stock, self.facilities),
                         "surge_recommendations")
+
+    @cached_property
+    def beds(self) -> DataFrame:
+        return snapshot(resources.bed_status(self.captures, self.facilities), "bed_status")
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        return snapshot(resources.facility_staffing(self.staffing, self.facilities), "facility_staffing")
+
+    @cached_property
+    def staff(self) -> DataFrame:
+        return snapshot(resources.staff_status(self.posts, self.facilities), "staff_status")
+
+    @property
+    def replies(self) -> DataFrame:
+        return tb.replies(self.spark, self.sf_dir)
+
+    @cached_property
+    def gate(self) -> DataFrame:
+        return snapshot(quality.capture_gate(quality.verify_item(
+            quality.parse_reply(self.replies), self.items)), "capture_gate")

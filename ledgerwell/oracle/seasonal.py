@@ -142,5 +142,5 @@ SQL = {
           FROM t_curve GROUP BY ALL) USING (atc_class)""",
     "G13_peer_vector_store": f"""
         SELECT 'IN' AS country_code, atc_class AS atc_code, district_key AS source_district, {_V} FROM t_vectors
-        GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY atc_class ORDER BY district_key DESC) = 1""",
+        GROUP BY atc_class, district_key QUALIFY row_number() OVER (PARTITION BY atc_class ORDER BY district_key DESC) = 1""",
 }

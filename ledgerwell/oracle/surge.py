@@ -3,7 +3,7 @@ from ..functions.months import CALENDAR
 from .base import div, km, pct, register, rnd, tolong
 from .stock import m4, s4
 
-_Z, _R, _A = "2.5", "1.5", "20"        # the cut points the registered queries use
+_Z, _R, _A = "1.5", "1.2", "10"        # the cut points the registered queries use
 register("t_resid", """
 SELECT *, quantile_cont(residual, 0.5) OVER w AS med, stddev_samp(residual) OVER w AS sd, avg(residual) OVER w AS mu
 FROM (SELECT v.*, p.m AS pooled, baseline * p.m AS expected, value - baseline * p.m AS residual

@@ -206,3 +206,91 @@ def transfer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.when(t == "click", "approved").when(t == "view", "dispatched")
          .when(t == "purchase", "received").otherwise("recommended").alias("step"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model reply per event: fenced, bare array, single object, or prose."""
+    e = read(spark, sf_dir, "events").withColumn("k", _k())
+    k, t = F.col("k"), F.col("event_type")
+    brand = F.concat(F.lit("Brand#"), (_mod(k, 25) + 1).cast("string"))
+    row = F.struct(
+        F.when(_mod(k, 10) == 9, "banana").otherwise(F.concat(
+            F.lit("Item "), brand, F.when(_mod(k, 4) == 0, " 500 mg").otherwise(""))).alias("local_name"),
+        F.when(_mod(k, 3) == 0, brand).when(_mod(k, 10) == 8, "NOPE").alias("item_id"),
+        F.when(_mod(k, 7) == 0, "item brand#1").alias("generic_name"),
+        F.when(t == "click", "dispensed").when(t == "view", "received")
+         .when(t == "purchase", F.when(_mod(k, 5) == 0, "issued").otherwise("count"))
+         .when(t == "error", "lost").when(_mod(k, 2) == 0, "request").otherwise("identify").alias("event_type"),
+        F.when(_mod(k, 11) != 0, F.floor("value").cast("bigint")).alias("quantity"),
+        F.lit("unit").alias("unit"),
+        (F.lit(0.5) + _mod(k, 10).cast("double") / F.lit(20.0)).alias("confidence"),
+        F.when(_mod(k, 6) != 0, " Broken ").alias("loss_reason"))
+    js = F.to_json(row)
+    text = (F.when(_mod(k, 17) == 3, "no medicine was heard")
+            .when(_mod(k, 4) == 0, F.concat(F.lit("```json\n["), js, F.lit("]\n```")))
+            .when(_mod(k, 4) == 1, js).otherwise(F.concat(F.lit("["), js, F.lit("]"))))
+    return e.select(
+        F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("event_id"),
+        F.concat(F.lit("R"), F.col("user_id").cast("string")).alias("report_id"),
+        F.col("event_id").alias("seq"), F.lit("medicine").alias("resource_type"),
+        F.concat(F.lit("F"), F.col("user_id").cast("string")).alias("facility_id"),
+        F.col("ts").cast("timestamp_ntz").alias("event_ts"), F.lit("chat").alias("source"),
+        text.alias("reply"))
+
+
+def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").withColumn("k", _k())
+    target = F.col("event_id") - _mod(F.col("event_id"), 3)
+    return e.select(
+        F.concat(F.lit("A"), F.col("event_id").cast("string")).alias("approval_id"),
+        F.concat(F.lit("E"), target.cast("string")).alias("event_id"),
+        F.col("ts").cast("timestamp_ntz").alias("approved_at"),
+        F.when(_mod(F.col("k"), 7) == 0, F.lit(-1)).when(_mod(F.col("k"), 5) != 0, F.col("k"))
+         .cast("bigint").alias("approved_quantity"))
+
+
+def teachings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").filter("event_type = 'click'").withColumn("k", _k())
+    return e.select(F.col("event_id").alias("teaching_id"),
+                    F.concat(F.when(F.col("k") < 10, "P").otherwise("PACK"), F.col("k").cast("string")).alias("code"),
+                    F.concat(F.lit("Brand#"), (_mod(F.col("user_id"), 30) + 1).cast("string")).alias("item_id"),
+                    F.col("ts").cast("timestamp_ntz").alias("taught_at"))
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").filter("event_type = 'view'").withColumn("k", _k())
+    return e.select(F.col("event_id").alias("scan_id"),
+                    F.concat(F.when(_mod(F.col("k"), 13) == 0, "PACK/").otherwise("PACK"),
+                             F.col("k").cast("string")).alias("code"))
+
+
+def sms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _mod(F.col("conv_id"), 3)
+    head = F.concat(F.lit("in-"), F.col("conv_id").cast("string"))
+    return read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(m == 0, F.concat(head, F.lit("  "), F.col("text"))).when(m == 1, head)
+        .otherwise(F.col("text")).alias("message"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"),
+                                      F.lit("2,024 1 2 3.0 10")).alias("facts"))
+
+
+def prices(items_df: DataFrame) -> DataFrame:
+    n = F.substring_index("item_id", "#", -1).cast("bigint")
+    return items_df.filter(_mod(n, 3) != 2).select(
+        F.concat(F.lit("Item Brand#"), n.cast("string")).alias("item_match"),
+        F.col("list_price").alias("price"), n.alias("ord"))
+
+
+def impact_parts(ledger: DataFrame, facilities_df: DataFrame) -> DataFrame:
+    units = lambda *kinds: F.sum(F.when(F.col("event_type").isin(*kinds), F.col("quantity")).otherwise(0))
+    per = ledger.groupBy("facility_id").agg(
+        F.max("event_date").alias("as_of_date"), units("dispensed").alias("units_dispensed"),
+        units("lost").alias("units_unmet"), units("expired").alias("units_expired_fefo"),
+        units("expired", "lost").alias("units_expired_fifo"))
+    return per.join(facilities_df.select("facility_id", F.col("admin_l1").alias("part")), "facility_id").groupBy("part").agg(
+        F.max("as_of_date").alias("as_of_date"), *[F.sum(c).alias(c) for c in (
+            "units_dispensed", "units_unmet", "units_expired_fefo", "units_expired_fifo")])
