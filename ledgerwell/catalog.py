@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .domain import MIN_DAYS, SURGE, Domain
 from .functions.months import CALENDAR, FISCAL
 from .functions.num import rnd
-from .operators import plan, quality, resources, seasonal, stock, surge, transfers
+from .operators import plan, quality, resources, score, seasonal, stock, surge, transfers
 from .registry import add_all
 from .sources import testbed as tb
 
@@ -232,3 +232,45 @@ add_all({
     "J21_sms_parse": lambda d: quality.sms_parse(tb.sms(d.spark, d.sf_dir)),
     "J22_extraction_score": _score,
 })
+
+# -- scorecards and map --------------------------------------------------------------------
+
+_flows = lambda d: score.map_flows(d.facilities, d.recs)
+_nodes = lambda d: score.map_districts(d.facilities, d.reorder, d.absorption)
+
+add_all({
+    "M1_scorecard": lambda d: score.scorecard(d.reorder),
+    "M2_stockout_timeline": lambda d: score.stockout_timeline(d.reorder),
+    "M3_worst_medicines": lambda d: score.worst_medicines(d.reorder),
+    "M4_ven_breakdown": lambda d: score.ven_breakdown(d.reorder),
+    "M5_district_quadrant": lambda d: score.district_quadrant(d.reorder, d.absorption),
+    "M6_absorption_share": lambda d: score.absorption_share(d.absorption),
+    "M6_queue": lambda d: score.queue(d.impact, d.recs),
+    "M7_grades": lambda d: score.grades(score.scorecard(d.reorder), d.absorption),
+    "M8_bed_scorecard": lambda d: score.bed_scorecard(d.beds),
+    "M8_bed_distribution": lambda d: score.bed_distribution(d.beds),
+    "M8_bed_ranking": lambda d: score.bed_ranking(d.beds),
+    "M8_bed_quadrant": lambda d: score.bed_quadrant(d.beds),
+    "M8_bed_breakdown": lambda d: score.bed_breakdown(d.beds),
+    "M9_staff_scorecard": lambda d: score.staff_scorecard(d.staff),
+    "M9_staff_distribution": lambda d: score.staff_distribution(d.staff),
+    "M9_staff_ranking": lambda d: score.staff_ranking(d.staff),
+    "M9_staff_quadrant": lambda d: score.staff_quadrant(d.staff),
+    "M9_staff_breakdown": lambda d: score.staff_breakdown(d.staff),
+    "M10_reporting_geography": lambda d: score.flat_geography(score.reporting_geography(d.reorder)),
+    "M11_medicine_comparison": lambda d: score.medicine_comparison(d.reorder),
+    "M12_lead_time_structure": lambda d: score.lead_time_structure(d.reorder),
+    "M13_bed_comparison": lambda d: score.bed_comparison(d.beds),
+    "M13_staff_comparison": lambda d: score.staff_comparison(d.staff),
+    "M13_staff_cadres": lambda d: score.staff_comparison(d.staff, "ASIA"),
+    "M14_league_finish": lambda d: score.league_finish(score.medicine_comparison(d.reorder)),
+    "M14_league_ends": lambda d: score.league_ends(score.medicine_comparison(d.reorder)),
+    "M15_map_districts": _nodes,
+    "M15_map_flows": _flows,
+    "M15_map_summary": lambda d: score.map_summary(_nodes(d), _flows(d)),
+    "M16_facility_points": lambda d: score.facility_points(d.facilities),
+    "M16_facility_point_counts": lambda d: score.facility_point_counts(d.facilities),
+    "M17_dashboard_stats": lambda d: score.dashboard_stats(
+        plan.reorder_summary(d.reorder), transfers.transfer_effects(d.recs),
+        quality.facility_counts(quality.geo_summary(d.facilities)), quality.captures(d.ledger)),
+})

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.months import CALENDAR, FISCAL, HELD_MONTH
 from ..functions.num import joined, nvl0, ratio, rnd, share, to_long
+from ..plans.streamed import as_frames, sorted_groups
 from ..schema import (CAPTURE_SOURCES, CONSUMING_TYPES, LEDGER_COLUMNS, MOVEMENT_TYPES,
                       NON_MOVEMENT_TYPES)
 from .stock import PAIR, event_day, mean4, sum4
@@ -84,11 +85,12 @@ def loss_reason(event_type="event_type", reason="loss_reason") -> Column:
 
 
 def name_key(col) -> Column:
-    """Lower-case words only: glosses in brackets and strengths are dropped."""
+    """A spoken or written name without case, bracketed glosses, strengths and spacing."""
     c = F.col(col) if isinstance(col, str) else col
-    c = F.regexp_replace(F.lower(c), r"\([^)]*\)", " ")
-    c = F.regexp_replace(c, r"\b\d+(\.\d+)?\s*(mg|mcg|g|ml|iu|%)\b", " ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    c = F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", " ")
+    c = F.regexp_replace(F.lower(c), r"\b\d+(\.\d+)?\s*(mg|ml|mcg|g|gm|iu|lac|%)?\b", " ")
+    c = F.regexp_replace(c, r"\s+", " ")
+    return F.nullif(F.regexp_replace(c, r"^[ .,-]+|[ .,-]+$", ""), F.lit(""))
 
 
 def verify_item(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -406,6 +408,10 @@ REPLAY = ("facility_id string, item_id string, units_dispensed bigint, units_unm
           "units_expired_fefo bigint, units_expired_fifo bigint")
 
 
+REPLAY_COLUMNS = ["facility_id", "item_id", "units_dispensed", "units_unmet", "units_expired_fefo",
+                  "units_expired_fifo"]
+
+
 def _walk(receipts, demand, end, by_expiry: bool):
     """One pair, one issuing rule. Days are integers; a batch whose expiry day has come is
     written off before anything is issued that day."""
@@ -450,18 +456,17 @@ def issue_policy_replay(ledger: DataFrame, never: int = 10 ** 6) -> DataFrame:
     last = ledger.agg(F.max(day)).scalar()
     facts = facts.withColumn("end", last)
 
-    def replay(key, pdf):
-        r = pdf[pdf["is_receipt"]].sort_values(["day", "exp"])
-        d = pdf[~pdf["is_receipt"]].sort_values("day")
-        receipts = [(int(a), int(b), int(q)) for a, b, q in zip(r["day"], r["exp"], r["qty"])]
-        demand = [(int(a), int(q)) for a, q in zip(d["day"], d["qty"])]
-        end = int(pdf["end"].iloc[0])
-        a = _walk(receipts, demand, end, True)
-        b = _walk(receipts, demand, end, False)
-        return pd.DataFrame([(*key, a[0], a[1], a[2], b[2])], columns=[
-            "facility_id", "item_id", "units_dispensed", "units_unmet", "units_expired_fefo", "units_expired_fifo"])
-
-    return facts.groupBy(*PAIR).applyInPandas(replay, REPLAY)
+    def replay(batches):
+        for key, rows in sorted_groups(batches, 2):
+            end = rows[0][6]
+            receipts = [(r[2], r[4], r[5]) for r in rows if r[3]]
+            demand = [(r[2], r[5]) for r in rows if not r[3]]
+            a, b = _walk(receipts, demand, end, True), _walk(receipts, demand, end, False)
+            yield (*key, a[0], a[1], a[2], b[2])
+
+    cols = [*PAIR, "day", "is_receipt", "exp", "qty", "end"]
+    rows = facts.select(*cols).repartition(*PAIR).sortWithinPartitions(*PAIR, "day", "exp")
+    return rows.mapInPandas(as_frames(replay, REPLAY_COLUMNS), REPLAY)
 
 
 # -- demand shape ------------------------------------------------------------------------

@@ -81,7 +81,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 register("t_items", f"""
 SELECT p_brand AS item_id,
   CASE WHEN n <> 13 THEN 'A0' || (n % 5) || 'AB' || lpad(n::VARCHAR, 2, '0') END AS atc_code,
-  'ITEM ' || upper(p_brand) AS display_name,
+  {_list(tb.FIRST)}[n % 5 + 1] || ' ' || {_list(tb.SECOND)}[(n // 5) % 5 + 1] AS display_name,
   {_list(tb.UNITS)}[n % 4 + 1] AS unit, {_list(tb.VEN)}[n % 3 + 1] AS ven_class,
   CASE WHEN n <> 24 THEN {_list(tb.DRIVERS)}[(n + n // 21) % 5 + 1] END AS demand_driver,
   (1.0 + (n % 4) * 0.5)::DOUBLE AS units_per_driver_event, n % 8 <> 0 AS is_forecast_item, list_price

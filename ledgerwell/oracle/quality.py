@@ -82,8 +82,8 @@ SELECT tier_order, tier, phcs, states, districts, population, {tolong(div('popul
 """)
 register("t_priced", f"""
 SELECT item, unit, units, price, {rnd('(units * price)', 2)} AS value FROM (
-  SELECT e.item, e.unit, e.units, (SELECT first(list_price ORDER BY n) FROM (SELECT list_price, split_part(item_id, '#', 2)::BIGINT AS n FROM t_items) p
-    WHERE p.n % 3 <> 2 AND starts_with(lower(e.item), 'item brand#' || p.n)) AS price
+  SELECT e.item, e.unit, e.units, (SELECT first(list_price ORDER BY n) FROM (SELECT list_price, display_name, split_part(item_id, '#', 2)::BIGINT AS n FROM t_items) p
+    WHERE p.n % 3 <> 2 AND p.n % 5 <> 4 AND starts_with(lower(e.item), lower(CASE WHEN p.n % 3 = 0 THEN display_name ELSE split_part(display_name, ' ', 1) END))) AS price
   FROM (SELECT display_name AS item, unit, sum(quantity)::BIGINT AS units FROM t_stock JOIN t_items USING (item_id)
         WHERE event_type = 'expired' GROUP BY ALL) e)
 """)
@@ -172,7 +172,7 @@ SQL = {
     "J16_reporting_read": """SELECT facility_id, facility_name, state, district, periods_expected, periods_reported, reporting_consistency, last_report,
         days_since_last_report, reporting_status FROM t_reporting ORDER BY reporting_consistency, days_since_last_report DESC NULLS LAST, facility_id LIMIT 200""",
     "J19_number_check": f"""SELECT doc_id, len(x) AS foreign_numbers, list_min(x) AS first_foreign, len(x) = 0 AS numbers_checked FROM (
-        SELECT doc_id, list_filter({nums('text')}, n -> NOT list_contains({nums("concat_ws(' ', doc_id, n_chars, '2,024 1 2 3.0 10')")}, n)) AS x FROM documents)""",
+        SELECT doc_id, [z FOR z IN {nums('text')} IF NOT list_contains({nums("concat_ws(' ', doc_id, n_chars, '2,024 1 2 3.0 10')")}, z)] AS x FROM documents)""",
     "J20_code_lookup": """
         WITH t AS (SELECT 'PACK' || k AS code, 'Brand#' || (user_id % 30 + 1) AS item_id, ts, event_id
           FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type = 'click') WHERE k >= 10 AND user_id % 30 < 25

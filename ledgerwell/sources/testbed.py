@@ -19,6 +19,8 @@ PHC_ONLY_CADRES = ("Doctor (allopathic)", "Health assistants")
 DRIVERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SIGNAL_CLASSES = [("1-URGENT", "leading"), ("2-HIGH", "leading"), ("3-MEDIUM", "coincident"),
                   ("4-NOT SPECIFIED", "programme"), ("5-LOW", "coincident")]
+FIRST = ["Amoxa", "Betro", "Cefal", "Doxin", "Ergot"]
+SECOND = ["Forte", "Plus", "Oral", "Retard", "Junior"]
 UNITS = ["tablet", "vial", "sachet", "bottle"]
 VEN = ["Vital", "Essential", "Desirable"]
 CAPTURE_BY_DIGIT = ["voice", "chat", "tap"]
@@ -36,6 +38,10 @@ def _mod(x: Column, n: int) -> Column:
     return F.pmod(x, F.lit(n))
 
 
+def item_name(n: Column) -> Column:
+    return F.concat(_pick(FIRST, _mod(n, 5)), F.lit(" "), _pick(SECOND, _mod(F.floor(n / 5), 5)))
+
+
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     k, nk = F.col("s_suppkey"), F.col("n_nationkey").cast("bigint")
@@ -71,7 +77,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.select(
         F.col("p_brand").alias("item_id"),
         F.when(n != 13, atc).alias("atc_code"),
-        F.concat(F.lit("ITEM "), F.upper(F.col("p_brand"))).alias("display_name"),
+        item_name(n).alias("display_name"),
         _pick(UNITS, _mod(n, 4)).alias("unit"),
         _pick(VEN, _mod(n, 3)).alias("ven_class"),
         F.when(n != 24, _pick(DRIVERS, _mod(n + F.floor(n / 21), 5))).alias("demand_driver"),
@@ -215,9 +221,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = F.concat(F.lit("Brand#"), (_mod(k, 25) + 1).cast("string"))
     row = F.struct(
         F.when(_mod(k, 10) == 9, "banana").otherwise(F.concat(
-            F.lit("Item "), brand, F.when(_mod(k, 4) == 0, " 500 mg").otherwise(""))).alias("local_name"),
+            item_name(_mod(k, 25) + 1), F.when(_mod(k, 4) == 0, " 500 mg").otherwise(""))).alias("local_name"),
         F.when(_mod(k, 3) == 0, brand).when(_mod(k, 10) == 8, "NOPE").alias("item_id"),
-        F.when(_mod(k, 7) == 0, "item brand#1").alias("generic_name"),
+        F.when(_mod(k, 7) == 0, "BETRO forte").alias("generic_name"),
         F.when(t == "click", "dispensed").when(t == "view", "received")
          .when(t == "purchase", F.when(_mod(k, 5) == 0, "issued").otherwise("count"))
          .when(t == "error", "lost").when(_mod(k, 2) == 0, "request").otherwise("identify").alias("event_type"),
@@ -280,8 +286,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices(items_df: DataFrame) -> DataFrame:
     n = F.substring_index("item_id", "#", -1).cast("bigint")
-    return items_df.filter(_mod(n, 3) != 2).select(
-        F.concat(F.lit("Item Brand#"), n.cast("string")).alias("item_match"),
+    return items_df.filter((_mod(n, 3) != 2) & (_mod(n, 5) != 4)).select(
+        F.when(_mod(n, 3) == 0, F.col("display_name")).otherwise(_pick(FIRST, _mod(n, 5))).alias("item_match"),
         F.col("list_price").alias("price"), n.alias("ord"))
 
 
