@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from .domain import MIN_DAYS, SURGE, Domain
 from .functions.months import CALENDAR, FISCAL
 from .functions.num import rnd
-from .operators import plan, quality, resources, score, seasonal, stock, surge, transfers
+from .operators import forecast, ingest, match, plan, quality, resources, score, seasonal, stock, surge, transfers
 from .registry import add_all
+from .sources import rawforms as rf
 from .sources import testbed as tb
 
 # -- stock position and demand -------------------------------------------------------------
@@ -274,3 +275,84 @@ add_all({
         plan.reorder_summary(d.reorder), transfers.transfer_effects(d.recs),
         quality.facility_counts(quality.geo_summary(d.facilities)), quality.captures(d.ledger)),
 })
+
+# -- loading -------------------------------------------------------------------------------
+
+def _loaded(d: Domain):
+    return ingest.load_facilities(rf.register_rows(d.spark, d.sf_dir),
+                                  ingest.population_lookup(rf.population_wide(d.spark, d.sf_dir)), ("ASIA", "EUROPE"))
+
+
+def _melted(d: Domain):
+    return ingest.melt_demand(rf.demand_wide(d.spark, d.sf_dir), rf.code_drivers(d.spark))
+
+
+def _replaced(d: Domain):
+    asia = F.col("admin_l1") == "ASIA"
+    return ingest.replace_slice(d.demand, d.demand.filter(asia).withColumn("value", F.col("value") * 2), asia)
+
+
+_parsed = lambda d: rf.parsed_medicines(d.spark, d.sf_dir)
+_merged = lambda d: ingest.merge_catalogue(_parsed(d))
+_count = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n"))
+
+
+add_all({
+    "A1_load_facilities": _loaded,
+    "A2_population_lookup": lambda d: ingest.population_lookup(rf.population_wide(d.spark, d.sf_dir)),
+    "A3_replace_slice": lambda d: _replaced(d).groupBy("admin_l1").agg(
+        F.count("*").alias("n"), F.sum("value").alias("value")),
+    "A3_slice_guard": lambda d: ingest.slice_guard(d.demand, _replaced(d), F.col("admin_l1") == "ASIA", "value"),
+    "A4_load_verify": lambda d: ingest.load_verify(_loaded(d), d.read("supplier")),
+    "A5_melt_demand": _melted,
+    "A6_district_key": lambda d: _count(rf.messy_districts(d.spark, d.sf_dir).select(
+        ingest.district_key("district").alias("district_key")), "district_key"),
+    "A7_completeness_gate": lambda d: ingest.completeness_gate(_melted(d), 5),
+    "A7_absent_codes": lambda d: ingest.absent_codes(rf.demand_wide(d.spark, d.sf_dir), rf.code_drivers(d.spark)),
+    "A8_merge_catalogue": _merged,
+    "A9_infer_unit": lambda d: _count(_parsed(d).select(ingest.infer_unit("dosage_forms").alias("unit")), "unit"),
+    "A10_classify_ven": lambda d: _count(_parsed(d).select(ingest.classify_ven(
+        "medicine", "section_no", ("red widget", "blue bolt"), ("small ring",)).alias("ven_class")), "ven_class"),
+    "A11_item_id": lambda d: ingest.with_item_id(_merged(d), length=8).select("ord", "medicine", "item_id"),
+    "A12_code_lookup": lambda d: ingest.lookup_code(_merged(d), rf.medicine_codes(d.spark)).select(
+        "ord", "medicine", "atc_code"),
+    "A13_curation_check": lambda d: ingest.curation_check(
+        d.items, rf.curated_items(d.items), d.demand.select("indicator").distinct()),
+    "A14_load_staffing": lambda d: ingest.load_staffing(
+        rf.staffing_rows(d.staffing), rf.staffing_files(d.spark), 2022)
+        .withColumn("n_types", F.size("applies_to_facility_types")).drop("applies_to_facility_types"),
+    "A15_staffing_self_check": lambda d: ingest.staffing_self_check(rf.staffing_rows(d.staffing)),
+    "A16_price_rows": lambda d: ingest.price_rows(rf.price_lines(d.spark, d.sf_dir)),
+    "A17_choose_price": lambda d: ingest.choose_price(
+        ingest.price_rows(rf.price_lines(d.spark, d.sf_dir)), rf.priced_items(d.spark, d.sf_dir)),
+    "A18_second_country": lambda d: ingest.load_second_country(
+        rf.establishments(d.spark, d.sf_dir), rf.coordinates(d.spark, d.sf_dir),
+        rf.municipalities(d.spark, d.sf_dir), demo=("NATION_3",)),
+    "A19_backfill_column": lambda d: ingest.backfill_column(
+        d.register, rf.location_staging(d.spark, d.sf_dir), "facility_id", "location_type",
+        ("rural", "urban")).select("facility_id", "location_type"),
+    "A20_generalise_check": lambda d: ingest.generalise_check(d.ledger, ingest.generalise_ledger(d.ledger)),
+    "A21_ledger_append": lambda d: quality.to_ledger(d.gate.filter("route = 'events'")),
+    "A22_interchange_export": lambda d: ingest.interchange_export(d.ledger, d.facilities, d.items),
+    "A23_add_state": lambda d: ingest.add_state(d.facilities, d.demand, "ASIA").select(
+        "facility_id", "is_forecast_facility"),
+    "A24_spread_sample": lambda d: ingest.spread_sample(d.facilities, d.demand, 30),
+    "A24_sample_check": lambda d: ingest.sample_check(
+        ingest.spread_sample(d.facilities, d.demand, 30), d.facilities, d.demand, 30),
+})
+
+# -- matching and models -------------------------------------------------------------------
+
+add_all({
+    "L1_match_items": lambda d: match.match_items(tb.utterances(d.spark, d.sf_dir), tb.catalogue(d.items)),
+    "L1_contained_names": lambda d: match.contained_names(tb.utterances(d.spark, d.sf_dir), tb.catalogue(d.items)),
+    "L2_match_vocabulary": lambda d: d.read("conversations").select(
+        "conv_id", "turn", match.match_vocabulary("text", match.BED_WORDS).alias("bed"),
+        match.match_vocabulary("text", match.STAFF_WORDS).alias("staff")),
+    "L3_verify_item_id": lambda d: match.verify_item(quality.parse_reply(d.replies), d.items).select(
+        "event_id", "matched_id", "matched_by"),
+    "L4_quick_list": lambda d: match.quick_list(tb.catalogue(d.items)),
+    "D9_fit_forecast": lambda d: forecast.forecast_rows(forecast.fit_models(d.training)),
+    "D10_model_evaluate": lambda d: forecast.model_evaluate(d.models),
+    "D10_model_orders": lambda d: forecast.model_orders(d.models),
+})

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import plan, quality, resources, seasonal, stock, surge, transfers
+from .operators import forecast, plan, quality, resources, seasonal, stock, surge, transfers
 from .plans.snapshot import snapshot
 from .sources import testbed as tb
 
@@ -182,3 +182,7 @@ class Domain:
     def gate(self) -> DataFrame:
         return snapshot(quality.capture_gate(quality.verify_item(
             quality.parse_reply(self.replies), self.items)), "capture_gate")
+
+    @cached_property
+    def models(self) -> DataFrame:
+        return snapshot(forecast.fit_models(self.training), "models")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.months import CALENDAR, FISCAL, HELD_MONTH
 from ..functions.num import joined, nvl0, ratio, rnd, share, to_long
+from ..plans.one_row import beside
 from ..plans.streamed import as_frames, sorted_groups
 from ..schema import (CAPTURE_SOURCES, CONSUMING_TYPES, LEDGER_COLUMNS, MOVEMENT_TYPES,
                       NON_MOVEMENT_TYPES)
@@ -263,7 +264,7 @@ def data_quality(facilities: DataFrame, items: DataFrame) -> DataFrame:
         F.count_if(F.col("is_forecast_facility")).alias("forecast_facilities"),
         F.count_if(F.col("is_forecast_facility") & F.col("lead_time_is_estimated")).alias("implausible_hq_distance"))
     cat = items.agg(F.count("*").alias("items"), F.count_if(F.col("atc_code").isNull()).alias("items_without_atc"))
-    return fac.join(F.broadcast(cat))          # one row each
+    return beside(fac, cat)
 
 
 def geo_summary(facilities: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import nvl0, ratio, rnd, share, to_long
+from ..plans.one_row import beside
 from .plan import ven_rank
 from .resources import weighted_vacancy
 from .stock import mean4, sum4
@@ -83,7 +84,7 @@ def queue(impact: DataFrame, recs: DataFrame) -> DataFrame:
     a = impact.agg(F.count_if("lead_time_decisive").alias("transfer_only"))
     b = recs.agg(F.count("*").alias("recommended"), nvl0(F.sum("quantity")).alias("units"),
                  F.count_if(F.col("ven_class") == "Vital").alias("vital"))
-    return a.join(F.broadcast(b))              # one row each
+    return beside(a, b)
 
 
 def band(value: Column, good: float, fair: float, higher: bool = True) -> Column:
@@ -94,7 +95,7 @@ def band(value: Column, good: float, fair: float, higher: bool = True) -> Column
 def grades(card: DataFrame, absorption: DataFrame, multiplier: float = MULTIPLIER) -> DataFrame:
     """One row per headline rate with its verdict."""
     cope = absorption_share(absorption).filter(F.col("multiplier") == multiplier).agg(F.max("pct").alias("absorb3"))
-    c = card.join(F.broadcast(cope))           # one row each
+    c = beside(card, cope)
     spread = F.when(F.col("districts") > 1, share("districts_short", "districts"))
     rates = [("availability", share("available", "tracked"), 90, 75, True),
              ("vital_availability", share("vital_available", "vital_tracked"), 95, 85, True),
@@ -167,7 +168,7 @@ def staff_scorecard(staff: DataFrame) -> DataFrame:
     roles = staff.filter("vacancy_rate IS NOT NULL").groupBy("state", "cadre").agg(F.min("vacancy_rate").alias("v"))
     r = roles.agg(F.count_if(F.col("v") >= 0.3).alias("roles_badly_short"), F.count("*").alias("roles_scored"),
                   F.min(F.struct((-F.col("v")).alias("neg"), "state", "cadre")).alias("w"))
-    out = s.join(F.broadcast(r))               # one row each
+    out = beside(s, r)
     filled = F.least(F.lit(100.0), rnd(F.lit(100.0) - F.lit(100.0) * F.coalesce("mean_vacancy", F.lit(0.0)), 1))
     worst = rnd(F.lit(-100.0) * F.col("w.neg"), 1)
     bad = share("roles_badly_short", "roles_scored")
@@ -347,7 +348,7 @@ def map_summary(districts: DataFrame, flows: DataFrame) -> DataFrame:
                       F.count_if(F.col("pct_hold") < FRAGILE).alias("fragile_districts"))
     b = flows.agg(F.count("*").alias("flows"), nvl0(F.sum("units")).alias("units_in_flight"),
                   F.coalesce(F.max("km"), F.lit(0.0)).alias("longest_km"))
-    return a.join(F.broadcast(b))              # one row each
+    return beside(a, b)
 
 
 def facility_points(facilities: DataFrame, digits: int = 3) -> DataFrame:
@@ -375,4 +376,4 @@ def dashboard_stats(summary: DataFrame, moves: DataFrame, counts: DataFrame, cap
                      F.col("waste_avoided").alias("waste_avoided_units"), "substitutions")
     c = counts.select("facilities", "phcs", "demo_facilities", "districts", "population_served")
     k = captured.select("captures_today", "captures_last_7_days", "captures_all_time")
-    return out.join(F.broadcast(m)).join(F.broadcast(c)).join(F.broadcast(k))
+    return beside(out, m, c, k)

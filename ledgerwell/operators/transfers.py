@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import nvl0, ratio, rnd, to_long
 from ..plans.near import near_pairs
+from ..plans.one_row import beside
 from ..plans.ordered import running_totals
 from ..plans.snapshot import snapshot
 from .stock import ID_PREFIX, PAIR
@@ -288,8 +289,7 @@ def access_summary(cases: DataFrame, near_km: float = 25, far_km: float = 100) -
     median = run.filter(F.col("upto") > F.floor(total / 2)).agg(F.min("km").alias("median_km"))
     people = (cases.groupBy("facility_id").agg(F.max("population").alias("p"))
               .agg(F.count("*").alias("centres"), nvl0(F.sum("p")).alias("people")))
-    one = counts.join(F.broadcast(median)).join(F.broadcast(people))    # one row each
-    return one
+    return beside(counts, median, people)
 
 
 def triage(rs: DataFrame, recs: DataFrame) -> DataFrame:

@@ -71,8 +71,8 @@ SELECT 'F' || s_suppkey AS facility_id, 'IN' AS country_code, s_name AS name,
   CASE WHEN s_suppkey % 12 = 3 THEN NULL WHEN s_suppkey % 4 = 0 THEN 'urban'
     ELSE 'rural' END AS location_type,
   CASE WHEN s_suppkey % 41 = 7 THEN NULL WHEN s_suppkey % 37 = 11 THEN 92.41::DOUBLE
-    ELSE (800 + (n_nationkey % 5) * 550 + (s_suppkey * 37) % 200)::DOUBLE / 100.0::DOUBLE END AS latitude,
-  (7000 + (n_nationkey // 5) * 550 + (s_suppkey * 53) % 200)::DOUBLE / 100.0::DOUBLE AS longitude,
+    ELSE (800 + (n_nationkey % 5) * 150 + (s_suppkey * 37) % 200)::DOUBLE / 100.0::DOUBLE END AS latitude,
+  (7000 + (n_nationkey // 5) * 150 + (s_suppkey * 53) % 200)::DOUBLE / 100.0::DOUBLE AS longitude,
   CASE WHEN s_suppkey % 29 <> 5 THEN (5000 + (s_suppkey * 7919) % 45000)::BIGINT END AS population_served,
   s_suppkey % 6 = 0 AS is_demo_facility, s_suppkey % 7 <> 3 AS is_forecast_facility
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

@@ -45,8 +45,8 @@ def item_name(n: Column) -> Column:
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     k, nk = F.col("s_suppkey"), F.col("n_nationkey").cast("bigint")
-    lat = (F.lit(800) + _mod(nk, 5) * 550 + _mod(k * 37, 200)).cast("double") / F.lit(100.0)
-    lon = (F.lit(7000) + F.floor(nk / 5).cast("bigint") * 550 + _mod(k * 53, 200)).cast("double") / F.lit(100.0)
+    lat = (F.lit(800) + _mod(nk, 5) * 150 + _mod(k * 37, 200)).cast("double") / F.lit(100.0)
+    lon = (F.lit(7000) + F.floor(nk / 5).cast("bigint") * 150 + _mod(k * 53, 200)).cast("double") / F.lit(100.0)
     ten = _mod(k, 10)
     return (s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
              .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -300,3 +300,29 @@ def impact_parts(ledger: DataFrame, facilities_df: DataFrame) -> DataFrame:
     return per.join(facilities_df.select("facility_id", F.col("admin_l1").alias("part")), "facility_id").groupBy("part").agg(
         F.max("as_of_date").alias("as_of_date"), *[F.sum(c).alias(c) for c in (
             "units_dispensed", "units_unmet", "units_expired_fefo", "units_expired_fifo")])
+
+
+def catalogue(items_df: DataFrame) -> DataFrame:
+    """The item catalogue with spoken spellings."""
+    first, second = F.split_part("display_name", F.lit(" "), F.lit(1)), F.split_part("display_name", F.lit(" "), F.lit(2))
+    n = F.substring_index("item_id", "#", -1)
+    return items_df.withColumn("local_name_in", F.col("display_name")).withColumn("spoken_variants", F.array(
+        F.lower("display_name"), F.concat(F.lower(second), F.lit(" "), F.lower(first), F.lit(" goli")),
+        F.concat(F.lit("गोली "), n), F.lower(F.concat(F.substring(first, 1, 3), F.substring(second, 1, 3)))))
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item names as people say them, and whole unrelated texts."""
+    e = read(spark, sf_dir, "events").withColumn("k", _k())
+    k = F.col("k")
+    name = item_name(_mod(k, 25) + 1)
+    first, second = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
+    cut = F.concat(F.substring(first, 1, 1), F.substring(first, 3, 20), F.lit(" "), second)
+    said = F.when(_mod(k, 6) == 0, name).when(_mod(k, 6) == 1, cut) \
+        .when(_mod(k, 6) == 2, F.concat(name, F.lit(" ke do sau tablet aaye"))) \
+        .when(_mod(k, 6) == 3, F.concat(second, F.lit(" "), F.lower(first), F.lit(" 650 mg"))) \
+        .when(_mod(k, 6) == 4, F.concat(F.lit("hello "), first)).otherwise("haan ji boliye")
+    a = e.select(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("utterance_id"), said.alias("text"))
+    b = read(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("utterance_id"), "text")
+    return a.unionByName(b)
