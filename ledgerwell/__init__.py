@@ -1 +1,7 @@
 """Resource-ledger and supply analytics as PySpark DataFrame operators."""
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions travel to the executors by value, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

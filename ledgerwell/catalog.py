@@ -10,6 +10,7 @@ from .operators import forecast, ingest, match, plan, quality, resources, score,
 from .registry import add_all
 from .sources import rawforms as rf
 from .sources import testbed as tb
+from .streaming import replay
 
 # -- stock position and demand -------------------------------------------------------------
 
@@ -356,3 +357,16 @@ add_all({
     "D10_model_evaluate": lambda d: forecast.model_evaluate(d.models),
     "D10_model_orders": lambda d: forecast.model_orders(d.models),
 })
+
+# -- streams -------------------------------------------------------------------------------
+
+add_all({
+    "K1_ingest_ledger": lambda d: replay.captures_to_ledger(d, "ledger"),
+    "K1_ingest_review": lambda d: replay.captures_to_ledger(d, "review"),
+    "K2_movements_once": replay.movements,
+    "K3_overdraw_hold": replay.overdraws,
+    "K4_transfer_machine": replay.transfers,
+    "K5_rolling_reports": replay.rolling,
+    "K6_reporting_periods": replay.periods,
+    "K7_live_positions": replay.positions,
+})

@@ -67,14 +67,11 @@ def set_score(a: str, b: str) -> int:
     return round(best)
 
 
-@F.pandas_udf("int")
-def _sort_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sort_score(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-@F.pandas_udf("int")
-def _set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([set_score(x, y) for x, y in zip(a, b)], dtype="int32")
+def _scored(score):
+    """The pair score as an Arrow UDF."""
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="int32")
+    return F.pandas_udf(run, "int")
 
 
 # -- strings -----------------------------------------------------------------------------
@@ -108,7 +105,7 @@ def _shape(df: DataFrame, prefix: str) -> DataFrame:
             .withColumn(prefix + "tokens", F.array_distinct("_t")).drop("_t"))
 
 
-def _gram_pairs(u: DataFrame, names: DataFrame, col: str, slack: float, longest: int) -> DataFrame:
+def _gram_pairs(u: DataFrame, names: DataFrame, col: str, slack: float, longest: Column) -> DataFrame:
     """Pairs that can still reach the score. A score s allows slack * (l1 + l2) edits and an
     edit destroys at most two pieces, so fewer shared pieces than ``need`` rule a pair out;
     no pair that reaches the score is lost."""
@@ -131,14 +128,14 @@ def match_items(utterances: DataFrame, catalogue: DataFrame, text: str = "text")
     """
     rows = utterances.withColumn("key", name_key(text))
     u = _shape(rows.select("key").filter("key IS NOT NULL").distinct(), "u_")
-    idx = _shape(name_index(catalogue), "n_")
-    longest = 400        # catalogue spellings are far shorter; see the guard below
-    names = idx.withColumn("_ok", F.assert_true(F.length("n_sorted") * 1.37 <= longest)).filter("_ok IS NULL").drop("_ok")
+    names = _shape(name_index(catalogue), "n_")
+    # Edits make up at most 15.5 % of both lengths, so a longer text cannot reach the score.
+    longest = names.agg(F.max(F.length("n_sorted")) * F.lit(1.155 / 0.845) + 1).scalar()
     order = names.select(F.col("key").alias("n_key"), "item_id", "ord")
 
     same = u.join(names.select(F.col("key").alias("n_key"), F.col("n_sorted").alias("u_sorted")), "u_sorted") \
         .select("key", "n_key", F.lit(100).alias("score"))
-    near = _gram_pairs(u, names, "sorted", 0.155, longest).withColumn("score", _sort_udf("u_sorted", "n_sorted")) \
+    near = _gram_pairs(u, names, "sorted", 0.155, longest).withColumn("score", _scored(sort_score)("u_sorted", "n_sorted")) \
         .filter(F.col("score") >= WHOLE).select("key", "n_key", "score")
     whole = same.unionByName(near)
 
@@ -147,7 +144,7 @@ def match_items(utterances: DataFrame, catalogue: DataFrame, text: str = "text")
                .join(long.select(F.col("key").alias("n_key"), "n_set", F.explode("n_tokens").alias("w")), "w")
                .select("key", "n_key", "u_set", "n_set").distinct())
     by_gram = _gram_pairs(u, long, "set", 0.105, longest)
-    inside = (by_word.unionByName(by_gram).distinct().withColumn("score", _set_udf("u_set", "n_set"))
+    inside = (by_word.unionByName(by_gram).distinct().withColumn("score", _scored(set_score)("u_set", "n_set"))
               .filter(F.col("score") >= CONTAINED).select("key", "n_key", "score"))
 
     both = whole.withColumn("stage", F.lit(1)).unionByName(inside.withColumn("stage", F.lit(2)))

@@ -39,11 +39,12 @@ def consumed(ledger: DataFrame) -> DataFrame:
                 F.sum("quantity").alias("total_consumed")))
 
 
-def current_stock(ledger: DataFrame) -> DataFrame:
+def current_stock(ledger: DataFrame, today: Column | None = None) -> DataFrame:
     """Batches still on the shelf when stock is issued first-expiry-first-out.
 
     Consumption is known per pair, so it joins to the cell totals, not to the rows;
-    cells that are already used up are dropped before any row is sorted.
+    cells that are already used up are dropped before any row is sorted. ``today`` is the
+    ledger's last day unless the caller passes the day of a larger ledger.
     """
     batches = ledger.filter(F.col("event_type") == "received").select(
         *PAIR, F.col("event_id").alias("batch_id"), event_day().alias("received_date"),
@@ -58,7 +59,8 @@ def current_stock(ledger: DataFrame) -> DataFrame:
              .filter(F.col("cumulative_qty_before") + F.col("cumulative_qty_cell")
                      > F.col("total_consumed")))
     rows = add_running(batches, cells, PAIR, coarse, ["batch_id"], totals)
-    today = as_of_date(ledger).scalar()
+    if today is None:
+        today = as_of_date(ledger).scalar()
     left = F.greatest(F.lit(0), F.least(
         F.col("batch_qty"), F.col("cumulative_qty") - F.col("total_consumed")))
     return (rows.withColumn("remaining_qty", left.cast("bigint"))
