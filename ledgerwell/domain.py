@@ -1,8 +1,8 @@
 """The domain tables of one data folder, each derived once per session.
 
-Tables that many operators read (the reorder position above all) are written to the
-shared folder and read back; the ledger itself stays a lazy scan. Call ``refresh`` after
-the ledger has grown: the position then moves with the next read.
+The ledger and the tables that many operators read (the reorder position above all) are
+written to the shared folder and read back. Call ``refresh`` after the ledger has grown: the
+position then moves with the next read.
 """
 from __future__ import annotations
 
@@ -40,23 +40,23 @@ class Domain:
         return tb.read(self.spark, self.sf_dir, name)
 
     # lazy
-    @property
-    def ledger(self) -> DataFrame:
-        return tb.stock_events(self.spark, self.sf_dir)
-
-    @property
-    def captures(self) -> DataFrame:
-        return tb.capture_events(self.spark, self.sf_dir)
-
     @property
     def resource_events(self) -> DataFrame:
-        return tb.resource_events(self.spark, self.sf_dir)
+        return self.ledger.unionByName(self.captures)
 
     @property
     def register(self) -> DataFrame:
         return tb.facilities(self.spark, self.sf_dir)
 
     # written once
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return snapshot(tb.stock_events(self.spark, self.sf_dir), "stock_events")
+
+    @cached_property
+    def captures(self) -> DataFrame:
+        return snapshot(tb.capture_events(self.spark, self.sf_dir), "captures")
+
     @cached_property
     def facilities(self) -> DataFrame:
         return snapshot(resources.bed_norm(plan.lead_time(self.register)), "facilities")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import count_true, rnd, share
-from ..plans.streamed import as_frames, sorted_groups
+from ..plans.streamed import as_frames, in_key_order, sorted_groups
 from .plan import HORIZON
 from .stock import PAIR, mean4
 
@@ -17,66 +17,77 @@ COLUMNS = [c.split()[0] for c in MODEL.split(", ")]
 MAX_P = 3
 
 
-def _design(y, day0, p, drift, seasonal):
-    n = len(y)
-    t = np.arange(p, n)
-    cols = [np.ones(n - p)]
-    if drift:
-        cols.append(t / max(n, 1))
-    if seasonal:
-        dow = (day0 + t) % 7
-        cols += [(dow == d).astype(float) for d in range(1, 7)]
-    cols += [y[p - i - 1:n - i - 1] for i in range(p)]
-    return np.column_stack(cols), y[p:]
-
-
-def fit_series(days: np.ndarray, qty: np.ndarray, horizon: int):
-    """Autoregression with optional drift and weekday effects; the combination with the
-    lowest AIC wins. Days without a value are interpolated."""
-    grid = np.arange(days[0], days[-1] + 1)
-    y = np.interp(grid, days, qty)
-    n, day0 = len(y), int(days[0])
-    best = None
-    for p in range(0, MAX_P + 1):
+def _choices():
+    """Column sets of the full design for every (p, drift, seasonal)."""
+    out = []
+    for p in range(MAX_P + 1):
         for drift in (False, True):
             for seasonal in (False, True):
-                k = 1 + p + drift + 6 * seasonal
-                if n - p < k + 3:
-                    continue
-                x, target = _design(y, day0, p, drift, seasonal)
-                beta, *_ = np.linalg.lstsq(x, target, rcond=None)
-                sse = float(((target - x @ beta) ** 2).sum())
-                m = len(target)
-                # Scaled to all n days, so that orders with fewer usable rows compare.
-                aic = n * np.log(max(sse / m, 1e-9)) + 2 * (k + 1)
-                if best is None or aic < best[0] - 1e-9:
-                    best = (aic, p, drift, seasonal, beta, np.sqrt(sse / max(m - k, 1)))
-    if best is None:
+                cols = [0] + ([1] if drift else []) + (list(range(2, 8)) if seasonal else []) + list(range(8, 8 + p))
+                out.append((p, drift, seasonal, np.array(cols)))
+    return out
+
+
+CHOICES = _choices()
+
+
+def fit_series(days: np.ndarray, qty: np.ndarray):
+    """Autoregression with optional drift and weekday effects; the combination with the
+    lowest AIC wins. Days without a value are interpolated.
+
+    All combinations use the same rows, so one cross-product matrix serves them all and each
+    is a small linear solve.
+    """
+    y = np.interp(np.arange(days[0], days[-1] + 1), days, qty)
+    n, day0 = len(y), int(days[0])
+    m = n - MAX_P
+    if m < 4:
         return None, y
+    t = np.arange(MAX_P, n)
+    x = np.zeros((m, 8 + MAX_P))
+    x[:, 0], x[:, 1] = 1.0, t / n
+    dow = (day0 + t) % 7
+    for d in range(1, 7):
+        x[:, 1 + d] = dow == d
+    for i in range(MAX_P):
+        x[:, 8 + i] = y[MAX_P - i - 1:n - i - 1]
+    target = y[MAX_P:]
+    gram, xy, yy = x.T @ x, x.T @ target, float(target @ target)
+    ridge = 1e-9 * (np.trace(gram) + 1.0)
+    best = None
+    for p, drift, seasonal, cols in CHOICES:
+        k = len(cols)
+        if m < k + 3:
+            continue
+        sub = gram[np.ix_(cols, cols)]
+        beta = np.linalg.solve(sub + ridge * np.eye(k), xy[cols])
+        sse = max(yy - 2 * float(beta @ xy[cols]) + float(beta @ sub @ beta), 0.0)
+        aic = m * np.log(max(sse / m, 1e-9)) + 2 * (k + 1)
+        if best is None or aic < best[0] - 1e-9:
+            best = (aic, p, drift, seasonal, beta, np.sqrt(sse / max(m - k, 1)))
     return best, y
 
 
 def predict(best, y, day0: int, horizon: int):
-    aic, p, drift, seasonal, beta, sigma = best
+    _, p, drift, seasonal, beta, sigma = best
     n = len(y)
-    hist = list(y)
-    base = 1 + drift + 6 * seasonal
-    phi = beta[base:]
-    psi, out = [1.0], []
-    for h in range(horizon):
-        t = n + h
-        v = beta[0] + (beta[1] * t / max(n, 1) if drift else 0.0)
-        if seasonal:
-            d = (day0 + t) % 7
-            v += beta[1 + drift + d - 1] if d else 0.0
+    phi = beta[len(beta) - p:] if p else np.zeros(0)
+    hist, psi, value, low, high, spread = list(y[-MAX_P:]), [1.0], [], [], [], 0.0
+    for t in range(n, n + horizon):
+        v = beta[0] + (beta[1] * t / n if drift else 0.0)
+        d = (day0 + t) % 7
+        if seasonal and d:
+            v += beta[drift + d]
         for i in range(p):
             v += phi[i] * hist[-1 - i]
         hist.append(v)
-        out.append(float(v))
-        psi.append(float(sum(phi[i] * psi[-1 - i] for i in range(min(p, len(psi))))))
-    spread = [Z80 * float(sigma) * float(np.sqrt(np.sum(np.square(psi[:h + 1])))) for h in range(horizon)]
-    return ([max(0.0, v) for v in out], [max(0.0, v - s) for v, s in zip(out, spread)],
-            [max(0.0, v + s) for v, s in zip(out, spread)])
+        spread += psi[-1] ** 2
+        half = Z80 * sigma * spread ** 0.5
+        psi.append(sum(phi[i] * psi[-1 - i] for i in range(min(p, len(psi)))))
+        value.append(max(0.0, float(v)))
+        low.append(max(0.0, float(v - half)))
+        high.append(max(0.0, float(v + half)))
+    return value, low, high
 
 
 def fit_models(training: DataFrame, horizon: int = HORIZON) -> DataFrame:
@@ -86,7 +97,7 @@ def fit_models(training: DataFrame, horizon: int = HORIZON) -> DataFrame:
         for key, rows in sorted_groups(batches, 2):
             days = np.array([r[2] for r in rows], dtype=np.int64)
             qty = np.array([r[3] for r in rows], dtype=float)
-            best, y = fit_series(days, qty, horizon)
+            best, y = fit_series(days, qty)
             last = np.datetime64(int(days[-1]), "D").astype(object)
             if best is None:
                 m = float(qty.mean())
@@ -95,9 +106,8 @@ def fit_models(training: DataFrame, horizon: int = HORIZON) -> DataFrame:
             value, low, high = predict(best, y, int(days[0]), horizon)
             yield (*key, len(y), best[1], best[2], best[3], float(best[0]), float(best[5]), last, value, low, high)
 
-    rows = (training.select(*PAIR, F.unix_date("day").alias("d"), F.col("quantity").cast("double").alias("q"))
-            .repartition(*PAIR).sortWithinPartitions(*PAIR, "d"))
-    return rows.mapInPandas(as_frames(fit, COLUMNS, 500), MODEL)
+    rows = training.select(*PAIR, F.unix_date("day").alias("d"), F.col("quantity").cast("double").alias("q"))
+    return in_key_order(rows, PAIR, ["d"]).mapInPandas(as_frames(fit, COLUMNS, 500), MODEL)
 
 
 def forecast_rows(models: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.snapshot import snapshot
+from ..plans.streamed import shuffle_width
 from .quality import name_key, verify_item
 
 WHOLE, CONTAINED, MIN_LENGTH = 85, 90, 4
@@ -110,13 +112,27 @@ def _gram_pairs(u: DataFrame, names: DataFrame, col: str, slack: float, longest:
     edit destroys at most two pieces, so fewer shared pieces than ``need`` rule a pair out;
     no pair that reaches the score is lost."""
     a, b = f"u_{col}", f"n_{col}"
-    left = (u.filter(F.length(a) <= longest).select("key", a, F.length(a).alias("la"), F.explode(_grams(a)).alias("g")))
+    left = (u.filter(F.length(a) <= longest).select("uid", a, F.length(a).alias("la"), F.explode(_grams(a)).alias("g")))
     right = names.select(F.col("key").alias("n_key"), b, F.length(b).alias("lb"), F.explode(_grams(b)).alias("g"))
     edits = F.floor(F.lit(slack) * (F.col("la") + F.col("lb")) + F.lit(1e-9))
     need = F.greatest("la", "lb") - 1 - 2 * edits
     return (left.join(right, "g").filter(F.abs(F.col("la") - F.col("lb")) <= edits)
-            .groupBy("key", "n_key", a, b, "la", "lb").agg(F.count("*").alias("shared"))
-            .filter(F.col("shared") >= need).select("key", "n_key", a, b))
+            .groupBy("uid", "n_key", a, b, "la", "lb").agg(F.count("*").alias("shared"))
+            .filter(F.col("shared") >= need).select("uid", "n_key", a, b))
+
+
+def _keyed(utterances: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with the digest of their name key, and every different key once. Only the
+    digest goes through the joins; texts may be long."""
+    rows = utterances.withColumn("_key", name_key(text)).withColumn("uid", F.md5("_key"))
+    once = rows.filter("uid IS NOT NULL").groupBy("uid").agg(F.first("_key").alias("key"))
+    return rows.drop("_key"), _shape(once, "u_").drop("key")
+
+
+def _split(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over the shuffle width before Python work; candidate rows are small, and
+    merged into few tasks they would be scored by few workers."""
+    return df.repartition(shuffle_width(df), *keys)
 
 
 def match_items(utterances: DataFrame, catalogue: DataFrame, text: str = "text") -> DataFrame:
@@ -126,46 +142,50 @@ def match_items(utterances: DataFrame, catalogue: DataFrame, text: str = "text")
     Equal texts are scored once. Candidates come from equi-joins on shared words and shared
     two-letter pieces; only candidates are scored in Python.
     """
-    rows = utterances.withColumn("key", name_key(text))
-    u = _shape(rows.select("key").filter("key IS NOT NULL").distinct(), "u_")
+    rows, u = _keyed(utterances, text)
+    u = snapshot(u, "l1-texts")
     names = _shape(name_index(catalogue), "n_")
     # Edits make up at most 15.5 % of both lengths, so a longer text cannot reach the score.
     longest = names.agg(F.max(F.length("n_sorted")) * F.lit(1.155 / 0.845) + 1).scalar()
     order = names.select(F.col("key").alias("n_key"), "item_id", "ord")
 
     same = u.join(names.select(F.col("key").alias("n_key"), F.col("n_sorted").alias("u_sorted")), "u_sorted") \
-        .select("key", "n_key", F.lit(100).alias("score"))
-    near = _gram_pairs(u, names, "sorted", 0.155, longest).withColumn("score", _scored(sort_score)("u_sorted", "n_sorted")) \
-        .filter(F.col("score") >= WHOLE).select("key", "n_key", "score")
-    whole = same.unionByName(near)
-
+        .select("uid", "n_key", F.lit(100).alias("score"))
+    near = _split(_gram_pairs(u, names, "sorted", 0.155, longest), "uid", "n_key") \
+        .withColumn("score", _scored(sort_score)("u_sorted", "n_sorted")) \
+        .filter(F.col("score") >= WHOLE).select("uid", "n_key", "score")
+    whole = snapshot(same.unionByName(near), "l1-whole")
+
+    # The second stage only sees texts the first one left open.
+    rest = u.join(whole.select("uid").distinct(), "uid", "left_anti")
     long = names.filter(F.length("key") >= MIN_LENGTH)
-    by_word = (u.select("key", "u_set", F.explode("u_tokens").alias("w"))
+    by_word = (rest.select("uid", "u_set", F.explode("u_tokens").alias("w"))
                .join(long.select(F.col("key").alias("n_key"), "n_set", F.explode("n_tokens").alias("w")), "w")
-               .select("key", "n_key", "u_set", "n_set").distinct())
-    by_gram = _gram_pairs(u, long, "set", 0.105, longest)
-    inside = (by_word.unionByName(by_gram).distinct().withColumn("score", _scored(set_score)("u_set", "n_set"))
-              .filter(F.col("score") >= CONTAINED).select("key", "n_key", "score"))
+               .groupBy("uid", "n_key").agg(F.first("u_set").alias("u_set"), F.first("n_set").alias("n_set")))
+    by_gram = _gram_pairs(rest, long, "set", 0.105, longest)
+    pairs = by_word.unionByName(by_gram).groupBy("uid", "n_key").agg(F.first("u_set").alias("u_set"), F.first("n_set").alias("n_set"))
+    inside = (_split(pairs, "uid", "n_key").withColumn("score", _scored(set_score)("u_set", "n_set"))
+              .filter(F.col("score") >= CONTAINED).select("uid", "n_key", "score"))
 
     both = whole.withColumn("stage", F.lit(1)).unionByName(inside.withColumn("stage", F.lit(2)))
-    best = both.join(order, "n_key").groupBy("key").agg(F.min(F.struct(
+    best = both.join(order, "n_key").groupBy("uid").agg(F.min(F.struct(
         "stage", (-F.col("score")).alias("neg"), "ord", "item_id")).alias("b"))
-    hit = best.select("key", F.col("b.item_id").alias("matched_id"), F.col("b.stage").alias("stage"),
+    hit = best.select("uid", F.col("b.item_id").alias("matched_id"), F.col("b.stage").alias("stage"),
                       (-F.col("b.neg")).alias("score"))
-    return rows.join(hit, "key", "left").drop("key")
+    return rows.join(hit, "uid", "left").drop("uid")
 
 
 def contained_names(utterances: DataFrame, catalogue: DataFrame, text: str = "text") -> DataFrame:
     """The exact part of the second stage: all words of a name occur in the utterance."""
-    rows = utterances.withColumn("key", name_key(text))
-    u = _shape(rows.select("key").filter("key IS NOT NULL").distinct(), "u_")
+    rows, u = _keyed(utterances, text)
+    u = snapshot(u, "l1-texts")
     names = _shape(name_index(catalogue), "n_").filter(F.length("key") >= MIN_LENGTH)
-    hits = (u.select("key", F.explode("u_tokens").alias("w"))
+    hits = (u.select("uid", F.explode("u_tokens").alias("w"))
             .join(names.select(F.col("key").alias("n_key"), F.size("n_tokens").alias("n"), F.explode("n_tokens").alias("w")), "w")
-            .groupBy("key", "n_key", "n").agg(F.count("*").alias("c")).filter("c = n"))
-    best = hits.join(names.select(F.col("key").alias("n_key"), "item_id", "ord"), "n_key").groupBy("key").agg(
+            .groupBy("uid", "n_key", "n").agg(F.count("*").alias("c")).filter("c = n"))
+    best = hits.join(names.select(F.col("key").alias("n_key"), "item_id", "ord"), "n_key").groupBy("uid").agg(
         F.min(F.struct("ord", "item_id")).alias("b"))
-    return rows.join(best.select("key", F.col("b.item_id").alias("matched_id")), "key", "left").drop("key")
+    return rows.join(best.select("uid", F.col("b.item_id").alias("matched_id")), "uid", "left").drop("uid")
 
 
 def match_vocabulary(text: str, words: dict[str, str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.months import CALENDAR, FISCAL, HELD_MONTH
 from ..functions.num import joined, nvl0, ratio, rnd, share, to_long
 from ..plans.one_row import beside
-from ..plans.streamed import as_frames, sorted_groups
+from ..plans.streamed import as_frames, in_key_order, sorted_groups
 from ..schema import (CAPTURE_SOURCES, CONSUMING_TYPES, LEDGER_COLUMNS, MOVEMENT_TYPES,
                       NON_MOVEMENT_TYPES)
 from .stock import PAIR, event_day, mean4, sum4
@@ -146,8 +146,7 @@ def overdraw_hold(events: DataFrame, balances: DataFrame | None, group=("report_
         return events.withColumn("held", F.lit(False)).withColumn("on_record", F.lit(None).cast("bigint"))
     keys = [*group, *PAIR]
     rows = (events.join(balances.select(*PAIR, F.col("balance").alias("_start")), PAIR, "left")
-            .withColumn("_start", nvl0("_start"))
-            .repartition(*keys).sortWithinPartitions(*keys, "seq"))
+            .withColumn("_start", nvl0("_start")))
     consuming = set(CONSUMING_TYPES)
 
     def fold(batches):
@@ -173,7 +172,7 @@ def overdraw_hold(events: DataFrame, balances: DataFrame | None, group=("report_
             pdf["held"], pdf["on_record"] = held, seen
             yield pdf[[*cols, "held", "on_record"]]
 
-    return rows.mapInPandas(fold, out)
+    return in_key_order(rows, keys, ["seq"]).mapInPandas(fold, out)
 
 
 def review_approve(review: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -466,8 +465,7 @@ def issue_policy_replay(ledger: DataFrame, never: int = 10 ** 6) -> DataFrame:
             yield (*key, a[0], a[1], a[2], b[2])
 
     cols = [*PAIR, "day", "is_receipt", "exp", "qty", "end"]
-    rows = facts.select(*cols).repartition(*PAIR).sortWithinPartitions(*PAIR, "day", "exp")
-    return rows.mapInPandas(as_frames(replay, REPLAY_COLUMNS), REPLAY)
+    return in_key_order(facts.select(*cols), PAIR, ["day", "exp"]).mapInPandas(as_frames(replay, REPLAY_COLUMNS), REPLAY)
 
 
 # -- demand shape ------------------------------------------------------------------------

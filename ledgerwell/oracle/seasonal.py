@@ -37,7 +37,7 @@ SELECT a.state, a.district_key, a.district, a.population_served, a.phc_count, a.
   sqrt(pow(a.z_population - b.z_population, 2.0) + pow(a.z_facilities - b.z_facilities, 2.0) + pow(a.z_phcs - b.z_phcs, 2.0)
     + pow(a.z_pop_per_phc - b.z_pop_per_phc, 2.0)) AS profile_distance
 FROM t_profiles a JOIN t_profiles b ON {on}
-WHERE a.z_pop_per_phc IS NOT NULL AND b.z_pop_per_phc IS NOT NULL
+WHERE profile_distance IS NOT NULL
 """
 for name, on in (("t_match_out", "a.state <> b.state"), ("t_match_in", "a.state = b.state AND a.district_key <> b.district_key")):
     register(name, f"""SELECT *, row_number() OVER (PARTITION BY state, district_key
@@ -105,8 +105,8 @@ SQL = {
     "G6_exchange_wmape": f"""
         WITH w AS (SELECT count(*) AS predictions, count(DISTINCT state || '|' || district_key) AS districts,
           count(DISTINCT atc_class) AS atc_classes, {', '.join(f'{e} AS {a}_wmape' for a, e in _W.items())} FROM t_eval)
-        SELECT *, CASE least(flat_wmape, demo_out_wmape, demo_in_wmape, pooled_wmape) WHEN flat_wmape THEN 'flat'
-          WHEN demo_out_wmape THEN 'demo_out' WHEN demo_in_wmape THEN 'demo_in' ELSE 'pooled' END AS best_arm,
+        SELECT *, CASE least(flat_wmape, demo_out_wmape, demo_in_wmape, pooled_wmape) WHEN NULL THEN NULL WHEN flat_wmape THEN 'flat'
+          WHEN demo_out_wmape THEN 'demo_out' WHEN demo_in_wmape THEN 'demo_in' WHEN pooled_wmape THEN 'pooled' END AS best_arm,
           {rnd('(flat_wmape - pooled_wmape)', 1)} AS improvement_points,
           {pct('flat_wmape - pooled_wmape', 'flat_wmape')} AS improvement_relative FROM w""",
     "G7_published_vector": f"SELECT state, district_key, atc_class, {_V} FROM t_vectors GROUP BY ALL",

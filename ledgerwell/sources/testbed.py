@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.months import CALENDAR
+from ..plans.widen import widen
 
 # Fixed values of the mapping.
 CADRES = {"AUTOMOBILE": "Doctor (allopathic)", "BUILDING": "Nursing staff",
@@ -26,8 +27,12 @@ VEN = ["Vital", "Essential", "Desirable"]
 CAPTURE_BY_DIGIT = ["voice", "chat", "tap"]
 
 
+TEXTS = ("events", "documents", "conversations")      # parsed row by row
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(df) if name in TEXTS else df
 
 
 def _pick(values, index: Column) -> Column:
@@ -154,10 +159,6 @@ def capture_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("ts").alias("event_date"))
 
 
-def resource_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stock_events(spark, sf_dir).unionByName(capture_events(spark, sf_dir))
-
-
 def demand_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District x month x indicator; each district's indicator has one busy month."""
     o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
