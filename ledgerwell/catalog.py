@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .domain import MIN_DAYS, SURGE, Domain
 from .functions.months import CALENDAR, FISCAL
 from .functions.num import rnd
-from .operators import forecast, ingest, match, plan, quality, resources, score, seasonal, stock, surge, transfers
+from .operators import forecast, ingest, match, plan, quality, resources, scope, score, seasonal, stock, surge, transfers
 from .registry import add_all
 from .sources import rawforms as rf
 from .sources import testbed as tb
@@ -262,6 +262,15 @@ add_all({
     "M10_reporting_geography": lambda d: score.flat_geography(score.reporting_geography(d.reorder)),
     "M11_medicine_comparison": lambda d: score.medicine_comparison(d.reorder),
     "M12_lead_time_structure": lambda d: score.lead_time_structure(d.reorder),
+    "M12_lead_time_correlation": lambda d: score.lead_time_correlation(d.reorder),
+    "B1_scope_alerts": lambda d: transfers.alerts(scope.in_scope(d.reorder, "ASIA", "NATION_7")).select(
+        "facility_id", "item_id", "priority_score", "status"),
+    "B2_scope_absorption": lambda d: scope.in_scope(
+        d.absorption, "EUROPE", facility="F1", columns=scope.AREA_ONLY).select(
+        "state", "district", "atc_class", "multiplier", "absorbs"),
+    "B3_scope_vital_moves": lambda d: scope.in_scope(
+        d.recs, "AMERICA", vital_only=True, columns=scope.RECEIVER).select(
+        "recommendation_id", "to_state", "quantity"),
     "M13_bed_comparison": lambda d: score.bed_comparison(d.beds),
     "M13_staff_comparison": lambda d: score.staff_comparison(d.staff),
     "M13_staff_cadres": lambda d: score.staff_comparison(d.staff, "ASIA"),

@@ -251,6 +251,15 @@ def lead_time_structure(rs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         rnd(mean4("lead"), 1).alias("mean_lead"), rnd(mean4("km"), 0).alias("mean_km"))
 
 
+def lead_time_correlation(rs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """How closely a district's availability follows its lead time."""
+    n = F.count("*")
+    d = rs.groupBy("state", "district").agg(
+        n.alias("tracked"), ratio(F.count_if(~F.col("needs_reorder")), n).alias("score"),
+        ratio(F.sum("lead_time_days"), n).alias("lead")).filter(F.col("tracked") >= min_lines)
+    return d.agg(F.count("*").alias("districts"), rnd(F.corr("score", "lead"), 4).alias("correlation"))
+
+
 def bed_comparison(beds: DataFrame) -> DataFrame:
     n = F.count("*")
     return beds.groupBy("state", "district").agg(

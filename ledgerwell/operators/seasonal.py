@@ -60,9 +60,10 @@ def _rename(df: DataFrame, prefix: str) -> DataFrame:
 def district_matches(profiles: DataFrame, same_state: bool = False, k: int = 3) -> DataFrame:
     """The k nearest districts in the four-dimensional profile.
 
-    Another state: a grid over two of the standardised dimensions and a radius that widens
-    only for districts with fewer than k candidates inside it. Same state: an equi-join on
-    the state. Districts with an incomplete profile (no health centre) take no part.
+    An equi-join on a grid over two of the standardised dimensions (and on the state, when
+    the donor must come from the same one), with a radius that widens only for districts
+    with fewer than k candidates inside it. Districts with an incomplete profile (no health
+    centre) take no part.
     """
     whole = profiles.dropna(subset=list(Z))
     a = whole.select("state", "district_key", "district", "population_served", "phc_count",
@@ -78,19 +79,18 @@ def district_matches(profiles: DataFrame, same_state: bool = False, k: int = 3)
                 .filter(F.col("match_rank") <= k)
                 .drop(*Z, *["donor_" + z for z in Z]))
 
-    if same_state:
-        pairs = a.join(b, F.col("donor_state") == F.col("state")).filter("donor_district_key <> district_key")
-        return top(pairs.withColumn("profile_distance", dist))
-
     left, found = a, []
     for i, r in enumerate([0.75, 3.0, 1e6]):
         cell = lambda c: F.floor(F.col(c) / F.lit(r))
         probe = (left.withColumn("_x", F.explode(F.sequence(cell(Z[0]) - 1, cell(Z[0]) + 1)))
                  .withColumn("_y", F.explode(F.sequence(cell(Z[3]) - 1, cell(Z[3]) + 1))))
         build = b.withColumn("_x", cell("donor_" + Z[0])).withColumn("_y", cell("donor_" + Z[3]))
-        pairs = (probe.join(build, ["_x", "_y"]).drop("_x", "_y")
-                 .filter("donor_state <> state").withColumn("profile_distance", dist)
-                 .filter(F.col("profile_distance") <= r))
+        if same_state:
+            build = build.withColumn("state", F.col("donor_state"))
+            pairs = probe.join(build, ["_x", "_y", "state"]).filter("donor_district_key <> district_key")
+        else:
+            pairs = probe.join(build, ["_x", "_y"]).filter("donor_state <> state")
+        pairs = pairs.drop("_x", "_y").withColumn("profile_distance", dist).filter(F.col("profile_distance") <= r)
         best = top(pairs)
         if r < 1e6:
             full = best.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(*key)

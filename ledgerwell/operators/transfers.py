@@ -63,7 +63,8 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
 # -- nearest donor -----------------------------------------------------------------------
 
 def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: float,
-               accept: Column, order: list, name: str, also_on: tuple | list = ()) -> DataFrame:
+               accept: Column, order: list, name: str, also_on: tuple | list = (),
+               steps: tuple = (1 / 6, 1)) -> DataFrame:
     """For each need row the first acceptable offer: same item before same class, then
     by ``order`` (which starts with distance).
 
@@ -71,14 +72,14 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
     supplied_item_id, donor_class. The search widens ring by ring and only rows without an
     answer go on, so the pairs that are looked at stay close to the pairs that are needed.
     An answer is final when it lies inside the ring, because all other offers are further.
+    ``steps`` are the ring radii as shares of the full one; give more for dense networks.
     """
-    inner = radius_km / 6
     left, answers = need, []
     item = offer.withColumn("requested_item_id", F.col("supplied_item_id"))
     group = offer.filter(F.col("donor_class").isNotNull()).withColumn("atc_class", F.col("donor_class"))
-    steps = [(item, ["requested_item_id"], inner), (item, ["requested_item_id"], radius_km),
-             (group, ["atc_class"], inner), (group, ["atc_class"], radius_km)]
-    for i, (side, on, radius) in enumerate(steps):
+    search = [(side, on, radius_km * s) for side, on in ((item, ["requested_item_id"]), (group, ["atc_class"]))
+              for s in steps]
+    for i, (side, on, radius) in enumerate(search):
         pairs = near_pairs(left, side, radius, on=[*also_on, *on]).filter(
             F.col("to_facility_id") != F.col("from_facility_id"))
         if on == ["atc_class"]:
@@ -90,7 +91,7 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
         best = pairs.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("b")).select(*key, "b.*")
         best = snapshot(best, f"{name}-{i}")
         answers.append(best)
-        if i + 1 < len(steps):
+        if i + 1 < len(search):
             left = left.join(best.select(*key), key, "left_anti")
     out = answers[0]
     for a in answers[1:]:

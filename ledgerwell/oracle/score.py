@@ -127,6 +127,12 @@ SQL = {
         count(*) AS districts, {rnd(m4('score'), 1)} AS mean_score, {rnd(m4('lead'), 1)} AS mean_lead, {rnd(m4('km'), 0)} AS mean_km
         FROM (SELECT state, district, count(*) AS tracked, 100.0::DOUBLE * ((count(*) FILTER (NOT needs_reorder))::DOUBLE / count(*)) AS score,
           sum(lead_time_days)::DOUBLE / count(*) AS lead, {m4('distance_to_hq_km')} AS km FROM t_reorder GROUP BY ALL HAVING tracked >= 8) GROUP BY ALL)""",
+    "M12_lead_time_correlation": f"""SELECT count(*) AS districts, {rnd('corr(score, lead)', 4)} AS correlation FROM (SELECT state, district, count(*) AS tracked,
+        (count(*) FILTER (NOT needs_reorder))::DOUBLE / count(*) AS score, sum(lead_time_days)::DOUBLE / count(*) AS lead FROM t_reorder GROUP BY ALL HAVING tracked >= 8)""",
+    "B1_scope_alerts": """SELECT facility_id, item_id, priority_score, status FROM t_reorder WHERE needs_reorder AND state = 'ASIA' AND district = 'NATION_7'
+        ORDER BY priority_score DESC, days_of_cover ASC NULLS FIRST, facility_id, item_id LIMIT 50""",
+    "B2_scope_absorption": "SELECT state, district, atc_class, multiplier, absorbs FROM t_absorb WHERE state = 'EUROPE'",
+    "B3_scope_vital_moves": "SELECT recommendation_id, to_state, quantity FROM t_recs WHERE to_state = 'AMERICA' AND ven_class = 'Vital'",
     "M13_bed_comparison": f"""SELECT state, district, count(*) AS tracked, {pct('sum(free_beds)', 'sum(bed_capacity)')} AS score,
         {pct("count(*) FILTER (status = 'over_capacity')", 'count(*)')} AS secondary, sum(turned_away)::BIGINT AS failure FROM t_beds GROUP BY ALL""",
     "M13_staff_comparison": f"""SELECT state AS district, count(*) AS tracked, count(DISTINCT facility_id) AS centres,

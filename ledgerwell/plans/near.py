@@ -54,7 +54,3 @@ def near_pairs(probe: DataFrame, build: DataFrame, radius_km: float,
                  .filter(F.col("km") <= F.lit(float(radius_km)))
                  .withColumn("distance_km", rnd("km", 1)))
 
-
-def rings(radius_km: float, steps: int = 3) -> list[float]:
-    """Widening search radii, the last one the full radius."""
-    return [radius_km / 4 ** (steps - 1 - i) for i in range(steps)]

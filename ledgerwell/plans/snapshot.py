@@ -16,7 +16,7 @@ SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; a local one only for a local master."""
-    path = spark.conf.get(SETTING, None)
+    path = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
