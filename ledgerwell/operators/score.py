@@ -257,7 +257,8 @@ def lead_time_correlation(rs: DataFrame, min_lines: int = MIN_LINES) -> DataFram
     d = rs.groupBy("state", "district").agg(
         n.alias("tracked"), ratio(F.count_if(~F.col("needs_reorder")), n).alias("score"),
         ratio(F.sum("lead_time_days"), n).alias("lead")).filter(F.col("tracked") >= min_lines)
-    return d.agg(F.count("*").alias("districts"), rnd(F.corr("score", "lead"), 4).alias("correlation"))
+    return d.agg(F.count("*").alias("districts"), rnd(ratio(F.covar_samp("score", "lead"),
+                                                                     F.stddev_samp("score") * F.stddev_samp("lead")), 4).alias("correlation"))
 
 
 def bed_comparison(beds: DataFrame) -> DataFrame:
