@@ -17,12 +17,12 @@ FLAT_DAYS = 14
 
 def training_set(ledger: DataFrame, facilities: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
     """Daily dispensed units of the series with enough distinct event days (of any
-    kind). Both counts start from one map-side combine per pair and day."""
+    kind). The ledger is combined per pair and day before anything is joined to it."""
     wanted = facilities.filter("is_forecast_facility").select("facility_id")
-    daily = (ledger.join(wanted, "facility_id", "left_semi")
-             .groupBy(*PAIR, event_day().alias("day"))
+    daily = (ledger.groupBy(*PAIR, event_day().alias("day"))
              .agg(_units("dispensed").alias("quantity"),
-                  F.count_if(F.col("event_type") == "dispensed").alias("n")))
+                  F.count_if(F.col("event_type") == "dispensed").alias("n"))
+             .join(wanted, "facility_id", "left_semi"))
     eligible = daily.groupBy(*PAIR).agg(F.count("*").alias("days")).filter(F.col("days") >= min_days)
     return (daily.filter("n > 0").join(eligible.select(*PAIR), PAIR, "left_semi")
             .select(*PAIR, "day", "quantity"))

@@ -106,8 +106,7 @@ def stock_verify(stock: DataFrame) -> DataFrame:
 def recorded_balance(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     """Ledger balance of the wanted pairs; a pair never seen has balance 0."""
     keys = keys.select(*PAIR).distinct()
-    known = ledger_balance(ledger.join(keys, PAIR, "left_semi"))
-    return keys.join(known, PAIR, "left").select(*PAIR, nvl0("balance").alias("balance"))
+    return keys.join(ledger_balance(ledger), PAIR, "left").select(*PAIR, nvl0("balance").alias("balance"))
 
 
 def health_cover(forecast: DataFrame, ledger: DataFrame, facilities: DataFrame,

@@ -125,8 +125,7 @@ def advance_transfers(requests: DataFrame) -> DataFrame:
 
 def rolling_reports(events: DataFrame, length: str = "24 hours", slide: str = "1 hour",
                     late: str = "1 hour") -> DataFrame:
-    """Reports per resource type in every sliding window. Reports of the same hour are
-    merged on the map side before windows are counted."""
+    """Reports per resource type in every sliding window."""
     return (events.withWatermark("event_ts", late).groupBy(F.window("event_ts", length, slide), "resource_type")
             .agg(F.count("*").alias("reports")))
 
