@@ -216,10 +216,11 @@ def pick_series(ledger: DataFrame, facilities: DataFrame, items: DataFrame) -> D
 
 
 def forecast_series(ledger: DataFrame, forecast: DataFrame, series: DataFrame,
-                    history_days: int = 30, horizon: int = 7) -> DataFrame:
-    """History up to the last seed day, then the forecast; the last observed point is in
-    both columns so that the two lines meet."""
-    end = ledger.filter("source = 'seed'").agg(F.max(event_day())).scalar()
+                    history_days: int = 30, horizon: int = 7, train_end=None) -> DataFrame:
+    """History up to ``train_end`` (the last seed day when not given), then the forecast;
+    the last observed point is in both columns so that the two lines meet."""
+    end = (F.lit(train_end).cast("date") if train_end else
+           ledger.filter("source = 'seed'").agg(F.max(event_day())).scalar())
     key = series.select(*PAIR)
     hist = (ledger.filter("event_type = 'dispensed'").join(key, PAIR, "left_semi")
             .groupBy(event_day().alias("day")).agg(F.sum("quantity").alias("historical"))
