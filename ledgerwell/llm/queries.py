@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import duck_bpe, langid, line_windows, simhash, token_counts
+from . import duck_bpe, imatch, langid, line_windows, pstable, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,21 @@ def op4_line_windows(spark, sf_dir):
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_imatch(spark, sf_dir):
+    got = imatch.compare_edits(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                      "near_edited", "near_next")
+
+
 def op6_simhash_groups(spark, sf_dir):
     got = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_pstable_groups(spark, sf_dir):
+    return pstable.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_duck_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     got = duck_bpe.decode(duck_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
@@ -42,5 +52,5 @@ def op10_duck_bpe(spark, sf_dir):
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_line_windows, op6_simhash_groups, op10_duck_bpe)}
-ORACLES = {"op4_line_windows": line_windows.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op9_pstable_groups, op10_duck_bpe)}
+ORACLES = {"op4_line_windows": line_windows.ORACLE, "op9_pstable_groups": pstable.ORACLE}
