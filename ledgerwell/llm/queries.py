@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import duck_bpe, fm_dedup, imatch, langid, line_windows, pstable, simhash, token_counts
+from . import duck_bpe, fm_dedup, imatch, langid, line_windows, pack, pstable, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_fm_passages(spark, sf_dir):
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_retrieval_packing(spark, sf_dir):
+    got = pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_pstable_groups(spark, sf_dir):
     return pstable.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -57,5 +62,5 @@ def op10_duck_bpe(spark, sf_dir):
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op9_pstable_groups, op10_duck_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op8_retrieval_packing, op9_pstable_groups, op10_duck_bpe)}
 ORACLES = {"op4_line_windows": line_windows.ORACLE, "op9_pstable_groups": pstable.ORACLE}
