@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import duck_bpe, fm_dedup, imatch, langid, line_windows, pack, pstable, simhash, token_counts
+from . import duck_bpe, fm_dedup, imatch, langid, line_windows, pack, pstable, sanitise, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_token_counts(spark, sf_dir):
     return got.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_disclosure(spark, sf_dir):
+    got = sanitise.find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return got.select(F.col("row.doc_id"), *[count(k).alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS)],
+                      F.sha2(sanitise.as_text(base), 256).alias("base_sha256"), sanitise.as_text(F.col("spans")).alias("spans"))
+
+
 def op3_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs), columns=["doc_id"]).select(
@@ -62,5 +73,5 @@ def op10_duck_bpe(spark, sf_dir):
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op8_retrieval_packing, op9_pstable_groups, op10_duck_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_disclosure, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op8_retrieval_packing, op9_pstable_groups, op10_duck_bpe)}
 ORACLES = {"op4_line_windows": line_windows.ORACLE, "op9_pstable_groups": pstable.ORACLE}
