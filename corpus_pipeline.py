@@ -47,13 +47,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the row with the smallest id; rows that share this id
-    in a group are reduced to the one with the smallest text digest. Rows without an id stay
-    only if their group has no id."""
-    groups = simhash.near_groups(docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("key"), "text"), id_col="key")
-    best = groups.filter(F.col("key").eqNullSafe(F.col("component_id"))).select("key").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("key"))
-    kept = rows.join(best, "key", "left_semi").dropDuplicates(["key"])
+    """Keeps of each group of near copies (five-word shingles, similarity 0.8) the row with the
+    smallest (id, text digest), null ids first. Equal rows are copies too: one of them stays."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("digest"))
+    groups = simhash.similar_groups(docs.select(key.alias("key"), "text"), id_col="key")
+    best = groups.filter(F.col("key") == F.col("component_id")).select("key").distinct()
+    kept = docs.select(F.struct("*").alias("row"), key.alias("key")).join(best, "key", "left_semi").dropDuplicates(["key"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -13,7 +13,10 @@ the corpus. Only one link per fingerprint and shard leaves the task, enough for
 """
 from __future__ import annotations
 
+import math
+import random
 from itertools import combinations
+from operator import methodcaller
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,31 +30,40 @@ RADIUS = 2
 TREE_NODES = 1024
 BLOCK_WORDS = 1 << 18
 _ALL = (1 << 64) - 1
+plain = methodcaller("as_py")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprint(text, n_words: int) -> int:
-    """Bits set in more than half of the shingles' hashes; long texts go block by block."""
+def _shingle_blocks(text, n_words: int):
+    """The shingles of a text as byte strings, block by block."""
     import numpy as np
-    from xxhash import xxh64_intdigest
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not words:
-        return 0
-    n = max(1, len(words) - n_words + 1)
-    votes = np.zeros(64, np.int64)
+    n = max(1, len(words) - n_words + 1) if words else 0
     for at in range(0, n, BLOCK_WORDS):
         some = words[at:min(at + BLOCK_WORDS, n) + n_words - 1]
         flat = b" ".join(some)
         ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
-        m = max(1, len(some) - n_words + 1)
-        starts = np.concatenate(([0], ends[:m - 1] + 1)).tolist()
-        stops = ends[min(n_words, len(some)) - 1:].tolist()
-        hashes = np.array([xxh64_intdigest(flat[s:e], 42) for s, e in zip(starts, stops)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+        starts = [0, *(ends[:max(0, len(some) - n_words)] + 1).tolist()]
+        yield [flat[s:e] for s, e in zip(starts, ends[min(n_words, len(some)) - 1:].tolist())]
+
+
+def _votes(text, n_words: int, digest, n_bits: int) -> int:
+    """The bits set in more than half of the shingles' digests."""
+    import numpy as np
+    votes, n = np.zeros(n_bits, np.int64), 0
+    for shingles in _shingle_blocks(text, n_words):
+        bits = np.frombuffer(b"".join(map(digest, shingles)), np.uint8).reshape(len(shingles), n_bits // 8)
+        votes += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(shingles)
+    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big") if n else 0
+
+
+def _fingerprint(text, n_words: int) -> int:
+    from xxhash import xxh64_digest
+    return _votes(text, n_words, lambda x: xxh64_digest(x, 42), 64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 3) -> DataFrame:
@@ -60,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fewer words is one shingle; a null text or one without words has fingerprint 0."""
     def run(batches):
         for b in batches:
-            got = [_signed(_fingerprint(t, n_words)) for t in b.column(1).to_pylist()]
+            got = [_signed(_fingerprint(t, n_words)) for t in map(plain, b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=[id_col, "fp"])
     src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, fp long")
@@ -196,3 +208,173 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+# --- Similarity 0.8 and more: wide radius, sampled shards, checked links -----------------------
+
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
+#: Shingle sets of similarity 0.8 differ in some 15 % of the fingerprint's 128 bits; the radius
+#: is over two and a half deviations above that.
+WIDE_RADIUS = 30
+MISSED = 0.02
+BIT_DIFFERS = 0.145
+
+
+def sampling(n: int) -> tuple[int, int]:
+    """Bits sampled per shard name and number of samples for n fingerprints: shards of unrelated
+    fingerprints keep their size as n grows, and a pair that differs in ``BIT_DIFFERS`` of its
+    bits shares a shard in at least one sample with probability 1 - ``MISSED``."""
+    bits = max(16, n.bit_length() - 2)
+    return bits, math.ceil(-math.log(MISSED) / (1 - BIT_DIFFERS) ** bits)
+
+
+def _wide_task(n_words: int):
+    def run(batches):
+        from xxhash import xxh3_128_digest
+        for b in batches:
+            got = [_votes(t, n_words, xxh3_128_digest, 128) for t in map(plain, b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(x >> 64) for x in got], pa.int64()),
+                                              pa.array([_signed(x & _ALL) for x in got], pa.int64())], names=["row", "x", "y"])
+    return run
+
+
+def _set_task(n_words: int):
+    def run(batches):
+        import numpy as np
+        from xxhash import xxh64_intdigest
+        for b in batches:
+            sets = [np.unique(np.array([xxh64_intdigest(w) for block in _shingle_blocks(t, n_words) for w in block], np.uint64)).view(np.int64)
+                    for t in map(plain, b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+    return run
+
+
+def spanning_links(fps: list[int], radius: int):
+    """Links (later, earlier, distance) that span the groups of one BK-tree, the nearest of each
+    group for every new fingerprint."""
+    parent = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    top, children = fps[0], {fps[0]: {}}
+    parent[top] = top
+    for x in fps[1:]:
+        if x in children:
+            continue
+        found, todo, node = [], [top], top
+        while todo:
+            at = todo.pop()
+            d = (at ^ x).bit_count()
+            if d <= radius:
+                found.append((d, at))
+            kids = children[at]
+            if kids:
+                todo += [k for e, k in kids.items() if d - radius <= e <= d + radius]
+        while True:
+            d = (node ^ x).bit_count()
+            if d not in children[node]:
+                children[node][d] = x
+                children[x] = {}
+                break
+            node = children[node][d]
+        parent[x] = x
+        for d, y in sorted(found):
+            a, b = root(x), root(y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield x, y, d
+
+
+def _sampled_tree_task(radius: int):
+    def run(batches):
+        import numpy as np
+        held = None
+
+        def out(shards, x, y):
+            edge = np.flatnonzero(np.diff(shards)) + 1
+            lo, hi = np.r_[0, edge], np.r_[edge, len(shards)]
+            links = []
+            for i, j in zip(lo[hi - lo > 1].tolist(), hi[hi - lo > 1].tolist()):
+                links += spanning_links([(a & _ALL) << 64 | b & _ALL for a, b in zip(x[i:j].tolist(), y[i:j].tolist())], radius)
+            cols = [pa.array([f"{link[k]:032x}" for link in links], pa.string()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([link[2] for link in links], pa.int32())], names=["a", "b", "d"])
+
+        for batch in batches:  # sorted by shard: only the last shard is carried on
+            new = [c.to_numpy() for c in batch.columns]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield out(*(c[:cut] for c in held))
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield out(*held)
+    return run
+
+
+def _candidates(nodes: DataFrame, n: int, radius: int) -> DataFrame:
+    """Links (a, b, d) between nodes that share a sampled shard and lie within the radius.
+
+    A shard of more than ``TREE_NODES`` is cut into blocks; its smallest fingerprint is planted
+    in every block, so that a group cut apart still meets in one node."""
+    bits, samples = sampling(n)
+    draw = random.Random(20_240_607)
+    masks = [sum(1 << i for i in draw.sample(range(128), bits)) for _ in range(samples)]
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m >> 64)).alias("x"), F.lit(_signed(m & _ALL)).alias("y")) for i, m in enumerate(masks)])
+    rows = (nodes.select("x", "y", F.explode(every).alias("m"))
+                 .select(F.xxhash64("m.i", F.col("x").bitwiseAND(F.col("m.x")), F.col("y").bitwiseAND(F.col("m.y"))).alias("shard"), "x", "y"))
+    full = (rows.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct("x", "y")).alias("least")).filter(F.col("n") > TREE_NODES)
+                .select("shard", F.ceil(F.col("n") / (TREE_NODES - 1)).cast("int").alias("blocks"), "least"))
+    usual = rows.join(full, "shard", "left_anti")
+    block = F.pmod(F.xxhash64("x", "y", "shard"), F.col("blocks"))
+    cut = rows.join(full, "shard").select(F.xxhash64("shard", block).alias("shard"), "x", "y")
+    pivots = full.select(F.col("shard").alias("of"), "least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    pivots = pivots.select(F.xxhash64("of", F.col("k").cast("long")).alias("shard"), "least.x", "least.y")
+    trees = usual.unionByName(cut).unionByName(pivots)
+    return (trees.repartition(shuffle_width(nodes), "shard").sortWithinPartitions("shard", "x", "y")
+                 .mapInArrow(_sampled_tree_task(radius), "a string, b string, d int").groupBy("a", "b").agg(F.min("d").alias("d")))
+
+
+def _checked(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose shingle sets have the Jaccard similarity."""
+    both = (links.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+                 .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b"))
+    common = F.size(F.array_intersect("s", "t"))
+    return both.filter(common >= F.lit(similarity) * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE_WORDS,
+                   similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(id, ``component_id``), one row per input row: groups of texts linked by a Jaccard
+    similarity of at least ``similarity`` between their sets of ``n_words``-word shingles.
+
+    Candidates are 128-bit SimHash fingerprints within ``radius`` bits, met in BK-trees over
+    shards named by sampled bits (see ``sampling``); each link is checked exactly on whole texts.
+    Texts of one fingerprint are one node, since no pair below the similarity agrees in all 128
+    bits. ``component_id`` is the smallest id reachable. Null texts and texts without words form
+    one group; null ids come first; an empty table gives an empty table."""
+    src = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = src.schema["row"].dataType.simpleString()
+    fps = snapshot(src.mapInArrow(_wide_task(n_words), f"row {kind}, x long, y long"), "simhash-wide")
+    name = F.lower(F.concat(F.lpad(F.hex("x"), 16, "0"), F.lpad(F.hex("y"), 16, "0")))
+    nodes = snapshot(fps.groupBy("x", "y").agg(F.min("row").alias("least")).withColumn("node", name), "simhash-wide-nodes")
+    found = snapshot(_candidates(nodes, nodes.count(), radius), "simhash-candidates")
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    chosen = nodes.join(ends, "node").select("node", F.col("least").alias("row"))
+    texts = src.join(chosen, "row").select("node", "text").dropDuplicates(["node"])
+    sets = snapshot(texts.mapInArrow(_set_task(n_words), "node string, shingles array<long>"), "simhash-shingles")
+    # the nearest link of each node first; of the others only those between groups still apart
+    nearest = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
+    sure = snapshot(_checked(nearest, sets, similarity), "simhash-nearest")
+    groups = components(sure, "simhash-nearest-groups")
+    apart = (found.join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+                  .join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+                  .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    rooted = components(sure.unionByName(_checked(apart, sets, similarity)), "simhash-similar-groups")
+    named = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("best"))
+    got = fps.join(named.join(smallest, "root").select("x", "y", "best"), ["x", "y"])
+    return got.select(F.col("row.id").alias(id_col), F.col("best.id").alias("component_id"))
