@@ -309,8 +309,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     indexed = (fetched.filter("full = 0").select(*name, "copies", "words").repartition(width, "h")
                       .sortWithinPartitions(*name).mapInArrow(_index_task(window), "h long, s1 long, s2 long, mask long"))
     windows = fetched.filter("full = 1").select(*name, "copies", "o", "w1", "w2").dropDuplicates([*name, "o"])
-    repeated = windows.groupBy("h", "o", "w1", "w2").agg(F.sum("copies").alias("m")).filter("m > 1")
-    counted = (windows.join(repeated, ["h", "o", "w1", "w2"], "left_semi").groupBy(*name)
+    repeated = windows.groupBy("h", "w1", "w2").agg(F.sum("copies").alias("m")).filter("m > 1")
+    counted = (windows.join(repeated, ["h", "w1", "w2"], "left_semi").groupBy(*name)
                       .agg(F.bit_or(F.expr("shiftleft(1L, cast(o AS int))")).alias("mask")))
     masks = alone.unionByName(indexed).unionByName(counted).filter("mask <> 0")
     marked = spots.join(masks, name).groupBy("key").agg(F.collect_list(F.struct("a", "mask")).alias("spots"))

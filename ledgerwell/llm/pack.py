@@ -160,10 +160,10 @@ def fill(lengths, index, window: int):
 
 def _close(pieces, sequence: int, used: int):
     """Cut the last, partly filled sequence into powers of two, the largest first."""
-    done = [p for p in pieces if p[3] != sequence]
+    done, last = [p for p in pieces if p[3] != sequence], [p for p in pieces if p[3] == sequence]
     parts = [1 << b for b in range(used.bit_length() - 1, -1, -1) if used >> b & 1]
     room = parts[0] if parts else 0
-    for doc, start, length, _, _ in (p for p in pieces if p[3] == sequence):
+    for doc, start, length, _, _ in last:
         while length:
             take = min(room, length)
             done.append([doc, start, take, sequence, parts[0] - room])

@@ -4,8 +4,8 @@ Base spans. Emails, IP addresses, card and phone numbers are found by pattern. A
 the matches, and the running lengths of the parts and matches give the places.
 
 Disclosure. The values found are the protected entities. A mention's context is the ``REACH``
-words on either side; contexts of one entity with the same neighbouring words count once, so
-copies of a document are one witness. For a term t seen with entity e, P(e|t) is estimated as
+words on either side. A term's contexts with an entity count as the smaller number of different
+left and right sides, so copies of a document, edited or not, are one witness. For a term t seen with entity e, P(e|t) is estimated as
 contexts of e with t over documents with t, against P(e), the share of all documents that mention
 e. A term with at least ``SUPPORT`` contexts that names its entity with probability ``SURE`` or
 more is removed, from ``LIKELY`` on it is generalised, if it also raises the entity's
@@ -124,10 +124,11 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cut_left = F.when(F.col("m.start") > REACH_CHARS, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
     cut_right = F.when(F.length(right) == REACH_CHARS, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
     sides = spans.select(_entity(F.col("m")).alias("entity"), _words(cut_left).alias("l"), _words(cut_right).alias("r"))
-    contexts = (sides.select("entity", F.slice(F.reverse("l"), 1, REACH).alias("l"), F.slice("r", 1, REACH).alias("r"))
-                     .withColumn("ends", F.struct(F.get("l", F.lit(0)), F.get("r", F.lit(0))))
-                     .select("entity", "ends", F.explode(F.array_distinct(F.concat("l", "r"))).alias("term")).distinct())
-    pairs = snapshot(contexts.filter(F.rlike("term", F.lit(r"\p{L}"))).groupBy("entity", "term").agg(F.count("*").alias("seen"))
+    contexts = (sides.select("entity", F.slice(F.reverse("l"), 1, REACH).alias("l"), F.slice("r", 1, REACH).alias("r")).distinct()
+                     .select("entity", F.xxhash64("l").alias("left"), F.xxhash64("r").alias("right"),
+                             F.explode(F.array_distinct(F.concat("l", "r"))).alias("term")))
+    pairs = snapshot(contexts.filter(F.rlike("term", F.lit(r"\p{L}"))).groupBy("entity", "term")
+                             .agg(F.least(F.countDistinct("left"), F.countDistinct("right")).alias("seen"))
                              .filter(F.col("seen") >= support), "disclosure")
     wanted = snapshot(pairs.select("term", F.xxhash64("term").alias("h")).distinct(), "disclosure-terms")
     held = (texts.select("id", "digest", F.explode(F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
