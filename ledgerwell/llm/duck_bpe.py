@@ -17,19 +17,21 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
+from itertools import accumulate
 from operator import methodcaller
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import regular, split_at_blanks
+from .units import regular
 
-WORDS_PER_QUERY = 20_000
+WORDS_PER_QUERY = 10_000
 ROWS_PER_QUERY = 1 << 22
 LONG_WORD = 1000
-IDS_PER_QUERY = 1 << 19
-KNOWN_PARTS = 300_000
+IDS_PER_QUERY = 1 << 18
+KNOWN_PARTS = 500_000
 KNOWN_LENGTH = 64
 ROWS_OUT = 500
 plain = methodcaller("as_py")
@@ -114,14 +116,16 @@ class Merger:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.pairs = _Pairs(table)
 
-    def encode(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        done = {w: [self.ranks[w]] for w in words if w in self.ranks}
-        todo, size = [], 0
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
+        done, todo, size = {}, [], 0
         for w in words:
-            if w not in done:
-                if len(w) > LONG_WORD:
-                    done[w] = contract([self.ranks[w[i:i + 1]] for i in range(len(w))], self.pairs)
-                    continue
+            r = self.ranks.get(w)
+            if r is not None:
+                done[w] = r.to_bytes(4, "little")
+            elif len(w) > LONG_WORD:
+                done[w] = array("I", contract([self.ranks[w[i:i + 1]] for i in range(len(w))], self.pairs)).tobytes()
+            else:
                 if todo and (len(todo) >= WORDS_PER_QUERY or size + len(w) ** 2 > ROWS_PER_QUERY):
                     done.update(self._query(todo))
                     todo, size = [], 0
@@ -141,54 +145,73 @@ class Merger:
         q[ends - 1], r[ends - 1] = -1, -1
         self.con.register("init", pa.table({"w": np.repeat(np.arange(len(words)), lens), "p": p, "t": t, "q": q, "r": r}))
         got = self.con.sql(MERGE).to_arrow_table()
-        w, t = got.column(0).to_numpy(), got.column(1).to_numpy()
-        cut = np.flatnonzero(np.diff(w)) + 1
-        return zip(words, (x.tolist() for x in np.split(t, cut)))
+        flat = got.column(1).to_numpy().astype("<i4").tobytes()
+        cut = (4 * np.concatenate(([0], np.cumsum(np.bincount(got.column(0).to_numpy(), minlength=len(words)))))).tolist()
+        return zip(words, [flat[i:j] for i, j in zip(cut, cut[1:])])
 
 
-def _encode_task(path: str, pattern: str):
-    def run(batches):
-        import regex
-        merger, find = Merger(read_ranks(path)), regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
+class Encoder:
+    """Ids of texts; remembers the parts it has met, up to a bound."""
 
-        def pack(ids):
-            return b"".join(i.to_bytes(4, "little") for i in ids)
+    def __init__(self, path: str, pattern: str):
+        import regex
+        self.merger, self.find = Merger(read_ranks(path)), regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
+
+    def _strings(self, strings: list[str]) -> list[bytes]:
+        # one blank and letters is one pre-token by any such pattern
+        cut = [[s] if s[:1] == " " and s[1:].isalpha() else self.find(s) for s in strings]
+        words = {w: w.encode("utf-8", "replace") for c in cut for w in c}
+        ids = self.merger.encode(list(words.values()))
+        own = {w: ids[b] for w, b in words.items()}
+        return [own[c[0]] if len(c) == 1 else b"".join([own[w] for w in c]) for c in cut]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        cut = [t.split(" ") for t in texts]
+        got = [list(map(known.get, c[1:])) for c in cut]
+        missing = {p for c, g in zip(cut, got) if None in g for p, x in zip(c[1:], g) if x is None}
+        new = [p for p in missing if regular(p)]
+        odd = missing.difference(new)            # a text with a part that breaks the rule is encoded whole
+        whole = [bool(odd) and not odd.isdisjoint(c[1:]) for c in cut]
+        ids = self._strings([" " + p for p in new] + [t if w else c[0] for t, c, w in zip(texts, cut, whole)])
+        fresh = dict(zip(new, ids))
+        out = []
+        for c, g, w, head in zip(cut, got, whole, ids[len(new):]):
+            if not w and None in g:
+                g = [fresh[p] if x is None else x for p, x in zip(c[1:], g)]
+            out.append(head if w else head + b"".join(g))
+        known.update((p, x) for p, x in fresh.items() if len(p) <= KNOWN_LENGTH)
+        if len(known) > KNOWN_PARTS:
+            known.clear()
+        return out
 
-        def encoded(strings):
-            """Ids of whole strings, from their pre-tokens."""
-            cut = [[x.encode("utf-8", "replace") for x in find(s)] for s in strings]
-            ids = merger.encode(list({w for c in cut for w in c}))
-            return [pack(i for w in c for i in ids[w]) for c in cut]
 
+def _encode_task(path: str, pattern: str):
+    def run(batches):
+        encoder = Encoder(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 some = batch.slice(at, ROWS_OUT)
-                texts = [t or "" for t in map(plain, some.column(1))]
-                new = {p for t in texts for p in t.split(" ")[1:] if p not in known}
-                new = [p for p in new if regular(p)]
-                long = dict(zip([p for p in new if len(p) > KNOWN_LENGTH], encoded([" " + p for p in new if len(p) > KNOWN_LENGTH])))
-                short = [p for p in new if len(p) <= KNOWN_LENGTH]
-                known.update(zip(short, encoded([" " + p for p in short])))
-                ready = known | long if long else known
-                parts = [split_at_blanks(t, ready) for t in texts]
-                heads = encoded([t if x is None else t.split(" ", 1)[0] for t, x in zip(texts, parts)])
-                ids = [h + b"".join(x or ()) for h, x in zip(heads, parts)]
-                lens = [len(x) // 4 for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.ListArray.from_arrays(pa.array([0, *_running(lens)], pa.int32()),
-                                                              pa.Array.from_buffers(pa.int32(), sum(lens), [None, pa.py_buffer(b"".join(ids))]))],
-                    names=["row", "ids"])
-                if len(known) > KNOWN_PARTS:
-                    known = {}
+                ids = encoder([t or "" for t in map(plain, some.column(1))])
+                offsets = [0, *accumulate(len(x) // 4 for x in ids)]
+                flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["row", "ids"])
     return run
 
 
-def _running(lens):
-    total = 0
-    for n in lens:
-        total += n
-        yield total
+def _round_trip_task(path: str, pattern: str):
+    def run(batches):
+        yield from _decode_task(path)(_encode_task(path, pattern)(batches))
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``ids``, ``bytes``): ``encode`` and ``decode`` one after the other in the same task."""
+    src = docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), F.col(text_col).alias("text"))
+    kind = src.schema["row"].dataType.simpleString()
+    out = src.mapInArrow(_round_trip_task(path, pattern), f"row {kind}, ids array<int>, bytes binary")
+    return out.select(F.col("row.id").alias(id_col), "ids", "bytes")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,6 +227,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def _decode_task(path: str):
     def run(batches):
         import numpy as np
+        import pyarrow.compute as pc
         con = _connect()
         ranks = read_ranks(path)
         con.register("given", pa.table({"t": pa.array(list(ranks.values()), pa.int64()), "h": [b.hex() for b in ranks]}))
@@ -211,14 +235,14 @@ def _decode_task(path: str):
 
         def text_of(rows):
             ids = rows.column(1)
-            lens = np.array([len(x) if x is not None else 0 for x in ids.to_pylist()]) if ids.null_count else np.diff(ids.offsets.to_numpy())
+            lens = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             con.register("ids", pa.table({"d": np.repeat(np.arange(len(lens)), lens), "p": np.arange(len(flat)), "t": flat}))
             got = con.sql(DECODE).to_arrow_table()
             return dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
 
         for batch in batches:
-            sizes = np.cumsum([n or 0 for n in batch.column(2).to_pylist()])
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
             lo = 0
             while lo < batch.num_rows:
                 base = sizes[lo - 1] if lo else 0
@@ -236,7 +260,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     """The rows with ``out_col`` (binary): the bytes of their ids. Null or empty ids give no bytes;
     an id that is not in the file is an error of the caller and adds nothing."""
     keep = [c for c in encoded.columns if c not in (ids_col, out_col)]
-    src = encoded.select(F.struct(*keep).alias("row"), F.col(ids_col).cast("array<int>").alias("ids"), F.size(ids_col).alias("n"))
+    src = encoded.select(F.struct(*keep).alias("row"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = src.schema["row"].dataType.simpleString()
     out = src.mapInArrow(_decode_task(path), f"row {kind}, ids array<int>, bytes binary")
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("ids").alias(ids_col), F.col("bytes").alias(out_col))

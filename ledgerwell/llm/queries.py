@@ -67,7 +67,7 @@ def op9_pstable_groups(spark, sf_dir):
 
 def op10_duck_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    got = duck_bpe.decode(duck_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    got = duck_bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                       F.sha2("bytes", 256).alias("decoded_sha256"))

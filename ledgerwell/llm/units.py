@@ -2,19 +2,11 @@
 from __future__ import annotations
 
 
-def split_at_blanks(text: str, ready) -> list | None:
-    """The values ``ready`` holds for the blank-separated parts of a text, or None if a part is
-    missing there.
+def regular(part: str) -> bool:
+    """Whether a blank-separated part, with the blank before it, is a unit of its own.
 
     The usual byte-level pattern opens a word with one blank, so a blank between two characters
     that are not white space starts a new pre-token. A part that is empty or begins with white
-    space breaks that rule; such parts must not be in ``ready``.
+    space breaks that rule.
     """
-    try:
-        return list(map(ready.__getitem__, text.split(" ")[1:]))
-    except KeyError:
-        return None
-
-
-def regular(part: str) -> bool:
     return part != "" and not part[0].isspace()
