@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 from operator import methodcaller
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ LONGEST_GRAM = 5
 FULL_EVIDENCE = 50
 BACKOFF_WEIGHT = 0.5
 KNOWN_TOKENS = 400_000
+TEXTS_AT_ONCE = 500
 UNDETERMINED = "und"
 
 plain = methodcaller("as_py")
@@ -39,25 +41,6 @@ class Model:
     words: dict[str, list[float]] = field(default_factory=dict)
     grams: list[dict[str, list[float]]] = field(default_factory=list)   # by length, from 1
 
-    def word_scores(self, word: str) -> list[float]:
-        known = self.words.get(word)
-        if known:
-            return known
-        padded = f" {word} "
-        for n in range(min(LONGEST_GRAM, len(padded)), 0, -1):
-            table = self.grams[n - 1]
-            found = [table[g] for g in (padded[i:i + n] for i in range(len(padded) - n + 1)) if g in table]
-            if found:
-                return [BACKOFF_WEIGHT * sum(c) / len(found) for c in zip(*found)]
-        return [0.0] * len(self.languages)
-
-    def token_scores(self, token: str) -> tuple[list[float], int]:
-        """Summed scores and number of the words (runs of letters) in a blank-separated token."""
-        words = _LETTERS.findall(token.lower())
-        if not words:
-            return [0.0] * len(self.languages), 0
-        return [sum(c) for c in zip(*map(self.word_scores, words))], len(words)
-
 
 def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -97,40 +80,90 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
-def predictor(model: Model):
-    """Function of texts giving (language, score) each; remembers a bounded number of tokens."""
-    import numpy as np
-    k = len(model.languages)
-
-    class Known(dict):
-        def __missing__(self, token):
-            self[token] = len(rows)
-            s, n = model.token_scores(token)
-            rows.append((*s, n))
-            return self[token]
-
-    rows, known = [], Known()
-    table = np.empty((0, k + 1))
-
-    def predict(text: str | None) -> tuple[str, float]:
-        nonlocal table
-        if not text or not k:
-            return UNDETERMINED, 0.0
-        at = np.fromiter(map(known.__getitem__, text.split()), np.int64)
-        if len(rows) > len(table):
-            table = np.concatenate((table, np.array(rows[len(table):], float)))
-        total = table[at].sum(axis=0)
-        if len(known) > KNOWN_TOKENS:
-            known.clear()
-            rows.clear()
-            table = np.empty((0, k + 1))
-        if not total[k]:
-            return UNDETERMINED, 0.0
-        odds = total[:k] * (min(total[k], FULL_EVIDENCE) / total[k])
-        p = np.exp(odds - odds.max())
-        best = int(np.argmax(p))          # ties: the first language in order
-        return model.languages[best], float(min(1.0, p[best] / p.sum()))
-    return predict
+class Predictor:
+    """(language, score) of texts; remembers the scores of a bounded number of tokens."""
+
+    def __init__(self, model: Model):
+        import numpy as np
+        self.languages = model.languages
+        tables = [model.words, *model.grams]
+        self.entries = np.array([x for t in tables for x in t.values()]).reshape(sum(map(len, tables)), len(self.languages))
+        ends = list(accumulate(map(len, tables)))
+        self.words, *self.grams = [dict(zip(t, range(end - len(t), end))) for t, end in zip(tables, ends)]
+        self._forget()
+
+    def entries_for(self, word: str) -> list[int]:
+        """The entries that score a word, whose mean counts: its own, or its n-grams of the first
+        length, from the longest, at which any is known."""
+        own = self.words.get(word)
+        if own is not None:
+            return [own]
+        padded = f" {word} "
+        for n in range(min(len(self.grams), len(padded)), 0, -1):
+            get = self.grams[n - 1].get
+            found = [e for i in range(len(padded) - n + 1) if (e := get(padded[i:i + n])) is not None]
+            if found:
+                return found
+        return []
+
+    def word_scores(self, words: list[str]):
+        """An array of scores, one row per word; zero for a word that says nothing."""
+        import numpy as np
+        found = [self.entries_for(w) for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+        out, some = np.zeros((len(words), len(self.languages))), np.flatnonzero(counts)
+        if len(some):
+            starts = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
+            weight = np.where(flat[starts] < len(self.words), 1.0, BACKOFF_WEIGHT) / counts[some]
+            out[some] = np.add.reduceat(self.entries[flat], starts, axis=0) * weight[:, None]
+        return out
+
+    def _forget(self):
+        import numpy as np
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((4096, len(self.languages) + 1))
+
+    def _learn(self, tokens: list[str]):
+        """Rows of summed word scores and word counts; words are the runs of letters in a token."""
+        import numpy as np
+        first = len(self.known)
+        words = [[low] if (low := t.lower()).isalpha() else _LETTERS.findall(low) for t in tokens]
+        different = list({w for ws in words for w in ws})
+        place = dict(zip(different, range(len(different))))
+        scores = self.word_scores(different)
+        owner = np.repeat(np.arange(len(tokens)), [len(ws) for ws in words])
+        rows = np.zeros((len(tokens), self.table.shape[1]))
+        np.add.at(rows[:, :-1], owner, scores[[place[w] for ws in words for w in ws]])
+        rows[:, -1] = np.bincount(owner, minlength=len(tokens))
+        while first + len(tokens) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[first:first + len(tokens)] = rows
+        self.known.update(zip(tokens, range(first, first + len(tokens))))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        import numpy as np
+        languages = self.languages
+        if not languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        cut = [(t or "").split() for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self._learn(list(new))
+        out = []
+        for tokens in cut:
+            total = self.table[np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
+            n = total[-1]
+            if not n:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            odds = total[:-1] * (min(n, FULL_EVIDENCE) / n)
+            p = np.exp(odds - odds.max())
+            best = int(np.argmax(p))                       # ties: the first language in order
+            out.append((languages[best], float(min(1.0, p[best] / p.sum()))))
+        if len(self.known) > KNOWN_TOKENS:
+            self._forget()
+        return out
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -142,11 +175,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", columns: lis
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        predict = predictor(shared.value)
-        for b in batches:
-            got = [predict(t) for t in map(plain, b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()),
-                                              pa.array([g[1] for g in got], pa.float64())], names=["row", "lang_pred", "score"])
+        predict = Predictor(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                b = batch.slice(at, TEXTS_AT_ONCE)
+                got = predict(list(map(plain, b.column(1))))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()),
+                                                  pa.array([g[1] for g in got], pa.float64())], names=["row", "lang_pred", "score"])
 
     src = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
     out = src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
