@@ -131,7 +131,7 @@ add_all({
     "H15_surge_month": lambda d: surge.surge_month(d.stock),
     "H15_surge_transfers": lambda d: surge.surge_transfers(d.surge_recs, surge.surge_month(d.stock)),
     "H16_early_warning_count": lambda d: surge.early_warning_count(
-        surge.surge_cards(d.signals, d.labels, limit=None)),
+        surge.surge_cards(d.signals, d.labels)),
 })
 
 # -- beds and staff ------------------------------------------------------------------------
@@ -199,13 +199,20 @@ add_all({
         "resource_subtype", "review_reason", "route"),
     "J3_loss_reason": lambda d: d.gate.filter("event_type = 'lost' AND route <> 'errors'")
         .groupBy("resource_subtype").agg(F.count("*").alias("n")),
+    "J3_loss_reason_rows": lambda d: d.gate.filter("event_type = 'lost' AND route <> 'errors'")
+        .select("event_id", "resource_subtype"),
     "J4_overdraw_hold": lambda d: quality.overdraw_hold(
         d.gate.filter("route = 'events'"), stock.ledger_balance(d.ledger))
         .select("event_id", "report_id", "facility_id", "item_id", "event_type", "quantity", "held", "on_record"),
     "J5_review_approve": _approvals,
+    "J5_pending_review": lambda d: quality.pending_review(d.gate.filter("route = 'review'"), _approvals(d))
+        .select("event_id", "facility_id", "item_id", "review_reason"),
     "J6_confirm_rows": lambda d: quality.confirm_rows(
         quality.verify_item(quality.parse_reply(d.replies), d.items))
         .groupBy("route", F.coalesce("review_reason", F.lit("")).alias("why")).agg(F.count("*").alias("n")),
+    "J6_confirmed_rows": lambda d: quality.confirm_rows(
+        quality.verify_item(quality.parse_reply(d.replies), d.items))
+        .select("event_id", "route", F.coalesce("review_reason", F.lit("")).alias("why")),
     "J7_captures": lambda d: quality.captures(d.ledger),
     "J8_reported_today": lambda d: quality.reported_today(d.captures, "personnel", d.staff),
     "J8_reported_latest": lambda d: quality.reported_latest(d.captures, "personnel", d.staff),
@@ -217,6 +224,7 @@ add_all({
     "J11_facility_counts": lambda d: quality.facility_counts(quality.geo_summary(d.facilities)),
     "J11_national_summary": lambda d: quality.national_summary(quality.geo_summary(d.facilities)),
     "J11_scope_facilities": lambda d: quality.scope_facilities(d.facilities),
+    "J11_get_facility": lambda d: quality.get_facility(d.facilities, "F3").select("facility_id", "name", "admin_l1", "admin_l2"),
     "J12_population_reach": lambda d: quality.population_reach(d.facilities, d.demand),
     "J12_reach_check": lambda d: quality.reach_check(d.facilities),
     "J13_priced_expiry": lambda d: quality.priced_expiry(d.ledger, d.items, tb.prices(d.items)),
@@ -233,6 +241,7 @@ add_all({
         tb.teachings(d.spark, d.sf_dir), tb.scans(d.spark, d.sf_dir), d.items),
     "J21_sms_parse": lambda d: quality.sms_parse(tb.sms(d.spark, d.sf_dir)),
     "J22_extraction_score": _score,
+    "J22_score_rate": lambda d: quality.score_rate(_score(d)),
 })
 
 # -- scorecards and map --------------------------------------------------------------------
@@ -317,12 +326,18 @@ add_all({
     "A5_melt_demand": _melted,
     "A6_district_key": lambda d: _count(rf.messy_districts(d.spark, d.sf_dir).select(
         ingest.district_key("district").alias("district_key")), "district_key"),
+    "A6_district_key_rows": lambda d: rf.messy_districts(d.spark, d.sf_dir).select(
+        "c_custkey", ingest.district_key("district").alias("district_key")),
     "A7_completeness_gate": lambda d: ingest.completeness_gate(_melted(d), 5),
     "A7_absent_codes": lambda d: ingest.absent_codes(rf.demand_wide(d.spark, d.sf_dir), rf.code_drivers(d.spark)),
     "A8_merge_catalogue": _merged,
     "A9_infer_unit": lambda d: _count(_parsed(d).select(ingest.infer_unit("dosage_forms").alias("unit")), "unit"),
+    "A9_infer_unit_rows": lambda d: _parsed(d).select("ord", ingest.infer_unit("dosage_forms").alias("unit")),
+    "A10_classify_ven_rows": lambda d: _parsed(d).select("ord", ingest.classify_ven(
+        "medicine", "section_no", ("red widget", "blue bolt"), ("small ring",)).alias("ven_class")),
     "A10_classify_ven": lambda d: _count(_parsed(d).select(ingest.classify_ven(
         "medicine", "section_no", ("red widget", "blue bolt"), ("small ring",)).alias("ven_class")), "ven_class"),
+    "A11_item_id_full": lambda d: ingest.with_item_id(_merged(d)).select("ord", "medicine", "item_id"),
     "A11_item_id": lambda d: ingest.with_item_id(_merged(d), length=8).select("ord", "medicine", "item_id"),
     "A12_code_lookup": lambda d: ingest.lookup_code(_merged(d), rf.medicine_codes(d.spark)).select(
         "ord", "medicine", "atc_code"),

@@ -39,15 +39,6 @@ def nvl0(x) -> Column:
     return F.coalesce(_c(x), F.lit(0))
 
 
-def count_true(cond) -> Column:
-    """Rows where cond holds; NULL counts as no."""
-    return F.count_if(cond)
-
-
-def distinct_pairs(*cols) -> Column:
-    return F.count_distinct(*[_c(c) for c in cols])
-
-
 def joined(col, sep: str = ", ", limit: int | None = None) -> Column:
     """Distinct values in order, joined; optionally only the first few."""
     arr = F.sort_array(F.collect_set(_c(col)))

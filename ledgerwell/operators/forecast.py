@@ -5,7 +5,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.num import count_true, rnd, share
+from ..functions.num import rnd, share
+from ..plans.listing import upto
 from ..plans.streamed import as_frames, in_key_order, sorted_groups
 from .plan import HORIZON
 from .stock import PAIR, mean4
@@ -119,13 +120,13 @@ def forecast_rows(models: DataFrame) -> DataFrame:
 
 def model_evaluate(models: DataFrame) -> DataFrame:
     return models.agg(
-        F.count("*").alias("series"), count_true(F.col("seasonal")).alias("seasonal"),
-        share(count_true(F.col("seasonal")), F.count("*")).alias("seasonal_pct"),
-        count_true(F.col("drift")).alias("with_drift"), F.count_distinct("p").alias("distinct_orders"),
+        F.count("*").alias("series"), F.count_if(F.col("seasonal")).alias("seasonal"),
+        share(F.count_if(F.col("seasonal")), F.count("*")).alias("seasonal_pct"),
+        F.count_if(F.col("drift")).alias("with_drift"), F.count_distinct("p").alias("distinct_orders"),
         rnd(mean4("aic"), 1).alias("mean_aic"))
 
 
-def model_orders(models: DataFrame, top: int = 6) -> DataFrame:
+def model_orders(models: DataFrame, top: int | None = None) -> DataFrame:
     name = F.format_string("(%d,0,0)", "p")
     return (models.groupBy(name.alias("model_order"), F.when(F.col("seasonal"), "Weekly").otherwise("None").alias("seasonality"))
-            .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_order", "seasonality").limit(top))
+            .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_order", "seasonality").transform(upto, top))

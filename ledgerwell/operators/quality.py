@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.months import CALENDAR, FISCAL, HELD_MONTH
 from ..functions.num import joined, nvl0, ratio, rnd, share, to_long
+from ..plans.listing import upto
 from ..plans.one_row import beside
 from ..plans.streamed import as_frames, in_key_order, sorted_groups
 from ..schema import (CAPTURE_SOURCES, CONSUMING_TYPES, LEDGER_COLUMNS, MOVEMENT_TYPES,
@@ -51,9 +52,9 @@ def reporting_summary(reporting: DataFrame) -> DataFrame:
         rnd(mean4("reporting_consistency"), 3).alias("mean_consistency"))
 
 
-def reporting_read(reporting: DataFrame, limit: int = 200) -> DataFrame:
+def reporting_read(reporting: DataFrame, limit: int | None = None) -> DataFrame:
     return (reporting.orderBy("reporting_consistency", F.desc_nulls_last("days_since_last_report"), "facility_id")
-            .limit(limit).select("facility_id", "facility_name", "state", "district", "periods_expected",
+            .transform(upto, limit).select("facility_id", "facility_name", "state", "district", "periods_expected",
                                  "periods_reported", "reporting_consistency", "last_report",
                                  "days_since_last_report", "reporting_status"))
 
@@ -319,13 +320,13 @@ def national_summary(geo: DataFrame) -> DataFrame:
 
 
 def scope_facilities(facilities: DataFrame, state: str | None = None, district: str | None = None,
-                     facility_type: str = "phc", limit: int = 12) -> DataFrame:
+                     facility_type: str = "phc", limit: int | None = None) -> DataFrame:
     rows = facilities.filter((F.col("country_code") == "IN") & (F.col("facility_type") == facility_type))
     if state:
         rows = rows.filter(F.col("admin_l1") == state)
     if district:
         rows = rows.filter(F.col("admin_l2") == district)
-    return rows.orderBy("name", "facility_id").limit(limit).select(
+    return rows.orderBy("name", "facility_id").transform(upto, limit).select(
         "facility_id", "name", "admin_l1", "admin_l2", "latitude", "longitude", "population_served")
 
 

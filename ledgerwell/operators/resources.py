@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.months import CALENDAR
 from ..functions.num import nvl0, ratio, rnd, share, to_long
+from ..plans.listing import upto
 from ..plans.near import near_pairs
 from ..plans.snapshot import snapshot
 from .plan import valid_coordinates
@@ -108,9 +109,9 @@ def bed_summary(status: DataFrame) -> DataFrame:
         F.count_if(st == "over_capacity").alias("over_capacity"), F.max("as_of_date").alias("as_of"))
 
 
-def bed_list(status: DataFrame, limit: int = 50) -> DataFrame:
+def bed_list(status: DataFrame, limit: int | None = None) -> DataFrame:
     return (status.orderBy(F.desc("turned_away"), F.desc_nulls_last("occupancy_rate"), "facility_id")
-            .limit(limit).select("facility_id", "facility_name", "state", "district", "bed_type",
+            .transform(upto, limit).select("facility_id", "facility_name", "state", "district", "bed_type",
                                  "bed_capacity", "mean_occupied", "occupancy_rate", "free_beds",
                                  "turned_away", "status"))
 
@@ -191,8 +192,8 @@ def staff_by_cadre(staff: DataFrame) -> DataFrame:
         rnd(F.lit(100.0) * weighted_vacancy(), 1).alias("vacancy_pct"))
 
 
-def staff_list(staff: DataFrame, limit: int = 50) -> DataFrame:
-    return (staff.orderBy(F.desc_nulls_last("vacancy_rate"), "facility_name", "cadre").limit(limit)
+def staff_list(staff: DataFrame, limit: int | None = None) -> DataFrame:
+    return (staff.orderBy(F.desc_nulls_last("vacancy_rate"), "facility_name", "cadre").transform(upto, limit)
             .select("facility_id", "facility_name", "state", "district", "cadre", "item_id",
                     "sanctioned_posts", "vacancy_rate", "nurses_short_of_bed_norm", "bed_capacity",
                     "nurses_required"))

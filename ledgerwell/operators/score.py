@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import nvl0, ratio, rnd, share, to_long
+from ..plans.listing import upto
 from ..plans.one_row import beside
 from .plan import ven_rank
 from .resources import weighted_vacancy
@@ -148,13 +149,13 @@ def bed_quadrant(beds: DataFrame) -> DataFrame:
         ((F.sum("turned_away") > 0) & (mean >= 0.5)).alias("critical"))
 
 
-def bed_breakdown(beds: DataFrame, by: str = "state", top: int = 12) -> DataFrame:
+def bed_breakdown(beds: DataFrame, by: str = "state", top: int | None = None) -> DataFrame:
     m, c = F.col("mean_occupied"), F.col("bed_capacity").cast("double")
     rows = beds.groupBy(F.col(by).alias("name")).agg(
         rnd(sum4(F.when(m.isNotNull(), F.least(m, c)))).alias("a"),
         rnd(sum4(F.when(m.isNotNull(), F.greatest(c - m, F.lit(0.0))))).alias("b"),
         F.sum("bed_capacity").alias("cap"))
-    return rows.orderBy(F.desc("cap"), "name").limit(top).drop("cap")
+    return rows.orderBy(F.desc("cap"), "name").transform(upto, top).drop("cap")
 
 
 def staff_scorecard(staff: DataFrame) -> DataFrame:
@@ -201,11 +202,11 @@ def staff_quadrant(staff: DataFrame) -> DataFrame:
         F.count_distinct("facility_id").alias("tracked"), (v >= 0.3).alias("critical"))
 
 
-def staff_breakdown(staff: DataFrame, by: str = "state", top: int = 12) -> DataFrame:
+def staff_breakdown(staff: DataFrame, by: str = "state", top: int | None = None) -> DataFrame:
     p, v = F.col("sanctioned_posts"), F.col("vacancy_rate")
     rows = staff.filter("vacancy_rate IS NOT NULL").groupBy(F.col(by).alias("name")).agg(
         rnd(sum4(p * (F.lit(1.0) - v))).alias("a"), rnd(sum4(p * v)).alias("b"), F.sum(p).alias("posts"))
-    return rows.orderBy(F.desc("posts"), "name").limit(top).drop("posts")
+    return rows.orderBy(F.desc("posts"), "name").transform(upto, top).drop("posts")
 
 
 # -- geography ---------------------------------------------------------------------------

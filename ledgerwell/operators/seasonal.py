@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.months import (CALENDAR, FISCAL, HELD_MONTH, OBSERVED, SCORED,
                                 fiscal_number, month_number)
 from ..functions.num import joined, nvl0, ratio, rnd, share
+from ..plans.listing import upto
 from ..plans.snapshot import snapshot
 from .stock import mean4, sum4
 
@@ -233,19 +234,19 @@ def outlook_accuracy(ev: DataFrame) -> DataFrame:
         F.count_distinct("district_key").alias("districts"), F.sum("actual").alias("total_actual"))
 
 
-def outlook_classes(ev: DataFrame, units: DataFrame, top: int = 40) -> DataFrame:
+def outlook_classes(ev: DataFrame, units: DataFrame, top: int | None = None) -> DataFrame:
     """What can be chosen, busiest first; the first row is the default class."""
     return (ev.join(units, "atc_class").groupBy("atc_class", "medicines", "unit")
             .agg(F.count("*").alias("months"),
                  rnd(sum4(F.col("actual") * F.col("units_per_event"))).alias("volume"))
-            .orderBy(F.desc("volume"), "atc_class").limit(top))
+            .orderBy(F.desc("volume"), "atc_class").transform(upto, top))
 
 
-def outlook_donors(ev: DataFrame, top: int = 6) -> DataFrame:
+def outlook_donors(ev: DataFrame, top: int | None = None) -> DataFrame:
     return (ev.groupBy("donor_district", "donor_state", F.col("district_key").alias("receiver"),
                        F.col("state").alias("receiver_state"))
             .agg(rnd(F.min("profile_distance"), 3).alias("profile_distance"), F.count("*").alias("months"))
-            .orderBy(F.desc("months"), "receiver_state", "receiver").limit(top))
+            .orderBy(F.desc("months"), "receiver_state", "receiver").transform(upto, top))
 
 
 def outlook_reliability(curve: DataFrame, accuracy: DataFrame, reliable: float = 20.0,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.months import month_name, month_number
 from ..functions.num import joined, nvl0, ratio, rnd, share, to_long
+from ..plans.listing import upto
 from ..plans.ordered import running_totals
 from ..plans.snapshot import snapshot
 from .plan import SERVICE_Z, reorder_threshold, ven_rank
@@ -116,7 +117,7 @@ def signals_by_class_kind(signals: DataFrame, labels: DataFrame) -> DataFrame:
                  rnd(F.max("surge_multiplier"), 1).alias("peak")))
 
 
-def surge_cards(signals: DataFrame, labels: DataFrame, limit: int | None = 50) -> DataFrame:
+def surge_cards(signals: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
     """One warning per district, month and driver; the classes of a driver are joined."""
     rows = (signals.filter("is_surge").join(labels, "atc_class", "left")
             .withColumn("signal_key", F.coalesce("demand_driver", "atc_class")))
@@ -127,10 +128,8 @@ def surge_cards(signals: DataFrame, labels: DataFrame, limit: int | None = 50) -
         *[F.bool_and(c).alias(c) for c in ("passes_statistic", "passes_ratio", "passes_magnitude")],
         F.min("demand_driver").alias("signal_indicator"), F.min("signal_class").alias("signal_class"),
         joined("example_items").alias("example_items"))
-    if limit is None:
-        return cards
     return cards.orderBy(F.desc("surge_multiplier"), F.desc("z_modified"), "state", "district_key",
-                         "month", "signal_key").limit(limit)
+                         "month", "signal_key").transform(upto, limit)
 
 
 def early_warning_count(cards: DataFrame) -> DataFrame:
@@ -172,9 +171,9 @@ def surge_supply_impact(rs: DataFrame, signals: DataFrame, z: float = SERVICE_Z,
         short.alias("shortfall_units"), action.alias("surge_action"))
 
 
-def surge_impact_list(impact: DataFrame, limit: int = 100) -> DataFrame:
+def surge_impact_list(impact: DataFrame, limit: int | None = None) -> DataFrame:
     return impact.orderBy(F.desc("lead_time_decisive"), F.desc("newly_at_risk"), "days_to_stockout",
-                          *PAIR, "surge_month").limit(limit)
+                          *PAIR, "surge_month").transform(upto, limit)
 
 
 def network_absorption(rs: DataFrame, multipliers=MULTIPLIERS) -> DataFrame:
@@ -258,10 +257,10 @@ def surge_recommendations(impact: DataFrame, rs: DataFrame, stock: DataFrame, fa
         rnd(ratio(F.col("d_hand") - F.col("given"), "d_demand"), 1).alias("donor_cover_after")))
 
 
-def surge_transfers(recs: DataFrame, month: DataFrame, limit: int = 100) -> DataFrame:
+def surge_transfers(recs: DataFrame, month: DataFrame, limit: int | None = None) -> DataFrame:
     """One month only: the months are alternatives that share the same donor stock."""
     return (recs.join(month.select(F.col("month").alias("surge_month")), "surge_month", "left_semi")
-            .orderBy(F.desc("lead_time_decisive"), "claim_rank", "distance_km", "recommendation_id").limit(limit)
+            .orderBy(F.desc("lead_time_decisive"), "claim_rank", "distance_km", "recommendation_id").transform(upto, limit)
             .select("recommendation_id", "to_facility_id", "from_facility_id", "surge_month", "quantity",
                     "claim_rank", "distance_km", "lead_time_decisive", "donor_partially_exhausted"))
 

@@ -1,11 +1,15 @@
 """Redistribution, access and the transfer lifecycle."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_km
 from ..functions.num import nvl0, ratio, rnd, to_long
-from ..plans.near import near_pairs
+from ..plans.listing import upto
+from ..plans.near import KM_PER_DEGREE, near_pairs
 from ..plans.one_row import beside
 from ..plans.ordered import running_totals
 from ..plans.snapshot import snapshot
@@ -260,20 +264,39 @@ def nearest_help(rs: DataFrame, facilities: DataFrame, vital_only: bool = True,
     short, source = snapshot(short, "e9-short"), snapshot(source, "e9-source")
     key = ["facility_id", "item_id"]
     left, found = short, []
-    for i, radius in enumerate([*search_km, 20100.0]):
-        pairs = near_pairs(left, source, radius, on=["item_id"]).filter("source_id <> facility_id")
-        best = pairs.groupBy(*key).agg(F.min(F.struct(
+    def nearest(pairs: DataFrame, step: str) -> DataFrame:
+        best = pairs.filter("source_id <> facility_id").groupBy(*key).agg(F.min(F.struct(
             "km", "source_id", "distance_km", "source_name", "source_district", "source_state",
             "source_on_hand")).alias("b"))
-        best = snapshot(best.select(*key, "b.source_id", "b.source_name", "b.source_district",
-                                    "b.source_state", "b.source_on_hand",
-                                    F.col("b.distance_km").alias("km")), f"e9-{i}")
+        return snapshot(best.select(*key, "b.source_id", "b.source_name", "b.source_district", "b.source_state",
+                                    "b.source_on_hand", F.col("b.distance_km").alias("km")), f"e9-{step}")
+
+    for i, radius in enumerate(search_km):
+        best = nearest(near_pairs(left, source, radius, on=["item_id"]), str(i))
         found.append(best)
         left = left.join(best.select(*key), key, "left_anti")
-    hits = found[0].unionByName(found[1]).unionByName(found[2])
+    found.append(nearest(_far_pairs(left, source, key), "far"))
+    hits = reduce(DataFrame.unionByName, found)
     return short.drop("to_lat", "to_lon").join(hits, key, "left")
 
 
+def _far_pairs(left: DataFrame, source: DataFrame, key: list[str], degrees: float = 2.0) -> DataFrame:
+    """Pairs that hold the nearest source of the item however far: coarse cells in use are
+    compared by the bounds of their distance, and only those that can hold it are opened. A
+    row meets at most the 16,200 cells of the globe, whatever the number of sources."""
+    source = (source.withColumn("_row", F.floor(F.col("from_lat") / degrees))
+                    .withColumn("_col", F.floor(F.col("from_lon") / degrees)))
+    cells = source.select("item_id", "_row", "_col").distinct().select(
+        "*", ((F.col("_row") + 0.5) * degrees).alias("_lat"), ((F.col("_col") + 0.5) * degrees).alias("_lon"))
+    far = degrees / 2 * 2 ** 0.5 * KM_PER_DEGREE * 1.01       # from a cell's centre to its corner
+    seen = left.join(cells, "item_id").withColumn("_km", haversine_km("to_lat", "to_lon", "_lat", "_lon"))
+    bound = seen.groupBy(*key).agg((F.min("_km") + 2 * far).alias("_bound"))
+    opened = seen.join(bound, key).filter(F.col("_km") <= F.col("_bound")).drop("_lat", "_lon", "_km", "_bound")
+    pairs = opened.join(source, ["item_id", "_row", "_col"]).drop("_row", "_col")
+    return (pairs.withColumn("km", haversine_km("to_lat", "to_lon", "from_lat", "from_lon"))
+                 .withColumn("distance_km", rnd("km", 1)))
+
+
 def access_summary(cases: DataFrame, near_km: float = 25, far_km: float = 100) -> DataFrame:
     km = F.col("km")
     # Distances are rounded to 0.1 km, so the exact percentile keeps a bounded buffer.
@@ -320,27 +343,27 @@ def triage_summary(rows: DataFrame) -> DataFrame:
 
 # -- ranked reads ------------------------------------------------------------------------
 
-def alerts(rs: DataFrame, limit: int = 50) -> DataFrame:
+def alerts(rs: DataFrame, limit: int | None = None) -> DataFrame:
     return (rs.filter("needs_reorder")
-            .orderBy(F.desc("priority_score"), F.asc_nulls_first("days_of_cover"), *PAIR).limit(limit)
+            .orderBy(F.desc("priority_score"), F.asc_nulls_first("days_of_cover"), *PAIR).transform(upto, limit)
             .select(*PAIR, "facility_name", "state", "district", "item_name", "unit", "ven_class", "on_hand",
                     "avg_daily_demand", "days_of_cover", "reorder_point", "safety_stock",
                     "legacy_threshold", "lead_time_days", "priority_score", "status",
                     "days_to_soonest_expiry", "soonest_expiry"))
 
 
-def recommendation_list(recs: DataFrame, limit: int = 50) -> DataFrame:
-    return (recs.orderBy(F.desc("priority_score"), "distance_km", "recommendation_id").limit(limit)
+def recommendation_list(recs: DataFrame, limit: int | None = None) -> DataFrame:
+    return (recs.orderBy(F.desc("priority_score"), "distance_km", "recommendation_id").transform(upto, limit)
             .select("recommendation_id", "from_facility_id", "to_facility_id", "requested_item_id",
                     "supplied_item_id", "is_substitution", "quantity", "distance_km",
                     "waste_avoided_units", "priority_score", "status"))
 
 
-def best_substitutes(subs: DataFrame, limit: int = 50, per_item: int = 3) -> DataFrame:
+def best_substitutes(subs: DataFrame, limit: int | None = None, per_item: int = 3) -> DataFrame:
     return (subs.filter(F.col("rank_by_cover") <= per_item)
             .orderBy(F.asc_nulls_first("requested_days_of_cover"),
                      F.desc_nulls_last("alternative_days_of_cover"),
-                     "facility_id", "requested_item_id", "alternative_item_id").limit(limit))
+                     "facility_id", "requested_item_id", "alternative_item_id").transform(upto, limit))
 
 
 # -- lifecycle ---------------------------------------------------------------------------

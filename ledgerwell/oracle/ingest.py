@@ -74,17 +74,24 @@ SQL = {
         count(*) FILTER (latitude IS NULL OR longitude IS NULL) AS missing_coords, (SELECT count(*) FROM supplier) AS source_rows, true AS ok FROM t_reg""",
     "A5_melt_demand": "SELECT * FROM t_long",
     "A6_district_key": """SELECT CASE WHEN c_custkey % 3 = 1 THEN 'AHMEDNAGAR' ELSE 'NATION ' || c_nationkey END AS district_key, count(*) AS n FROM customer GROUP BY 1""",
+    "A6_district_key_rows": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN 'AHMEDNAGAR' ELSE 'NATION ' || c_nationkey END AS district_key FROM customer""",
     "A7_completeness_gate": """SELECT admin_l1, count(*) AS rows_loaded, count(DISTINCT admin_l2) AS districts, count(DISTINCT indicator) AS indicators,
         count(DISTINCT month) AS months, count(DISTINCT month) = 12 AND count(DISTINCT indicator) = 5 AS ok FROM t_long GROUP BY ALL""",
     "A7_absent_codes": """SELECT '9.X' AS code UNION ALL SELECT c FROM (SELECT unnest(['1.F','1.O','2.F','2.O','3.F','3.O','4.F','4.O','5.F','5.O']) AS c)
         WHERE c NOT IN (SELECT substr(o_orderpriority, 1, 1) || '.' || o_orderstatus FROM orders)""",
     "A8_merge_catalogue": "SELECT * FROM t_merged",
     "A9_infer_unit": f"SELECT unit, count(*) AS n FROM (SELECT {_UNIT} AS unit FROM (SELECT lower(dosage_forms) AS d FROM t_parsed)) GROUP BY ALL",
+    "A9_infer_unit_rows": f"SELECT ord, {_UNIT} AS unit FROM (SELECT ord, lower(dosage_forms) AS d FROM t_parsed)",
+    "A10_classify_ven_rows": """SELECT ord, CASE WHEN key IN ('red widget', 'blue bolt') THEN 'Vital' WHEN key = 'small ring' THEN 'Desirable'
+        WHEN try_cast(section_no AS INTEGER) IN (1, 3, 4, 9, 19, 20, 22, 25, 27) THEN 'Vital'
+        WHEN try_cast(section_no AS INTEGER) IN (11, 12, 16, 26) THEN 'Desirable' ELSE 'Essential' END AS ven_class FROM t_parsed""",
     "A10_classify_ven": """SELECT ven_class, count(*) AS n FROM (SELECT CASE WHEN key IN ('red widget', 'blue bolt') THEN 'Vital' WHEN key = 'small ring' THEN 'Desirable'
         WHEN try_cast(section_no AS INTEGER) IN (1, 3, 4, 9, 19, 20, 22, 25, 27) THEN 'Vital'
         WHEN try_cast(section_no AS INTEGER) IN (11, 12, 16, 26) THEN 'Desirable' ELSE 'Essential' END AS ven_class FROM t_parsed) GROUP BY ALL""",
     "A11_item_id": """SELECT ord, medicine, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS item_id FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ord) AS n
         FROM (SELECT ord, medicine, upper(substr(trim(regexp_replace(key, '[^a-z0-9]+', '-', 'g'), '-'), 1, 8)) AS s FROM t_merged))""",
+    "A11_item_id_full": """SELECT ord, medicine, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS item_id FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ord) AS n
+        FROM (SELECT ord, medicine, upper(substr(trim(regexp_replace(key, '[^a-z0-9]+', '-', 'g'), '-'), 1, 44)) AS s FROM t_merged))""",
     "A12_code_lookup": f"""SELECT ord, medicine, coalesce((SELECT c FROM {_CODE} t(k, c) WHERE k = key),
         CASE WHEN NOT contains(key, '+') AND length(split_part(key, ' ', 1)) > 4 THEN (SELECT c FROM {_CODE} t(k, c) WHERE k = split_part(key, ' ', 1)) END) AS atc_code FROM t_merged""",
     "A13_curation_check": """SELECT 'item' AS kind, 'X ' || display_name AS missing FROM t_items WHERE split_part(item_id, '#', 2)::BIGINT % 5 = 0
@@ -123,7 +130,7 @@ SQL = {
         i.display_name AS item_name, i.atc_code, i.ven_class, i.unit, e.event_type, e.quantity, strftime(e.event_date, '%Y-%m-%dT00:00:00Z') AS event_timestamp, e.expiry_date,
         e.source AS capture_source, 1.0::DOUBLE AS extraction_confidence FROM t_stock e JOIN t_facilities f USING (facility_id) LEFT JOIN t_items i USING (item_id)
         WHERE e.event_type IN ('dispensed', 'received', 'count') AND e.event_date > (SELECT max(event_date) FROM t_stock) - 30
-        ORDER BY e.event_date DESC, e.event_id LIMIT 5000""",
+        ORDER BY e.event_date DESC, e.event_id""",
     "A23_add_state": """SELECT facility_id, is_forecast_facility OR facility_id IN (SELECT facility_id FROM t_cand WHERE admin_l1 = 'ASIA' AND rank_in_district <= 1) AS is_forecast_facility
         FROM t_facilities""",
     "A24_spread_sample": "SELECT * FROM t_cand ORDER BY rank_in_district, facility_id LIMIT 30",

@@ -103,15 +103,15 @@ def nums(x: str) -> str:
 
 
 _triple = "list_sort(list((item_id, event_type, quantity)))"
-SQL = {
-    "J1_facility_reporting": "SELECT * FROM t_reporting",
-    "J1_reporting_summary": f"""SELECT count(*) AS facilities, count(*) FILTER (reporting_status = 'complete') AS complete,
-        count(*) FILTER (reporting_status = 'partial') AS partial, count(*) FILTER (reporting_status = 'silent') AS silent,
-        {rnd(m4('reporting_consistency'), 3)} AS mean_consistency FROM t_reporting""",
-    "J2_capture_gate": "SELECT event_id, report_id, item_id, matched_by, event_type, quantity, confidence, resource_subtype, review_reason, route FROM t_gate",
-    "J3_loss_reason": "SELECT resource_subtype, count(*) AS n FROM t_gate WHERE event_type = 'lost' AND route <> 'errors' GROUP BY ALL",
-    "J4_overdraw_hold": "SELECT * FROM t_held",
-    "J5_review_approve": """
+_SCORED = f"""
+        WITH e AS (SELECT report_id AS case_id, user_id, {_triple} AS got FROM (SELECT * REPLACE (CASE WHEN event_type = 'count' THEN 'received' ELSE event_type END AS event_type)
+            FROM t_gate WHERE route = 'events') GROUP BY ALL),
+        w AS (SELECT report_id AS case_id, {_triple} AS want FROM (SELECT * REPLACE (CASE WHEN event_type = 'count' THEN 'received' ELSE event_type END AS event_type,
+            quantity + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS quantity) FROM t_gate WHERE route = 'events') GROUP BY ALL),
+        c AS (SELECT DISTINCT report_id AS case_id FROM t_gate)
+        SELECT case_id, got IS NOT DISTINCT FROM want AS passed FROM c LEFT JOIN e USING (case_id) LEFT JOIN w USING (case_id)"""
+
+_APPROVED = """
         WITH a AS (SELECT 'A' || event_id AS approval_id, 'E' || (event_id - event_id % 3) AS event_id, ts,
           CASE WHEN k % 7 = 0 THEN -1 WHEN k % 5 <> 0 THEN k END::BIGINT AS aq FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events)),
         r AS (SELECT a.*, g.event_id IS NOT NULL AS known, g.item_id, coalesce(aq, g.quantity) AS q FROM a
@@ -121,9 +121,24 @@ SQL = {
         o AS (SELECT *, count(*) FILTER (fault IS NULL) OVER (PARTITION BY event_id ORDER BY ts, approval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
         z AS (SELECT *, CASE WHEN before > 0 THEN 'already approved' ELSE fault END AS reason FROM o)
         SELECT approval_id, event_id, item_id, reason IS NULL AS approved, reason, CASE WHEN reason IS NULL THEN q END AS quantity,
-          CASE WHEN reason IS NULL THEN CASE WHEN aq IS NOT NULL THEN 'reviewer' ELSE 'extraction' END END AS quantity_source FROM z""",
+          CASE WHEN reason IS NULL THEN CASE WHEN aq IS NOT NULL THEN 'reviewer' ELSE 'extraction' END END AS quantity_source FROM z"""
+
+SQL = {
+    "J1_facility_reporting": "SELECT * FROM t_reporting",
+    "J1_reporting_summary": f"""SELECT count(*) AS facilities, count(*) FILTER (reporting_status = 'complete') AS complete,
+        count(*) FILTER (reporting_status = 'partial') AS partial, count(*) FILTER (reporting_status = 'silent') AS silent,
+        {rnd(m4('reporting_consistency'), 3)} AS mean_consistency FROM t_reporting""",
+    "J2_capture_gate": "SELECT event_id, report_id, item_id, matched_by, event_type, quantity, confidence, resource_subtype, review_reason, route FROM t_gate",
+    "J3_loss_reason": "SELECT resource_subtype, count(*) AS n FROM t_gate WHERE event_type = 'lost' AND route <> 'errors' GROUP BY ALL",
+    "J3_loss_reason_rows": "SELECT event_id, resource_subtype FROM t_gate WHERE event_type = 'lost' AND route <> 'errors'",
+    "J4_overdraw_hold": "SELECT * FROM t_held",
+    "J5_review_approve": _APPROVED,
+    "J5_pending_review": f"""SELECT event_id, facility_id, item_id, review_reason FROM t_gate WHERE route = 'review'
+        AND event_id NOT IN (SELECT event_id FROM ({_APPROVED}) WHERE approved AND event_id IS NOT NULL)""",
     "J6_confirm_rows": """SELECT route, coalesce(CASE WHEN review_reason = 'low confidence' THEN CASE WHEN quantity IS NULL THEN 'no quantity' END ELSE review_reason END, '') AS why,
         count(*) AS n FROM (SELECT *  REPLACE (CASE WHEN review_reason = 'low confidence' AND quantity IS NOT NULL THEN 'events' ELSE route END AS route) FROM t_gate) GROUP BY ALL""",
+    "J6_confirmed_rows": """SELECT event_id, CASE WHEN review_reason = 'low confidence' AND quantity IS NOT NULL THEN 'events' ELSE route END AS route,
+        coalesce(CASE WHEN review_reason = 'low confidence' THEN CASE WHEN quantity IS NULL THEN 'no quantity' END ELSE review_reason END, '') AS why FROM t_gate""",
     "J7_captures": """SELECT count(*) FILTER (event_date = today) AS captures_today, count(*) FILTER (event_date >= today - 7) AS captures_last_7_days,
         count(*) AS captures_all_time, count(DISTINCT facility_id) AS facilities_reporting, count(*) FILTER (source = 'voice') AS voice,
         count(*) FILTER (source = 'chat') AS chat, count(*) FILTER (source = 'barcode') AS barcode, count(*) FILTER (source = 'tap') AS tap,
@@ -153,7 +168,8 @@ SQL = {
         count(*) FILTER (level = 'district') AS districts, count(DISTINCT district) FILTER (level = 'district') AS district_names,
         (sum(demo_count) FILTER (level = 'state'))::BIGINT AS demo_facilities FROM t_geo""",
     "J11_scope_facilities": """SELECT facility_id, name, admin_l1, admin_l2, latitude, longitude, population_served FROM t_facilities
-        WHERE facility_type = 'phc' ORDER BY name, facility_id LIMIT 12""",
+        WHERE facility_type = 'phc' ORDER BY name, facility_id""",
+    "J11_get_facility": "SELECT facility_id, name, admin_l1, admin_l2 FROM t_facilities WHERE facility_id = 'F3'",
     "J12_population_reach": "SELECT * FROM t_reach",
     "J12_reach_check": """SELECT (sum(population_served) FILTER (facility_type = 'phc' AND location_type = 'rural'))::BIGINT AS rural_population,
         sum(population_served)::BIGINT AS naive_population, count(*) FILTER (facility_type = 'phc' AND location_type = 'urban') AS urban_phc,
@@ -170,7 +186,7 @@ SQL = {
           FROM (SELECT *, CASE WHEN part = 'ASIA' THEN 2 ELSE 1 END AS w FROM t_parts))""",
     "J16_reach_read": "SELECT * FROM t_reach",
     "J16_reporting_read": """SELECT facility_id, facility_name, state, district, periods_expected, periods_reported, reporting_consistency, last_report,
-        days_since_last_report, reporting_status FROM t_reporting ORDER BY reporting_consistency, days_since_last_report DESC NULLS LAST, facility_id LIMIT 200""",
+        days_since_last_report, reporting_status FROM t_reporting ORDER BY reporting_consistency, days_since_last_report DESC NULLS LAST, facility_id""",
     "J19_number_check": f"""SELECT doc_id, len(x) AS foreign_numbers, list_min(x) AS first_foreign, len(x) = 0 AS numbers_checked FROM (
         SELECT doc_id, [z FOR z IN {nums('text')} IF NOT list_contains({nums("concat_ws(' ', doc_id, n_chars, '2,024 1 2 3.0 10')")}, z)] AS x FROM documents)""",
     "J20_code_lookup": """
@@ -185,11 +201,7 @@ SQL = {
         p AS (SELECT *, upper(split_part(t, ' ', 1)) AS h, CASE WHEN contains(t, ' ') THEN substr(t, length(split_part(t, ' ', 1)) + 2) ELSE '' END AS b FROM m)
         SELECT conv_id, turn, CASE WHEN ok THEN h END AS facility_id, CASE WHEN ok THEN b END AS body, CASE WHEN NOT ok THEN 'no facility id' END AS error
         FROM (SELECT *, starts_with(h, 'IN-') AND b <> '' AS ok FROM p)""",
-    "J22_extraction_score": f"""
-        WITH e AS (SELECT report_id AS case_id, user_id, {_triple} AS got FROM (SELECT * REPLACE (CASE WHEN event_type = 'count' THEN 'received' ELSE event_type END AS event_type)
-            FROM t_gate WHERE route = 'events') GROUP BY ALL),
-        w AS (SELECT report_id AS case_id, {_triple} AS want FROM (SELECT * REPLACE (CASE WHEN event_type = 'count' THEN 'received' ELSE event_type END AS event_type,
-            quantity + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS quantity) FROM t_gate WHERE route = 'events') GROUP BY ALL),
-        c AS (SELECT DISTINCT report_id AS case_id FROM t_gate)
-        SELECT case_id, got IS NOT DISTINCT FROM want AS passed FROM c LEFT JOIN e USING (case_id) LEFT JOIN w USING (case_id)""",
+    "J22_extraction_score": _SCORED,
+    "J22_score_rate": f"""SELECT count(*) AS cases, count(*) FILTER (passed) AS passed,
+        {pct('count(*) FILTER (passed)', 'count(*)', 1)} AS pass_rate FROM ({_SCORED})""",
 }

@@ -88,7 +88,7 @@ SQL = {
         count(*) FILTER (status = 'under_pressure') AS under_pressure, count(*) FILTER (status = 'over_capacity') AS over_capacity,
         max(as_of_date) AS as_of FROM t_beds""",
     "I3_bed_list": """SELECT facility_id, facility_name, state, district, bed_type, bed_capacity, mean_occupied, occupancy_rate, free_beds,
-        turned_away, status FROM t_beds ORDER BY turned_away DESC, occupancy_rate DESC NULLS LAST, facility_id LIMIT 50""",
+        turned_away, status FROM t_beds ORDER BY turned_away DESC, occupancy_rate DESC NULLS LAST, facility_id""",
     "I4_facility_staffing": "SELECT * FROM t_fs",
     "I5_staffing_norm_gap": f"""SELECT count(*) AS facilities, {rnd('(sum(sanctioned_posts)::DOUBLE / count(*))', 2)} AS avg_sanctioned,
         {rnd('(sum(nurses_required_by_beds)::DOUBLE / count(*))', 2)} AS avg_required_by_beds,
@@ -103,7 +103,7 @@ SQL = {
         {rnd('(100.0::DOUBLE * ' + WV + ')', 1)} AS vacancy_pct FROM t_staff GROUP BY ALL""",
     "I7_staff_list": """SELECT facility_id, facility_name, state, district, cadre, item_id, sanctioned_posts, vacancy_rate,
         nurses_short_of_bed_norm, bed_capacity, nurses_required FROM t_staff
-        ORDER BY vacancy_rate DESC NULLS LAST, facility_name, cadre LIMIT 50""",
+        ORDER BY vacancy_rate DESC NULLS LAST, facility_name, cadre""",
     "I8_staff_reallocation_diag": """SELECT count(*) AS cadres, sum(posts)::BIGINT AS sanctioned_posts, count(*) FILTER (most <= 1) AS single_post_cadres,
         sum(CASE WHEN most <= 1 THEN posts ELSE 0 END)::BIGINT AS posts_in_single_post_cadres,
         array_to_string(coalesce(list_sort(list(cadre) FILTER (most > 1)), []), ', ') AS donor_cadres

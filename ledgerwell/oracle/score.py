@@ -100,7 +100,7 @@ SQL = {
         FROM t_beds GROUP BY district""",
     "M8_bed_breakdown": f"""SELECT name, a, b FROM (SELECT state AS name, {rnd(s4('(CASE WHEN mean_occupied IS NOT NULL THEN least(mean_occupied, bed_capacity::DOUBLE) END)'))} AS a,
         {rnd(s4('(CASE WHEN mean_occupied IS NOT NULL THEN greatest(bed_capacity::DOUBLE - mean_occupied, 0.0::DOUBLE) END)'))} AS b, sum(bed_capacity) AS c
-        FROM t_beds GROUP BY state) ORDER BY c DESC, name LIMIT 12""",
+        FROM t_beds GROUP BY state) ORDER BY c DESC, name""",
     "M9_staff_scorecard": f"""
         WITH s AS (SELECT count(*) AS facility_cadres, count(DISTINCT facility_id) AS centres, sum(sanctioned_posts)::BIGINT AS posts,
           count(DISTINCT state || '|' || cadre) AS roles, {rnd(WV, 4)} AS mean_vacancy, count(*) FILTER (vacancy_rate IS NULL) AS no_figure,
@@ -118,7 +118,7 @@ SQL = {
         count(DISTINCT facility_id) AS tracked, min(vacancy_rate) >= 0.3::DOUBLE AS critical FROM t_staff WHERE vacancy_rate IS NOT NULL GROUP BY ALL""",
     "M9_staff_breakdown": f"""SELECT name, a, b FROM (SELECT state AS name, {rnd(s4('(sanctioned_posts * (1.0::DOUBLE - vacancy_rate))'))} AS a,
         {rnd(s4('(sanctioned_posts * vacancy_rate)'))} AS b, sum(sanctioned_posts) AS p FROM t_staff WHERE vacancy_rate IS NOT NULL GROUP BY state)
-        ORDER BY p DESC, name LIMIT 12""",
+        ORDER BY p DESC, name""",
     "M10_reporting_geography": """SELECT state, (sum(lines) OVER (PARTITION BY state))::BIGINT AS state_lines, district,
         (sum(lines) OVER (PARTITION BY state, district))::BIGINT AS district_lines, facility_id, name, lines
         FROM (SELECT state, district, facility_id, min(facility_name) AS name, count(*) AS lines FROM t_reorder GROUP BY ALL)""",
@@ -130,7 +130,7 @@ SQL = {
     "M12_lead_time_correlation": f"""SELECT count(*) AS districts, {rnd('(covar_samp(score, lead) / nullif(stddev_samp(score) * stddev_samp(lead), 0))', 4)} AS correlation FROM (SELECT state, district, count(*) AS tracked,
         (count(*) FILTER (NOT needs_reorder))::DOUBLE / count(*) AS score, sum(lead_time_days)::DOUBLE / count(*) AS lead FROM t_reorder GROUP BY ALL HAVING tracked >= 8)""",
     "B1_scope_alerts": """SELECT facility_id, item_id, priority_score, status FROM t_reorder WHERE needs_reorder AND state = 'ASIA' AND district = 'NATION_7'
-        ORDER BY priority_score DESC, days_of_cover ASC NULLS FIRST, facility_id, item_id LIMIT 50""",
+        ORDER BY priority_score DESC, days_of_cover ASC NULLS FIRST, facility_id, item_id""",
     "B2_scope_absorption": "SELECT state, district, atc_class, multiplier, absorbs FROM t_absorb WHERE state = 'EUROPE'",
     "B3_scope_vital_moves": "SELECT recommendation_id, to_state, quantity FROM t_recs WHERE to_state = 'AMERICA' AND ven_class = 'Vital'",
     "M13_bed_comparison": f"""SELECT state, district, count(*) AS tracked, {pct('sum(free_beds)', 'sum(bed_capacity)')} AS score,

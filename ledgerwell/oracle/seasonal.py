@@ -129,10 +129,10 @@ SQL = {
     "G11_outlook_curve": "SELECT * FROM t_curve",
     "G11_outlook_accuracy": "SELECT * FROM t_accuracy",
     "G11_outlook_classes": f"""SELECT atc_class, medicines, unit, count(*) AS months, {rnd(s4('actual * units_per_event'))} AS volume
-        FROM t_eval JOIN t_units USING (atc_class) GROUP BY ALL ORDER BY volume DESC, atc_class LIMIT 40""",
+        FROM t_eval JOIN t_units USING (atc_class) GROUP BY ALL ORDER BY volume DESC, atc_class""",
     "G11_outlook_donors": f"""SELECT donor_district, donor_state, district_key AS receiver, state AS receiver_state,
         {rnd('min(profile_distance)', 3)} AS profile_distance, count(*) AS months FROM t_eval GROUP BY ALL
-        ORDER BY months DESC, receiver_state, receiver LIMIT 6""",
+        ORDER BY months DESC, receiver_state, receiver""",
     "G12_outlook_reliability": f"""
         SELECT atc_class, flat, pooled, {rnd('(flat - pooled)', 1)} AS gain, {rnd('(flat - pooled)', 1)} > 0 AS helps,
           CASE WHEN pooled >= 40 THEN 'bad' WHEN pooled >= 20 THEN 'warn' WHEN {rnd('(flat - pooled)', 1)} > 0 THEN 'ok' ELSE 'bad' END AS level,

@@ -159,10 +159,10 @@ SQL = {
         WHERE a.indicator = '1-URGENT' AND b.indicator = '3-MEDIUM' GROUP BY ALL""",
     "H6_signals_by_class_kind": f"""SELECT signal_class, count(*) AS surge_months, count(DISTINCT district_key) AS districts,
         {rnd('max(surge_multiplier)', 1)} AS peak FROM t_signals JOIN t_labels USING (atc_class) WHERE is_surge GROUP BY ALL""",
-    "H7_surge_cards": """SELECT * FROM t_cards ORDER BY surge_multiplier DESC, z_modified DESC, state, district_key, month, signal_key LIMIT 50""",
+    "H7_surge_cards": """SELECT * FROM t_cards ORDER BY surge_multiplier DESC, z_modified DESC, state, district_key, month, signal_key""",
     "H8_surge_supply_impact": "SELECT * FROM t_impact",
     "H8_surge_impact_list": """SELECT * FROM t_impact ORDER BY lead_time_decisive DESC, newly_at_risk DESC, days_to_stockout,
-        facility_id, item_id, surge_month LIMIT 100""",
+        facility_id, item_id, surge_month""",
     "H9_network_absorption": "SELECT * FROM t_absorb",
     "H10_surge_recommendations": "SELECT * FROM t_surge_recs",
     "H11_lead_time_bands": f"""SELECT CASE WHEN lead_time_days <= 5 THEN '1. <= 5 days' WHEN lead_time_days <= 10 THEN '2. 6-10 days'
@@ -194,7 +194,7 @@ SQL = {
     "H15_surge_month": "SELECT * FROM t_month",
     "H15_surge_transfers": """SELECT recommendation_id, to_facility_id, from_facility_id, surge_month, quantity, claim_rank, distance_km,
         lead_time_decisive, donor_partially_exhausted FROM t_surge_recs WHERE surge_month = (SELECT month FROM t_month)
-        ORDER BY lead_time_decisive DESC, claim_rank, distance_km, recommendation_id LIMIT 100""",
+        ORDER BY lead_time_decisive DESC, claim_rank, distance_km, recommendation_id""",
     "H16_early_warning_count": """SELECT month, count(DISTINCT district_key) AS districts FROM t_cards
         WHERE signal_class = 'leading' GROUP BY ALL""",
 }

@@ -111,7 +111,7 @@ SQL = {
         count(DISTINCT to_facility_id) AS receivers, count(DISTINCT from_facility_id) AS donors FROM t_recs""",
     "E5_substitutes": "SELECT * FROM t_subs",
     "E5_best_substitutes": """SELECT * FROM t_subs WHERE rank_by_cover <= 3 ORDER BY requested_days_of_cover NULLS FIRST,
-        alternative_days_of_cover DESC NULLS LAST, facility_id, requested_item_id, alternative_item_id LIMIT 50""",
+        alternative_days_of_cover DESC NULLS LAST, facility_id, requested_item_id, alternative_item_id""",
     "E6_substitution_constraint": """SELECT count(*) AS classes, count(*) FILTER (n > 1) AS classes_with_a_pair
         FROM (SELECT atc_class, count(DISTINCT item_id) AS n FROM t_reorder WHERE atc_class IS NOT NULL GROUP BY ALL)""",
     "E7_donor_safety_check": "SELECT count(*) FILTER (donor_cover_after < 0) AS negative_donor FROM t_recs",
@@ -160,8 +160,8 @@ SQL = {
     "E15_alerts": """SELECT facility_id, item_id, facility_name, state, district, item_name, unit, ven_class, on_hand,
         avg_daily_demand, days_of_cover, reorder_point, safety_stock, legacy_threshold, lead_time_days, priority_score,
         status, days_to_soonest_expiry, soonest_expiry FROM t_reorder WHERE needs_reorder
-        ORDER BY priority_score DESC, days_of_cover ASC NULLS FIRST, facility_id, item_id LIMIT 50""",
+        ORDER BY priority_score DESC, days_of_cover ASC NULLS FIRST, facility_id, item_id""",
     "E16_recommendation_list": """SELECT recommendation_id, from_facility_id, to_facility_id, requested_item_id, supplied_item_id,
         is_substitution, quantity, distance_km, waste_avoided_units, priority_score, status FROM t_recs
-        ORDER BY priority_score DESC, distance_km, recommendation_id LIMIT 50""",
+        ORDER BY priority_score DESC, distance_km, recommendation_id""",
 }

@@ -6,6 +6,8 @@ on the cell (plus any match keys), with the exact distance as a residual filter.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +31,24 @@ def with_cell(df: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
 
 
 def with_probe_cells(df: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
-    deg = radius_km / KM_PER_DEGREE
-    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_km / EARTH_KM))
-                             / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(0.01))))) + F.lit(1e-6)
+    """Every cell that a circle around the row can touch, over the poles and across +-180 too."""
+    deg, angle = radius_km / KM_PER_DEGREE, radius_km / EARTH_KM
+    over_pole = F.abs(F.col(lat)) + F.lit(math.degrees(angle)) >= 90.0
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(angle, math.pi / 2)))
+                                    / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9))))) + F.lit(1e-6)
+    reach = F.when(over_pole | F.lit(angle >= math.pi / 2), 180.0).otherwise(F.least(side, F.lit(180.0)))
     mid = F.floor(F.col(lat) / F.lit(deg))
-    out = df.withColumn("_reach", reach).withColumn(
-        "_band", F.explode(F.sequence(mid - 1, mid + 1)))
+    out = df.withColumn("_reach", reach).withColumn("_band", F.explode(F.sequence(mid - 1, mid + 1)))
     width = _band_width(F.col("_band"), deg)
-    return (out.withColumn("_cell", F.explode(F.sequence(
-                F.floor((F.col(lon) - F.col("_reach")) / width),
-                F.floor((F.col(lon) + F.col("_reach")) / width))))
-               .drop("_reach"))
+    last, first = F.floor(F.lit(180.0) / width), F.floor(F.lit(-180.0) / width)
+
+    def between(shift):
+        lo = F.greatest(F.floor((F.col(lon) + shift - F.col("_reach")) / width), first)
+        hi = F.least(F.floor((F.col(lon) + shift + F.col("_reach")) / width), last)
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+    cells = F.array_distinct(F.concat(*[between(F.lit(s)) for s in (-360.0, 0.0, 360.0)]))
+    return out.withColumn("_cell", F.explode(cells)).drop("_reach")
 
 
 def near_pairs(probe: DataFrame, build: DataFrame, radius_km: float,

@@ -8,6 +8,9 @@ sees cells, not rows, and the row window only ever sees one cell.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +35,9 @@ def add_running(df: DataFrame, cells: DataFrame, keys: list[str], coarse: list[s
     Columns a caller added to ``cells`` are kept."""
     inside = (Window.partitionBy(*keys, *coarse).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
-    out = df.join(cells, keys + coarse)
+    shown = cells.select(*[F.col(k).alias(f"_at_{k}") for k in keys + coarse], *[c for c in cells.columns if c not in keys + coarse])
+    same = reduce(and_, [df[k].eqNullSafe(shown[f"_at_{k}"]) for k in keys + coarse])   # a null key is a group too
+    out = df.join(shown, same).drop(*[f"_at_{k}" for k in keys + coarse])
     for n, v in totals.items():
         out = out.withColumn(n, F.col(f"{n}_before") + F.sum(v).over(inside))
     return out.drop(*[f"{n}_before" for n in totals], *[f"{n}_cell" for n in totals])

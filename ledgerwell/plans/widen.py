@@ -7,10 +7,6 @@ from .streamed import shuffle_width
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """A table in fewer pieces than there are shuffle partitions (one small file, one row
-    group) would be parsed by a few tasks; it is spread first. A table that already comes in
-    many pieces, as any large one does, is left as it is."""
-    if df.isStreaming:
-        return df
-    width = shuffle_width(df)
-    return df.repartition(width) if df.rdd.getNumPartitions() * 2 <= width else df
+    """Rows dealt evenly over the shuffle partitions, whatever the number of pieces they come
+    in: one small file, or one row group, would be parsed by a few tasks."""
+    return df if df.isStreaming else df.repartition(shuffle_width(df))

@@ -29,6 +29,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def write_new(df: DataFrame, path: str, batch_id: int, key: str) -> None:
+    """Write the rows whose key no earlier batch wrote, however long ago."""
+    spark = df.sparkSession
+    if batch_id and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+            spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        before = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(key)
+        df = df.join(before, key, "left_anti")
+    write_batch(df, path, batch_id)
+
+
 def run_available(df: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None],
                   mode: str = "append") -> None:
     """Process everything that has arrived, then stop; the next call goes on from there."""
@@ -55,7 +65,8 @@ def ingest_captures(replies: DataFrame, items: DataFrame, out: str, checkpoint:
 # -- K2 ----------------------------------------------------------------------------------
 
 def movements_once(movements: DataFrame, horizon: str = "30 days") -> DataFrame:
-    """Each derived id once, however often a step is retried inside the horizon."""
+    """Each derived id once inside the horizon, which bounds the state; ``write_new`` keeps out
+    repeats that come later."""
     return movements.withWatermark("event_ts", horizon).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -69,22 +80,26 @@ def hold_overdraws(events: DataFrame, opening: DataFrame) -> DataFrame:
     """Running balance per facility and item kept as state; the opening balance joins from
     the ledger and counts only the first time a pair is seen. Rows of a micro-batch are
     taken in report order."""
+    if "resource_type" not in events.columns:          # a stream of medicine events alone
+        events = events.withColumn("resource_type", F.lit("medicine"))
     rows = (events.join(opening.select(*PAIR, F.col("balance").alias("opening")), PAIR, "left")
             .withColumn("opening", F.coalesce("opening", F.lit(0).cast("bigint")))
-            .select("event_id", *PAIR, "event_type", "quantity", "seq", "opening"))
+            .select("event_id", *PAIR, "event_type", "quantity", "seq", "opening", "resource_type"))
     consuming = set(CONSUMING_TYPES)
 
     def fold(key, frames, state: GroupState):
         pdf = pd.concat(list(frames)).sort_values("seq")
         have = state.get[0] if state.exists else int(pdf["opening"].iloc[0])
         held, seen = [], []
-        for kind, qty in zip(pdf["event_type"], pdf["quantity"]):
+        for kind, qty, item, what in zip(pdf["event_type"], pdf["quantity"], pdf["item_id"], pdf["resource_type"]):
             seen.append(have)
-            hold = kind in consuming and qty > have
-            if kind == "received":
-                have += int(qty)
-            elif kind in consuming and not hold:
-                have -= int(qty)
+            hold = False
+            if what == "medicine" and item is not None and not pd.isna(qty):   # the rule of overdraw_hold
+                hold = kind in consuming and qty > have
+                if kind == "received":
+                    have += int(qty)
+                elif kind in consuming and not hold:
+                    have -= int(qty)
             held.append(hold)
         state.update((have,))
         pdf["held"], pdf["on_record"] = held, seen

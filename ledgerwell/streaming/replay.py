@@ -49,13 +49,13 @@ def movements(d: Domain) -> DataFrame:
 
     def start(s, ck, to):
         live.run_available(live.movements_once(s, "60 days").select("event_id"), ck,
-                           lambda b, i: live.write_batch(b, to, i))
+                           lambda b, i: live.write_new(b, to, i, "event_id"))
     return d.spark.read.parquet(arrive(d, rows, "event_ts", "k2", start)).drop("batch")
 
 
 def overdraws(d: Domain) -> DataFrame:
     rows = d.gate.filter("route = 'events'").select("event_id", "facility_id", "item_id", "event_type",
-                                                    "quantity", "seq", "event_ts")
+                                                    "quantity", "seq", "event_ts", "resource_type")
     opening = snapshot(stock.ledger_balance(d.ledger), "k3-opening")
 
     def start(s, ck, to):

@@ -314,3 +314,49 @@ def test_state_survives_a_restart(spark, tmp_path):
         live.run_available(live.hold_overdraws(live.stream_of(spark, src, schema), opening), ck, lambda b, i: live.write_batch(b, out, i))
     got = {r.event_id: (r.held, r.on_record) for r in spark.read.parquet(out).collect()}
     assert got == {"a": (False, 5), "b": (False, 15), "c": (True, 3), "d": (False, 3)}
+
+
+def test_price_lines_without_a_section(spark):
+    lines = [("d", i, "Tablet 5 mg 1 Tablet 2.00 1499(E) 30.03.2022" if i % 1000 == 999 else f"page text {i}") for i in range(100_000)]
+    got = ingest.price_rows(spark.createDataFrame(lines, "doc_id string, line_no long, line string")).collect()
+    assert len(got) == 100 and {r.medicine for r in got} == {""} and all(r.price == 2.0 for r in got)
+
+
+def test_price_lines_fold_by_counts(spark):
+    """A price before any form inside a wrapped name, a tail over three lines, two medicines."""
+    lines = ["1.2 Iron", "salt", "5 mg 3.00 7(E) 01.01.2020", "more name", "Tablet 9 mg", "1", "9.50", "8(E) 02.02.2020",
+             "Capsule 1 mg 4.00 9(E) 03.03.2020", "1.3 Zinc Syrup 2 ml 6.25", "5(E) 04.04.2020"]
+    got = ingest.price_rows(spark.createDataFrame([("d", i, t) for i, t in enumerate(lines)], "doc_id string, line_no long, line string"))
+    assert sorted((r.medicine, r.form, r.price) for r in got.collect()) == [
+        ("Iron salt", "5 mg", 3.0), ("Iron salt more name", "Capsule 1 mg", 4.0), ("Iron salt more name", "Tablet 9 mg 1", 9.5), ("Zinc", "Syrup 2 ml", 6.25)]
+
+
+def test_price_choice_by_pieces(spark):
+    prices = spark.createDataFrame([("Zincovit", "Tablet 5 mg 1 Tablet", 2.0), ("Zinc", "Tablet 5 mg 1 Tablet", 3.0), ("Iron", "Tablet 1 mg 1 Tablet", 1.0)],
+                                   "medicine string, form string, price double")
+    items = spark.createDataFrame([("zinc (any)", "tablet"), ("on", "tablet"), ("none", "tablet"), ("o", "tablet")], "display_name string, unit string")
+    assert {(r.item_match, r.ceiling_price) for r in ingest.choose_price(prices, items).collect()} == {("zinc", 2.0), ("on", 1.0), ("o", 1.0)}
+
+
+def test_export_gives_all_rows_and_one_facility(spark):
+    from tests.test_stock import ledger
+    rows = [(f"e{i}", f"F{i % 2}", "M", "received", 1, dt.date(2024, 1, 1 + i % 5), None) for i in range(6000)]
+    led = ledger(spark, rows)
+    led = led.withColumns({c: F.lit(None).cast(t) for c, t in (("source", "string"), ("confidence", "double")) if c not in led.columns})
+    fac = spark.createDataFrame([("F0", "a", "S", "D", "phc"), ("F1", "b", "S", "D", "phc")], "facility_id string, name string, admin_l1 string, admin_l2 string, facility_type string")
+    items = spark.createDataFrame([("M", "m", "A", "Vital", "tablet")], "item_id string, display_name string, atc_code string, ven_class string, unit string")
+    assert ingest.interchange_export(led, fac, items).count() == 6000
+    assert ingest.interchange_export(led, fac, items, facility_id="F1").count() == 3000
+    assert ingest.interchange_export(led, fac, items, limit=7).count() == 7
+    with pytest.raises(ValueError):
+        ingest.interchange_export(led, fac, items, days=0)
+
+
+def test_movements_repeated_after_the_horizon_are_written_once(spark, tmp_path):
+    from ledgerwell.streaming import ledger as live
+    out = str(tmp_path / "out")
+    for batch, ids in enumerate((["a", "b"], ["c"], ["a", "d", "c"])):
+        live.write_new(spark.createDataFrame([(i,) for i in ids], "event_id string"), out, batch, "event_id")
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
+    live.write_new(spark.createDataFrame([("d",)], "event_id string"), out, 2, "event_id")      # the batch again
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]

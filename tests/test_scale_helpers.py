@@ -86,3 +86,40 @@ def test_values_that_do_not_match_any_partition_size(spark):
     from ledgerwell.operators.ingest import numbered
     df = numbered(spark.range(1000).repartition(7).select("id"))
     assert sorted(r.row_no for r in df.collect()) == list(range(1000))
+
+
+@pytest.mark.parametrize("radius", [150.0, 3000.0, 12000.0, 20100.0])
+def test_near_pairs_over_the_whole_globe(spark, radius):
+    r = random.Random(int(radius))
+    spots = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(60)]
+    spots += [(10, 179.95), (10, -179.95), (89.9, 10), (89.9, -170), (-89.9, 0), (-15, -50), (20, 77), (0, 180), (0, -180), (90, 0), (-90, 5)]
+    a = [(i, float(la), float(lo)) for i, (la, lo) in enumerate(spots)]
+    got = near_pairs(spark.createDataFrame(a, "p long, to_lat double, to_lon double"),
+                     spark.createDataFrame(a, "q long, from_lat double, from_lon double"), radius)
+    want = {(p, q) for p, la, lo in a for q, lb, l2 in a if km(la, lo, lb, l2) <= radius}
+    rows = [(x.p, x.q) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_far_help_is_the_nearest_wherever_it_is(spark):
+    from ledgerwell.operators.transfers import _far_pairs
+    r = random.Random(4)
+    need = [(f"n{i}", f"m{i % 3}", r.uniform(-88, 88), r.uniform(-180, 180)) for i in range(40)]
+    have = [(f"s{i}", f"m{i % 3}", r.uniform(-88, 88), r.uniform(-180, 180)) for i in range(90)]
+    pairs = _far_pairs(spark.createDataFrame(need, "facility_id string, item_id string, to_lat double, to_lon double"),
+                       spark.createDataFrame(have, "source_id string, item_id string, from_lat double, from_lon double"),
+                       ["facility_id", "item_id"]).collect()
+    best = {}
+    for p in pairs:
+        best[p.facility_id] = min(best.get(p.facility_id, (1e9, "")), (p.km, p.source_id))
+    assert {k: v[1] for k, v in best.items()} == {
+        n: min((km(la, lo, lb, l2), s) for s, j, lb, l2 in have if j == m)[1] for n, m, la, lo in need}
+    assert len(pairs) < len(need) * len(have) / 6
+
+
+def test_running_totals_keep_null_keys(spark):
+    rows = [("a", None, 1, 5), ("a", None, 2, 7), (None, 1, 1, 3), (None, 1, 2, 4), ("a", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, cell long, at long, v long")
+    got = running_totals(df, ["k"], ["cell"], ["at"], {"run": F.col("v")})
+    assert sorted(((r.k or "", r.cell or 0, r.at, r.run) for r in got.collect())) == [
+        ("", 1, 1, 3), ("", 1, 2, 7), ("a", 0, 1, 5), ("a", 0, 2, 12), ("a", 1, 1, 13)]
