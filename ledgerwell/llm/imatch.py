@@ -3,8 +3,9 @@
 Lexicon. Terms whose share of the documents lies between ``RAREST`` and ``COMMONEST`` (a band of
 inverse document frequency). A document of d distinct terms adds at most d to the sum of all
 document frequencies, so at most (mean of d) / ``RAREST`` terms can reach the lower share: the
-lexicon is bounded by the length of documents, not by their number. It is put into the plan as
-a constant open hash table of 64-bit term digests, so that no document row is shuffled for it.
+lexicon is bounded by the length of documents, not by their number. Its 64-bit term digests are
+dealt into slots of one array, which goes to the tasks as the value of a scalar subquery, so that
+no document row is shuffled or repeated for it.
 
 Fingerprint. ``CHAINS`` times the lexicon is halved at random, again and again. In each chain the
 smallest subset that still holds a term of the document is taken, whatever the document's length,
@@ -21,6 +22,7 @@ from ..plans.snapshot import snapshot
 
 RAREST, COMMONEST = 0.002, 0.3
 CHAINS = 12
+SLOT_BITS = 16
 DOCS_PER_CELL = 256
 CELLS_PER_WINDOW = 4096
 _SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -30,39 +32,29 @@ def _terms(text: str) -> Column:
     return F.array_distinct(F.transform(F.split(F.lower(text), _SEPARATORS), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> list[int]:
-    """Digests of the terms in the band. At least two documents must share a term."""
+def lexicon(docs: DataFrame, text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
+    """Digests (``h``) of the terms in the band. At least two documents must share a term."""
     n = docs.filter(F.col(text_col).isNotNull()).count()
     seen = docs.select(F.explode(_terms(text_col)).alias("h")).groupBy("h").count()
     band = seen.filter((F.col("count") >= max(2.0, rarest * n)) & (F.col("count") <= commonest * n)
                        & (F.col("h") != F.xxhash64(F.lit(""))))
-    return sorted(r.h for r in band.select("h").collect())   # bounded, see above
+    return snapshot(band.select("h"), "lexicon")
 
 
-def _slot(h: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - bits)
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - SLOT_BITS)
 
 
-def membership(digests: list[int]):
-    """Test of a digest column against a constant hash table: 2^bits slots of equal width."""
-    bits = max(4, (len(digests) * 4).bit_length())
-    slots: dict[int, list[int]] = {}
-    for h in digests:
-        slots.setdefault((h & (1 << 64) - 1) >> (64 - bits), []).append(h)
-    width = max(map(len, slots.values()), default=1)
-    flat = ["0"] * (width << bits)
-    for slot, own in slots.items():
-        for k, h in enumerate(own):
-            flat[slot * width + k] = str(h)
-    table = F.split(F.lit(",".join(flat)), ",").cast("array<bigint>")
-
-    def inside(h: Column) -> Column:
-        at = (_slot(h, bits) * width).cast("int")
-        test = F.get(table, at) == h
-        for k in range(1, width):
-            test = test | (F.get(table, at + k) == h)
-        return test
-    return inside
+def with_lexicon_terms(df: DataFrame, text: str, band: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: the sorted distinct lexicon digests of a text."""
+    slots = band.groupBy(_slot(F.col("h")).alias("slot")).agg(F.collect_list("h").alias("own"))
+    every = df.sparkSession.range(1 << SLOT_BITS).join(slots, F.col("id") == F.col("slot"), "left")
+    filled = F.struct("id", F.coalesce("own", F.array().cast("array<bigint>")).alias("own"))
+    table = every.agg(F.transform(F.array_sort(F.collect_list(filled)), lambda s: s["own"]).alias("t"))
+    # read once per row expression, so the planner puts the subquery itself there, not a copy
+    marked = df.withColumn("_table", table.scalar())
+    kept = F.filter(_terms(text), lambda h: F.array_contains(F.get("_table", _slot(h).cast("int")), h))
+    return marked.select(*df.columns, F.array_sort(kept).alias(out))
 
 
 def _drawn(chain: int):
@@ -75,10 +67,10 @@ def _drawn(chain: int):
     return bits
 
 
-def with_slots(df: DataFrame, text: str, inside, out: str) -> DataFrame:
+def with_slots(df: DataFrame, text: str, band: DataFrame, out: str) -> DataFrame:
     """Adds ``out``: an array of ``CHAINS`` digests, null where the text has no lexicon term."""
     kept = df.columns
-    df = df.withColumn("_terms", F.array_sort(F.filter(_terms(text), inside)))
+    df = with_lexicon_terms(df, text, band, "_terms")
     df = df.select("*", *[F.length(F.bin(F.array_min(F.transform("_terms", _drawn(c))))).alias(f"_{c}") for c in range(CHAINS)])
 
     def chosen(chain):
@@ -99,13 +91,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: p["a"].eqNullSafe(p["b"]))) / F.lit(float(CHAINS))
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint", inside=None) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """The rows with ``out_col``. A null text counts as empty; texts without a lexicon term have
     only empty slots; equal texts have equal fingerprints; an empty table stays empty."""
-    if inside is None:
-        inside = membership(lexicon(docs, text_col))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    got = with_slots(rows, "text", inside, "slots")
+    got = with_slots(rows, "text", lexicon(docs, text_col), "slots")
     return got.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != out_col], as_text(F.col("slots")).alias(out_col))
 
 
@@ -151,15 +141,15 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``near_next``): each text beside its edited form, whose last third is the first third of the
     next document in descending id order (of the first after the last). Null texts are empty;
     repeated rows keep a row each and are each other's neighbours; a single row is its own."""
-    inside = membership(lexicon(docs, text_col))
+    band = lexicon(docs, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = with_slots(rows.withColumn("digest", F.xxhash64("text")), "text", inside, "slots")
+    rows = with_slots(rows.withColumn("digest", F.xxhash64("text")), "text", band, "slots")
     pairs = with_next(rows, "id", ["text", "slots"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     got = with_slots(pairs.select("id", "slots", "next_slots", n.cast("long").alias("n_chars"), edited.alias("edited")),
-                     "edited", inside, "edited_slots")
+                     "edited", band, "edited_slots")
     return got.select(F.col("id").alias(id_col), "n_chars", "edited", as_text(F.col("slots")).alias("fingerprint"),
                       as_text(F.col("edited_slots")).alias("edited_fingerprint"),
                       likeness(F.col("slots"), F.col("edited_slots")).alias("near_edited"),
