@@ -111,6 +111,32 @@ _SCORED = f"""
         c AS (SELECT DISTINCT report_id AS case_id FROM t_gate)
         SELECT case_id, got IS NOT DISTINCT FROM want AS passed FROM c LEFT JOIN e USING (case_id) LEFT JOIN w USING (case_id)"""
 
+_REPLAYED = """
+        SELECT * FROM (WITH RECURSIVE fact AS (SELECT facility_id, item_id, event_date AS day, event_type = 'received' AS receipt,
+            CASE WHEN event_type = 'received' THEN coalesce(expiry_date, DATE '4000-01-01') END AS exp, sum(quantity)::BIGINT AS qty
+          FROM t_stock WHERE event_type IN ('received', 'dispensed') GROUP BY ALL),
+        need AS (SELECT facility_id, item_id, day, qty, row_number() OVER (PARTITION BY facility_id, item_id ORDER BY day) AS step FROM fact WHERE NOT receipt),
+        lot AS (SELECT facility_id, item_id, day AS got, exp, qty, rule FROM fact, (VALUES ('fefo'), ('fifo')) r(rule) WHERE receipt),
+        shelf AS (
+          SELECT facility_id, item_id, got, exp, rule, qty AS left_qty, 0::BIGINT AS step FROM lot
+          UNION ALL
+          SELECT facility_id, item_id, got, exp, rule,
+            left_qty - CASE WHEN open THEN greatest(0, least(left_qty, want - before)) ELSE 0 END, step
+          FROM (SELECT s.facility_id, s.item_id, s.got, s.exp, s.rule, s.left_qty, n.step, n.qty AS want, s.got <= n.day AND s.exp > n.day AS open,
+              coalesce(sum(CASE WHEN s.got <= n.day AND s.exp > n.day THEN s.left_qty ELSE 0 END) OVER (PARTITION BY s.facility_id, s.item_id, s.rule
+                ORDER BY CASE WHEN s.rule = 'fefo' THEN s.exp ELSE s.got END, CASE WHEN s.rule = 'fefo' THEN s.got ELSE s.exp END
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM shelf s JOIN need n ON n.facility_id = s.facility_id AND n.item_id = s.item_id AND n.step = s.step + 1)),
+        last AS (SELECT * FROM shelf QUALIFY step = max(step) OVER (PARTITION BY facility_id, item_id)),
+        fate AS (SELECT facility_id, item_id,
+            coalesce(sum(left_qty) FILTER (rule = 'fefo'), 0)::BIGINT AS kept,
+            coalesce(sum(left_qty) FILTER (rule = 'fefo' AND exp <= (SELECT max(event_date) FROM t_stock)), 0)::BIGINT AS fefo,
+            coalesce(sum(left_qty) FILTER (rule = 'fifo' AND exp <= (SELECT max(event_date) FROM t_stock)), 0)::BIGINT AS fifo FROM last GROUP BY ALL),
+        total AS (SELECT facility_id, item_id, coalesce(sum(qty) FILTER (receipt), 0)::BIGINT AS got, coalesce(sum(qty) FILTER (NOT receipt), 0)::BIGINT AS want
+          FROM fact GROUP BY ALL)
+        SELECT facility_id, item_id, got - coalesce(kept, 0) AS units_dispensed, want - (got - coalesce(kept, 0)) AS units_unmet,
+          coalesce(fefo, 0) AS units_expired_fefo, coalesce(fifo, 0) AS units_expired_fifo FROM total LEFT JOIN fate USING (facility_id, item_id))"""
+
 _APPROVED = """
         WITH a AS (SELECT 'A' || event_id AS approval_id, 'E' || (event_id - event_id % 3) AS event_id, ts,
           CASE WHEN k % 7 = 0 THEN -1 WHEN k % 5 <> 0 THEN k END::BIGINT AS aq FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events)),
@@ -184,6 +210,7 @@ SQL = {
         {rnd(div('u', 'd + u'), 4)} AS unmet_share, f - e AS waste_avoided_by_fefo_units, {rnd(div('f - e', 'f'), 4)} AS waste_avoided_share
         FROM (SELECT max(as_of_date) AS as_of_date, sum(d * w)::BIGINT AS d, sum(u * w)::BIGINT AS u, sum(e * w)::BIGINT AS e, sum(f * w)::BIGINT AS f
           FROM (SELECT *, CASE WHEN part = 'ASIA' THEN 2 ELSE 1 END AS w FROM t_parts))""",
+    "J15_issue_policy_replay": _REPLAYED,
     "J16_reach_read": "SELECT * FROM t_reach",
     "J16_reporting_read": """SELECT facility_id, facility_name, state, district, periods_expected, periods_reported, reporting_consistency, last_report,
         days_since_last_report, reporting_status FROM t_reporting ORDER BY reporting_consistency, days_since_last_report DESC NULLS LAST, facility_id""",
