@@ -28,7 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def snapshot(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/ledgerwell/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_folder(spark)}/ledgerwell/{spark.sparkContext.applicationId}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)      # gone when the application ends
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
