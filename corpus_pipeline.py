@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each written and read again as the next one's documents.
 
-1. language id: documents without a letter go, and those whose language stays a guess,
+1. language id: documents without a letter go, and those of which no word is known,
 2. line dedup: later occurrences of repeated three-line windows go from the texts,
 3. SimHash near-dedup: one document of each group stays,
 4. sanitisation: personal data and disclosing terms are replaced in the texts,
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ledgerwell.llm import langid, line_windows, pack, sanitise, simhash
 from ledgerwell.plans.snapshot import snapshot
 
-#: A document goes if the best language is hardly more likely than the others together.
-LEAST_SCORE = 0.34
+#: A document goes if its best language is not this many times as likely as by chance: no word
+#: or piece of a word in it is known.
+OVER_CHANCE = 1.05
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -33,9 +34,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fitted on the labelled rows of ``docs``; if none has a label, nothing is known and nothing
     but texts without letters goes."""
     model = langid.fit(docs)
+    least = OVER_CHANCE / len(model.languages) if len(model.languages) > 1 else 0.0
     rows = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model)
     letters = F.rlike("text", F.lit(r"\p{L}"))
-    kept = rows.filter((F.col("score") >= LEAST_SCORE) & (F.col("lang_pred") != langid.UNDETERMINED) if model.languages else letters)
+    kept = rows.filter((F.col("score") >= least) & (F.col("lang_pred") != langid.UNDETERMINED) if model.languages else letters)
     pred = F.when(F.col("lang_pred") != langid.UNDETERMINED, F.col("lang_pred"))
     return kept.select(*[(F.coalesce(F.col("row").getField(c), pred) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
