@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from ledgerwell.llm import langid, line_windows, pack, sanitise, simhash
 from ledgerwell.plans.snapshot import snapshot
 
-#: A document goes if its best language is not this many times as likely as by chance: no word
-#: or piece of a word in it is known.
-OVER_CHANCE = 1.05
+#: A document goes if all languages are equally likely: no word or piece of a word in it is known.
+EVEN = 1e-9
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fitted on the labelled rows of ``docs``; if none has a label, nothing is known and nothing
     but texts without letters goes."""
     model = langid.fit(docs)
-    least = OVER_CHANCE / len(model.languages) if len(model.languages) > 1 else 0.0
+    least = 1 / len(model.languages) + EVEN if len(model.languages) > 1 else 0.0
     rows = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model)
     letters = F.rlike("text", F.lit(r"\p{L}"))
     kept = rows.filter((F.col("score") >= least) & (F.col("lang_pred") != langid.UNDETERMINED) if model.languages else letters)
