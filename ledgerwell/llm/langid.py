@@ -27,8 +27,8 @@ LONGEST_GRAM = 5
 #: Evidence counts for at most so many words, and an unseen word for a part of a known one.
 FULL_EVIDENCE = 50
 BACKOFF_WEIGHT = 0.5
-KNOWN_TOKENS = 400_000
-TEXTS_AT_ONCE = 500
+KNOWN_TOKENS = 200_000
+TEXTS_AT_ONCE = 200
 UNDETERMINED = "und"
 
 plain = methodcaller("as_py")
