@@ -11,8 +11,8 @@ e. A term with at least ``SUPPORT`` contexts that names its entity with probabil
 more is removed, from ``LIKELY`` on it is generalised, if it also raises the entity's
 probability by ``BITS`` bits. Such terms are spans wherever they occur.
 
-Pairs are counted over contexts, not documents; document frequencies are taken only for terms
-with enough contexts, and the rows for them are cut before any shuffle when that table is small.
+Pairs are counted over contexts, not documents. Document frequencies are counted per term before
+they meet the pairs, and documents are searched only for the terms that passed.
 """
 from __future__ import annotations
 
@@ -123,27 +123,29 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     right = F.substring("text", F.col("m.end") + 1, F.lit(REACH_CHARS))
     cut_left = F.when(F.col("m.start") > REACH_CHARS, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
     cut_right = F.when(F.length(right) == REACH_CHARS, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    sides = spans.select(_entity(F.col("m")).alias("entity"), _words(cut_left).alias("l"), _words(cut_right).alias("r"))
-    contexts = (sides.select("entity", F.slice(F.reverse("l"), 1, REACH).alias("l"), F.slice("r", 1, REACH).alias("r")).distinct()
+    mentions = snapshot(spans.select(_entity(F.col("m")).alias("entity"), "digest", F.slice(F.reverse(_words(cut_left)), 1, REACH).alias("l"),
+                                     F.slice(_words(cut_right), 1, REACH).alias("r")), "disclosure-mentions")
+    contexts = (mentions.select("entity", "l", "r").distinct()
                      .select("entity", F.xxhash64("l").alias("left"), F.xxhash64("r").alias("right"),
                              F.explode(F.array_distinct(F.concat("l", "r"))).alias("term")))
     pairs = snapshot(contexts.filter(F.rlike("term", F.lit(r"\p{L}"))).groupBy("entity", "term")
                              .agg(F.least(F.countDistinct("left"), F.countDistinct("right")).alias("seen"))
                              .filter(F.col("seen") >= support), "disclosure")
     wanted = snapshot(pairs.select("term", F.xxhash64("term").alias("h")).distinct(), "disclosure-terms")
-    held = (texts.select("id", "digest", F.explode(F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h"))
-                 .join(wanted, "h").select("id", "digest", "term"))
-    held = snapshot(held, "disclosure-held")
-    spread = held.groupBy("term").agg(F.countDistinct("digest").alias("held"))
-    mentioned = spans.select(_entity(F.col("m")).alias("entity"), "digest").groupBy("entity").agg(F.countDistinct("digest").alias("n_e"))
+    hashed = F.explode(F.array_distinct(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))).alias("h")
+    # every different text counts once, and terms are counted before they meet the pairs
+    once = texts.select("digest", "text").dropDuplicates(["digest"])
+    spread = once.select(hashed).groupBy("h").agg(F.count("*").alias("held"))
+    mentioned = mentions.groupBy("entity").agg(F.countDistinct("digest").alias("n_e"))
     n = max(docs.count(), 1)
     p = F.least(F.col("seen") / F.col("held"), F.lit(1.0))
-    scored = (pairs.join(spread, "term").join(mentioned, "entity").withColumn("p", p)
-                   .filter((F.col("p") >= likely) & (F.log2(F.col("p") * n / F.col("n_e")) >= bits))
-                   .groupBy("term").agg(F.max("p").alias("p")))
-    return (held.join(scored, "term").groupBy("id", "digest")
-                .agg(F.array_sort(F.collect_set("term")).alias("terms"),
-                     F.array_sort(F.collect_set(F.when(F.col("p") >= sure, F.col("term")))).alias("certain")))
+    scored = (wanted.join(spread, "h").join(pairs, "term").join(mentioned, "entity").withColumn("p", p)
+                    .filter((F.col("p") >= likely) & (F.log2(F.col("p") * n / F.col("n_e")) >= bits))
+                    .groupBy("h", "term").agg(F.max("p").alias("p")))
+    scored = snapshot(scored, "disclosure-scored")
+    return (texts.select("id", "digest", hashed).join(scored, "h").groupBy("id", "digest")
+                 .agg(F.array_sort(F.collect_set("term")).alias("terms"),
+                      F.array_sort(F.collect_set(F.when(F.col("p") >= sure, F.col("term")))).alias("certain")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
