@@ -112,12 +112,13 @@ def _next_cell(cells: DataFrame, n: int) -> DataFrame:
     return inside.join(over, "group", "left").select("cell", F.coalesce("after", "first").alias("after"))
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, columns: list[str], prepare=lambda df: df) -> DataFrame:
     """Adds ``next_<column>``: the values of the next row in descending id order, those of the
     first after the last. Ties go by ``digest``; null ids come last.
 
     Rows are sorted inside cells of some 256 ids, and the last row of each cell also visits the
-    cell above, so texts are shuffled once. The cell bounds are a small table of measured size."""
+    cell above, so texts are shuffled once. ``prepare`` adds columns once the visitors are chosen,
+    and is worked out once for each row. The cell bounds are a small table of measured size."""
     low, high, n = rows.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
     span = float((high or 0) - (low or 0) + 1)
     width = max(1.0, span * DOCS_PER_CELL / max(n, 1))
@@ -132,7 +133,7 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     guests = (rows.join(tops, F.col(id_col).eqNullSafe(F.col("top_id")) & (F.col("digest") == F.col("top_digest")))
                   .withColumn("cell", F.col("to")).drop("top_id", "top_digest", "to").withColumn("guest", F.lit(True)))
     w = Window.partitionBy("cell").orderBy(F.desc("guest"), F.asc_nulls_first(id_col), "digest")
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
+    both = prepare(rows.withColumn("guest", F.lit(False)).unionByName(guests))
     return both.select("*", *[F.lag(c).over(w).alias(f"next_{c}") for c in columns]).filter("not guest").drop("guest", "cell")
 
 
@@ -143,8 +144,8 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows keep a row each and are each other's neighbours; a single row is its own."""
     band = lexicon(docs, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = with_slots(rows.withColumn("digest", F.xxhash64("text")), "text", band, "slots")
-    pairs = with_next(rows, "id", ["text", "slots"])
+    pairs = with_next(rows.withColumn("digest", F.xxhash64("text")), "id", ["text", "slots"],
+                      lambda df: with_slots(df, "text", band, "slots"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
