@@ -30,7 +30,7 @@ SHARD_TOKENS = 4_000_000
 SHARD_DOCS = 4096
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-KNOWN_PARTS = 300_000
+KNOWN_PARTS = 500_000
 plain = methodcaller("as_py")
 
 
@@ -62,8 +62,18 @@ class Encoder:
         if ranks:
             import tiktoken
             self.fast = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, int] = {}
-        self.ids: list[bytes | None] = []
+        self._start()
+
+    def _start(self):
+        encode, ids = self.encode, []
+
+        class Known(dict):
+            def __missing__(self, part):
+                n = self[part] = len(ids)
+                # parts that break the rule have a number for retrieval, but no ids
+                ids.append(encode(" " + part) if regular(part) else None)
+                return n
+        self.known, self.ids = Known(), ids
 
     def encode(self, text: str) -> bytes:
         if self.fast is not None and "<|" not in text:
@@ -73,19 +83,11 @@ class Encoder:
     def forget(self):
         """Between shards: part numbers start anew when there are too many."""
         if len(self.known) > KNOWN_PARTS:
-            self.known, self.ids = {}, []
+            self._start()
 
     def __call__(self, text: str) -> tuple[bytes, list[int]]:
         parts = text.split(" ")
-        try:
-            numbers = list(map(self.known.__getitem__, parts))
-        except KeyError:
-            for p in parts:
-                if p not in self.known:
-                    self.known[p] = len(self.ids)
-                    # parts that break the rule have a number for retrieval, but no ids
-                    self.ids.append(self.encode(" " + p) if regular(p) else None)
-            numbers = list(map(self.known.__getitem__, parts))
+        numbers = list(map(self.known.__getitem__, parts))
         try:
             return self.encode(parts[0]) + b"".join(map(self.ids.__getitem__, numbers[1:])), numbers
         except TypeError:
