@@ -228,13 +228,36 @@ def sampling(n: int) -> tuple[int, int]:
     return bits, math.ceil(-math.log(MISSED) / (1 - BIT_DIFFERS) ** bits)
 
 
+def _different(text, n_words: int):
+    """128-bit digests of the different shingles of a text as rows of two words, by the first word."""
+    import numpy as np
+    from xxhash import xxh3_128_digest
+    got = [np.frombuffer(b"".join(map(xxh3_128_digest, block)), np.uint64) for block in _shingle_blocks(text, n_words)]
+    every = np.concatenate(got).reshape(-1, 2) if got else np.empty((0, 2), np.uint64)
+    return every[np.unique(every[:, 0], return_index=True)[1]]
+
+
+def _wide(shingles) -> int:
+    """The bits set in more than half of the different shingles' digests."""
+    import numpy as np
+    votes = np.zeros(128, np.int64)
+    for at in range(0, len(shingles), BLOCK_WORDS):
+        some = np.ascontiguousarray(shingles[at:at + BLOCK_WORDS]).view(np.uint8)
+        votes += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(shingles)).tobytes(), "big") if len(shingles) else 0
+
+
 def _wide_task(n_words: int):
     def run(batches):
-        from xxhash import xxh3_128_digest
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
         for b in batches:
-            got = [_votes(t, n_words, xxh3_128_digest, 128) for t in map(plain, b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(x >> 64) for x in got], pa.int64()),
-                                              pa.array([_signed(x & _ALL) for x in got], pa.int64())], names=["row", "x", "y"])
+            rows = []
+            for text in map(plain, b.column(1)):
+                own = _different(text, n_words)
+                fp = _wide(own)
+                rows.append((_signed(fp >> 64), _signed(fp & _ALL), _signed(xxh3_64_intdigest(np.ascontiguousarray(own[:, 0]).tobytes()))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], names=["row", "x", "y", "z"])
     return run
 
 
@@ -289,19 +312,36 @@ def spanning_links(fps: list[int], radius: int):
                 yield x, y, d
 
 
+def _name(fp: int, z: int) -> str:
+    return f"{fp:032x}{z & _ALL:016x}"
+
+
+def _shard_links(x, y, z, radius: int):
+    """Links (a, b, distance) of one shard in the order of x, y and z. Nodes of one fingerprint
+    link to the first of them, which stands for it in the tree."""
+    first, last = {}, None
+    for p, q, r in zip(x.tolist(), y.tolist(), z.tolist()):
+        fp = (p & _ALL) << 64 | q & _ALL
+        if first.setdefault(fp, r) != r and (fp, r) != last:
+            yield _name(fp, r), _name(fp, first[fp]), 0
+        last = fp, r
+    for a, b, d in spanning_links(list(first), radius):
+        yield _name(a, first[a]), _name(b, first[b]), d
+
+
 def _sampled_tree_task(radius: int):
     def run(batches):
         import numpy as np
         held = None
 
-        def out(shards, x, y):
+        def out(shards, *cols):
             edge = np.flatnonzero(np.diff(shards)) + 1
             lo, hi = np.r_[0, edge], np.r_[edge, len(shards)]
             links = []
             for i, j in zip(lo[hi - lo > 1].tolist(), hi[hi - lo > 1].tolist()):
-                links += spanning_links([(a & _ALL) << 64 | b & _ALL for a, b in zip(x[i:j].tolist(), y[i:j].tolist())], radius)
-            cols = [pa.array([f"{link[k]:032x}" for link in links], pa.string()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([link[2] for link in links], pa.int32())], names=["a", "b", "d"])
+                links += _shard_links(*(c[i:j] for c in cols), radius)
+            names = [pa.array([link[k] for link in links], pa.string()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*names, pa.array([link[2] for link in links], pa.int32())], names=["a", "b", "d"])
 
         for batch in batches:  # sorted by shard: only the last shard is carried on
             new = [c.to_numpy() for c in batch.columns]
@@ -324,17 +364,17 @@ def _candidates(nodes: DataFrame, n: int, radius: int) -> DataFrame:
     draw = random.Random(20_240_607)
     masks = [sum(1 << i for i in draw.sample(range(128), bits)) for _ in range(samples)]
     every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m >> 64)).alias("x"), F.lit(_signed(m & _ALL)).alias("y")) for i, m in enumerate(masks)])
-    rows = (nodes.select("x", "y", F.explode(every).alias("m"))
-                 .select(F.xxhash64("m.i", F.col("x").bitwiseAND(F.col("m.x")), F.col("y").bitwiseAND(F.col("m.y"))).alias("shard"), "x", "y"))
-    full = (rows.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct("x", "y")).alias("least")).filter(F.col("n") > TREE_NODES)
+    rows = (nodes.select("x", "y", "z", F.explode(every).alias("m"))
+                 .select(F.xxhash64("m.i", F.col("x").bitwiseAND(F.col("m.x")), F.col("y").bitwiseAND(F.col("m.y"))).alias("shard"), "x", "y", "z"))
+    full = (rows.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct("x", "y", "z")).alias("least")).filter(F.col("n") > TREE_NODES)
                 .select("shard", F.ceil(F.col("n") / (TREE_NODES - 1)).cast("int").alias("blocks"), "least"))
     usual = rows.join(full, "shard", "left_anti")
     block = F.pmod(F.xxhash64("x", "y", "shard"), F.col("blocks"))
-    cut = rows.join(full, "shard").select(F.xxhash64("shard", block).alias("shard"), "x", "y")
+    cut = rows.join(full, "shard").select(F.xxhash64("shard", block).alias("shard"), "x", "y", "z")
     pivots = full.select(F.col("shard").alias("of"), "least", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    pivots = pivots.select(F.xxhash64("of", F.col("k").cast("long")).alias("shard"), "least.x", "least.y")
+    pivots = pivots.select(F.xxhash64("of", F.col("k").cast("long")).alias("shard"), "least.x", "least.y", "least.z")
     trees = usual.unionByName(cut).unionByName(pivots)
-    return (trees.repartition(shuffle_width(nodes), "shard").sortWithinPartitions("shard", "x", "y")
+    return (trees.repartition(shuffle_width(nodes), "shard").sortWithinPartitions("shard", "x", "y", "z")
                  .mapInArrow(_sampled_tree_task(radius), "a string, b string, d int").groupBy("a", "b").agg(F.min("d").alias("d")))
 
 
@@ -353,14 +393,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates are 128-bit SimHash fingerprints within ``radius`` bits, met in BK-trees over
     shards named by sampled bits (see ``sampling``); each link is checked exactly on whole texts.
-    Texts of one fingerprint are one node, since no pair below the similarity agrees in all 128
-    bits. ``component_id`` is the smallest id reachable. Null texts and texts without words form
+    The bits are voted by different shingles, as the sets are, and texts are one node if their
+    shingle sets are the same; others of one fingerprint are checked like any pair. ``component_id`` is the smallest id reachable. Null texts and texts without words form
     one group; null ids come first; an empty table gives an empty table."""
     src = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["row"].dataType.simpleString()
-    fps = snapshot(src.mapInArrow(_wide_task(n_words), f"row {kind}, x long, y long"), "simhash-wide")
-    name = F.lower(F.concat(F.lpad(F.hex("x"), 16, "0"), F.lpad(F.hex("y"), 16, "0")))
-    nodes = snapshot(fps.groupBy("x", "y").agg(F.min("row").alias("least")).withColumn("node", name), "simhash-wide-nodes")
+    fps = snapshot(src.mapInArrow(_wide_task(n_words), f"row {kind}, x long, y long, z long"), "simhash-wide")
+    name = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("x", "y", "z")]))
+    nodes = snapshot(fps.groupBy("x", "y", "z").agg(F.min("row").alias("least")).withColumn("node", name), "simhash-wide-nodes")
     found = snapshot(_candidates(nodes, nodes.count(), radius), "simhash-candidates")
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
     chosen = nodes.join(ends, "node").select("node", F.col("least").alias("row"))
@@ -376,5 +416,5 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = components(sure.unionByName(_checked(apart, sets, similarity)), "simhash-similar-groups")
     named = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("best"))
-    got = fps.join(named.join(smallest, "root").select("x", "y", "best"), ["x", "y"])
+    got = fps.join(named.join(smallest, "root").select("x", "y", "z", "best"), ["x", "y", "z"])
     return got.select(F.col("row.id").alias(id_col), F.col("best.id").alias("component_id"))

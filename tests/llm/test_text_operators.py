@@ -323,6 +323,22 @@ def test_similar_groups_in_full_shards(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_similar_groups_do_not_follow_repeated_words(spark):
+    rows = []
+    for junk in ("Be", "one two three four five six seven eight nine"):
+        rows += [(len(rows) + k, " ".join([junk] * 60 + [f"w{len(rows) + k}x{j}" for j in range(40)])) for k in range(3)]
+    rows += [(10, rows[0][1]), (11, rows[3][1] + " nine")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 10: 0, 11: 3}
+
+
+def test_nodes_of_one_fingerprint_stay_apart_and_meet(spark):
+    nodes = spark.createDataFrame([(5, 6, z) for z in (1, 2, 3)] + [(5, 7, 1)], "x long, y long, z long")
+    got = {(r.a, r.b): r.d for r in simhash._candidates(nodes, 4, 30).collect()}
+    name = {(y, z): f"{5:016x}{y:016x}{z:016x}" for y in (6, 7) for z in (1, 2, 3)}
+    assert got == {(name[6, 2], name[6, 1]): 0, (name[6, 3], name[6, 1]): 0, (name[7, 1], name[6, 1]): 1}
+
+
 def test_similar_groups_without_rows(empty):
     assert simhash.similar_groups(empty).collect() == []
 
