@@ -218,6 +218,9 @@ SIMILARITY, SHINGLE_WORDS = 0.8, 5
 WIDE_RADIUS = 30
 MISSED = 0.02
 BIT_DIFFERS = 0.145
+#: A node carries for each of so many shares of its shingles whether their number is odd.
+PARITY_BITS = 512
+PAIRS_AT_ONCE = 1 << 18
 
 
 def sampling(n: int) -> tuple[int, int]:
@@ -255,9 +258,12 @@ def _wide_task(n_words: int):
             rows = []
             for text in map(plain, b.column(1)):
                 own = _different(text, n_words)
-                fp = _wide(own)
-                rows.append((_signed(fp >> 64), _signed(fp & _ALL), _signed(xxh3_64_intdigest(np.ascontiguousarray(own[:, 0]).tobytes()))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], names=["row", "x", "y", "z"])
+                fp, names = _wide(own), np.ascontiguousarray(own[:, 0])
+                odd = np.packbits(np.bincount((names % PARITY_BITS).astype(np.int64), minlength=PARITY_BITS) & 1)
+                rows.append((_signed(fp >> 64), _signed(fp & _ALL), _signed(xxh3_64_intdigest(names.tobytes())), len(names), odd.tobytes()))
+            kinds = zip(("x", "y", "z", "size", "odd"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+            cols = {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)}
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols.values()], names=["row", *cols])
     return run
 
 
@@ -355,19 +361,29 @@ def _sampled_tree_task(radius: int):
     return run
 
 
-def _candidates(nodes: DataFrame, n: int, radius: int) -> DataFrame:
-    """Links (a, b, d) between nodes that share a sampled shard and lie within the radius.
-
-    A shard of more than ``TREE_NODES`` is cut into blocks; its smallest fingerprint is planted
-    in every block, so that a group cut apart still meets in one node."""
+def _sampled(nodes: DataFrame, n: int) -> DataFrame:
+    """The nodes once for each sample, with the ``shard`` they fall into."""
     bits, samples = sampling(n)
     draw = random.Random(20_240_607)
     masks = [sum(1 << i for i in draw.sample(range(128), bits)) for _ in range(samples)]
     every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m >> 64)).alias("x"), F.lit(_signed(m & _ALL)).alias("y")) for i, m in enumerate(masks)])
-    rows = (nodes.select("x", "y", "z", F.explode(every).alias("m"))
-                 .select(F.xxhash64("m.i", F.col("x").bitwiseAND(F.col("m.x")), F.col("y").bitwiseAND(F.col("m.y"))).alias("shard"), "x", "y", "z"))
-    full = (rows.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct("x", "y", "z")).alias("least")).filter(F.col("n") > TREE_NODES)
-                .select("shard", F.ceil(F.col("n") / (TREE_NODES - 1)).cast("int").alias("blocks"), "least"))
+    shard = F.xxhash64("m.i", F.col("x").bitwiseAND(F.col("m.x")), F.col("y").bitwiseAND(F.col("m.y")))
+    return nodes.withColumn("m", F.explode(every)).select(shard.alias("shard"), *nodes.columns)
+
+
+def _full(nodes: DataFrame, n: int) -> DataFrame:
+    """The shards of more than ``TREE_NODES`` nodes, their numbers of blocks and least nodes."""
+    shards = _sampled(nodes.select("x", "y", "z"), n).groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct("x", "y", "z")).alias("least"))
+    return shards.filter(F.col("n") > TREE_NODES).select("shard", F.ceil(F.col("n") / (TREE_NODES - 1)).cast("int").alias("blocks"), "least")
+
+
+def _candidates(nodes: DataFrame, n: int, radius: int, full: DataFrame | None = None) -> DataFrame:
+    """Links (a, b, d) between nodes that share a sampled shard and lie within the radius.
+
+    A shard of more than ``TREE_NODES`` is cut into blocks; its smallest fingerprint is planted
+    in every block, so that a group cut apart still meets in one node."""
+    full = _full(nodes, n) if full is None else full
+    rows = _sampled(nodes.select("x", "y", "z"), n)
     usual = rows.join(full, "shard", "left_anti")
     block = F.pmod(F.xxhash64("x", "y", "shard"), F.col("blocks"))
     cut = rows.join(full, "shard").select(F.xxhash64("shard", block).alias("shard"), "x", "y", "z")
@@ -378,6 +394,73 @@ def _candidates(nodes: DataFrame, n: int, radius: int) -> DataFrame:
                  .mapInArrow(_sampled_tree_task(radius), "a string, b string, d int").groupBy("a", "b").agg(F.min("d").alias("d")))
 
 
+def _apart(x, y, group, size, odd, side, radius: int, similarity: float):
+    """Index pairs of one shard within the radius whose ends are of different groups and may have
+    the similarity: the sizes allow it, and the shares whose parity differs, each of which holds a
+    shingle of one text alone, are not too many. Side 0 meets side 1; side 2 meets itself."""
+    import numpy as np
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+    for at in range(0, len(left), step):
+        own = left[at:at + step, None]
+        keep = np.bitwise_count(x[own] ^ x[right]) + np.bitwise_count(y[own] ^ y[right]) <= radius
+        keep &= (group[own] != group[right]) & ((side[own] != 2) | (own < right))
+        i, j = np.nonzero(keep)
+        i, j = own[i, 0], right[j]
+        near = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+        i, j = i[near], j[near]
+        alone = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+        near = alone <= (size[i] + size[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+        yield i[near], j[near]
+
+
+def _apart_task(radius: int, similarity: float):
+    def run(batches):
+        import numpy as np
+        held = None
+
+        def out(cols):
+            shards, x, y, z, group, size, odd, side = cols
+            edge = np.flatnonzero(np.diff(shards)) + 1
+            for lo, hi in zip(np.r_[0, edge].tolist(), np.r_[edge, len(shards)].tolist()):
+                if hi - lo < 2 or (group[lo:hi] == group[lo]).all():
+                    continue
+                some = (c[lo:hi] for c in (x, y, group, size, odd, side))
+                for i, j in _apart(*some, radius, similarity):
+                    if len(i):
+                        names = [pa.array([f"{p:016x}{q:016x}{r:016x}" for p, q, r in zip(x[k].tolist(), y[k].tolist(), z[k].view(np.uint64).tolist())], pa.string())
+                                 for k in (lo + i, lo + j)]
+                        yield pa.RecordBatch.from_arrays(names, names=["a", "b"])
+
+        for batch in batches:  # sorted by shard: only the last shard is carried on
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new[1], new[2] = new[1].view(np.uint64), new[2].view(np.uint64)
+            new[6] = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from out([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None:
+            yield from out(held)
+    return run
+
+
+def _still_apart(nodes: DataFrame, touched: DataFrame, full: DataFrame, n: int, radius: int, similarity: float) -> DataFrame:
+    """All pairs (a, b) of a shard within the radius whose ends are of different checked groups
+    and may have the similarity. ``nodes`` have a ``root``.
+
+    A pair of a usual shard that no tree link joins truly has a failed link at the group of either
+    end, so only the nodes of such ``touched`` groups come."""
+    cols = ["x", "y", "z", F.xxhash64("root").alias("group"), "size", "odd"]
+    rows = _sampled(nodes.join(touched, "root", "left_semi").select(*cols), n).join(full, "shard", "left_anti")
+    rows = rows.withColumn("side", F.lit(2))
+    return (rows.repartition(shuffle_width(nodes), "shard").sortWithinPartitions("shard")
+                .mapInArrow(_apart_task(radius, similarity), "a string, b string").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def _checked(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The links whose shingle sets have the Jaccard similarity."""
     both = (links.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
@@ -393,27 +476,47 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates are 128-bit SimHash fingerprints within ``radius`` bits, met in BK-trees over
     shards named by sampled bits (see ``sampling``); each link is checked exactly on whole texts.
+    Where a tree's link fails the check, all pairs between groups still apart are checked as well.
     The bits are voted by different shingles, as the sets are, and texts are one node if their
     shingle sets are the same; others of one fingerprint are checked like any pair. ``component_id`` is the smallest id reachable. Null texts and texts without words form
     one group; null ids come first; an empty table gives an empty table."""
     src = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["row"].dataType.simpleString()
-    fps = snapshot(src.mapInArrow(_wide_task(n_words), f"row {kind}, x long, y long, z long"), "simhash-wide")
+    fps = snapshot(src.mapInArrow(_wide_task(n_words), f"row {kind}, x long, y long, z long, size long, odd binary"), "simhash-wide")
     name = F.lower(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("x", "y", "z")]))
-    nodes = snapshot(fps.groupBy("x", "y", "z").agg(F.min("row").alias("least")).withColumn("node", name), "simhash-wide-nodes")
-    found = snapshot(_candidates(nodes, nodes.count(), radius), "simhash-candidates")
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.join(ends, "node").select("node", F.col("least").alias("row"))
-    texts = src.join(chosen, "row").select("node", "text").dropDuplicates(["node"])
-    sets = snapshot(texts.mapInArrow(_set_task(n_words), "node string, shingles array<long>"), "simhash-shingles")
+    nodes = snapshot(fps.groupBy("x", "y", "z").agg(F.min("row").alias("least"), F.first("size").alias("size"), F.first("odd").alias("odd")).withColumn("node", name), "simhash-wide-nodes")
+    n = nodes.count()
+    full = snapshot(_full(nodes, n), "simhash-full-shards")
+    found = snapshot(_candidates(nodes, n, radius, full), "simhash-candidates")
+
+    def sets_of(links, but=None):
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        ends = ends if but is None else ends.join(but, "node", "left_anti")
+        chosen = nodes.join(ends, "node").select("node", F.col("least").alias("row"))
+        texts = src.join(chosen, "row").select("node", "text").dropDuplicates(["node"])
+        return snapshot(texts.mapInArrow(_set_task(n_words), "node string, shingles array<long>"), "simhash-shingles")
+
+    def with_roots(links, groups):
+        return (links.join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+                     .join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+                     .select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra != rb"))
+
+    sets = sets_of(found)
     # the nearest link of each node first; of the others only those between groups still apart
     nearest = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
     sure = snapshot(_checked(nearest, sets, similarity), "simhash-nearest")
-    groups = components(sure, "simhash-nearest-groups")
-    apart = (found.join(groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-                  .join(groups.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                  .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    rooted = components(sure.unionByName(_checked(apart, sets, similarity)), "simhash-similar-groups")
+    apart = with_roots(found, components(sure, "simhash-nearest-groups")).select("a", "b")
+    sure = snapshot(sure.unionByName(_checked(apart, sets, similarity)), "simhash-checked")
+    rooted = components(sure, "simhash-checked-groups")
+    # the trees link groups by unchecked links: where one failed, every pair is looked at
+    failed = snapshot(with_roots(found, rooted), "simhash-failed")
+    touched = failed.select(F.col("ra").alias("root")).unionByName(failed.select(F.col("rb").alias("root"))).distinct()
+    grouped = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    late = snapshot(_still_apart(grouped, touched, full, n, radius, similarity).join(known, ["a", "b"], "left_anti"), "simhash-late")
+    if not late.isEmpty():
+        more = sets_of(late, sets.select("node"))
+        rooted = components(sure.unionByName(_checked(late, sets.unionByName(more), similarity)), "simhash-similar-groups")
     named = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("best"))
     got = fps.join(named.join(smallest, "root").select("x", "y", "z", "best"), ["x", "y", "z"])

@@ -339,6 +339,51 @@ def test_nodes_of_one_fingerprint_stay_apart_and_meet(spark):
     assert got == {(name[6, 2], name[6, 1]): 0, (name[6, 3], name[6, 1]): 0, (name[7, 1], name[6, 1]): 1}
 
 
+def template_family(n, seed=5):
+    """n texts of one template with four words of their own each, most below the similarity to
+    each other, and to every second one a copy with three more edits."""
+    rng = random.Random(seed)
+    base = cases.sentence(rng, 200).split()
+    texts = []
+    for i in range(n):
+        w = base[:]
+        for at in rng.sample(range(0, 200, 5), 4):
+            w[at] = f"own{i}x{at}"
+        texts.append(w)
+        if i % 2:
+            v = w[:]
+            for at in rng.sample([k for k in range(2, 200, 5)], 3):
+                v[at] = f"more{i}x{at}"
+            texts.append(v)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    return rows
+
+
+def met_groups(rows):
+    """(true, met): groups of the texts at the similarity, and by the pairs of them alone that lie
+    within the radius and share a sampled shard."""
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    fps = [simhash._wide(simhash._different(t, 5)) for _, t in rows]
+    bits, samples = simhash.sampling(len(rows))
+    draw = random.Random(20_240_607)
+    masks = [sum(1 << i for i in draw.sample(range(128), bits)) for _ in range(samples)]
+
+    def like(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    def met(a, b):
+        return (fps[a] ^ fps[b]).bit_count() <= simhash.WIDE_RADIUS and any((fps[a] ^ fps[b]) & m == 0 for m in masks)
+    return plain_components(len(rows), like), plain_components(len(rows), lambda a, b: like(a, b) and met(a, b))
+
+
+def test_similar_groups_in_a_template_family(spark):
+    rows = template_family(200)
+    want, met = met_groups(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 60 < len(set(want)) < 240 and len(set(met)) <= 1.06 * len(set(want))
+    assert got == {i: rows[r][0] for i, r in enumerate(met)}      # every pair that meets is checked
+
+
 def test_similar_groups_without_rows(empty):
     assert simhash.similar_groups(empty).collect() == []
 
