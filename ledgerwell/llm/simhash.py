@@ -448,15 +448,45 @@ def _apart_task(radius: int, similarity: float):
     return run
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """The rows of full shards once for each pair of blocks of at most half ``TREE_NODES`` or so
+    that they take part in, with the pair as their shard. A group that fills a block alone has
+    blocks of its own, which need not meet each other."""
+    half = max(1, TREE_NODES // 2)
+    groups = rows.groupBy("shard", "group").agg(F.count("*").alias("c"))
+    large = groups.filter(F.col("c") > half).select("shard", "group", F.ceil(F.col("c") / half).alias("own"))
+    small = groups.filter(F.col("c") <= half).groupBy("shard").agg(F.ceil(F.sum("c") / half).alias("blocks"))
+    large, small = snapshot(large, "simhash-large-groups"), snapshot(small, "simhash-small-groups")
+    blocks = (large.select("shard", F.col("group").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("k"))
+                   .unionByName(small.select("shard", F.lit(None).cast("long").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))))
+    blocks = blocks.select("shard", F.xxhash64("of", "k").alias("block"), "of")
+    a, b = blocks.alias("a"), blocks.alias("b")
+    meet = (F.col("a.block") < F.col("b.block")) & ~F.coalesce(F.col("a.of") == F.col("b.of"), F.lit(False))
+    alone = (F.col("a.block") == F.col("b.block")) & F.col("a.of").isNull()
+    pairs = a.join(b, (F.col("a.shard") == F.col("b.shard")) & (meet | alone)).select(
+        F.col("a.shard").alias("shard"), F.col("a.block").alias("one"), F.col("b.block").alias("two"))
+    ends = pairs.select("shard", F.xxhash64("shard", "one", "two").alias("pair"), F.explode(F.when(F.col("one") == F.col("two"), F.array(
+        F.struct(F.col("one").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(
+            F.struct(F.col("one").alias("block"), F.lit(0).alias("side")), F.struct(F.col("two").alias("block"), F.lit(1).alias("side"))))).alias("e"))
+    ends = ends.select("shard", "pair", "e.block", "e.side")
+    dealt = F.xxhash64("x", "y", "z")
+    placed = (rows.join(large, ["shard", "group"], "left").join(small, "shard", "left")
+                  .withColumn("of", F.when(F.col("own").isNotNull(), F.col("group")))
+                  .withColumn("k", F.pmod(dealt, F.coalesce("own", "blocks"))).withColumn("block", F.xxhash64("of", "k")))
+    return placed.join(ends, ["shard", "block"]).select(F.col("pair").alias("shard"), *[c for c in rows.columns if c != "shard"], "side")
+
+
 def _still_apart(nodes: DataFrame, touched: DataFrame, full: DataFrame, n: int, radius: int, similarity: float) -> DataFrame:
     """All pairs (a, b) of a shard within the radius whose ends are of different checked groups
     and may have the similarity. ``nodes`` have a ``root``.
 
     A pair of a usual shard that no tree link joins truly has a failed link at the group of either
-    end, so only the nodes of such ``touched`` groups come."""
+    end, so only the nodes of such ``touched`` groups come. In full shards, whose trees see blocks,
+    all nodes come, and every block meets every other."""
     cols = ["x", "y", "z", F.xxhash64("root").alias("group"), "size", "odd"]
-    rows = _sampled(nodes.join(touched, "root", "left_semi").select(*cols), n).join(full, "shard", "left_anti")
-    rows = rows.withColumn("side", F.lit(2))
+    rows = _sampled(nodes.join(touched, "root", "left_semi").select(*cols), n).join(full, "shard", "left_anti").withColumn("side", F.lit(2))
+    if not full.isEmpty():
+        rows = rows.unionByName(_block_pairs(_sampled(nodes.select(*cols), n).join(full.select("shard"), "shard")))
     return (rows.repartition(shuffle_width(nodes), "shard").sortWithinPartitions("shard")
                 .mapInArrow(_apart_task(radius, similarity), "a string, b string").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 

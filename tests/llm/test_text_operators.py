@@ -384,6 +384,17 @@ def test_similar_groups_in_a_template_family(spark):
     assert got == {i: rows[r][0] for i, r in enumerate(met)}      # every pair that meets is checked
 
 
+def test_similar_groups_of_many_pairs_in_full_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TREE_NODES", 16)
+    rows = template_family(100, seed=6)
+    copies = [(len(rows) + k, " ".join([f"late{k}", *rows[0][1].split()])) for k in range(40)]     # a group over several blocks
+    rows += copies
+    want, met = met_groups(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: rows[r][0] for i, r in enumerate(met)}
+    assert len(set(want)) > 30
+
+
 def test_similar_groups_without_rows(empty):
     assert simhash.similar_groups(empty).collect() == []
 
