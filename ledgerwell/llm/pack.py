@@ -28,7 +28,7 @@ WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 4_000_000
 SHARD_DOCS = 4096
-QUERY_TERMS = 12
+SORTED_FIRST = 32
 K1, B = 1.2, 0.75
 KNOWN_PARTS = 500_000
 plain = methodcaller("as_py")
@@ -94,43 +94,55 @@ class Encoder:
             return self.encode(text), numbers
 
 
-def bm25(terms: list, n_words):
-    """Postings of a shard: for each document its query terms, and for each term its documents
-    and weights. ``terms`` has the distinct term numbers and frequencies of each document."""
-    import numpy as np
-    n = len(terms)
-    doc = np.repeat(np.arange(n), [len(t) for t, _ in terms])
-    term = np.concatenate([t for t, _ in terms]) if n else np.empty(0, np.int64)
-    tf = np.concatenate([f for _, f in terms]).astype(float) if n else np.empty(0)
-    _, term = np.unique(term, return_inverse=True)
-    df = np.bincount(term)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * n_words / max(n_words.mean(), 1e-9))
-    weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-    shared = df[term] > 1                       # a term of one document finds nobody
-    order = np.argsort(term[shared], kind="stable")
-    by_term = doc[shared][order], weight[shared][order]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(term[shared], minlength=len(df)))))
-    rare = np.lexsort((term[shared], -idf[term[shared]], doc[shared]))
-    ask, owner = term[shared][rare], doc[shared][rare]
-    first = np.searchsorted(owner, np.arange(n + 1))
-    return [ask[first[d]:first[d + 1]][:QUERY_TERMS] for d in range(n)], starts, by_term
-
-
-def neighbours(doc: int, index, unused):
-    """Unused documents that share a query term, best BM25 score first, then in order."""
-    import numpy as np
-    ask, starts, (docs, weights) = index
-    if not len(ask[doc]):
-        return []
-    spans = [slice(starts[t], starts[t + 1]) for t in ask[doc]]
-    found = np.concatenate([docs[s] for s in spans])
-    free = unused[found]
-    found, inverse = np.unique(found[free], return_inverse=True)
-    if not len(found):
-        return []
-    score = np.bincount(inverse, np.concatenate([weights[s] for s in spans])[free])
-    return found[np.argsort(-score, kind="stable")].tolist()
+class Index:
+    """Postings of a shard: for each document its shared terms, and for each term its documents and
+    BM25 weights. ``terms`` has the distinct term numbers and frequencies of each document."""
+
+    def __init__(self, terms: list, n_words):
+        import numpy as np
+        n = len(terms)
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in terms])
+        term = np.concatenate([t for t, _ in terms]) if n else np.empty(0, np.int64)
+        tf = np.concatenate([f for _, f in terms]).astype(float) if n else np.empty(0)
+        _, term = np.unique(term, return_inverse=True)
+        df = np.bincount(term)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * n_words / max(n_words.mean(), 1e-9))
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        shared = df[term] > 1                       # a term of one document finds nobody
+        doc, term, weight = doc[shared], term[shared], weight[shared]
+        self.ask = np.split(term, np.searchsorted(doc, np.arange(1, n))) if n else []
+        order = np.argsort(term, kind="stable")
+        self.live, self.n_terms = n, len(df)
+        self._hold(term[order], doc[order], weight[order])
+
+    def _hold(self, term, doc, weight):
+        import numpy as np
+        self.term, self.doc, self.weight = term, doc, weight
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=self.n_terms))))
+
+    def neighbours(self, doc: int, unused):
+        """Unused documents that share a term, best BM25 score over all shared terms first, then in
+        order. Postings of used documents go when a quarter of the documents is used."""
+        import numpy as np
+        live = int(np.count_nonzero(unused))
+        if 4 * live <= 3 * self.live:
+            kept = unused[self.doc]
+            self.live = live
+            self._hold(self.term[kept], self.doc[kept], self.weight[kept])
+        first, last = self.starts[self.ask[doc]], self.starts[self.ask[doc] + 1]
+        ends = np.cumsum(last - first)
+        if not len(ends) or not live:
+            return
+        at = np.repeat(last - ends, last - first)
+        at += np.arange(len(at))
+        score = np.bincount(self.doc[at], self.weight[at], len(unused))
+        score[~unused] = 0.0
+        # few are asked for: the best are sorted first, ties of the last of them included
+        least = np.partition(score, -SORTED_FIRST)[-SORTED_FIRST] if len(score) > SORTED_FIRST else 0.0
+        for some in ((score >= least) & (score > 0), (score < least) & (score > 0)):
+            found = np.flatnonzero(some)
+            yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def fill(lengths, index, window: int):
@@ -138,15 +150,12 @@ def fill(lengths, index, window: int):
     import numpy as np
     unused = np.ones(len(lengths), bool)
     pieces, sequence, room = [], 0, window
-    order, waiting, rest = iter(range(len(lengths))), [], None
+    order, waiting, rest = iter(range(len(lengths))), iter(()), None
     while True:
-        while waiting and not unused[waiting[-1]]:
-            waiting.pop()
-        seed = rest is not None or not waiting    # the rest of a cut document, or the next in order
-        if rest is not None:
-            doc, start = rest
-        else:
-            doc, start = waiting.pop() if waiting else next((d for d in order if unused[d]), None), 0
+        doc, start = rest or (next((d for d in waiting if unused[d]), None), 0)
+        seed = rest is not None or doc is None    # the rest of a cut document, or the next in order
+        if doc is None:
+            doc = next((d for d in order if unused[d]), None)
         if doc is None:
             return _close(pieces, sequence, window - room)
         unused[doc] = False
@@ -157,7 +166,7 @@ def fill(lengths, index, window: int):
         if not room:
             sequence, room = sequence + 1, window
         if seed and rest is None:
-            waiting = neighbours(doc, index, unused)[::-1]
+            waiting = index.neighbours(doc, unused)
 
 
 def _close(pieces, sequence: int, used: int):
@@ -189,7 +198,7 @@ def _pack_task(path: str, pattern: str, window: int, end_id: int):
         def out():
             nonlocal sequence
             lengths = [len(r[0]) // 4 for r in rows]
-            index = bm25([r[1] for r in rows], np.array([r[2] for r in rows], float))
+            index = Index([r[1] for r in rows], np.array([r[2] for r in rows], float))
             pieces = fill(lengths, index, window)
             docs, start, length, seq, offset = (np.array(c, np.int64) for c in zip(*pieces))
             ids = [rows[d][0][4 * s:4 * (s + n)] for d, s, n, _, _ in pieces]

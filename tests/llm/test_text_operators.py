@@ -113,6 +113,22 @@ def test_packing_prefers_neighbours(spark):
     assert order[:2] == [0, 3]
 
 
+def test_packing_takes_neighbours_by_all_shared_words(spark):
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(600)]
+    texts = [[vocab[int(600 * rng.random() ** 2)] for _ in range(rng.randrange(60, 400))] for _ in range(60)]
+    n, mean = len(texts), sum(map(len, texts)) / len(texts)
+    df = collections.Counter(w for t in texts for w in set(t))
+
+    def score(t):
+        tf = collections.Counter(t)
+        return sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(texts[0]) if w in tf)
+    want = [0] + sorted(range(1, n), key=lambda k: -score(texts[k]))
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = pack.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), BYTE_BPE, P.PATTERN, window=1 << 20).orderBy("sequence_id", "offset")
+    assert list(dict.fromkeys(r.doc_id for r in got.collect())) == want
+
+
 def test_packing_without_rows(empty):
     assert pack.pack(empty, BYTE_BPE, P.PATTERN).collect() == []
 
