@@ -123,3 +123,14 @@ def test_running_totals_keep_null_keys(spark):
     got = running_totals(df, ["k"], ["cell"], ["at"], {"run": F.col("v")})
     assert sorted(((r.k or "", r.cell or 0, r.at, r.run) for r in got.collect())) == [
         ("", 1, 1, 3), ("", 1, 2, 7), ("a", 0, 1, 5), ("a", 0, 2, 12), ("a", 1, 1, 13)]
+
+
+def test_places_over_a_whole_table(spark):
+    from ledgerwell.plans import scan
+    rows = [((i * 7919) % 500 // 7, None if i % 3 == 0 else f"E{i:06d}") for i in range(500)]
+    df = spark.createDataFrame(rows, "score int, id string")
+    got = scan.numbered(df, [F.desc("score"), F.asc("id")]).collect()
+    want = sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or ""))
+    assert [(r.score, r.id) for r in sorted(got, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in got) == list(range(500))
+    assert scan.numbered(df.limit(0), ["score"]).collect() == []
