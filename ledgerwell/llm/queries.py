@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import duck_bpe, fm_dedup, imatch, langid, line_windows, pack, pstable, sanitise, simhash, token_counts
+from . import dac, duck_bpe, fm_dedup, imatch, langid, line_windows, pack, pstable, sanitise, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,5 +73,10 @@ def op10_duck_bpe(spark, sf_dir):
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_disclosure, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op8_retrieval_packing, op9_pstable_groups, op10_duck_bpe)}
+def op11_dac_files(spark, sf_dir):
+    files = dac.write_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return dac.read_documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_disclosure, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op8_retrieval_packing, op9_pstable_groups, op10_duck_bpe, op11_dac_files)}
 ORACLES = {"op4_line_windows": line_windows.ORACLE, "op9_pstable_groups": pstable.ORACLE}
