@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, duck_bpe, fm_dedup, imatch, langid, line_windows, pack, pstable, resample, sanitise, simhash, token_counts
+from . import dac, divergence, duck_bpe, fm_dedup, imatch, langid, line_windows, pack, pstable, resample, sanitise, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +82,9 @@ def op12_importance_resampling(spark, sf_dir):
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_disclosure, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op8_retrieval_packing, op9_pstable_groups, op10_duck_bpe, op11_dac_files, op12_importance_resampling)}
-ORACLES = {"op4_line_windows": line_windows.ORACLE, "op9_pstable_groups": pstable.ORACLE, "op12_importance_resampling": resample.ORACLE}
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_disclosure, op3_language_id, op4_line_windows, op5_imatch, op6_simhash_groups, op7_fm_passages, op8_retrieval_packing, op9_pstable_groups, op10_duck_bpe, op11_dac_files, op12_importance_resampling, op13_source_divergence)}
+ORACLES = {"op4_line_windows": line_windows.ORACLE, "op9_pstable_groups": pstable.ORACLE, "op12_importance_resampling": resample.ORACLE, "op13_source_divergence": divergence.ORACLE}
