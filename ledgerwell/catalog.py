@@ -15,9 +15,9 @@ from .streaming import replay
 # -- stock position and demand -------------------------------------------------------------
 
 add_all({
-    "D1_as_of_date": lambda d: stock.as_of_date(d.ledger),
+    "D1_as_of_date": lambda d: d.store.last_day("medicine"),
     "D2_consumed": lambda d: stock.consumed(d.ledger),
-    "D3_current_stock": lambda d: stock.current_stock(d.ledger),
+    "D3_current_stock": lambda d: d.live_stock,
     "D4_stock_reconcile": lambda d: stock.stock_reconcile(d.ledger, d.stock),
     "D5_stock_verify": lambda d: stock.stock_verify(d.stock),
     "D6_recorded_balance": lambda d: stock.recorded_balance(

@@ -1,8 +1,8 @@
 """The domain tables of one data folder, each derived once per session.
 
-The ledger and the tables that many operators read (the reorder position above all) are
-written to the shared folder and read back. Call ``refresh`` after the ledger has grown: the
-position then moves with the next read.
+The ledger is a stored table that sessions share; the tables that many operators read (the reorder
+position above all) are written to the shared folder and read back. Call ``refresh`` after the
+ledger has grown: the position then moves with the next read.
 """
 from __future__ import annotations
 
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import forecast, plan, quality, resources, seasonal, stock, surge, transfers
-from .plans.snapshot import snapshot
+from .plans.snapshot import shared_folder, snapshot
 from .sources import testbed as tb
+from .sources.store import LedgerStore, published
 
+BUCKETS = 8            # of the stored test ledger; its days are kept by month
 MIN_DAYS = 8           # the test ledger has about two dozen events per series
 SURGE = {"z_cut": 1.5, "min_ratio": 1.2, "min_absolute": 10.0}
 
@@ -48,10 +50,18 @@ class Domain:
     def register(self) -> DataFrame:
         return tb.facilities(self.spark, self.sf_dir)
 
+    @property
+    def ledger(self) -> DataFrame:
+        """The medicine rows of the stored ledger, in the columns of the event rows."""
+        return self.store.read("medicine", columns=tb.STOCK_EVENT_COLUMNS)
+
     # written once
     @cached_property
-    def ledger(self) -> DataFrame:
-        return snapshot(tb.stock_events(self.spark, self.sf_dir), "stock_events")
+    def store(self) -> LedgerStore:
+        """A table of its own in the shared folder: a later session opens it again while the given
+        files are the same."""
+        path = f"{shared_folder(self.spark)}/ledgerwell-stored/{tb.version(self.spark, self.sf_dir)}"
+        return published(LedgerStore(self.spark, path, BUCKETS, "month"), lambda: tb.stock_events(self.spark, self.sf_dir))
 
     @cached_property
     def captures(self) -> DataFrame:
@@ -83,7 +93,11 @@ class Domain:
 
     @cached_property
     def stock(self) -> DataFrame:
-        return snapshot(stock.current_stock(self.ledger), "current_stock")
+        return snapshot(self.live_stock, "current_stock")
+
+    @property
+    def live_stock(self) -> DataFrame:
+        return stock.current_stock(self.ledger, self.store.last_day("medicine").scalar(), self.store.is_even())
 
     @cached_property
     def baseline(self) -> DataFrame:

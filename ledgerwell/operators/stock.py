@@ -3,16 +3,15 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.num import nvl0, ratio, rnd
-from ..plans.ordered import add_running, cell_totals
+from ..plans.ordered import add_running, range_cell
 from ..schema import CONSUMING_TYPES
 
 PAIR = ["facility_id", "item_id"]
 LAST_DAY = datetime.date(9999, 12, 31)
-ID_PREFIX = 3        # leading characters of the hashed event id: 4,096 cells per expiry day
 
 
 def event_day() -> Column:
@@ -39,31 +38,71 @@ def consumed(ledger: DataFrame) -> DataFrame:
                 F.sum("quantity").alias("total_consumed")))
 
 
-def current_stock(ledger: DataFrame, today: Column | None = None) -> DataFrame:
+def lot() -> Column:
+    """Order of receipts on the shelf: by expiry, undated ones last."""
+    return F.coalesce("expiry_date", F.lit(LAST_DAY))
+
+
+def position_cells(ledger: DataFrame, part: Column | None = None) -> DataFrame:
+    """(pair, lot, part, received, consumed) in one pass: receipts by expiry and range of ids,
+    consumption of a pair in a row without a lot."""
+    received = F.col("event_type") == "received"
+    part = F.lit(0) if part is None else part
+    return (ledger.filter(received | F.col("event_type").isin(*CONSUMING_TYPES))
+            .groupBy(*PAIR, F.when(received, lot()).alias("lot"), F.when(received, part).alias("part"))
+            .agg(F.sum(F.when(received, F.col("quantity"))).alias("received"),
+                 F.sum(F.when(~received, F.col("quantity"))).alias("consumed")))
+
+
+def cells_on_shelf(cells: DataFrame) -> DataFrame:
+    """Cells of receipts that consumption, first expiry first out, has not used up: what the pair
+    received in earlier cells (``before``) and consumed in all."""
+    pair = Window.partitionBy(*PAIR)
+    order = pair.orderBy("lot", "part").rowsBetween(Window.unboundedPreceding, 0)
+    return (cells.withColumn("total_consumed", nvl0(F.sum("consumed").over(pair)))
+            .withColumn("upto", nvl0(F.sum("received").over(order)))
+            .filter(F.col("lot").isNotNull() & (F.col("upto") > F.col("total_consumed")))
+            .withColumn("before", F.col("upto") - nvl0("received")))
+
+
+def _running_by_cells(ledger: DataFrame) -> DataFrame:
+    """Receipts with their running total and the pair's consumption. Both are added up into cells in
+    one pass; used-up cells are dropped before any row of a receipt is sorted."""
+    received = ledger.filter(F.col("event_type") == "received")
+    part = range_cell(received, "event_id")
+    batches = received.select(*PAIR, "event_id", "event_ts", "expiry_date", "quantity", lot().alias("lot"), part.alias("part"))
+    left = cells_on_shelf(position_cells(ledger, part)).select(
+        *PAIR, "lot", "part", "total_consumed", F.col("before").alias("cumulative_qty_before"))
+    return add_running(batches, left, PAIR, ["lot", "part"], ["event_id"], {"cumulative_qty": F.col("quantity")})
+
+
+def _running_in_place(ledger: DataFrame) -> DataFrame:
+    """The same where all rows of a pair lie together: one pass, nothing is shuffled."""
+    pair = Window.partitionBy(*PAIR)
+    order = pair.orderBy("lot", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    received = F.col("event_type") == "received"
+    return (ledger.filter(received | F.col("event_type").isin(*CONSUMING_TYPES))
+            .select(*PAIR, "event_id", "event_ts", "event_type", "expiry_date", "quantity", F.when(received, lot()).alias("lot"))
+            .withColumn("total_consumed", nvl0(F.sum(F.when(~received, F.col("quantity"))).over(pair)))
+            .withColumn("cumulative_qty", F.sum(F.when(received, F.col("quantity"))).over(order))
+            .filter(received))
+
+
+def current_stock(ledger: DataFrame, today: Column | None = None, colocated: bool = False) -> DataFrame:
     """Batches still on the shelf when stock is issued first-expiry-first-out.
 
-    Consumption is known per pair, so it joins to the cell totals, not to the rows;
-    cells that are already used up are dropped before any row is sorted. ``today`` is the
-    ledger's last day unless the caller passes the day of a larger ledger.
+    ``colocated`` says that the ledger is read in buckets of pairs of which none is hot (``LedgerStore.
+    is_even``); without it a pair may hold any part of the ledger. ``today`` is the ledger's last day
+    unless the caller passes the day of a larger ledger.
     """
-    batches = ledger.filter(F.col("event_type") == "received").select(
-        *PAIR, F.col("event_id").alias("batch_id"), event_day().alias("received_date"),
-        "expiry_date", F.col("quantity").alias("batch_qty"),
-        F.coalesce("expiry_date", F.lit(LAST_DAY)).alias("_lot"),
-        F.substring("event_id", 1, ID_PREFIX).alias("_part"))
-    coarse, totals = ["_lot", "_part"], {"cumulative_qty": F.col("batch_qty")}
-    used = consumed(ledger).select(*PAIR, "total_consumed")
-    cells = (cell_totals(batches, PAIR, coarse, totals)
-             .join(used, PAIR, "left")
-             .withColumn("total_consumed", nvl0("total_consumed"))
-             .filter(F.col("cumulative_qty_before") + F.col("cumulative_qty_cell")
-                     > F.col("total_consumed")))
-    rows = add_running(batches, cells, PAIR, coarse, ["batch_id"], totals)
+    rows = (_running_in_place if colocated else _running_by_cells)(ledger).select(
+        *PAIR, F.col("event_id").alias("batch_id"), event_day().alias("received_date"), "expiry_date",
+        F.col("quantity").alias("batch_qty"), "cumulative_qty", "total_consumed")
     if today is None:
         today = as_of_date(ledger).scalar()
-    left = F.greatest(F.lit(0), F.least(
+    remaining = F.greatest(F.lit(0), F.least(
         F.col("batch_qty"), F.col("cumulative_qty") - F.col("total_consumed")))
-    return (rows.withColumn("remaining_qty", left.cast("bigint"))
+    return (rows.withColumn("remaining_qty", remaining.cast("bigint"))
             .filter(F.col("remaining_qty") > 0)
             .withColumn("as_of_date", today)
             .select(*PAIR, "batch_id", "received_date", "expiry_date", "batch_qty",

@@ -11,9 +11,9 @@ from ..functions.num import nvl0, ratio, rnd, to_long
 from ..plans.listing import upto
 from ..plans.near import KM_PER_DEGREE, near_pairs
 from ..plans.one_row import beside
-from ..plans.ordered import running_totals
+from ..plans.ordered import range_cell, running_totals
 from ..plans.snapshot import snapshot
-from .stock import ID_PREFIX, PAIR
+from .stock import PAIR
 
 TARGET = 1.5
 MAX_KM = 150.0
@@ -29,7 +29,7 @@ def batch_risk(stock: DataFrame, rs: DataFrame) -> DataFrame:
     earlier. Undated batches sort first and have no risk figure."""
     lots = stock.select(*PAIR, "batch_id", "expiry_date", "days_to_expiry", "remaining_qty",
                         F.coalesce("expiry_date", F.lit(FIRST_DAY).cast("date")).alias("_lot"),
-                        F.substring("batch_id", 1, ID_PREFIX).alias("_part"))
+                        range_cell(stock, "batch_id").alias("_part"))
     run = running_totals(lots, PAIR, ["_lot", "_part"], ["batch_id"],
                          {"upto": F.col("remaining_qty")}).drop("_lot", "_part")
     earlier = F.col("upto") - F.col("remaining_qty")

@@ -6,6 +6,8 @@ exist, and a few are missing or impossible so that the validity flag has work to
 """
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,22 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("list_price"))
 
 
+#: Goes up when rows of the stored ledger would come out otherwise.
+LEDGER_VERSION = 1
+STOCK_EVENT_COLUMNS = ["event_id", "resource_type", "facility_id", "item_id", "event_type", "quantity", "event_ts", "source", "confidence",
+                       "raw_transcript", "expiry_date", "resource_subtype", "capacity", "event_date"]
+
+
+def version(spark: SparkSession, sf_dir: str) -> str:
+    """A name for the ledger of a folder that changes with the files it is made of."""
+    hadoop, parts = spark._jvm.org.apache.hadoop.fs, [str(LEDGER_VERSION), sf_dir]
+    for name in ("lineitem", "part"):
+        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        parts += [str(status.getLen()), str(status.getModificationTime())]
+    return hashlib.md5("|".join(parts).encode()).hexdigest()[:16]
+
+
 def stock_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The medicine ledger: one row per line item, seven years folded into one."""
     li = read(spark, sf_dir, "lineitem")

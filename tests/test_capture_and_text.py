@@ -277,14 +277,9 @@ def test_failed_check_stops_the_load(spark):
         ingest.require(spark.createDataFrame([(False,)], "ok boolean"))
 
 
-def test_ledger_on_disk_is_read_by_day(spark, tmp_path):
+def test_slices_are_replaced(spark, tmp_path):
     from tests.test_stock import ledger
     led = ledger(spark, [("a", "F", "M", "received", 1, dt.date(2024, 1, 1), None), ("b", "F", "M", "lost", 1, dt.date(2024, 1, 2), None)])
-    path = str(tmp_path / "ledger")
-    ingest.write_ledger(led, path, files_per_day=2)
-    day = ingest.read_ledger(spark, path, ("2024-01-02", "2024-01-02"))
-    assert "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().executedPlan().toString()
-    assert [r.event_id for r in day.collect()] == ["b"]
     ingest.write_slices(led.withColumn("day", F.to_date("event_ts")), str(tmp_path / "s"), ["day"])
     ingest.write_slices(led.filter("event_id = 'a'").withColumn("quantity", F.lit(7).cast("bigint")).withColumn("day", F.to_date("event_ts")), str(tmp_path / "s"), ["day"])
     assert sorted(r.quantity for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [1, 7]
