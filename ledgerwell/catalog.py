@@ -393,4 +393,5 @@ add_all({
     "K5_rolling_reports": replay.rolling,
     "K6_reporting_periods": replay.periods,
     "K7_live_positions": replay.positions,
+    "K7_live_alerts": replay.alerts,
 })

@@ -80,6 +80,12 @@ def ven_rank(col="ven_class") -> Column:
 def reorder_status(baseline: DataFrame, facilities: DataFrame, items: DataFrame,
                    stock: DataFrame, z: float = SERVICE_Z, flat_days: int = FLAT_DAYS,
                    class_chars: int = 5) -> DataFrame:
+    return status_of(baseline, facilities, items, stock_on_hand(stock), z, flat_days, class_chars)
+
+
+def status_of(baseline: DataFrame, facilities: DataFrame, items: DataFrame, on_hand: DataFrame, z: float = SERVICE_Z,
+              flat_days: int = FLAT_DAYS, class_chars: int = 5) -> DataFrame:
+    """The lines of the plan for what the pairs have on hand."""
     fac = (facilities.filter("is_forecast_facility AND lead_time_days IS NOT NULL")
            .select("facility_id", F.col("name").alias("facility_name"),
                    F.col("admin_l1").alias("state"), F.col("admin_l2").alias("district"),
@@ -90,7 +96,7 @@ def reorder_status(baseline: DataFrame, facilities: DataFrame, items: DataFrame,
     limit = reorder_threshold(mu, sd, lead, z)
     held, cover = F.col("on_hand"), ratio("on_hand", "avg_daily_demand")
     rows = (baseline.join(fac, "facility_id").join(it, "item_id")
-            .join(stock_on_hand(stock), PAIR, "left")
+            .join(on_hand, PAIR, "left")
             .withColumn("on_hand", nvl0("on_hand")))
     return rows.select(
         "facility_id", "facility_name", "state", "district", "lead_time_days",

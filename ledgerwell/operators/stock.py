@@ -44,14 +44,28 @@ def lot() -> Column:
 
 
 def position_cells(ledger: DataFrame, part: Column | None = None) -> DataFrame:
-    """(pair, lot, part, received, consumed) in one pass: receipts by expiry and range of ids,
-    consumption of a pair in a row without a lot."""
+    """(pair, lot, part, received, consumed, last_day) in one pass: receipts by expiry and range of
+    ids, all other rows of a pair in one without a lot."""
     received = F.col("event_type") == "received"
+    used = F.when(F.col("event_type").isin(*CONSUMING_TYPES), F.col("quantity"))
     part = F.lit(0) if part is None else part
-    return (ledger.filter(received | F.col("event_type").isin(*CONSUMING_TYPES))
-            .groupBy(*PAIR, F.when(received, lot()).alias("lot"), F.when(received, part).alias("part"))
-            .agg(F.sum(F.when(received, F.col("quantity"))).alias("received"),
-                 F.sum(F.when(~received, F.col("quantity"))).alias("consumed")))
+    return (ledger.groupBy(*PAIR, F.when(received, lot()).alias("lot"), F.when(received, part).alias("part"))
+            .agg(F.sum(F.when(received, F.col("quantity"))).alias("received"), F.sum(used).alias("consumed"),
+                 F.max(event_day()).alias("last_day")))
+
+
+def add_cells(cells: DataFrame, more: DataFrame) -> DataFrame:
+    """Two sets of cells as one: what ``position_cells`` gives for all their events."""
+    return cells.unionByName(more).groupBy(*PAIR, "lot", "part").agg(
+        F.sum("received").alias("received"), F.sum("consumed").alias("consumed"), F.max("last_day").alias("last_day"))
+
+
+def on_hand(cells: DataFrame, today: Column) -> DataFrame:
+    """(pair, on_hand, soonest_expiry, days_to_soonest_expiry) of the pairs with stock, from cells."""
+    left = F.least(F.col("received"), F.col("upto") - F.col("total_consumed"))
+    soonest = F.min(F.when(F.col("lot") < F.lit(LAST_DAY), F.col("lot")))
+    return cells_on_shelf(cells).groupBy(*PAIR).agg(
+        F.sum(left).alias("on_hand"), soonest.alias("soonest_expiry"), F.datediff(soonest, F.max(today)).alias("days_to_soonest_expiry"))
 
 
 def cells_on_shelf(cells: DataFrame) -> DataFrame:

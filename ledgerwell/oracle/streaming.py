@@ -10,5 +10,7 @@ SQL = {
         FROM t_captures, range(0, 24) r(h) GROUP BY ALL""",
     "K6_reporting_periods": """SELECT make_timestamp((epoch_us(event_ts) // 172800000000) * 172800000000) AS window_start, facility_id, count(*) AS reports
         FROM t_captures WHERE event_type = 'count' GROUP BY ALL""",
+    "K7_live_alerts": """SELECT facility_id, item_id, on_hand, days_of_cover, needs_reorder, status FROM t_reorder
+        WHERE (facility_id, item_id) IN (SELECT (facility_id, item_id) FROM t_stock)""",
     "K7_live_positions": "SELECT facility_id, item_id, on_hand, days_of_cover, needs_reorder, status FROM t_reorder",
 }

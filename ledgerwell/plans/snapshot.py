@@ -26,11 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def application_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; it goes when the application ends."""
+    base = f"{shared_folder(spark)}/ledgerwell/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return base
+
+
 def snapshot(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/ledgerwell/{spark.sparkContext.applicationId}"
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)      # gone when the application ends
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

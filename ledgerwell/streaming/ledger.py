@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import plan, quality, stock
 from ..operators.stock import PAIR
 from ..operators.transfers import LIFECYCLE
+from ..plans.kept import BUCKETS, KeptTable
 from ..schema import CONSUMING_TYPES
 
 
@@ -29,14 +30,23 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def write_new(df: DataFrame, path: str, batch_id: int, key: str) -> None:
-    """Write the rows whose key no earlier batch wrote, however long ago."""
-    spark = df.sparkSession
-    if batch_id and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
-            spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        before = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(key)
-        df = df.join(before, key, "left_anti")
-    write_batch(df, path, batch_id)
+def seen_keys(spark: SparkSession, path: str, key: str, buckets: int = BUCKETS) -> KeptTable:
+    return KeptTable(spark, path, f"{key} string", [key], buckets)
+
+
+def write_new(df: DataFrame, path: str, batch_id: int, key: str, seen: KeptTable) -> list[int]:
+    """Write the rows whose key no earlier batch wrote, however long ago; one row of a key that the
+    batch itself repeats. Keys of all batches are kept in buckets by digest, and only those of
+    this batch's keys are read."""
+    mine = df.dropDuplicates([key])
+    buckets = seen.touched(mine)
+    before = seen.read(batch_id - 1, buckets)
+    write_batch(mine.join(before, key, "left_anti"), path, batch_id)
+    if buckets:
+        new = df.sparkSession.read.parquet(f"{path}/batch={batch_id}").select(key)
+        seen.replace(before.unionByName(new), batch_id)
+        seen.forget(buckets, batch_id)
+    return buckets
 
 
 def run_available(df: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None],
@@ -165,26 +175,46 @@ def latest(spark: SparkSession, out: str, keys: list[str], value: str) -> DataFr
 
 # -- K7 ----------------------------------------------------------------------------------
 
-def refresh_positions(events: DataFrame, ledger_path: str, out: str, checkpoint: str,
+CELLS = "facility_id string, item_id string, lot date, part int, received bigint, consumed bigint, last_day date"
+
+
+def live_cells(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeptTable:
+    return KeptTable(spark, path, CELLS, PAIR, buckets)
+
+
+def merge_positions(batch: DataFrame, kept: KeptTable, batch_id: int) -> list[int]:
+    """Adds a micro-batch to the kept totals of its pairs; returns the buckets it read and wrote.
+    The ledger is not read, and neither are the other buckets."""
+    delta = stock.position_cells(batch)
+    buckets = kept.touched(batch)
+    if buckets:
+        kept.replace(stock.add_cells(kept.read(batch_id - 1, buckets), delta), batch_id)
+        kept.forget(buckets, batch_id)
+    return buckets
+
+
+def live_lines(kept: KeptTable, baseline: DataFrame, facilities: DataFrame, items: DataFrame,
+               pairs: DataFrame | None = None) -> DataFrame:
+    """Reorder status of every pair, or of the wanted ones, as of the last batch: worked out from the
+    kept totals when it is read."""
+    today = kept.read().agg(F.max("last_day")).scalar()
+    if pairs is None:
+        cells = kept.read()
+    else:
+        cells = kept.read(buckets=kept.touched(pairs)).join(pairs.select(*PAIR).distinct(), PAIR, "left_semi")
+        baseline = baseline.join(pairs.select(*PAIR).distinct(), PAIR, "left_semi")
+    return plan.status_of(baseline, facilities, items, stock.on_hand(cells, today))
+
+
+def refresh_positions(events: DataFrame, ledger_path: str, kept: KeptTable, out: str, checkpoint: str,
                       baseline: DataFrame, facilities: DataFrame, items: DataFrame) -> None:
-    """Append each micro-batch to the ledger and recompute stock and reorder status of the
-    pairs it touched, and only of those."""
+    """Append each micro-batch to the ledger, merge it into the kept totals, and write the lines of
+    the pairs it touched as alerts of that batch."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         write_batch(batch, ledger_path, batch_id)
-        # Only what this and earlier batches wrote, so that a repeated batch sees the same.
-        ledger = spark.read.parquet(ledger_path).filter(F.col("batch") <= batch_id)
-        touched = spark.read.parquet(f"{ledger_path}/batch={batch_id}").select(*PAIR).distinct()
-        today = ledger.agg(F.max(stock.event_day())).scalar()
-        mine = ledger.join(touched, PAIR, "left_semi")
-        position = stock.current_stock(mine, today)
-        lines = plan.reorder_status(baseline.join(touched, PAIR, "left_semi"), facilities, items, position)
+        mine = batch.sparkSession.read.schema(batch.schema).parquet(f"{ledger_path}/batch={batch_id}")
+        merge_positions(mine, kept, batch_id)
+        lines = live_lines(kept, baseline, facilities, items, mine)
         write_batch(lines.select(*PAIR, "on_hand", "days_of_cover", "needs_reorder", "status"), out, batch_id)
 
     run_available(events, checkpoint, on_batch)
-
-
-def current_lines(spark: SparkSession, out: str) -> DataFrame:
-    """The last written state of every pair."""
-    row = F.struct("on_hand", "days_of_cover", "needs_reorder", "status")
-    return spark.read.parquet(out).groupBy(*PAIR).agg(F.max_by(row, "batch").alias("r")).select(*PAIR, "r.*")

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..domain import Domain
 from ..operators import stock
-from ..plans.snapshot import shared_folder, snapshot
+from ..operators.stock import PAIR
+from ..plans.snapshot import application_folder, snapshot
 from . import ledger as live
 
 
 def _folder(d: Domain, name: str) -> str:
-    return f"{shared_folder(d.spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder for one replay, gone with the application's other written tables."""
+    return f"{application_folder(d.spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def instalments(df: DataFrame, at: str) -> list[DataFrame]:
@@ -47,9 +49,11 @@ def movements(d: Domain) -> DataFrame:
     rows = d.requests.filter("step IN ('dispatched', 'received')").select(
         F.concat_ws(":", "recommendation_id", "step").alias("event_id"), F.col("ts").cast("timestamp").alias("event_ts"))
 
+    seen = live.seen_keys(d.spark, _folder(d, "k2-keys"), "event_id")
+
     def start(s, ck, to):
         live.run_available(live.movements_once(s, "60 days").select("event_id"), ck,
-                           lambda b, i: live.write_new(b, to, i, "event_id"))
+                           lambda b, i: live.write_new(b, to, i, "event_id", seen))
     return d.spark.read.parquet(arrive(d, rows, "event_ts", "k2", start)).drop("batch")
 
 
@@ -91,8 +95,21 @@ def periods(d: Domain) -> DataFrame:
 
 def positions(d: Domain) -> DataFrame:
     rows = d.ledger.select("event_id", "facility_id", "item_id", "event_type", "quantity", "event_ts", "expiry_date")
-    books = _folder(d, "k7-ledger")
+    books, kept = _folder(d, "k7-ledger"), live.live_cells(d.spark, _folder(d, "k7-cells"))
+
+    def start(s, ck, to):
+        live.refresh_positions(s, books, kept, to, ck, d.baseline, d.facilities, d.items)
+    arrive(d, rows, "event_ts", "k7", start)
+    return live.live_lines(kept, d.baseline, d.facilities, d.items).select(*PAIR, "on_hand", "days_of_cover", "needs_reorder", "status")
+
+
+def alerts(d: Domain) -> DataFrame:
+    """What the batches wrote: the last line of every pair that was touched."""
+    rows = d.ledger.select("event_id", "facility_id", "item_id", "event_type", "quantity", "event_ts", "expiry_date")
+    books, kept = _folder(d, "k7-ledger"), live.live_cells(d.spark, _folder(d, "k7-cells"))
 
     def start(s, ck, to):
-        live.refresh_positions(s, books, to, ck, d.baseline, d.facilities, d.items)
-    return live.current_lines(d.spark, arrive(d, rows, "event_ts", "k7", start))
+        live.refresh_positions(s, books, kept, to, ck, d.baseline, d.facilities, d.items)
+    out = d.spark.read.parquet(arrive(d, rows, "event_ts", "k7", start))
+    row = F.struct("on_hand", "days_of_cover", "needs_reorder", "status")
+    return out.groupBy(*PAIR).agg(F.max_by(row, "batch").alias("r")).select(*PAIR, "r.*")

@@ -345,13 +345,3 @@ def test_export_gives_all_rows_and_one_facility(spark):
     assert ingest.interchange_export(led, fac, items, limit=7).count() == 7
     with pytest.raises(ValueError):
         ingest.interchange_export(led, fac, items, days=0)
-
-
-def test_movements_repeated_after_the_horizon_are_written_once(spark, tmp_path):
-    from ledgerwell.streaming import ledger as live
-    out = str(tmp_path / "out")
-    for batch, ids in enumerate((["a", "b"], ["c"], ["a", "d", "c"])):
-        live.write_new(spark.createDataFrame([(i,) for i in ids], "event_id string"), out, batch, "event_id")
-    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
-    live.write_new(spark.createDataFrame([("d",)], "event_id string"), out, 2, "event_id")      # the batch again
-    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d"]
