@@ -372,20 +372,25 @@ def movement_id(step) -> Column:
     return F.concat_ws(":", "recommendation_id", step)
 
 
-def apply_requests(requests: DataFrame) -> DataFrame:
+def apply_requests(requests: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Accepted steps of every transfer: no skip, no reverse, no repeat.
 
     A step counts at its first request after the step before it was accepted, so each
     step is one struct minimum per transfer: nothing is replayed row by row and a
-    transfer with very many requests is combined before the shuffle.
+    transfer with very many requests is combined before the shuffle. ``known`` (recommendation_id,
+    reached) has the steps accepted before these requests, as places in ``LIFECYCLE``.
     """
     at = F.struct("ts", "request_id")
     req = requests.select("recommendation_id", "step", at.alias("at"))
     accepted, prior = None, None
-    for step in LIFECYCLE[1:]:
+    for place, step in enumerate(LIFECYCLE[1:], 1):
         rows = req.filter(F.col("step") == step)
         if prior is not None:
-            rows = rows.join(prior, "recommendation_id").filter(F.col("at") > F.col("after"))
+            if known is not None:                                  # reached earlier: every request is after it
+                prior = prior.unionByName(known.filter(F.col("reached") == place - 1).select("recommendation_id"), allowMissingColumns=True)
+            rows = rows.join(prior, "recommendation_id").filter(F.col("after").isNull() | (F.col("at") > F.col("after")))
+        elif known is not None:
+            rows = rows.join(known, "recommendation_id", "left_anti")
         first = rows.groupBy("recommendation_id").agg(F.min("at").alias("after"))
         log = first.select("recommendation_id", F.lit(step).alias("fulfilment_status"),
                            F.col("after.ts").alias("updated_at"),

@@ -7,14 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.num import nvl0
 from ..operators import plan, quality, stock
 from ..operators.stock import PAIR
-from ..operators.transfers import LIFECYCLE
+from ..operators.transfers import LIFECYCLE, apply_requests
 from ..plans.kept import BUCKETS, KeptTable
 from ..schema import CONSUMING_TYPES
 
@@ -82,68 +81,59 @@ def movements_once(movements: DataFrame, horizon: str = "30 days") -> DataFrame:
 
 # -- K3 ----------------------------------------------------------------------------------
 
-HELD = ("event_id string, facility_id string, item_id string, event_type string, quantity bigint, "
-        "held boolean, on_record bigint")
-
-
-def hold_overdraws(events: DataFrame, opening: DataFrame) -> DataFrame:
-    """Running balance per facility and item kept as state; the opening balance joins from
-    the ledger and counts only the first time a pair is seen. Rows of a micro-batch are
-    taken in report order."""
-    if "resource_type" not in events.columns:          # a stream of medicine events alone
-        events = events.withColumn("resource_type", F.lit("medicine"))
-    rows = (events.join(opening.select(*PAIR, F.col("balance").alias("opening")), PAIR, "left")
-            .withColumn("opening", F.coalesce("opening", F.lit(0).cast("bigint")))
-            .select("event_id", *PAIR, "event_type", "quantity", "seq", "opening", "resource_type"))
-    consuming = set(CONSUMING_TYPES)
-
-    def fold(key, frames, state: GroupState):
-        pdf = pd.concat(list(frames)).sort_values("seq")
-        have = state.get[0] if state.exists else int(pdf["opening"].iloc[0])
-        held, seen = [], []
-        for kind, qty, item, what in zip(pdf["event_type"], pdf["quantity"], pdf["item_id"], pdf["resource_type"]):
-            seen.append(have)
-            hold = False
-            if what == "medicine" and item is not None and not pd.isna(qty):   # the rule of overdraw_hold
-                hold = kind in consuming and qty > have
-                if kind == "received":
-                    have += int(qty)
-                elif kind in consuming and not hold:
-                    have -= int(qty)
-            held.append(hold)
-        state.update((have,))
-        pdf["held"], pdf["on_record"] = held, seen
-        yield pdf[["event_id", *PAIR, "event_type", "quantity", "held", "on_record"]]
-
-    return rows.groupBy(*PAIR).applyInPandasWithState(
-        fold, HELD, "have bigint", "append", GroupStateTimeout.NoTimeout)
+def balances(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeptTable:
+    return KeptTable(spark, path, "facility_id string, item_id string, balance bigint", PAIR, buckets)
+
+
+def hold_overdraws(batch: DataFrame, batch_id: int, opening: DataFrame, kept: KeptTable, out: str) -> list[int]:
+    """Hold what takes off more than the shelf has, across micro-batches: the running balance of a
+    pair is kept, its opening balance counts the first time the pair is seen. Rows of a batch are
+    sorted and streamed in report order, so a pair may have any number of them."""
+    rows = batch if "resource_type" in batch.columns else batch.withColumn("resource_type", F.lit("medicine"))
+    buckets = kept.touched(rows)
+    known = kept.read(batch_id - 1, buckets)
+    new = rows.select(*PAIR).distinct().join(known, PAIR, "left_anti").join(opening, PAIR, "left").select(*PAIR, nvl0("balance").alias("balance"))
+    start = known.unionByName(new)
+    folded = quality.overdraw_hold(rows, start, group=())
+    write_batch(folded.select("event_id", *PAIR, "event_type", "quantity", "held", "on_record", "resource_type"), out, batch_id)
+    if buckets:
+        done = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}").filter("resource_type = 'medicine' AND NOT held")
+        moved = (F.when(F.col("event_type") == "received", F.col("quantity"))
+                 .when(F.col("event_type").isin(*CONSUMING_TYPES), -F.col("quantity")))
+        change = done.select(*PAIR, nvl0(moved).alias("balance"))
+        kept.replace(start.unionByName(change).filter("item_id IS NOT NULL").groupBy(*PAIR).agg(F.sum("balance").alias("balance")), batch_id)
+        kept.forget(buckets, batch_id)
+    return buckets
 
 
 # -- K4 ----------------------------------------------------------------------------------
 
-STEP = "recommendation_id string, fulfilment_status string, updated_at timestamp_ntz, request_id string, movement_event_id string"
-
-
-def advance_transfers(requests: DataFrame) -> DataFrame:
-    """The transfer lifecycle as state: one small number per transfer."""
-    position = {s: i for i, s in enumerate(LIFECYCLE)}
-
-    def advance(key, frames, state: GroupState):
-        at = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        out = []
-        for ts, rid, step in zip(pdf["ts"], pdf["request_id"], pdf["step"]):
-            if position.get(step, -1) == at + 1:
-                at += 1
-                out.append((key[0], step, ts, rid, None if step == "approved" else f"{key[0]}:{step}"))
-        state.update((at,))
-        if out:
-            yield pd.DataFrame(out, columns=["recommendation_id", "fulfilment_status", "updated_at",
-                                             "request_id", "movement_event_id"])
-
-    rows = requests.filter(F.col("step").isin(*LIFECYCLE[1:]))
-    return rows.groupBy("recommendation_id").applyInPandasWithState(
-        advance, STEP, "at int", "append", GroupStateTimeout.NoTimeout)
+KEEP_CLOSED = 400                # days
+
+
+def transfer_states(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeptTable:
+    return KeptTable(spark, path, "recommendation_id string, reached int, since timestamp_ntz", ["recommendation_id"], buckets)
+
+
+def advance_transfers(batch: DataFrame, batch_id: int, kept: KeptTable, out: str, keep_closed: int = KEEP_CLOSED) -> list[int]:
+    """The transfer lifecycle across micro-batches; the step a transfer has reached is kept. Each
+    step is one minimum, so a transfer may have any number of requests. A received transfer stays
+    known for ``keep_closed`` days of the requests' own time, to refuse late repeats, and leaves
+    the table when its bucket is written after that."""
+    steps = batch.filter(F.col("step").isin(*LIFECYCLE[1:]))
+    buckets = kept.touched(steps)
+    known = kept.read(batch_id - 1, buckets)
+    write_batch(apply_requests(steps, known), out, batch_id)
+    if buckets:
+        log = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}")
+        position = F.array_position(F.array(*[F.lit(s) for s in LIFECYCLE]), F.col("fulfilment_status")) - 1
+        now = log.select("recommendation_id", position.cast("int").alias("reached"), F.col("updated_at").cast("timestamp_ntz").alias("since"))
+        rows = known.unionByName(now).groupBy("recommendation_id").agg(F.max("reached").alias("reached"), F.max("since").alias("since"))
+        old = F.date_sub(F.to_date(steps.agg(F.max("ts")).scalar()), keep_closed)
+        closed = (F.col("reached") == len(LIFECYCLE) - 1) & (F.to_date("since") < old)
+        kept.replace(rows.filter(~closed), batch_id)
+        kept.forget(buckets, batch_id)
+    return buckets
 
 
 # -- K5, K6 ------------------------------------------------------------------------------

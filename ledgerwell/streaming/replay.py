@@ -61,15 +61,18 @@ def overdraws(d: Domain) -> DataFrame:
     rows = d.gate.filter("route = 'events'").select("event_id", "facility_id", "item_id", "event_type",
                                                     "quantity", "seq", "event_ts", "resource_type")
     opening = snapshot(stock.ledger_balance(d.ledger), "k3-opening")
+    kept = live.balances(d.spark, _folder(d, "k3-balances"))
 
     def start(s, ck, to):
-        live.run_available(live.hold_overdraws(s, opening), ck, lambda b, i: live.write_batch(b, to, i))
-    return d.spark.read.parquet(arrive(d, rows, "event_ts", "k3", start)).drop("batch")
+        live.run_available(s, ck, lambda b, i: live.hold_overdraws(b, i, opening, kept, to))
+    return d.spark.read.parquet(arrive(d, rows, "event_ts", "k3", start)).drop("batch", "resource_type")
 
 
 def transfers(d: Domain) -> DataFrame:
+    kept = live.transfer_states(d.spark, _folder(d, "k4-states"))
+
     def start(s, ck, to):
-        live.run_available(live.advance_transfers(s), ck, lambda b, i: live.write_batch(b, to, i))
+        live.run_available(s, ck, lambda b, i: live.advance_transfers(b, i, kept, to))
     return d.spark.read.parquet(arrive(d, d.requests, "ts", "k4", start)).drop("batch")
 
 

@@ -299,18 +299,6 @@ def test_late_and_repeated_movements(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["T:dispatched", "T:received", "U:dispatched"]
 
 
-def test_state_survives_a_restart(spark, tmp_path):
-    from ledgerwell.streaming import ledger as live
-    schema = "event_id string, facility_id string, item_id string, event_type string, quantity long, seq long"
-    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    opening = spark.createDataFrame([("F", "M", 5)], "facility_id string, item_id string, balance long")
-    for rows in ([("a", "F", "M", "received", 10, 1), ("b", "F", "M", "dispensed", 12, 2)], [("c", "F", "M", "dispensed", 4, 3), ("d", "F", "M", "lost", 3, 4)]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        live.run_available(live.hold_overdraws(live.stream_of(spark, src, schema), opening), ck, lambda b, i: live.write_batch(b, out, i))
-    got = {r.event_id: (r.held, r.on_record) for r in spark.read.parquet(out).collect()}
-    assert got == {"a": (False, 5), "b": (False, 15), "c": (True, 3), "d": (False, 3)}
-
-
 def test_price_lines_without_a_section(spark):
     lines = [("d", i, "Tablet 5 mg 1 Tablet 2.00 1499(E) 30.03.2022" if i % 1000 == 999 else f"page text {i}") for i in range(100_000)]
     got = ingest.price_rows(spark.createDataFrame(lines, "doc_id string, line_no long, line string")).collect()

@@ -129,3 +129,91 @@ def test_stock_from_cells_counts_undated_and_overdrawn(spark):
     today = F.lit(d(2024, 1, 9))
     assert bag(stock.on_hand(cells, today)) == bag(plan.stock_on_hand(stock.current_stock(led)))
     assert {tuple(r) for r in stock.on_hand(cells, today).collect()} == {("F", "M", 8, None, None), ("I", "M", 2, d(2024, 1, 5), -4)}
+
+
+# -- balances and transfers ----------------------------------------------------------------
+
+ROWS = "event_id string, facility_id string, item_id string, event_type string, quantity long, seq long"
+
+
+def test_balances_survive_a_restart(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    kept = live.balances(spark, str(tmp_path / "kept"), 8)
+    opening = spark.createDataFrame([("F", "M", 5)], "facility_id string, item_id string, balance long")
+    batches = [[("a", "F", "M", "received", 10, 1), ("b", "F", "M", "dispensed", 12, 2), ("n", "F", None, "dispensed", 1, 3)],
+               [("c", "F", "M", "dispensed", 4, 3), ("d", "F", "M", "lost", 3, 4), ("e", "G", "M", "lost", 1, 4), ("f", "F", "M", "count", 99, 9), ("g", "F", "M", "received", None, 10)],
+               [("h", "F", "M", "dispensed", 1, 1), ("i", "G", "M", "received", 2, 1), ("j", "G", "M", "expired", 2, 2)]]
+    for rows in batches:
+        spark.createDataFrame(rows, ROWS).write.mode("append").parquet(src)
+        live.run_available(live.stream_of(spark, src, ROWS), ck, lambda b, i: live.hold_overdraws(b, i, opening, kept, out))
+    got = {r.event_id: (r.held, r.on_record) for r in spark.read.parquet(out).collect()}
+    assert got == {"a": (False, 5), "b": (False, 15), "n": (False, 0), "c": (True, 3), "d": (False, 3), "e": (True, 0), "f": (False, 0), "g": (False, 0),
+                   "h": (True, 0), "i": (False, 0), "j": (False, 2)}
+    assert {tuple(r) for r in kept.read().collect()} == {("F", "M", 0), ("G", "M", 0)}
+    before = {tuple(r) for r in kept.read().collect()}
+    live.hold_overdraws(spark.createDataFrame(batches[2], ROWS), 2, opening, kept, out)              # the batch again
+    assert {tuple(r) for r in kept.read().collect()} == before
+
+
+def test_a_pair_larger_than_an_arrow_batch(spark, tmp_path):
+    kept, out = live.balances(spark, str(tmp_path / "kept"), 8), str(tmp_path / "out")
+    rng = random.Random(4)
+    rows = [(str(i), "F", "M", rng.choice(["received", "dispensed", "lost"]), rng.randrange(1, 9), i) for i in range(5000)]
+    opening = spark.createDataFrame([], "facility_id string, item_id string, balance long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for batch in range(2):
+            part = rows[batch * 2500:(batch + 1) * 2500]
+            live.hold_overdraws(spark.createDataFrame(rng.sample(part, len(part)), ROWS), batch, opening, kept, out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    have, want = 0, {}
+    for i, _, _, kind, q, _ in rows:
+        hold = kind != "received" and q > have
+        want[i] = (hold, have)
+        have += q if kind == "received" else 0 if hold else -q
+    assert {r.event_id: (r.held, r.on_record) for r in spark.read.parquet(out).collect()} == want
+    assert [r.balance for r in kept.read().collect()] == [have]
+
+
+REQUESTS = "request_id string, recommendation_id string, step string, ts timestamp_ntz"
+
+
+def one_by_one(batches):
+    order, at, log = ["recommended", "approved", "dispatched", "received"], {}, set()
+    for rows in batches:
+        for rid, rec, step, ts in sorted(rows, key=lambda r: (r[3], r[0])):
+            if step in order[1:] and order.index(step) == at.get(rec, 0) + 1:
+                at[rec] = order.index(step)
+                log.add((rec, step, ts, rid))
+    return log, at
+
+
+def test_transfers_advance_over_batches(spark, tmp_path):
+    kept, out, rng = live.transfer_states(spark, str(tmp_path / "kept"), 8), str(tmp_path / "out"), random.Random(8)
+    batches = [[(f"{b}-{i}", f"T{rng.randrange(12)}", rng.choice(["approved", "dispatched", "received", "cancelled", "recommended"]),
+                 dt.datetime(2024, 1, 1 + b, rng.randrange(24))) for i in range(40)] for b in range(4)]
+    for b, rows in enumerate(batches):
+        for _ in range(2):                                                 # every batch twice
+            live.advance_transfers(spark.createDataFrame(rows, REQUESTS), b, kept, out)
+    log, at = one_by_one(batches)
+    assert {(r.recommendation_id, r.fulfilment_status, r.updated_at, r.request_id) for r in spark.read.parquet(out).collect()} == log
+    assert {r.recommendation_id: r.reached for r in kept.read().collect()} == at
+
+
+def test_closed_transfers_leave(spark, tmp_path):
+    kept, out = live.transfer_states(spark, str(tmp_path / "kept"), 1), str(tmp_path / "out")
+
+    def step(batch, rec, name, day):
+        live.advance_transfers(spark.createDataFrame([(f"{batch}", rec, name, dt.datetime(2024, 1, day))], REQUESTS), batch, kept, out, keep_closed=10)
+
+    def known():
+        return {r.recommendation_id: r.reached for r in kept.read().collect()}
+    for i, name in enumerate(("approved", "dispatched", "received", "approved")):      # the last one is a late repeat
+        step(i, "T", name, 1 + i)
+    assert known() == {"T": 3}
+    step(4, "U", "approved", 9)
+    assert known() == {"T": 3, "U": 1}
+    step(5, "V", "approved", 30)
+    assert known() == {"U": 1, "V": 1}
+    assert len(spark.read.parquet(out).filter("recommendation_id = 'T'").collect()) == 3
