@@ -227,7 +227,8 @@ def surge_recommendations(impact: DataFrame, rs: DataFrame, stock: DataFrame, fa
     best = best_donor(snapshot(need, "h10-need"), snapshot(offer, "h10-offer"),
                       ["to_facility_id", "requested_item_id", "surge_month"], max_km,
                       F.col("fefo_days_to_expiry") >= F.col("receiver_lead_time") + usable_days,
-                      ["distance_km", "fefo_days_to_expiry", "from_facility_id", "supplied_item_id"], "h10")
+                      ["distance_km", "fefo_days_to_expiry", "from_facility_id", "supplied_item_id"],
+                      grows=["fefo_days_to_expiry"])
     want = to_long(F.greatest(F.lit(0.0), F.least(
         F.col("r_point") * target - F.col("r_hand"), F.col("spare_units"), F.col("fefo_batch_qty"))))
     claims = (best.withColumn("requested_quantity", want)
@@ -342,7 +343,7 @@ def scenario_transfers(rs: DataFrame, facilities: DataFrame, multiplier: float,
         F.col("latitude").alias("from_lat"), F.col("longitude").alias("from_lon"))
     best = best_donor(snapshot(need, "h13-need"), snapshot(offer, "h13-offer"),
                       ["to_facility_id", "requested_item_id"], max_km, F.lit(True),
-                      ["distance_km", "from_facility_id", "supplied_item_id"], "h13", also_on=["district"])
+                      ["distance_km", "from_facility_id", "supplied_item_id"], also_on=["district"])
     return (best.withColumn("quantity", to_long(F.least("wanted", "spare_units"))).filter("quantity >= 1")
             .select("district", "atc_class", "to_facility_id", "requested_item_id", "ven_class",
                     "receiver_lead_time", "from_facility_id", "supplied_item_id", "is_substitution",

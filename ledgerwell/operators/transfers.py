@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km
 from ..functions.num import nvl0, ratio, rnd, to_long
 from ..plans.listing import upto
-from ..plans.near import KM_PER_DEGREE, near_pairs
+from ..plans.near import KM_PER_DEGREE, near_pairs, with_cell, with_probe_cells
 from ..plans.one_row import beside
 from ..plans.ordered import range_cell, running_totals
 from ..plans.snapshot import snapshot
+from ..plans.streamed import shuffle_width
 from .stock import PAIR
 
 TARGET = 1.5
@@ -66,41 +67,66 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
 
 # -- nearest donor -----------------------------------------------------------------------
 
+FINER = 8.0                      # a level's radius is this many times smaller than the one above
+LEVELS = 4                       # 150 km down to about 300 m
+
+
 def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: float,
-               accept: Column, order: list, name: str, also_on: tuple | list = (),
-               steps: tuple = (1 / 6, 1)) -> DataFrame:
+               accept: Column, order: list, also_on: tuple | list = (), grows: tuple | list = (),
+               levels: int = LEVELS) -> DataFrame:
     """For each need row the first acceptable offer: same item before same class, then
     by ``order`` (which starts with distance).
 
     ``need`` has to_lat/to_lon, requested_item_id, atc_class; ``offer`` has from_lat/from_lon,
-    supplied_item_id, donor_class. The search widens ring by ring and only rows without an
-    answer go on, so the pairs that are looked at stay close to the pairs that are needed.
-    An answer is final when it lies inside the ring, because all other offers are further.
-    ``steps`` are the ring radii as shares of the full one; give more for dense networks.
+    supplied_item_id, donor_class. Of the offer, ``accept`` reads the columns ``grows`` only, and an offer
+    that has more of them is never less acceptable.
+
+    Offers lie in cells of several levels. Every cell knows the most that any of its offers has,
+    and for each of ``grows`` the offer that has it. In its own cells a need finds how near an acceptable
+    offer is for certain; offers are then looked up once, on the level that covers this distance,
+    and only in cells where the most there is can be acceptable. Nothing is searched twice, needs that
+    cannot be met meet no offers, and a crowded place is a matter of its smallest cells.
     """
-    left, answers = need, []
-    item = offer.withColumn("requested_item_id", F.col("supplied_item_id"))
-    group = offer.filter(F.col("donor_class").isNotNull()).withColumn("atc_class", F.col("donor_class"))
-    search = [(side, on, radius_km * s) for side, on in ((item, ["requested_item_id"]), (group, ["atc_class"]))
-              for s in steps]
-    for i, (side, on, radius) in enumerate(search):
-        pairs = near_pairs(left, side, radius, on=[*also_on, *on]).filter(
-            F.col("to_facility_id") != F.col("from_facility_id"))
-        if on == ["atc_class"]:
-            pairs = pairs.filter(F.col("supplied_item_id") != F.col("requested_item_id"))
-        pairs = pairs.withColumn("is_substitution", F.lit(on == ["atc_class"])).filter(accept)
-        if radius < radius_km:
-            pairs = pairs.filter(F.col("distance_km") < radius)
-        rest = [c for c in pairs.columns if c not in key and c not in order]
-        best = pairs.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("b")).select(*key, "b.*")
-        best = snapshot(best, f"{name}-{i}")
-        answers.append(best)
-        if i + 1 < len(search):
-            left = left.join(best.select(*key), key, "left_anti")
-    out = answers[0]
-    for a in answers[1:]:
-        out = out.unionByName(a)
-    return out
+    on, place = [*also_on, "_match"], ["_level", "_band", "_cell"]
+    radii = [radius_km / FINER ** i for i in range(levels)]
+    radius = F.lit(radius_km) / F.pow(F.lit(FINER), F.col("_level"))
+
+    def matched(df: DataFrame, item: str, group: str) -> DataFrame:
+        """Twice: by item (side 0) and by class (side 1)."""
+        by = F.when(F.col("_side") == 0, F.concat(F.lit("i:"), item)).otherwise(F.concat(F.lit("c:"), group))
+        return df.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_match", by).filter(F.col("_match").isNotNull())
+
+    every_level = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
+    cells = with_cell(matched(offer.filter("from_lat IS NOT NULL AND from_lon IS NOT NULL"), "supplied_item_id", "donor_class")
+                      .withColumn("_level", every_level), "from_lat", "from_lon", radius).drop("_side")
+    # dealt by the key once: the sums and joins by key below find their rows in place
+    needs = matched(need.filter("to_lat IS NOT NULL AND to_lon IS NOT NULL").repartition(shuffle_width(need), *key), "requested_item_id", "atc_class")
+    other = (F.col("to_facility_id") != F.col("from_facility_id")) & ((F.col("_side") == 0) | (F.col("supplied_item_id") != F.col("requested_item_id")))
+
+    told = ["from_facility_id", "supplied_item_id", "from_lat", "from_lon", *grows]
+    has_it = [F.max_by(F.struct(*told), F.struct(c, "from_facility_id", "supplied_item_id")) for c in (grows or told[:1])]
+    known = cells.groupBy(*on, *place).agg(F.array_distinct(F.array(*has_it)).alias("_known"), *[F.max(c).alias(c) for c in grows])
+    own = with_cell(needs.withColumn("_level", every_level), "to_lat", "to_lon", radius).join(known.drop(*grows), [*on, *place])
+    sure = own.withColumn("_k", F.explode("_known")).drop("_known").select("*", "_k.*").filter(other & accept)
+    km = haversine_km("to_lat", "to_lon", "from_lat", "from_lon")
+    found = sure.groupBy(*key).agg(*[F.min(F.when((F.col("_side") == i) & (km <= F.lit(float(radius_km))), km)).alias(f"_near{i}") for i in (0, 1)])
+
+    # distances are compared in tenths: everything in the same tenth is looked at
+    sure_km = F.when(F.col("_side") == 0, F.col("_near0")).otherwise(F.col("_near1"))
+    bound = F.least(F.lit(float(radius_km)), F.coalesce(sure_km + 0.1, F.lit(float(radius_km))))
+    level = F.lit(0)
+    for i, r in enumerate(radii[1:], 1):
+        level = F.when(F.col("_bound") <= F.lit(r), i).otherwise(level)
+    wanted = (F.col("_side") == 0) | F.col("_near0").isNull()
+    search = with_probe_cells(needs.join(found, key, "left").filter(wanted).withColumn("_bound", bound).withColumn("_level", level), "to_lat", "to_lon", radius)
+    if grows:
+        search = search.join(known.drop("_known"), [*on, *place]).filter(accept).drop(*grows)
+    pairs = (search.join(cells, [*on, *place]).withColumn("km", km)
+             .filter((F.col("km") <= F.col("_bound")) & other & accept)
+             .withColumn("distance_km", rnd("km", 1)).withColumn("is_substitution", F.col("_side") == 1))
+    rest = [c for c in dict.fromkeys([*need.columns, *offer.columns, "km"]) if c not in key and c not in order]
+    best = pairs.groupBy(*key).agg(F.min(F.struct("is_substitution", *order, *rest)).alias("b"))
+    return best.select(*key, "b.*")
 
 
 def transfer_id(*cols) -> Column:
@@ -142,7 +168,8 @@ def recommendations(rs: DataFrame, stock: DataFrame, facilities: DataFrame,
     accept = (F.col("fefo_days_to_expiry") >= F.col("receiver_lead_time") + usable_days) & (size >= worth)
     best = best_donor(snapshot(need, "e1-need"), snapshot(offer, "e1-offer"),
                       ["to_facility_id", "requested_item_id"], max_km, accept,
-                      ["distance_km", "fefo_days_to_expiry", "from_facility_id", "supplied_item_id"], "e1")
+                      ["distance_km", "fefo_days_to_expiry", "from_facility_id", "supplied_item_id"],
+                      grows=["fefo_days_to_expiry", "spare_units", "fefo_batch_qty"])
     q = F.col("quantity")
     return (best.withColumn("quantity", size)
             .select(transfer_id("to_facility_id", "requested_item_id", "from_facility_id",

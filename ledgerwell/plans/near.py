@@ -17,27 +17,32 @@ from ..functions.num import rnd
 KM_PER_DEGREE = 111.19
 
 
-def _band_width(band: Column, degrees: float) -> Column:
+def _num(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def _band_width(band: Column, degrees: Column) -> Column:
     """Longitude width of a cell in a band, wide enough at the band's far edge."""
-    edge = F.greatest(F.abs(band * F.lit(degrees)), F.abs((band + 1) * F.lit(degrees)))
-    return F.lit(degrees) / F.greatest(F.cos(F.radians(edge)), F.lit(0.05))
+    edge = F.greatest(F.abs(band * degrees), F.abs((band + 1) * degrees))
+    return degrees / F.greatest(F.cos(F.radians(edge)), F.lit(0.05))
 
 
-def with_cell(df: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
-    deg = radius_km / KM_PER_DEGREE
-    band = F.floor(F.col(lat) / F.lit(deg))
+def with_cell(df: DataFrame, lat: str, lon: str, radius_km: float | Column) -> DataFrame:
+    deg = _num(radius_km) / F.lit(KM_PER_DEGREE)
+    band = F.floor(F.col(lat) / deg)
     return (df.withColumn("_band", band)
               .withColumn("_cell", F.floor(F.col(lon) / _band_width(F.col("_band"), deg))))
 
 
-def with_probe_cells(df: DataFrame, lat: str, lon: str, radius_km: float) -> DataFrame:
-    """Every cell that a circle around the row can touch, over the poles and across +-180 too."""
-    deg, angle = radius_km / KM_PER_DEGREE, radius_km / EARTH_KM
-    over_pole = F.abs(F.col(lat)) + F.lit(math.degrees(angle)) >= 90.0
-    side = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(angle, math.pi / 2)))
+def with_probe_cells(df: DataFrame, lat: str, lon: str, radius_km: float | Column) -> DataFrame:
+    """Every cell that a circle around the row can touch, over the poles and across +-180 too. The
+    radius may differ by row; cells of different radii are different grids."""
+    deg, angle = _num(radius_km) / F.lit(KM_PER_DEGREE), _num(radius_km) / F.lit(EARTH_KM)
+    over_pole = F.abs(F.col(lat)) + F.degrees(angle) >= 90.0
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.least(angle, F.lit(math.pi / 2)))
                                     / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9))))) + F.lit(1e-6)
-    reach = F.when(over_pole | F.lit(angle >= math.pi / 2), 180.0).otherwise(F.least(side, F.lit(180.0)))
-    mid = F.floor(F.col(lat) / F.lit(deg))
+    reach = F.when(over_pole | (angle >= math.pi / 2), 180.0).otherwise(F.least(side, F.lit(180.0)))
+    mid = F.floor(F.col(lat) / deg)
     out = df.withColumn("_reach", reach).withColumn("_band", F.explode(F.sequence(mid - 1, mid + 1)))
     width = _band_width(F.col("_band"), deg)
     last, first = F.floor(F.lit(180.0) / width), F.floor(F.lit(-180.0) / width)
@@ -47,7 +52,8 @@ def with_probe_cells(df: DataFrame, lat: str, lon: str, radius_km: float) -> Dat
         hi = F.least(F.floor((F.col(lon) + shift + F.col("_reach")) / width), last)
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
-    cells = F.array_distinct(F.concat(*[between(F.lit(s)) for s in (-360.0, 0.0, 360.0)]))
+    passes = F.abs(F.col(lon)) + F.col("_reach") >= 180.0            # only there the other sides of the map count
+    cells = F.when(passes, F.array_distinct(F.concat(*[between(F.lit(s)) for s in (-360.0, 0.0, 360.0)]))).otherwise(between(F.lit(0.0)))
     return out.withColumn("_cell", F.explode(cells)).drop("_reach")
 
 

@@ -51,22 +51,55 @@ def test_running_totals_equal_a_plain_running_sum(spark):
     assert got == want
 
 
-def test_best_donor_equals_brute_force(spark):
-    r = random.Random(11)
-    need = [(f"n{i}", f"m{i % 5}", f"c{i % 2}", r.uniform(20, 22), r.uniform(75, 77), r.randrange(5, 30)) for i in range(120)]
-    offer = [(f"o{i}", f"m{i % 6}", None if i % 6 == 5 else f"c{i % 2}", r.uniform(20, 22), r.uniform(75, 77), r.randrange(1, 40)) for i in range(150)]
-    n = spark.createDataFrame(need, "to_facility_id string, requested_item_id string, atc_class string, to_lat double, to_lon double, want int")
-    o = spark.createDataFrame(offer, "from_facility_id string, supplied_item_id string, donor_class string, from_lat double, from_lon double, have int")
-    out = best_donor(n, o, ["to_facility_id", "requested_item_id"], 120.0, F.col("have") >= F.col("want"),
-                     ["distance_km", "from_facility_id", "supplied_item_id"], "test")
-    got = {x.to_facility_id: (x.is_substitution, x.distance_km, x.from_facility_id) for x in out.collect()}
+NEED = "to_facility_id string, requested_item_id string, atc_class string, to_lat double, to_lon double, want int"
+OFFER = "from_facility_id string, supplied_item_id string, donor_class string, from_lat double, from_lon double, have int"
+
+
+def brute_donors(need, offer, radius):
     want = {}
     for f, m, c, la, lo, w in need:
         c_ = [(m2 != m, math.floor(km(la, lo, lb, l2) * 10 + .5) / 10, g) for g, m2, c2, lb, l2, h in offer
-              if h >= w and (m2 == m or c2 == c) and km(la, lo, lb, l2) <= 120]
+              if g != f and h >= w and (m2 == m or (c is not None and c2 == c)) and la is not None and lb is not None and km(la, lo, lb, l2) <= radius]
         if c_:
             want[f] = min(c_)
-    assert got == want
+    return want
+
+
+def donors(spark, need, offer, radius, **how):
+    out = best_donor(spark.createDataFrame(need, NEED), spark.createDataFrame(offer, OFFER), ["to_facility_id", "requested_item_id"], radius,
+                     F.col("have") >= F.col("want"), ["distance_km", "from_facility_id", "supplied_item_id"], grows=["have"], **how)
+    return out, {x.to_facility_id: (x.is_substitution, x.distance_km, x.from_facility_id) for x in out.collect()}
+
+
+@pytest.mark.parametrize("levels", [1, 3, 5])
+@pytest.mark.parametrize("place", ["spread", "crowded", "date line"])
+def test_best_donor_equals_brute_force(spark, place, levels):
+    r = random.Random(11)
+
+    def spot(i):
+        if place == "date line":
+            return r.uniform(-17, -15), r.choice([r.uniform(179, 180), r.uniform(-180, -179)])
+        if place == "crowded" and i % 5 == 0:                      # a fifth within some metres
+            return 21 + r.uniform(0, 1e-4), 76 + r.uniform(0, 1e-4)
+        return r.uniform(20, 22), r.uniform(75, 77)
+    need = [(f"n{i}", f"m{i % 5}", f"c{i % 2}", *spot(i), r.randrange(5, 45)) for i in range(120)]
+    offer = [(f"o{i}", f"m{i % 6}", None if i % 6 == 5 else f"c{i % 2}", *spot(i), r.randrange(1, 40)) for i in range(150)]
+    need += [("o3", "m1", "c1", *offer[3][3:5], 1), ("lost", "m1", "c1", None, None, 1), ("no class", "m2", None, 21.0, 76.0, 1)]
+    offer += [("o3", "m4", "c1", *offer[3][3:5], 90), ("nowhere", "m1", "c1", None, None, 90)]
+    _, got = donors(spark, need, offer, 120.0, levels=levels)
+    assert got == brute_donors(need, offer, 120.0)
+
+
+def test_crowded_spot(spark):
+    """A fifth of all places within a kilometre."""
+    r = random.Random(2)
+
+    def spot(i):
+        return (21 + r.uniform(0, 0.01), 76 + r.uniform(0, 0.01)) if i % 5 == 0 else (r.uniform(18, 24), r.uniform(73, 79))
+    need = [(f"n{i}", "m", "c", *spot(i), r.randrange(5, 20)) for i in range(1500)]
+    offer = [(f"o{i}", "m", "c", *spot(i), r.randrange(1, 40)) for i in range(1500)]
+    _, got = donors(spark, need, offer, 150.0)
+    assert got == brute_donors(need, offer, 150.0)
 
 
 def test_beside_needs_no_join(spark):
