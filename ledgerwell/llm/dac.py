@@ -18,8 +18,11 @@ from __future__ import annotations
 import io
 import json
 import os
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain, count
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,13 @@ from ..plans.streamed import shuffle_width
 MAGIC = b"DACFILE1"
 BLOCK = 512                      # bits of a bitmap between two entries of its directory
 FILE_TOKENS = 1 << 25            # a file ends with the document that reaches this many ids
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
+LEARN_AT_ONCE = 20_000           # words handed to the library in one call
 KNOWN_IDS = 4_000_000
 BATCH_CHARS = 1 << 22
+#: A Latin letter before an ASCII sign that neither opens a contraction nor occurs in the special
+#: strings. Letters and signs are never one token here, so a blank between them changes no id.
+SIGN_AFTER_LETTER = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:;=?@\[-`{}~])"
 MANIFEST = "file string, part long, number long, n_docs long, n_tokens long"
 
 
@@ -171,35 +178,46 @@ class _WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self._known, self._ids, self._n = {}, np.zeros(1 << 16, np.uint32), 0
-        self._ends = [0]
+        self._known, self._ids, self._ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self._enc.encode_batch_fast(words, add_special_tokens=False)):
-            ids = e.ids
-            while self._n + len(ids) > len(self._ids):
-                self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-            self._ids[self._n:self._n + len(ids)] = ids
-            self._n += len(ids)
-            self._known[word] = len(self._ends) - 1
-            self._ends.append(self._n)
+        ids, lengths = [self._ids], []
+        for i in range(0, len(words), LEARN_AT_ONCE):
+            got = [e.ids for e in self._enc.encode_batch_fast(words[i:i + LEARN_AT_ONCE], add_special_tokens=False)]
+            lengths += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        self._known.update(zip(words, count(len(self._known))))
+        self._ids = np.concatenate(ids)
+        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(lengths, dtype=np.int64)])
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each word)."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self._known) > KNOWN_WORDS or self._n > KNOWN_IDS:
+        if len(self._known) > KNOWN_WORDS or len(self._ids) > KNOWN_IDS:
             self._forget()
         self._learn([w for w in distinct if w not in self._known])
         number = np.fromiter(map(self._known.__getitem__, distinct), np.int64, len(distinct))
-        ends = np.asarray(self._ends)
-        starts, lengths = ends[number], ends[number + 1] - ends[number]
+        starts, lengths = self._ends[number], self._ends[number + 1] - self._ends[number]
         which = coded.indices.to_numpy()
         n = lengths[which]
         shift = starts[which] - (np.cumsum(n) - n)
         return self._ids[np.repeat(shift, n) + np.arange(n.sum())], n
 
 
+def _word_ids(path: str) -> _WordIds:
+    """The words a worker process has met stay for its next tasks, where Spark uses it again."""
+    memory = vars(sys.modules.setdefault("ledgerwell_worker_memory", ModuleType("ledgerwell_worker_memory")))
+    if path not in memory:
+        memory[path] = _WordIds(path)
+    return memory[path]
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """Words of the texts, signs behind a letter apart from it."""
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, SIGN_AFTER_LETTER, r"\1 \2"))
+
+
 def _pieces(texts: Iterable[str | None], limit: int):
     """Batches of pieces [(document, text)] of about ``limit`` characters; long texts are cut behind
     a blank."""
@@ -230,7 +248,7 @@ def encoded(enc: _WordIds, texts: pa.Array, end_id: int | None, limit: int = BAT
     batch = next(pieces, None)
     while batch is not None:
         after = next(pieces, None)
-        words = pc.ascii_split_whitespace(pa.array([t for _, t in batch], pa.string()))
+        words = _words(pa.array([t for _, t in batch], pa.string()))
         ids, per_word = enc.of(words.flatten())
         upto = np.concatenate([[0], np.cumsum(per_word)])[words.offsets.to_numpy()]
         docs = np.fromiter((d for d, _ in batch), np.int64, len(batch))
@@ -249,7 +267,7 @@ def _write(path: str, end_id: int | None, folder: str, file_tokens: int):
     """Per batch of sorted rows (id, text) the files they fill: rows of the manifest."""
     def run(batches):
         from pyspark import TaskContext
-        part, number, enc = TaskContext.get().partitionId(), 0, _WordIds(path)
+        part, number, enc = TaskContext.get().partitionId(), 0, _word_ids(path)
         fs, base = _filesystem(folder)
         names, ids, counts, held = [], [], [], 0                   # of the file that is being filled
 

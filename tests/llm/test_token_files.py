@@ -48,7 +48,7 @@ def test_a_token_is_read_without_the_rest(tmp_path, monkeypatch):
 
 
 ODD = [(1, "a\x0bb\x0cc\rd\te\x1cf\x85g h i"), (2, "é ́x ΑΣ ΑΣ. İ ﬁ"), (3, "x" * 5000 + " " + "\n" * 3000 + "y"), (4, "<|endoftext|>a <|startoftext|> b<|endof text|>"),
-       (5, " lead and trail \n"), (6, "don't I'll we've 'S 's"), (7, "漢字 かな 한국어 😀👩‍👩‍👧 ½ ² Ⅷ ③"), (None, "no id"), (None, None), (-5, "negative id")]
+       (5, " lead and trail \n"), (6, "don't I'll we've 'S 's"), (7, "漢字 かな 한국어 😀👩‍👩‍👧 ½ ² Ⅷ ③"), (8, "a,b a.'s don't.x ab-cd a=\u0338b e\u0301,\u0301x ñ;ñ É!!! x|>y a<|endoftext|>.b a's, a)'ll tith.### Es$$$ ab@c.de × ÷,x"), (None, "no id"), (None, None), (-5, "negative id")]
 
 
 @pytest.mark.parametrize("limit,file_tokens,clash", [(dac.BATCH_CHARS, dac.FILE_TOKENS, False), (50, 200, True)])
