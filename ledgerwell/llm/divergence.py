@@ -8,13 +8,15 @@ counts, and only terms held by both are met pair by pair.
 
 A fitted vocabulary passes through the driver and to every task. Its size is bounded: the terms
 of a language are dealt into shards by their digest, as many as keep the (measured) number of
-different terms of a shard under ``SHARD_TERMS``, and every shard is fitted for itself.
+terms that can be kept under ``SHARD_TERMS`` a shard, and every shard is fitted for itself.
 """
 from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ from ..plans.snapshot import shared_folder, snapshot
 MIN_DOCS = 10
 ALL_TERMS = (1 << 31) - 1
 SHARD_TERMS = 500_000
+SIZED_BY = 64                    # one term in so many, by digest, is counted to size the shards
 TOP = 10
-#: Runs of characters that are neither ASCII controls, digits, signs nor blanks.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+HELD_SUMS = 1_000_000
+#: Terms are what stands between runs of ASCII controls, digits, signs and blanks.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands in every document, so that no fit is left without a term. It is no term itself.
 MARK = " "
 
@@ -34,10 +38,8 @@ def _tokens(docs: DataFrame) -> DataFrame:
     """(lang, source, tokens), texts in lower case as far as A-Z go."""
     def plain(c):
         return F.coalesce(F.col(c), F.lit(""))
-    texts = docs.select(plain("lang").alias("lang"), plain("source").alias("source"),
-                        F.translate(plain("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    cut = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TERM, gaps=False, toLowercase=False, minTokenLength=1)
-    return cut.transform(texts).drop("text")
+    text = F.translate(plain("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return docs.select(plain("lang").alias("lang"), plain("source").alias("source"), F.array_remove(F.split(text, BETWEEN), "").alias("tokens"))
 
 
 def _fitted(tokens: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -49,26 +51,63 @@ def _fitted(tokens: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     return model.transform(tokens), names.filter(F.col("term") != MARK)
 
 
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sum of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _partial_sums(batches):
+    """Sums (source, index, n) over many sparse vectors, at most ``HELD_SUMS`` of them and a batch at once."""
+    number, keys, sums = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows():
+        names = np.array(list(number), object)
+        return pa.RecordBatch.from_arrays([pa.array(names[keys >> 32], pa.string()), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)],
+                                          names=["source", "index", "n"])
+    for batch in batches:
+        coded = batch.column(0).dictionary_encode()
+        code = np.array([number.setdefault(s, len(number)) for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        at, n = batch.column(1), batch.column(2).flatten().to_numpy().astype(np.int64)
+        source = np.repeat(code, np.diff(at.offsets.to_numpy()))
+        keys, sums = _added(np.concatenate([keys, source << 32 | at.flatten().to_numpy()]), np.concatenate([sums, n]))
+        if len(keys) > HELD_SUMS:
+            yield rows()
+            number, keys, sums = {}, keys[:0], sums[:0]
+    if len(keys):
+        yield rows()
+
+
 def _entries(vectors: DataFrame) -> DataFrame:
-    """Group sums (source, index, n) of the sparse entries."""
+    """Group sums (source, index, n) of the sparse entries: added up in the task first."""
     raw = F.unwrap_udt(F.col("vector"))
-    pairs = vectors.select("source", F.explode(F.arrays_zip(raw.getField("indices").alias("index"), raw.getField("values").alias("n"))).alias("e"))
-    return pairs.groupBy("source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+    parts = vectors.select("source", raw.getField("indices").alias("at"), raw.getField("values").alias("n"))
+    return parts.mapInArrow(_partial_sums, "source string, index int, n long").groupBy("source", "index").agg(F.sum("n").alias("n"))
+
+
+def _shards(tokens: DataFrame, min_docs: int, shard_terms: int) -> dict[str, int]:
+    """Shards by language. Terms with ``min_docs`` occurrences, of which the kept ones are a part,
+    are counted exactly for one term in ``SIZED_BY``; this decides nothing but the number of fits."""
+    some = tokens.select("part", F.explode("tokens").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(SIZED_BY)) == 0)
+    sizes = some.groupBy("part", "t").count().filter(F.col("count") >= min_docs).groupBy("part").count().collect()      # one row per language
+    return {r.part: max(1, -(-r["count"] * SIZED_BY // shard_terms)) for r in sizes}
 
 
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, DataFrame]:
     """(groups (lang, source) that occur, counts (lang, source, term, n > 0) of the kept terms)."""
     spark = docs.sparkSession
     base = f"{shared_folder(spark)}/ledgerwell/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
-    _tokens(docs).withColumn("part", F.concat(F.lit("l"), F.md5(F.col("lang").cast("binary")))).write.partitionBy("part").parquet(base)
+    _tokens(docs).withColumn("part", F.concat(F.lit("l"), F.md5(F.col("lang").cast("binary")))).write.partitionBy("part").option("parquet.enable.dictionary", "false").parquet(base)
     tokens = spark.read.schema("lang string, source string, tokens array<string>, part string").parquet(base)
     groups = snapshot(tokens.groupBy("part", "lang", "source").count(), "groups")
     sizes = groups.groupBy("part", "lang").agg(F.sum("count").alias("n")).filter(F.col("n") >= min_docs)    # no other keeps a term
-    different = tokens.join(sizes, ["part", "lang"], "left_semi").select("part", F.explode("tokens").alias("t")).groupBy("part").agg(F.approx_count_distinct("t", 0.02).alias("d"))
+    shards_of = _shards(tokens, min_docs, shard_terms)
     found = spark.createDataFrame([], "lang string, source string, term string, n long")
-    for r in sizes.join(different, "part", "left").orderBy("part").collect():                                # one row per language
+    for r in sizes.orderBy("part").collect():                                                                # one row per language
         mine = tokens.filter(F.col("part") == r.part).select("source", "tokens")
-        shards = max(1, -(-int((r.d or 0) * 1.1) // shard_terms))
+        shards = shards_of.get(r.part, 1)
         for k in range(shards):
             own = F.col("tokens") if shards == 1 else F.filter("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k)
             vectors, names = _fitted(mine.select("source", F.concat(own, F.array(F.lit(MARK))).alias("tokens")), min_docs)
