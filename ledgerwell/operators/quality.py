@@ -89,6 +89,7 @@ def loss_reason(event_type="event_type", reason="loss_reason") -> Column:
 def name_key(col) -> Column:
     """A spoken or written name without case, bracketed glosses, strengths and spacing."""
     c = F.col(col) if isinstance(col, str) else col
+    # The patterns of a name key.
     c = F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", " ")
     c = F.regexp_replace(F.lower(c), r"\b\d+(\.\d+)?\s*(mg|ml|mcg|g|gm|iu|lac|%)?\b", " ")
     c = F.regexp_replace(c, r"\s+", " ")
@@ -525,6 +526,7 @@ def number_check(notes: DataFrame, text: str = "text", facts: str = "facts") ->
             .withColumn("numbers_checked", F.size("_f") == 0).drop("_f"))
 
 
+# Fixed value: what a scanned code may look like.
 CODE = r"^[0-9A-Za-z.\-]{4,64}$"
 
 
