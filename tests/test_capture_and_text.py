@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -314,6 +316,44 @@ def test_price_lines_fold_by_counts(spark):
         ("Iron salt", "5 mg", 3.0), ("Iron salt more name", "Capsule 1 mg", 4.0), ("Iron salt more name", "Tablet 9 mg 1", 9.5), ("Zinc", "Syrup 2 ml", 6.25)]
 
 
+def test_price_lines_without_a_price_are_searched_line_by_line(spark):
+    """Long documents without a price, one of them a wrapped section, beside a short one with one."""
+    lines = ([("a", i, f"page text {i}") for i in range(50_000)]
+             + [("b", 0, "1.2 Iron")] + [("b", i, f"salt {i}") for i in range(1, 50_000)]
+             + [("c", 0, "1.2 Iron Tablet 5 mg 2.00 7(E) 01.01.2020")])
+    t0 = time.time()
+    got = ingest.price_rows(spark.createDataFrame(lines, "doc_id string, line_no long, line string")).collect()
+    assert [(r.doc_id, r.medicine, r.form, r.price) for r in got] == [("c", "Iron", "Tablet 5 mg", 2.0)]
+    assert time.time() - t0 < 20
+
+
+def test_price_tails_against_one_search_over_the_text(spark):
+    """Random documents of tail words, cells of seven lines, against one expression over the whole text."""
+    r = random.Random(9)
+    ended = re.compile(r"(?s)(.*?\s[\d,]+\.\d{2}\s+\S*\(E\)\s+\d{2}\.\d{2}\.\d{4})(?:\n|\Z)")
+    docs = {}
+    for d in range(60):
+        flow = []
+        for _ in range(r.randrange(40)):
+            flow += r.choice([["2.00", "7(E)", "01.01.2020"], ["2.00", "7(E)", "01.01.2020"], ["Tablet"], ["7(E)"], ["3.00"], ["x", "02.02.2020"]])
+        out = []
+        while flow:
+            n = r.choice([1, 1, 2, 3, 3, 3, 4])
+            out.append(" ".join(flow[:n]))
+            flow = flow[n:]
+        docs[f"d{d}"] = out
+    want = sorted((d, " ".join(m.split())) for d, ls in docs.items() for m in ended.findall("\n".join(ls)))
+    df = spark.createDataFrame([(d, 0, i, t) for d, ls in docs.items() for i, t in enumerate(ls)],
+                               "doc_id string, section long, line_no long, body string")
+    pieces, complete = {}, set()
+    for x in ingest._price_tails(df, 7).orderBy("doc_id", "line_no").collect():
+        pieces.setdefault((x.doc_id, x.piece), []).append(x.body)
+        if x.ends:
+            complete.add((x.doc_id, x.piece))
+    got = sorted((k[0], " ".join(pieces[k])) for k in complete)
+    assert len(got) > 100 and got == want
+
+
 def test_price_choice_by_pieces(spark):
     prices = spark.createDataFrame([("Zincovit", "Tablet 5 mg 1 Tablet", 2.0), ("Zinc", "Tablet 5 mg 1 Tablet", 3.0), ("Iron", "Tablet 1 mg 1 Tablet", 1.0)],
                                    "medicine string, form string, price double")
