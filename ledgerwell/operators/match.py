@@ -107,18 +107,33 @@ def _shape(df: DataFrame, prefix: str) -> DataFrame:
             .withColumn(prefix + "tokens", F.array_distinct("_t")).drop("_t"))
 
 
+def _rarest(df: DataFrame, key: str, text: str, freq: DataFrame, slack: float) -> DataFrame:
+    """The rarest pieces of each text, as many as any partner needs to meet one of them.
+
+    Of two texts that share t pieces, the n - t + 1 rarest of each have one in common, with one
+    order of pieces for both. No partner needs fewer shared pieces than (1 - 4 * slack) * length - 1.
+    """
+    n = F.length(text)
+    fewest = F.greatest(F.ceil(n * F.lit(1 - 4 * slack) - F.lit(1 + 1e-9)), F.lit(1)).cast("int")
+    pieces = df.select(key, text, F.explode(_grams(text)).alias("g")).join(freq, "g", "left")
+    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)), "g")))
+    return (pieces.groupBy(key, text).agg(ordered.alias("o"))
+            .select(key, text, F.explode(F.slice("o", F.lit(1), F.greatest(n - fewest, F.lit(1)))["g"]).alias("g")))
+
+
 def _gram_pairs(u: DataFrame, names: DataFrame, col: str, slack: float, longest: Column) -> DataFrame:
     """Pairs that can still reach the score. A score s allows slack * (l1 + l2) edits and an
-    edit destroys at most two pieces, so fewer shared pieces than ``need`` rule a pair out;
-    no pair that reaches the score is lost."""
+    edit destroys at most two pieces, so texts that share none of their rarest pieces are ruled
+    out, and so are those further apart than the edits allow; no pair that reaches the score is lost."""
     a, b = f"u_{col}", f"n_{col}"
-    left = (u.filter(F.length(a) <= longest).select("uid", a, F.length(a).alias("la"), F.explode(_grams(a)).alias("g")))
-    right = names.select(F.col("key").alias("n_key"), b, F.length(b).alias("lb"), F.explode(_grams(b)).alias("g"))
-    edits = F.floor(F.lit(slack) * (F.col("la") + F.col("lb")) + F.lit(1e-9))
-    need = F.greatest("la", "lb") - 1 - 2 * edits
-    return (left.join(right, "g").filter(F.abs(F.col("la") - F.col("lb")) <= edits)
-            .groupBy("uid", "n_key", a, b, "la", "lb").agg(F.count("*").alias("shared"))
-            .filter(F.col("shared") >= need).select("uid", "n_key", a, b))
+    names = names.select(F.col("key").alias("n_key"), b)
+    freq = names.select(F.explode(_grams(b)).alias("g")).groupBy("g").agg(F.count("*").alias("freq"))
+    left = _rarest(u.filter(F.length(a) <= longest), "uid", a, freq, slack)
+    right = _rarest(names, "n_key", b, freq, slack)
+    la, lb = F.length(a), F.length(b)
+    edits = F.floor(F.lit(slack) * (la + lb) + F.lit(1e-9))
+    return (left.join(right, "g").filter(F.abs(la - lb) <= edits).select("uid", "n_key", a, b).distinct()
+            .filter(F.levenshtein(a, b) <= edits))
 
 
 def _keyed(utterances: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -139,8 +154,8 @@ def match_items(utterances: DataFrame, catalogue: DataFrame, text: str = "text")
     """Utterances to items. The whole utterance is scored first; where nothing reaches the
     threshold, a name inside the utterance. Ties go to the earlier catalogue entry.
 
-    Equal texts are scored once. Candidates come from equi-joins on shared words and shared
-    two-letter pieces; only candidates are scored in Python.
+    Equal texts are scored once. Candidates come from equi-joins on shared words and on the rarest
+    two-letter pieces, and the edit distance bounds them; only what is left is scored in Python.
     """
     rows, u = _keyed(utterances, text)
     u = snapshot(u, "l1-texts")

@@ -23,7 +23,42 @@ SELECT utterance_id, text, list_distinct(list_filter_words) AS words FROM (SELEC
   [w FOR w IN string_split_regex(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '\b\d+(\.\d+)?\s*(mg|ml|mcg|g|gm|iu|lac|%)?\b', ' ', 'gi'),
     '[\x{0080}-\x{00FF}]', '', 'g')), '[^\p{L}\p{N}]', ' ', 'g'), '\s+') IF w <> ''] AS list_filter_words FROM t_said)
 """)
+# Indel score of two strings: the common subsequence as the zero bits of one integer, updated per
+# character of the first; bit i of a mask says that character i of the second is this one.
+def common(a: str, b: str) -> str:
+    mask = f"coalesce(list_sum([(1::HUGEINT << (i - 1)::INTEGER) FOR i IN range(1, length({b}) + 1) IF {b}[i:i] = c]), 0)::HUGEINT"
+    full = f"((1::HUGEINT << length({b})::INTEGER) - 1)"
+    return (f"(length({b}) - bit_count(list_reduce([{mask} FOR c IN string_split({a}, '')], "
+            f"lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full}, {full})))")
+
+
+_KEY = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(v), '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '\b\d+(\.\d+)?\s*(mg|ml|mcg|g|gm|iu|lac|%)?\b', ' ', 'gi'), '\s+', ' ', 'g'))"""
+register("t_names", rf"""
+SELECT DISTINCT ON (key) key, item_id, display_name, pos, [w FOR w IN string_split_regex(regexp_replace(regexp_replace(key, '[\x{{0080}}-\x{{00FF}}]', '', 'g'), '[^\p{{L}}\p{{N}}]', ' ', 'g'), '\s+') IF w <> ''] AS words
+FROM (SELECT item_id, display_name, {_KEY} AS key, pos FROM (SELECT item_id, display_name,
+    unnest([display_name, lower(s || ' ' || f || ' goli'), 'गोली ' || split_part(item_id, '#', 2), lower(f[1:3] || s[1:3])]) AS v, unnest([0, 3, 4, 5]) AS pos
+  FROM (SELECT item_id, display_name, split_part(display_name, ' ', 1) AS f, split_part(display_name, ' ', 2) AS s FROM t_items)))
+WHERE key <> '' ORDER BY key, display_name, pos, item_id
+""")
+register("t_name_scores", f"""
+WITH u AS MATERIALIZED (SELECT DISTINCT list_sort(words) AS ws FROM t_words WHERE len(words) > 0),
+whole AS MATERIALIZED (SELECT ws, item_id, display_name, pos, 1 AS stage, round_even(200.0::DOUBLE * {common("a", "b")} / (length(a) + length(b)), 0)::INTEGER AS score
+  FROM (SELECT *, array_to_string(ws, ' ') AS a, array_to_string(list_sort(words), ' ') AS b FROM u, t_names)
+  WHERE 200.0::DOUBLE * least(length(a), length(b)) / (length(a) + length(b)) >= 84),
+parts AS (SELECT *, array_to_string(list_sort([w FOR w IN list_distinct(ws) IF NOT list_contains(words, w)]), ' ') AS a,
+    array_to_string(list_sort([w FOR w IN list_distinct(words) IF NOT list_contains(ws, w)]), ' ') AS b,
+    length(array_to_string(list_distinct([w FOR w IN ws IF list_contains(words, w)]), ' ')) AS c
+  FROM (SELECT ws FROM u WHERE ws NOT IN (SELECT ws FROM whole WHERE score >= 85)), t_names WHERE length(key) >= 4 AND len(words) > 0),
+sized AS (SELECT *, length(a) AS la, length(b) AS lb, (c > 0)::INTEGER AS gap, c + gap + la AS na, c + gap + lb AS nb FROM parts),
+inside AS (SELECT ws, item_id, display_name, pos, 2 AS stage, CASE WHEN c > 0 AND (la = 0 OR lb = 0) THEN 100 ELSE round_even(greatest(
+    CASE WHEN abs(la - lb) > 0.12 * (na + nb) THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * (1.0::DOUBLE - (la + lb - 2 * {common("a", "b")})::DOUBLE / (na + nb)) END,
+    CASE WHEN c > 0 THEN 100.0::DOUBLE * (1.0::DOUBLE - (gap + la)::DOUBLE / (c + na)) ELSE 0.0::DOUBLE END,
+    CASE WHEN c > 0 THEN 100.0::DOUBLE * (1.0::DOUBLE - (gap + lb)::DOUBLE / (c + nb)) ELSE 0.0::DOUBLE END), 0)::INTEGER END AS score FROM sized)
+SELECT ws, item_id, stage, score FROM (SELECT * FROM whole WHERE score >= 85 UNION ALL SELECT * FROM inside WHERE score >= 90)
+QUALIFY row_number() OVER (PARTITION BY ws ORDER BY stage, score DESC, display_name, pos, item_id) = 1
+""")
 SQL = {
+    "L1_match_items": """SELECT utterance_id, text, item_id AS matched_id, stage, score FROM t_words LEFT JOIN t_name_scores ON ws = list_sort(words)""",
     "L1_contained_names": """
         WITH v AS (SELECT item_id, display_name, unnest([[lower(f), lower(s)], [lower(s), lower(f), 'goli'], [lower(f[1:3] || s[1:3])]]) AS ws, unnest([0, 3, 5]) AS pos
           FROM (SELECT item_id, display_name, split_part(display_name, ' ', 1) AS f, split_part(display_name, ' ', 2) AS s FROM t_items))
