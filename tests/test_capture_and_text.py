@@ -354,6 +354,18 @@ def test_price_tails_against_one_search_over_the_text(spark):
     assert len(got) > 100 and got == want
 
 
+def test_suffixes_of_a_common_slug(spark):
+    names = ["!!" if i % 3 == 0 else f"name {i % 50}" for i in range(3000)]
+    seen, want = {}, {}
+    for i, n in enumerate(names):
+        slug = "ITEM" if n == "!!" else n.upper().replace(" ", "-")
+        seen[slug] = seen.get(slug, 0) + 1
+        want[i] = slug if seen[slug] == 1 else f"{slug}-{seen[slug]}"
+    rows = ingest.with_item_id(spark.createDataFrame(list(enumerate(names)), "ord long, medicine string"))
+    assert rows.columns == ["ord", "medicine", "item_id"]
+    assert {r.ord: r.item_id for r in rows.collect()} == want
+
+
 def test_price_choice_by_pieces(spark):
     prices = spark.createDataFrame([("Zincovit", "Tablet 5 mg 1 Tablet", 2.0), ("Zinc", "Tablet 5 mg 1 Tablet", 3.0), ("Iron", "Tablet 1 mg 1 Tablet", 1.0)],
                                    "medicine string, form string, price double")
