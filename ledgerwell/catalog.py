@@ -10,6 +10,7 @@ from .operators import forecast, ingest, match, plan, quality, resources, scope,
 from .registry import add_all
 from .sources import rawforms as rf
 from .sources import testbed as tb
+from .sources.wide import read_columns
 from .streaming import replay
 
 # -- stock position and demand -------------------------------------------------------------
@@ -272,6 +273,8 @@ add_all({
     "M11_medicine_comparison": lambda d: score.medicine_comparison(d.reorder),
     "M12_lead_time_structure": lambda d: score.lead_time_structure(d.reorder),
     "M12_lead_time_correlation": lambda d: score.lead_time_correlation(d.reorder),
+    "B5_declared_columns": lambda d: read_columns(
+        d.spark, f"{d.sf_dir}/customer.parquet", ["c_custkey", "c_nationkey", "c_mktsegment"], wide=5),
     "B1_scope_alerts": lambda d: transfers.alerts(scope.in_scope(d.reorder, "ASIA", "NATION_7")).select(
         "facility_id", "item_id", "priority_score", "status"),
     "B2_scope_absorption": lambda d: scope.in_scope(

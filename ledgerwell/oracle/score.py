@@ -129,6 +129,7 @@ SQL = {
           sum(lead_time_days)::DOUBLE / count(*) AS lead, {m4('distance_to_hq_km')} AS km FROM t_reorder GROUP BY ALL HAVING tracked >= 8) GROUP BY ALL)""",
     "M12_lead_time_correlation": f"""SELECT count(*) AS districts, {rnd('(covar_samp(score, lead) / nullif(stddev_samp(score) * stddev_samp(lead), 0))', 4)} AS correlation FROM (SELECT state, district, count(*) AS tracked,
         (count(*) FILTER (NOT needs_reorder))::DOUBLE / count(*) AS score, sum(lead_time_days)::DOUBLE / count(*) AS lead FROM t_reorder GROUP BY ALL HAVING tracked >= 8)""",
+    "B5_declared_columns": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
     "B1_scope_alerts": """SELECT facility_id, item_id, priority_score, status FROM t_reorder WHERE needs_reorder AND state = 'ASIA' AND district = 'NATION_7'
         ORDER BY priority_score DESC, days_of_cover ASC NULLS FIRST, facility_id, item_id""",
     "B2_scope_absorption": "SELECT state, district, atc_class, multiplier, absorbs FROM t_absorb WHERE state = 'EUROPE'",
