@@ -381,6 +381,7 @@ add_all({
         "event_id", "matched_id", "matched_by"),
     "L4_quick_list": lambda d: match.quick_list(tb.catalogue(d.items)),
     "D9_fit_forecast": lambda d: forecast.forecast_rows(forecast.fit_models(d.training)),
+    "D9_model_terms": lambda d: forecast.model_terms(d.models),
     "D10_model_evaluate": lambda d: forecast.model_evaluate(d.models),
     "D10_model_orders": lambda d: forecast.model_orders(d.models),
 })

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,61 @@ def test_fit_finds_the_weekly_shape(spark):
     assert all(r.lower <= r.value <= r.upper for r in out.values())
 
 
+def test_fit_equals_least_squares(spark):
+    """Every combination solved by lstsq on the rows themselves, over gaps, a constant and short series."""
+    rng, start, series = np.random.default_rng(5), dt.date(2024, 3, 2), {}
+    for n in (7, 9, 12, 30, 90):
+        day = np.cumsum(rng.integers(1, 4, n)) - 1
+        series[f"S{n}"] = (day - day[0], rng.poisson(20, n) + (day % 7 == 2) * 15 + day // 9)
+    series["constant"], series["two"] = (np.arange(25), np.full(25, 7)), (np.array([0, 2]), np.array([4, 6]))
+    rows = [("F", k, start + dt.timedelta(int(d)), int(q)) for k, (days, qty) in series.items() for d, q in zip(days, qty)]
+    tr = spark.createDataFrame(rows, "facility_id string, item_id string, day date, quantity long")
+    got = {r.item_id: r for r in forecast.fit_models(tr.repartition(5)).collect()}
+    for name, (days, qty) in series.items():
+        y = np.floor(np.interp(np.arange(days[-1] + 1), days, qty) * 100 + 0.5 + 1e-9) / 100
+        r, n, best = got[name], len(y), None
+        t = np.arange(3, n)
+        dow = (t + (start - dt.date(1970, 1, 1)).days) % 7
+        for p in range(4):
+            for drift in (False, True):
+                for seasonal in (False, True):
+                    x = np.column_stack([np.ones(len(t))] + [t] * drift + [dow == d for d in range(1, 7)] * seasonal
+                                        + [y[3 - i:n - i] for i in range(1, p + 1)]) if len(t) else np.zeros((0, 1))
+                    k = x.shape[1]
+                    if len(t) < k + 3 or np.linalg.matrix_rank(x) < k:
+                        continue
+                    beta = np.linalg.lstsq(x, y[3:], rcond=None)[0]
+                    sse = float(((y[3:] - x @ beta) ** 2).sum())
+                    aic = len(t) * np.log(max(sse / len(t), 1e-9, (y[3:] ** 2).sum() * 1e-12 / len(t))) + 2 * (k + 1)
+                    if best is None or aic < best[0] - 1e-6:
+                        best = aic, p, drift, seasonal, beta, sse, k
+        assert r.n_days == n
+        if best is None:
+            assert r.aic is None and r.coefficients is None and set(r.value) == {float(qty.mean())}
+            continue
+        assert (r.p, r.drift, r.seasonal) == best[1:4], name
+        assert r.aic == pytest.approx(best[0], rel=1e-6)
+        chosen = [0] + [1] * r.drift + list(range(2, 8)) * r.seasonal + list(range(8, 8 + r.p))
+        assert np.array(r.coefficients)[chosen] == pytest.approx(best[4], rel=1e-4, abs=1e-5)
+        assert all(c == 0 for i, c in enumerate(r.coefficients) if i not in chosen)
+        hist, phi = list(y), np.array(r.coefficients)[8:]
+        for h, v in enumerate(r.value):
+            d = (n + h + (start - dt.date(1970, 1, 1)).days) % 7
+            c = r.coefficients
+            hist.append(c[0] + c[1] * (n + h) + (c[1 + d] if d else 0) + sum(phi[i] * hist[-1 - i] for i in range(3)))
+            assert v == pytest.approx(max(hist[-1], 0), rel=1e-6, abs=1e-6)
+
+
+def test_fit_of_nothing(spark):
+    tr = spark.createDataFrame([("F", "M", dt.date(2024, 1, 1), None)], "facility_id string, item_id string, day date, quantity long")
+    assert forecast.fit_models(tr).collect() == [] and forecast.model_evaluate(forecast.fit_models(tr)).first().series == 0
+
+
+def test_fit_shuffles_the_series_once(spark):
+    tr = spark.createDataFrame([("F", "M", dt.date(2024, 1, 1), 5)], "facility_id string, item_id string, day date, quantity long")
+    assert forecast.fit_models(tr)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_training_counts_days_of_any_kind(spark):
     from tests.test_stock import ledger
     D = dt.date
