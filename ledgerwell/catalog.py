@@ -270,6 +270,8 @@ add_all({
     "M9_staff_quadrant": lambda d: score.staff_quadrant(d.staff),
     "M9_staff_breakdown": lambda d: score.staff_breakdown(d.staff),
     "M10_reporting_geography": lambda d: score.flat_geography(score.reporting_geography(d.reorder)),
+    "M10_geography_levels": lambda d: score.reporting_geography(d.reorder),
+    "M10_geography_totals": lambda d: score.geography_totals(score.reporting_geography(d.reorder)),
     "M11_medicine_comparison": lambda d: score.medicine_comparison(d.reorder),
     "M12_lead_time_structure": lambda d: score.lead_time_structure(d.reorder),
     "M12_lead_time_correlation": lambda d: score.lead_time_correlation(d.reorder),

@@ -1,12 +1,13 @@
 """Scorecards, comparisons and the map."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import nvl0, ratio, rnd, share, to_long
 from ..plans.listing import upto
 from ..plans.one_row import beside
+from ..plans.ranks import counted, holds
 from .plan import ven_rank
 from .resources import weighted_vacancy
 from .stock import mean4, sum4
@@ -212,21 +213,38 @@ def staff_breakdown(staff: DataFrame, by: str = "state", top: int | None = None)
 # -- geography ---------------------------------------------------------------------------
 
 def reporting_geography(rs: DataFrame) -> DataFrame:
-    """Per state its districts, each with its facilities, as nested arrays."""
+    """The facilities that report, with the lines and facilities of every level above them: one
+    row per facility, district and state and one for all. No row holds the members of a level."""
     fac = rs.groupBy("state", "district", "facility_id").agg(F.min("facility_name").alias("name"), F.count("*").alias("lines"))
-    dist = fac.groupBy("state", "district").agg(
-        F.sum("lines").alias("lines"), F.sort_array(F.collect_list(F.struct("name", "facility_id", "lines"))).alias("facilities"))
-    return dist.groupBy("state").agg(
-        F.sum("lines").alias("lines"), F.sort_array(F.collect_list(F.struct("district", "lines", "facilities"))).alias("districts"))
+    levels = fac.rollup("state", "district", "facility_id").agg(
+        F.grouping_id().alias("above"), F.min("name").alias("name"), F.sum("lines").alias("lines"), F.count("*").alias("facilities"))
+    own = F.col("above") == 0
+    return levels.select(
+        F.when(own, "facility").when(F.col("above") == 1, "district").when(F.col("above") == 3, "state").otherwise("all").alias("level"),
+        "state", "district", "facility_id", F.when(own, F.col("name")).alias("name"), "lines", "facilities")
 
 
 def flat_geography(geo: DataFrame) -> DataFrame:
-    """The nested form back as rows, with the totals of every level."""
-    d = geo.select("state", F.col("lines").alias("state_lines"), F.explode("districts").alias("d"))
-    return d.select("state", "state_lines", F.col("d.district").alias("district"),
-                    F.col("d.lines").alias("district_lines"), F.explode("d.facilities").alias("f")).select(
-        "state", "state_lines", "district", "district_lines", F.col("f.facility_id").alias("facility_id"),
-        F.col("f.name").alias("name"), F.col("f.lines").alias("lines"))
+    """The facilities with the totals of their district and state beside them."""
+    of = lambda level: geo.filter(F.col("level") == level)
+    state = of("state").select(F.struct("state").alias("_s"), F.col("lines").alias("state_lines"))
+    district = of("district").select(F.struct("state", "district").alias("_d"), F.col("lines").alias("district_lines"))
+    rows = of("facility").withColumn("_s", F.struct("state")).withColumn("_d", F.struct("state", "district"))
+    return rows.join(district, "_d").join(state, "_s").select(
+        "state", "state_lines", "district", "district_lines", "facility_id", "name", "lines")
+
+
+def geography_totals(geo: DataFrame) -> DataFrame:
+    at = lambda level: F.count_if(F.col("level") == level)
+    return geo.agg(at("state").alias("states"), at("district").alias("districts"), at("facility").alias("facilities"),
+                   nvl0(F.sum(F.when(F.col("level") == "all", F.col("lines")))).alias("lines"))
+
+
+def write_geography(geo: DataFrame, path: str) -> None:
+    """The nested form, a row per district with its facilities by name and a folder per state."""
+    (geo.filter("level = 'facility'").groupBy("state", "district")
+     .agg(F.sum("lines").alias("lines"), F.sort_array(F.collect_list(F.struct("name", "facility_id", "lines"))).alias("facilities"))
+     .write.mode("overwrite").partitionBy("state").parquet(path))
 
 
 def medicine_comparison(rs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -285,27 +303,26 @@ def staff_comparison(staff: DataFrame, state: str | None = None) -> DataFrame:
 def league_finish(rows: DataFrame, key: str = "district") -> DataFrame:
     """Summary of a league table: fixed bands, both ends, the middle place.
 
-    The table has one row per district, so its global order is bounded by geography."""
-    n = rows.agg(F.count("*")).scalar()
-    w = Window.orderBy(F.asc_nulls_first("nulls"), "score", key)
-    ranked = (rows.withColumn("nulls", F.col("score").isNull()).withColumn("rank", F.row_number().over(w) - 1)
-              .withColumn("n", n))
-    at = lambda i, c: F.max(F.when(F.col("rank") == i, F.col(c)))
-    mid = F.floor(F.col("n") / 2)
-    s = F.col("score")
-    out = ranked.agg(
-        F.count("*").alias("districts"), F.count_if(s < 60).alias("under_60"),
-        F.count_if((s >= 60) & (s < 75)).alias("from_60"), F.count_if((s >= 75) & (s < 90)).alias("from_75"),
-        F.count_if(s >= 90).alias("from_90"), at(0, key).alias("worst"), at(F.col("n") - 1, key).alias("best"),
-        at(mid, key).alias("typical"), at(mid, "score").alias("typical_score"), F.min("score").alias("lowest"),
-        F.max("score").alias("highest"), F.sort_array(F.collect_list("score")).alias("_all"))
-    t = F.col("typical_score")
-    return out.select(
-        *[c for c in out.columns if c != "_all"],
-        F.size(F.filter("_all", lambda x: x > t)).alias("above_typical"),
-        F.size(F.filter("_all", lambda x: x < t)).alias("below_typical"),
-        F.get("_all", F.floor(F.size("_all") / 2).cast("int")).alias("median"),
-        rnd(F.col("highest") - F.col("lowest"), 1).alias("gap"))
+    Places come from a counted histogram of the table's order (score, then key; null scores last).
+    Null scores have places but no band, and no part in the median of the scores."""
+    order = ["nulls", "score", key]
+    places = counted(rows.withColumn("nulls", F.col("score").isNull()), order)
+    s, n = F.col("score"), F.col("n")
+    n_of = lambda cond: nvl0(F.sum(F.when(cond, n)))
+    sums = places.agg(
+        nvl0(F.sum("n")).alias("districts"), n_of(s < 60).alias("under_60"),
+        n_of((s >= 60) & (s < 75)).alias("from_60"), n_of((s >= 75) & (s < 90)).alias("from_75"),
+        n_of(s >= 90).alias("from_90"), F.min("score").alias("lowest"), F.max("score").alias("highest"),
+        n_of(s.isNotNull()).alias("scored"))
+    total, scored = sums.select("districts").scalar(), sums.select("scored").scalar()
+    at = lambda place, c: F.max(F.when(holds(place), F.col(c)))
+    mid, half = F.floor(total / 2), F.floor(scored / 2)
+    ends = places.agg(
+        at(F.lit(0), key).alias("worst"), at(total - 1, key).alias("best"), at(mid, key).alias("typical"),
+        at(mid, "score").alias("typical_score"), at(half, "score").alias("median"))
+    t = ends.select("typical_score").scalar()
+    sides = places.agg(n_of(s > t).alias("above_typical"), n_of(s < t).alias("below_typical"))
+    return beside(sums.drop("scored"), ends, sides).withColumn("gap", rnd(F.col("highest") - F.col("lowest"), 1))
 
 
 def league_ends(rows: DataFrame, top: int = TOP, key: str = "district") -> DataFrame:

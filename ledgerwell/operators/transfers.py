@@ -12,6 +12,7 @@ from ..plans.listing import upto
 from ..plans.near import KM_PER_DEGREE, near_pairs, with_cell, with_probe_cells
 from ..plans.one_row import beside
 from ..plans.ordered import range_cell, running_totals
+from ..plans.ranks import counted, holds
 from ..plans.snapshot import snapshot
 from ..plans.streamed import shuffle_width
 from .stock import PAIR
@@ -326,18 +327,14 @@ def _far_pairs(left: DataFrame, source: DataFrame, key: list[str], degrees: floa
 
 def access_summary(cases: DataFrame, near_km: float = 25, far_km: float = 100) -> DataFrame:
     km = F.col("km")
-    # Distances are rounded to 0.1 km, so the exact percentile keeps a bounded buffer.
     counts = cases.agg(
         F.count("*").alias("cases"),
         F.count_if(km <= near_km).alias("near"),
         F.count_if((km > near_km) & (km <= far_km)).alias("between"),
         F.count_if(km > far_km).alias("far"), F.count_if(km.isNull()).alias("unreachable"))
-    spread = cases.filter(km.isNotNull()).groupBy("km").agg(F.count("*").alias("n"))
-    # One row per distinct 0.1 km: at most 200,000 rows whatever the number of cases.
-    run = spread.withColumn("upto", F.sum("n").over(
-        Window.orderBy("km").rowsBetween(Window.unboundedPreceding, 0)))
-    total = spread.agg(F.sum("n")).scalar()
-    median = run.filter(F.col("upto") > F.floor(total / 2)).agg(F.min("km").alias("median_km"))
+    reached = counted(cases.filter(km.isNotNull()), ["km"])
+    total = reached.agg(nvl0(F.sum("n"))).scalar()
+    median = reached.filter(holds(F.floor(total / 2))).agg(F.min("km").alias("median_km"))
     people = (cases.groupBy("facility_id").agg(F.max("population").alias("p"))
               .agg(F.count("*").alias("centres"), nvl0(F.sum("p")).alias("people")))
     return beside(counts, median, people)

@@ -122,6 +122,13 @@ SQL = {
     "M10_reporting_geography": """SELECT state, (sum(lines) OVER (PARTITION BY state))::BIGINT AS state_lines, district,
         (sum(lines) OVER (PARTITION BY state, district))::BIGINT AS district_lines, facility_id, name, lines
         FROM (SELECT state, district, facility_id, min(facility_name) AS name, count(*) AS lines FROM t_reorder GROUP BY ALL)""",
+    "M10_geography_levels": """WITH f AS (SELECT state, district, facility_id, min(facility_name) AS name, count(*) AS lines FROM t_reorder GROUP BY ALL)
+        SELECT 'facility' AS level, state, district, facility_id, name, lines, 1::BIGINT AS facilities FROM f
+        UNION ALL SELECT 'district', state, district, NULL, NULL, sum(lines)::BIGINT, count(*) FROM f GROUP BY state, district
+        UNION ALL SELECT 'state', state, NULL, NULL, NULL, sum(lines)::BIGINT, count(*) FROM f GROUP BY state
+        UNION ALL SELECT 'all', NULL, NULL, NULL, NULL, sum(lines)::BIGINT, count(*) FROM f""",
+    "M10_geography_totals": """SELECT count(DISTINCT state) AS states, count(DISTINCT (state, district)) AS districts,
+        count(DISTINCT (state, district, facility_id)) AS facilities, count(*) AS lines FROM t_reorder""",
     "M11_medicine_comparison": "SELECT * FROM t_league",
     "M12_lead_time_structure": f"""SELECT * REPLACE (band AS band) FROM (SELECT {bucket([('lead < 9', 'Under 9 days'), ('lead < 12', '9 to 12 days'), ('lead < 15', '12 to 15 days')], '15 days or more').replace('AS bucket', 'AS band')},
         count(*) AS districts, {rnd(m4('score'), 1)} AS mean_score, {rnd(m4('lead'), 1)} AS mean_lead, {rnd(m4('km'), 0)} AS mean_km
