@@ -8,6 +8,7 @@ from ..functions.months import (CALENDAR, FISCAL, HELD_MONTH, OBSERVED, SCORED,
                                 fiscal_number, month_number)
 from ..functions.num import joined, nvl0, ratio, rnd, share
 from ..plans.listing import upto
+from ..plans.nearest import nearest
 from ..plans.snapshot import snapshot
 from .stock import mean4, sum4
 
@@ -59,47 +60,16 @@ def _rename(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def district_matches(profiles: DataFrame, same_state: bool = False, k: int = 3) -> DataFrame:
-    """The k nearest districts in the four-dimensional profile.
-
-    An equi-join on a grid over two of the standardised dimensions (and on the state, when
-    the donor must come from the same one), with a radius that widens only for districts
-    with fewer than k candidates inside it. Districts with an incomplete profile (no health
-    centre) take no part.
-    """
-    whole = profiles.dropna(subset=list(Z))
-    a = whole.select("state", "district_key", "district", "population_served", "phc_count",
-                     "population_per_phc", *Z)
-    b = _rename(a, "donor_")
-    dist = F.sqrt(sum((F.pow(F.col(z) - F.col("donor_" + z), F.lit(2.0)) for z in Z[1:]),
-                      F.pow(F.col(Z[0]) - F.col("donor_" + Z[0]), F.lit(2.0))))
-    key = ["state", "district_key"]
-    order = Window.partitionBy(*key).orderBy("profile_distance", "donor_district_key")
-
-    def top(pairs):
-        return (pairs.withColumn("match_rank", F.row_number().over(order))
-                .filter(F.col("match_rank") <= k)
-                .drop(*Z, *["donor_" + z for z in Z]))
-
-    left, found = a, []
-    for i, r in enumerate([0.75, 3.0, 1e6]):
-        cell = lambda c: F.floor(F.col(c) / F.lit(r))
-        probe = (left.withColumn("_x", F.explode(F.sequence(cell(Z[0]) - 1, cell(Z[0]) + 1)))
-                 .withColumn("_y", F.explode(F.sequence(cell(Z[3]) - 1, cell(Z[3]) + 1))))
-        build = b.withColumn("_x", cell("donor_" + Z[0])).withColumn("_y", cell("donor_" + Z[3]))
-        if same_state:
-            build = build.withColumn("state", F.col("donor_state"))
-            pairs = probe.join(build, ["_x", "_y", "state"]).filter("donor_district_key <> district_key")
-        else:
-            pairs = probe.join(build, ["_x", "_y"]).filter("donor_state <> state")
-        pairs = pairs.drop("_x", "_y").withColumn("profile_distance", dist).filter(F.col("profile_distance") <= r)
-        best = top(pairs)
-        if r < 1e6:
-            full = best.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(*key)
-            best = best.join(full, key, "left_semi")
-        best = snapshot(best, f"matches-{i}")
-        found.append(best)
-        left = left.join(best.select(*key).distinct(), key, "left_anti")
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    """The k nearest districts in the four-dimensional profile, of other states or of the same one.
+    Districts with an incomplete profile (no health centre) take no part; equal distances go by
+    the donor's name."""
+    found = nearest(profiles, list(Z), "state", ["district_key"], k, same_state)
+    a = profiles.select(F.struct("district_key", F.col("state").alias("group")).alias("id"), "state", "district_key", "district",
+                        "population_served", "phc_count", "population_per_phc")
+    donors = _rename(a, "donor_").withColumnRenamed("donor_id", "other")
+    return (found.join(a, "id").join(donors, "other").drop("id", "other")
+            .withColumnRenamed("distance", "profile_distance").withColumnRenamed("rank", "match_rank")
+            .select(*[c for c in a.columns if c != "id"], *[c for c in donors.columns if c != "other"], "profile_distance", "match_rank"))
 
 
 def _window_mean(value: str) -> Column:
