@@ -1,6 +1,6 @@
 """The k nearest points of a few dimensions, by search over nested cells.
 
-Cells halve their width level by level. A cell knows how many points of each group it holds and the
+Cells quarter their width level by level. A cell knows how many points of each group it holds and the
 box around them, which bounds every distance into it from below and above. A point first looks at
 the smallest of its own cells that holds k others: their exact distances are a first bound. Then
 cells are opened level by level, full ones only; a cell stays while its nearest corner is within
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .snapshot import snapshot
 
 DEPTH = 16              # halvings of the whole extent
+STEP = 2                # halvings from one level to the next
 LEAF = 64               # cells with at most so many points are not opened
 
 
@@ -43,11 +44,11 @@ def nearest(points: DataFrame, dims: list[str], group: str, key: list[str], k: i
     extent = max([(ends["b" + x] or 0.0) - lo for x, lo in zip(at, low)]) * (1 + 1e-9) or 1.0
     scale = F.pow(F.lit(2.0), F.col("depth"))
     cell = F.struct("depth", *[F.floor((F.col(x) - lo) / extent * scale).alias("c" + x) for x, lo in zip(at, low)])
-    above = F.struct((F.col("cell.depth") - 1).alias("depth"), *[F.shiftright(f"cell.c{x}", 1).alias("c" + x) for x in at])
+    above = F.struct((F.col("cell.depth") - STEP).alias("depth"), *[F.shiftright(f"cell.c{x}", STEP).alias("c" + x) for x in at])
 
     copies = Window.partitionBy(*at, "group").orderBy("id")
     kept = p.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + same_group).drop("_copy")
-    others = snapshot(kept.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).withColumn("cell", cell)
+    others = snapshot(kept.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH), F.lit(STEP)))).withColumn("cell", cell)
                       .select("cell", F.col("group").alias("of"), F.col("id").alias("other"), *[F.col(x).alias("o" + x) for x in at]), "cells")
     bounds = [F.min("o" + x).alias("lo" + x) for x in at] + [F.max("o" + x).alias("hi" + x) for x in at]
     groups = snapshot(others.groupBy("cell", "of").agg(F.count("*").alias("n"), *bounds), "cell-groups")
@@ -79,7 +80,7 @@ def nearest(points: DataFrame, dims: list[str], group: str, key: list[str], k: i
         return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "other", "distance", "rank")
 
     place = ["id", "group", *at]
-    own = p.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).select(*place, cell.alias("cell"))
+    own = p.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH), F.lit(STEP)))).select(*place, cell.alias("cell"))
     smallest = (eligible(own).filter(F.col("n") >= k).groupBy(*place)
                 .agg(F.max(F.struct(F.col("cell.depth").alias("depth"), "cell", "n")).alias("s"))
                 .filter(F.col("s.n") <= LEAF).select(*place, F.col("s.cell").alias("cell"), F.lit(None).cast("double").alias("bound")))
@@ -103,7 +104,7 @@ def nearest(points: DataFrame, dims: list[str], group: str, key: list[str], k: i
 
     boxed = [c for c in wholes.columns if c[:2] in ("lo", "hi")]
     frontier = snapshot(within_bound(eligible(rows)), "frontier")
-    for depth in range(DEPTH):
+    for depth in range(0, DEPTH, STEP):
         full = (F.col("cell.depth") == depth) & (F.col("n") > LEAF)
         opened = frontier.filter(full).drop("n")
         if opened.isEmpty():
