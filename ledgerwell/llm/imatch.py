@@ -11,7 +11,8 @@ Fingerprint. ``CHAINS`` times the lexicon is halved at random, again and again.
 smallest subset that still holds a term of the document is taken, whatever the document's length,
 and the document's distinct terms in it, sorted, are hashed. The likeness of two fingerprints is
 the share of equal hashes. It follows the overlap of the terms, since such a subset holds few of
-them, and one changed term seldom reaches all chains.
+them, and one changed term seldom reaches all chains. A document without a lexicon term is hashed
+by all its distinct terms, or by its text if it has no term at all, so that it is like its equals only.
 """
 from __future__ import annotations
 
@@ -68,7 +69,7 @@ def _drawn(chain: int):
 
 
 def with_slots(df: DataFrame, text: str, band: DataFrame, out: str) -> DataFrame:
-    """Adds ``out``: an array of ``CHAINS`` digests, null where the text has no lexicon term."""
+    """Adds ``out``: an array of ``CHAINS`` digests; of all terms where the text has no lexicon term."""
     kept = df.columns
     df = with_lexicon_terms(df, text, band, "_terms")
     df = df.select("*", *[F.length(F.bin(F.array_min(F.transform("_terms", _drawn(c))))).alias(f"_{c}") for c in range(CHAINS)])
@@ -77,23 +78,26 @@ def with_slots(df: DataFrame, text: str, band: DataFrame, out: str) -> DataFrame
         limit = F.pow(F.lit(2.0), F.col(f"_{chain}")).cast("long")
         return F.filter("_terms", lambda h: _drawn(chain)(h) < limit)
 
-    slots = [F.when(F.size("_terms") > 0, F.xxhash64(F.col(f"_{c}"), chosen(c)).bitwiseAND(F.lit(0xFFFFFFFF))) for c in range(CHAINS)]
+    worded = F.regexp_like(F.col(text), F.lit(r"[\p{L}\p{N}]"))
+    every = F.when(worded, F.xxhash64(F.array_sort(_terms(text)))).otherwise(F.xxhash64(F.lit("no term"), F.col(text)))
+    slots = [F.when(F.size("_terms") > 0, F.xxhash64(F.col(f"_{c}"), chosen(c))).otherwise(F.xxhash64(F.lit(-1 - c), every))
+             .bitwiseAND(F.lit(0xFFFFFFFF)) for c in range(CHAINS)]
     return df.select(*kept, F.array(*slots).alias(out))
 
 
 def as_text(slots: Column) -> Column:
-    """Eight hexadecimal digits for each chain, eight dashes for an empty one."""
-    return F.array_join(F.transform(slots, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 8, "0")), F.lit("-" * 8))), "")
+    """Eight hexadecimal digits for each chain."""
+    return F.array_join(F.transform(slots, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal slots; texts without lexicon terms are like each other and nothing else."""
+    """Share of equal slots; texts without lexicon terms are like texts of the same terms only."""
     return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: p["a"].eqNullSafe(p["b"]))) / F.lit(float(CHAINS))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
-    """The rows with ``out_col``. A null text counts as empty; texts without a lexicon term have
-    only empty slots; equal texts have equal fingerprints; an empty table stays empty."""
+    """The rows with ``out_col``. A null text counts as empty; texts without a lexicon term are
+    hashed by all their terms; equal texts have equal fingerprints; an empty table stays empty."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
     got = with_slots(rows, "text", lexicon(docs, text_col), "slots")
     return got.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != out_col], as_text(F.col("slots")).alias(out_col))

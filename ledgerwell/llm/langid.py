@@ -9,12 +9,12 @@ every text is scored whole.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 from itertools import accumulate, chain
 from operator import methodcaller
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ TEXTS_AT_ONCE = 200
 UNDETERMINED = "und"
 
 plain = methodcaller("as_py")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")                 # as in the fit; numerals are no letters
 
 
 @dataclass

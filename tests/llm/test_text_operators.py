@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import public_tokenizers as P
@@ -226,6 +227,18 @@ def test_imatch_lexicon_terms(spark):
     assert "_table" not in plan.split("Aggregate")[0]
 
 
+def test_imatch_without_band_terms(spark):
+    """Texts none of whose terms is in the band are like texts of the same terms only."""
+    alone = ["", "!!! ...", "?", "quagga zebu", "zebu  QUAGGA zebu", "okapi " * 700, "½"]
+    df = spark.createDataFrame(list(enumerate(alone + [f"only{i} here{i}" for i in range(30)])), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(df).collect()}
+    assert got[3] == got[4] and len(set(got.values())) == len(got) - 1
+    rows = imatch.compare_edits(df).collect()
+    assert [r.doc_id for r in rows if r.near_next > 0] == [4]                    # in descending order, 3 comes after 4
+    assert {r.doc_id for r in rows if r.near_edited == 1} >= {0, 2}
+    assert all(len(r.fingerprint) == 8 * imatch.CHAINS for r in rows)
+
+
 def test_imatch_without_rows_and_of_one_row(spark, empty):
     assert imatch.compare_edits(empty).collect() == []
     one = imatch.compare_edits(cases.frame(spark, [(5, "abcdef", None, None, None)])).collect()
@@ -472,7 +485,7 @@ def test_language_id_cases(docs):
     got = langid.identify(docs, model).collect()
     assert len(got) == docs.count()
     for r in got:
-        letters = r.text is not None and re.search(r"[^\W\d_]", r.text)
+        letters = r.text is not None and any(unicodedata.category(c)[0] == "L" for c in r.text)
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
 
 
@@ -491,6 +504,13 @@ def test_language_id_backs_off():
     assert [x for x, _ in got] == ["a", "b", "a", "und", "und"] and got[2][1] == 0.5     # a tie: the first language
 
 
+def test_numerals_are_no_letters(spark):
+    docs = cases.frame(spark, [(i, t, "en", None, 9) for i, t in enumerate(["one two", "½ ² Ⅷ ③", "x² Ⅷa", "٣ 四"])])
+    got = {r.text: (r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert got["½ ² Ⅷ ③"] == ("und", 0.0)
+    assert [got[t][0] for t in ("one two", "x² Ⅷa", "٣ 四")] == ["en"] * 3      # the last has a letter, 四
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs, langid.fit(docs)).filter(langid.is_held_out("doc_id")).collect()
