@@ -16,11 +16,17 @@ from .plans.snapshot import shared_folder, snapshot
 from .sources import testbed as tb
 from .sources.store import LedgerStore, published
 
-BUCKETS = 8            # of the stored test ledger; its days are kept by month
+BUCKETS = 8            # of the stored test ledger at least; its days are kept by month
+ROWS_PER_BUCKET = 400_000
 MIN_DAYS = 8           # the test ledger has about two dozen events per series
 SURGE = {"z_cut": 1.5, "min_ratio": 1.2, "min_absolute": 10.0}
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets of a ledger of so many rows. One bucket is one task, so its size is what stays the same."""
+    return max(BUCKETS, -(-rows // ROWS_PER_BUCKET))
+
+
 class Domain:
     _open: dict[tuple, "Domain"] = {}
 
@@ -61,7 +67,8 @@ class Domain:
         """A table of its own in the shared folder: a later session opens it again while the given
         files are the same."""
         path = f"{shared_folder(self.spark)}/ledgerwell-stored/{tb.version(self.spark, self.sf_dir)}"
-        return published(LedgerStore(self.spark, path, BUCKETS, "month"), lambda: tb.stock_events(self.spark, self.sf_dir))
+        buckets = buckets_for(self.read("lineitem").count())                  # from the footers of the files
+        return published(LedgerStore(self.spark, path, buckets, "month"), lambda: tb.stock_events(self.spark, self.sf_dir))
 
     @cached_property
     def captures(self) -> DataFrame:

@@ -17,14 +17,15 @@ FLAT_DAYS = 14
 
 def training_set(ledger: DataFrame, facilities: DataFrame, min_days: int = MIN_DAYS) -> DataFrame:
     """Daily dispensed units of the series with enough distinct event days (of any
-    kind). The ledger is combined per pair and day before anything is joined to it."""
+    kind). The ledger is combined per pair and day before anything is joined to it, and read once."""
     wanted = facilities.filter("is_forecast_facility").select("facility_id")
     daily = (ledger.groupBy(*PAIR, event_day().alias("day"))
              .agg(_units("dispensed").alias("quantity"),
                   F.count_if(F.col("event_type") == "dispensed").alias("n"))
              .join(wanted, "facility_id", "left_semi"))
-    eligible = daily.groupBy(*PAIR).agg(F.count("*").alias("days")).filter(F.col("days") >= min_days)
-    return (daily.filter("n > 0").join(eligible.select(*PAIR), PAIR, "left_semi")
+    days = F.count("*").over(Window.partitionBy(*PAIR))
+    return (daily.filter("item_id IS NOT NULL").withColumn("days", days)
+            .filter((F.col("days") >= min_days) & (F.col("n") > 0))
             .select(*PAIR, "day", "quantity"))
 
 

@@ -28,6 +28,7 @@ class LedgerStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, period: str = "day"):
         self.spark, self.path, self.buckets, self.period = spark, path.rstrip("/"), buckets, period
         self.table = "ledger_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
+        self._sizes: Counter | None = None
 
     def _filesystem(self):
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -46,6 +47,7 @@ class LedgerStore:
         (rows.repartition(self.buckets, *PAIR).sortWithinPartitions("resource_type", "event_period", *PAIR)
          .write.format("parquet").mode("append").option("path", self.path)
          .partitionBy("resource_type", "event_period").bucketBy(self.buckets, *PAIR).sortBy(*PAIR).saveAsTable(self.table))
+        self._sizes = None
 
     def _register(self) -> None:
         """Puts a table that another session wrote into this session's catalog."""
@@ -59,12 +61,16 @@ class LedgerStore:
         self.spark.catalog.recoverPartitions(self.table)
 
     def bucket_bytes(self) -> Counter:
+        """Bytes per bucket. The files are listed once after a write: they grow in number with the table."""
+        if self._sizes is not None:
+            return self._sizes
         fs, root = self._filesystem()
         files, sizes = fs.listFiles(root, True), Counter()
         while files.hasNext():
             f = files.next()
             if m := BUCKET_FILE.search(f.getPath().getName()):
                 sizes[int(m[1])] += f.getLen()
+        self._sizes = sizes
         return sizes
 
     def is_even(self) -> bool:

@@ -93,8 +93,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("list_price"))
 
 
-#: Goes up when rows of the stored ledger would come out otherwise.
-LEDGER_VERSION = 1
+#: Goes up when rows or buckets of the stored ledger would come out otherwise.
+LEDGER_VERSION = 2
 STOCK_EVENT_COLUMNS = ["event_id", "resource_type", "facility_id", "item_id", "event_type", "quantity", "event_ts", "source", "confidence",
                        "raw_transcript", "expiry_date", "resource_subtype", "capacity", "event_date"]
 

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwell.domain import Domain
+from ledgerwell import domain
+from ledgerwell.domain import Domain, buckets_for
 from ledgerwell.operators import stock
+from ledgerwell.operators.plan import training_set
 from ledgerwell.plans.ordered import range_cell
 from ledgerwell.sources import store as st
 from ledgerwell.sources.store import LedgerStore, published
@@ -126,3 +128,34 @@ def test_ranges_of_few_values(spark):
     one = spark.createDataFrame([("a",)] * 5 + [("b",)], "id string")
     assert {(r.id, r.c) for r in one.withColumn("c", range_cell(one, "id")).collect()} <= {("a", 0), ("a", 1), ("b", 1), ("b", 2)}
     assert one.limit(0).withColumn("c", range_cell(one.limit(0), "id")).collect() == []
+
+
+def test_buckets_grow_with_the_rows():
+    assert [buckets_for(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [8, 8, 90, 540]
+
+
+def test_stored_ledger_of_a_larger_table_has_more_buckets(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 7, i % 5, 1 + i % 7, 5.0, 10.0, 0.0, 0.0, "NRA"[i % 3], "O", dt.datetime(1995, 1, 1 + i % 28)) for i in range(300)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"Brand#1{i}") for i in range(7)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(domain, "ROWS_PER_BUCKET", 20)
+    d = Domain(spark, str(tmp_path))
+    assert d.store.buckets == 15 and d.ledger.count() == 300 and "Exchange" not in plan(stock.consumed(d.ledger))
+    assert len(d.store.bucket_bytes()) > 8 and d.store.bucket_bytes() is d.store.bucket_bytes()
+
+
+def test_training_set_reads_the_ledger_once(spark, tmp_path):
+    s = LedgerStore(spark, str(tmp_path / "l"), buckets=4, period="month")
+    s.append(events(spark))
+    fac = spark.createDataFrame([(f"F{i}", True) for i in range(5)], "facility_id string, is_forecast_facility boolean")
+    df = training_set(s.read("medicine"), fac, 5)
+    assert plan(df).count("FileScan parquet") == 1
+    led = [r for r in s.read("medicine").collect()]
+    days = {}
+    for r in led:
+        days.setdefault((r.facility_id, r.item_id), {}).setdefault(r.event_ts.date(), []).append(r)
+    want = sorted((*k, day, sum(r.quantity for r in rs if r.event_type == "dispensed")) for k, by in days.items() if len(by) >= 5
+                  for day, rs in by.items() if any(r.event_type == "dispensed" for r in rs))
+    assert want and sorted(map(tuple, df.collect())) == want
