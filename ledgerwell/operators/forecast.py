@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import rnd, share
 from ..plans.listing import upto
+from ..plans.streamed import shuffle_width
 from .plan import HORIZON
 from .stock import PAIR, mean4
 
@@ -31,6 +32,7 @@ COLUMNS = [c.split()[0] for c in MODEL.split(", ")]
 _SUMMED = ["one", "t", *[f"l{i}" for i in range(1, MAX_P + 1)], "y"]
 _AT = [0, 1, *range(1 + WEEK, 1 + WEEK + MAX_P), len(TERMS)]      # their places among the terms, then the value
 _PAIRS = [(i, j) for i in range(len(_SUMMED)) for j in range(i + 1)]
+ROWS_A_TASK = 20_000            # of the training set; each stands for all days up to the next one
 ALIASED = 1e-9                  # a term is a combination of earlier ones below this share of its square sum
 
 
@@ -49,28 +51,32 @@ def daily_values(training: DataFrame) -> DataFrame:
 
 def series_sums(training: DataFrame) -> DataFrame:
     """Per series the sums of products of (1, day number, lags, value) for each weekday, one after
-    the other, with the last values and the mean of the days seen. One shuffle on the series."""
+    the other, with the last values and the mean of the days seen. One shuffle on the series, into as
+    many parts as the rows ask for: a part grows many times when its days are filled in, so the size
+    of what is shuffled says nothing about it. Sums and maxima are of plain numbers, which are hashed, not sorted."""
     order = Window.partitionBy(*PAIR).orderBy("day")
-    rows = daily_values(training).withColumn("day_no", F.row_number().over(order) - 1)
+    parts = max(shuffle_width(training), -(-training.count() // ROWS_A_TASK))
+    rows = daily_values(training.repartition(parts, *PAIR)).withColumn("day_no", F.row_number().over(order) - 1)
+    rows = rows.withColumn("is_last", F.lead(F.lit(True)).over(order).isNull())
     for i in range(1, MAX_P + 1):
         rows = rows.withColumn(f"l{i}", F.lag("y", i).over(order))
     full = F.col(f"l{MAX_P}").isNotNull()
     one = F.when(full, F.lit(1.0))
     value = {"one": one, "t": one * F.col("day_no"), "y": one * F.col("y"), **{f"l{i}": one * F.col(f"l{i}") for i in range(1, MAX_P + 1)}}
-    rows = rows.select(*PAIR, "day", "seen", F.pmod(F.unix_date("day"), F.lit(WEEK)).alias("dow"),
+    rows = rows.select(*PAIR, "day", "seen", "is_last", F.pmod(F.unix_date("day"), F.lit(WEEK)).alias("dow"),
                        F.col("y").alias("now"), F.col("l1").alias("now1"), F.col("l2").alias("now2"),
                        *[v.alias(n) for n, v in value.items()])
     sums = F.array(*[F.coalesce(F.sum(F.col(_SUMMED[i]) * F.col(_SUMMED[j])), F.lit(0.0)) for i, j in _PAIRS])
     by_day = rows.groupBy(*PAIR, "dow").agg(
         sums.alias("sums"), F.count("*").alias("n"), F.sum("seen").alias("seen"), F.count("seen").alias("n_seen"),
-        F.min("day").alias("first"), F.max(F.struct("day", "now", "now1", "now2")).alias("last"))
+        F.min("day").alias("first"), *[F.max(F.when(F.col("is_last"), F.col(c))).alias(f"last_{c}") for c in ("day", "now", "now1", "now2")])
     none = F.array(*[F.lit(0.0)] * len(_PAIRS))
     return by_day.groupBy(*PAIR).agg(
         F.flatten(F.array(*[F.coalesce(F.max(F.when(F.col("dow") == d, F.col("sums"))), none) for d in range(WEEK)])).alias("sums"),
         F.sum("n").alias("n_days"), (F.sum("seen") / F.sum("n_seen")).alias("mean"),
-        F.pmod(F.unix_date(F.min("first")), F.lit(WEEK)).cast("int").alias("first_dow"), F.max("last").alias("last")).select(
-        *PAIR, "n_days", "mean", "first_dow", F.col("last.day").alias("last_day"), "sums",
-        F.array(*[F.coalesce(F.col(f"last.{c}"), F.lit(0.0)) for c in ("now", "now1", "now2")]).alias("history"))
+        F.pmod(F.unix_date(F.min("first")), F.lit(WEEK)).cast("int").alias("first_dow"), F.max("last_day").alias("last_day"),
+        F.array(*[F.coalesce(F.max(f"last_{c}"), F.lit(0.0)) for c in ("now", "now1", "now2")]).alias("history")).select(
+        *PAIR, "n_days", "mean", "first_dow", "last_day", "sums", "history")
 
 
 def normal_equations(sums: np.ndarray) -> np.ndarray:
