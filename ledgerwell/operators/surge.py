@@ -12,7 +12,7 @@ from ..plans.snapshot import snapshot
 from .plan import SERVICE_Z, reorder_threshold, ven_rank
 from .seasonal import SERIES
 from .stock import PAIR, mean4, sum4
-from .transfers import TARGET, USABLE_DAYS, best_donor, places, transfer_id
+from .transfers import TARGET, USABLE_DAYS, best_donor, first_of_place, places, transfer_id
 
 Z_CUT, MIN_RATIO, MIN_ABSOLUTE = 3.5, 1.5, 100.0
 CONSISTENCY = 0.6745
@@ -341,6 +341,7 @@ def scenario_transfers(rs: DataFrame, facilities: DataFrame, multiplier: float,
         "district", F.col("atc_class").alias("donor_class"), F.col("facility_id").alias("from_facility_id"),
         F.col("item_id").alias("supplied_item_id"), (F.col("on_hand") - F.col("limit")).alias("spare_units"),
         F.col("latitude").alias("from_lat"), F.col("longitude").alias("from_lon"))
+    offer = first_of_place(offer, ["district", "donor_class", "supplied_item_id"])
     best = best_donor(snapshot(need, "h13-need"), snapshot(offer, "h13-offer"),
                       ["to_facility_id", "requested_item_id"], max_km, F.lit(True),
                       ["distance_km", "from_facility_id", "supplied_item_id"], also_on=["district"])

@@ -85,7 +85,7 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
     Offers lie in cells of several levels. Every cell knows the most that any of its offers has,
     and for each of ``grows`` the offer that has it. In its own cells a need finds how near an acceptable
     offer is for certain; offers are then looked up once, on the level that covers this distance,
-    and only in cells where the most there is can be acceptable. Nothing is searched twice, needs that
+    and only in cells that it reaches and where the most there is can be acceptable. Nothing is searched twice, needs that
     cannot be met meet no offers, and a crowded place is a matter of its smallest cells.
     """
     on, place = [*also_on, "_match"], ["_level", "_band", "_cell"]
@@ -119,7 +119,8 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
     for i, r in enumerate(radii[1:], 1):
         level = F.when(F.col("_bound") <= F.lit(r), i).otherwise(level)
     wanted = (F.col("_side") == 0) | F.col("_near0").isNull()
-    search = with_probe_cells(needs.join(found, key, "left").filter(wanted).withColumn("_bound", bound).withColumn("_level", level), "to_lat", "to_lon", radius)
+    search = with_probe_cells(needs.join(found, key, "left").filter(wanted).withColumn("_bound", bound).withColumn("_level", level),
+                              "to_lat", "to_lon", radius, F.col("_bound"))
     if grows:
         search = search.join(known.drop("_known"), [*on, *place]).filter(accept).drop(*grows)
     pairs = (search.join(cells, [*on, *place]).withColumn("km", km)
@@ -130,6 +131,14 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
     return best.select(*key, "b.*")
 
 
+def first_of_place(offer: DataFrame, on: list[str]) -> DataFrame:
+    """The first two facilities by id of every place and ``on``. Where anything is acceptable and distance comes
+    before the id, no later one of the place is ever taken; two, because a facility does not serve itself."""
+    order = Window.partitionBy(*on, "from_lat", "from_lon").orderBy("from_facility_id")
+    return (offer.filter("from_lat IS NOT NULL AND from_lon IS NOT NULL")
+            .withColumn("_nth", F.dense_rank().over(order)).filter(F.col("_nth") <= 2).drop("_nth"))
+
+
 def transfer_id(*cols) -> Column:
     return F.sha2(F.concat_ws("|", *cols), 256)
 
@@ -273,7 +282,8 @@ def transfer_size(r_hand, r_demand, d_hand, d_demand, threshold_days: float) ->
 def nearest_help(rs: DataFrame, facilities: DataFrame, vital_only: bool = True,
                  search_km=(100.0, 600.0)) -> DataFrame:
     """Per shortage the nearest facility able to spare the same item; shortages without
-    any source stay. The last step has no radius and only sees what is left."""
+    any source stay. The last step has no radius and only sees what is left. The others go by
+    ``best_donor``, so a shortage meets the sources about its nearest one and not all within the radius."""
     at = facilities.filter("has_valid_coords").select(
         "facility_id", "latitude", "longitude", "population_served")
     short = rs.filter("needs_reorder")
@@ -285,25 +295,30 @@ def nearest_help(rs: DataFrame, facilities: DataFrame, vital_only: bool = True,
         F.col("latitude").alias("to_lat"), F.col("longitude").alias("to_lon"),
         F.col("population_served").alias("population")))
     source = (rs.filter("NOT needs_reorder AND on_hand > 0").join(at, "facility_id").select(
-        "item_id", F.col("facility_id").alias("source_id"), F.col("facility_name").alias("source_name"),
+        F.col("item_id").alias("supplied_item_id"), F.lit(None).cast("string").alias("donor_class"),
+        F.col("facility_id").alias("from_facility_id"), F.col("facility_name").alias("source_name"),
         F.col("district").alias("source_district"), F.col("state").alias("source_state"),
         F.col("on_hand").alias("source_on_hand"),
         F.col("latitude").alias("from_lat"), F.col("longitude").alias("from_lon")))
-    short, source = snapshot(short, "e9-short"), snapshot(source, "e9-source")
-    key = ["facility_id", "item_id"]
-    left, found = short, []
-    def nearest(pairs: DataFrame, step: str) -> DataFrame:
-        best = pairs.filter("source_id <> facility_id").groupBy(*key).agg(F.min(F.struct(
-            "km", "source_id", "distance_km", "source_name", "source_district", "source_state",
-            "source_on_hand")).alias("b"))
-        return snapshot(best.select(*key, "b.source_id", "b.source_name", "b.source_district", "b.source_state",
-                                    "b.source_on_hand", F.col("b.distance_km").alias("km")), f"e9-{step}")
+    short, source = snapshot(short, "e9-short"), snapshot(first_of_place(source, ["supplied_item_id"]), "e9-source")
+    key, told = ["facility_id", "item_id"], ["source_name", "source_district", "source_state", "source_on_hand"]
+    order = ["km", "from_facility_id", *told]
+    ends = ["to_facility_id", "requested_item_id"]
+    left, found = short.select(F.col("facility_id").alias(ends[0]), F.col("item_id").alias(ends[1]),
+                               F.lit(None).cast("string").alias("atc_class"), "to_lat", "to_lon"), []
+
+    def keep(best: DataFrame, step: str) -> DataFrame:
+        return snapshot(best.select(*[F.col(e).alias(k) for e, k in zip(ends, key)], F.col("from_facility_id").alias("source_id"),
+                                    *told, rnd("km", 1).alias("km")), f"e9-{step}")
 
     for i, radius in enumerate(search_km):
-        best = nearest(near_pairs(left, source, radius, on=["item_id"]), str(i))
+        best = keep(best_donor(left, source, ends, radius, F.lit(True), order), str(i))
         found.append(best)
-        left = left.join(best.select(*key), key, "left_anti")
-    found.append(nearest(_far_pairs(left, source, key), "far"))
+        left = left.join(best.select(*[F.col(k).alias(e) for e, k in zip(ends, key)]), ends, "left_anti")
+    rest = left.select(*[F.col(e).alias(k) for e, k in zip(ends, key)], "to_lat", "to_lon")
+    far = (_far_pairs(rest, source.withColumnRenamed("supplied_item_id", "item_id"), key).filter("from_facility_id <> facility_id")
+           .groupBy(*key).agg(F.min(F.struct(*order)).alias("b")))
+    found.append(keep(far.select(*[F.col(k).alias(e) for e, k in zip(ends, key)], "b.*"), "far"))
     hits = reduce(DataFrame.unionByName, found)
     return short.drop("to_lat", "to_lon").join(hits, key, "left")
 

@@ -34,16 +34,18 @@ def with_cell(df: DataFrame, lat: str, lon: str, radius_km: float | Column) -> D
               .withColumn("_cell", F.floor(F.col(lon) / _band_width(F.col("_band"), deg))))
 
 
-def with_probe_cells(df: DataFrame, lat: str, lon: str, radius_km: float | Column) -> DataFrame:
+def with_probe_cells(df: DataFrame, lat: str, lon: str, radius_km: float | Column, within_km: float | Column | None = None) -> DataFrame:
     """Every cell that a circle around the row can touch, over the poles and across +-180 too. The
-    radius may differ by row; cells of different radii are different grids."""
-    deg, angle = _num(radius_km) / F.lit(KM_PER_DEGREE), _num(radius_km) / F.lit(EARTH_KM)
+    radius may differ by row; cells of different radii are different grids. ``within_km`` is a circle
+    smaller than the radius that the grid is made for."""
+    deg, angle = _num(radius_km) / F.lit(KM_PER_DEGREE), _num(radius_km if within_km is None else within_km) / F.lit(EARTH_KM)
     over_pole = F.abs(F.col(lat)) + F.degrees(angle) >= 90.0
     side = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.least(angle, F.lit(math.pi / 2)))
                                     / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9))))) + F.lit(1e-6)
     reach = F.when(over_pole | (angle >= math.pi / 2), 180.0).otherwise(F.least(side, F.lit(180.0)))
-    mid = F.floor(F.col(lat) / deg)
-    out = df.withColumn("_reach", reach).withColumn("_band", F.explode(F.sequence(mid - 1, mid + 1)))
+    tall = F.degrees(angle) + F.lit(1e-6)
+    low, high = F.floor((F.col(lat) - tall) / deg), F.floor((F.col(lat) + tall) / deg)
+    out = df.withColumn("_reach", reach).withColumn("_band", F.explode(F.sequence(low, high)))
     width = _band_width(F.col("_band"), deg)
     last, first = F.floor(F.lit(180.0) / width), F.floor(F.lit(-180.0) / width)
 

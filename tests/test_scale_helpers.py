@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerwell.functions import haversine_km, rnd
 from ledgerwell.operators.transfers import best_donor
-from ledgerwell.plans.near import near_pairs
+from ledgerwell.plans.near import near_pairs, with_probe_cells
 from ledgerwell.plans.one_row import beside
 from ledgerwell.plans.ordered import running_totals
 from ledgerwell.plans.snapshot import shared_folder, snapshot
@@ -167,3 +167,9 @@ def test_places_over_a_whole_table(spark):
     assert [(r.score, r.id) for r in sorted(got, key=lambda r: r.place)] == want
     assert sorted(r.place for r in got) == list(range(500))
     assert scan.numbered(df.limit(0), ["score"]).collect() == []
+
+
+def test_a_small_circle_probes_few_cells(spark):
+    df = spark.createDataFrame([(21.1234, 76.1234)], "to_lat double, to_lon double")
+    few, all_round = with_probe_cells(df, "to_lat", "to_lon", 50.0, 0.1), with_probe_cells(df, "to_lat", "to_lon", 50.0)
+    assert few.count() == 1 and all_round.count() >= 9
