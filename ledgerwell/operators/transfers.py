@@ -74,13 +74,14 @@ LEVELS = 4                       # 150 km down to about 300 m
 
 def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: float,
                accept: Column, order: list, also_on: tuple | list = (), grows: tuple | list = (),
-               levels: int = LEVELS) -> DataFrame:
+               levels: int = LEVELS, asks: dict[str, Column] | None = None) -> DataFrame:
     """For each need row the first acceptable offer: same item before same class, then
     by ``order`` (which starts with distance).
 
     ``need`` has to_lat/to_lon, requested_item_id, atc_class; ``offer`` has from_lat/from_lon,
     supplied_item_id, donor_class. Of the offer, ``accept`` reads the columns ``grows`` only, and an offer
-    that has more of them is never less acceptable.
+    that has more of them is never less acceptable. ``asks`` names for each of ``grows`` what a need asks for: an
+    offer with as much of each is acceptable to every need that accepts any. It leaves out offers that no need takes.
 
     Offers lie in cells of several levels. Every cell knows the most that any of its offers has,
     and for each of ``grows`` the offer that has it. In its own cells a need finds how near an acceptable
@@ -98,10 +99,17 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
         return df.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_match", by).filter(F.col("_match").isNotNull())
 
     every_level = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
-    cells = with_cell(matched(offer.filter("from_lat IS NOT NULL AND from_lon IS NOT NULL"), "supplied_item_id", "donor_class")
-                      .withColumn("_level", every_level), "from_lat", "from_lon", radius).drop("_side")
+    # what only the answer needs of a row travels as one column
+    of_need = [c for c in need.columns if c not in key and c not in order]
+    of_offer = [c for c in offer.columns if c not in key and c not in order and c not in of_need]
+    offers = matched(offer.filter("from_lat IS NOT NULL AND from_lon IS NOT NULL").withColumn("_offer", F.struct(*of_offer)), "supplied_item_id", "donor_class").drop("_side")
+    if asks:
+        most = matched(need, "requested_item_id", "atc_class").groupBy(*on).agg(*[F.max(a).alias(f"_ask_{c}") for c, a in asks.items()])
+        serves = reduce(Column.__and__, [F.coalesce(F.col(c) >= F.col(f"_ask_{c}"), F.lit(False)) for c in asks])
+        offers = up_to_a_sure_one(offers.join(most, on).withColumn("_serves", serves).drop(*most.drop(*on).columns), on, order[1:])
+    cells = with_cell(offers.withColumn("_level", every_level), "from_lat", "from_lon", radius)
     # dealt by the key once: the sums and joins by key below find their rows in place
-    needs = matched(need.filter("to_lat IS NOT NULL AND to_lon IS NOT NULL").repartition(shuffle_width(need), *key), "requested_item_id", "atc_class")
+    needs = matched(need.filter("to_lat IS NOT NULL AND to_lon IS NOT NULL").withColumn("_need", F.struct(*of_need)).repartition(shuffle_width(need), *key), "requested_item_id", "atc_class")
     other = (F.col("to_facility_id") != F.col("from_facility_id")) & ((F.col("_side") == 0) | (F.col("supplied_item_id") != F.col("requested_item_id")))
 
     told = ["from_facility_id", "supplied_item_id", "from_lat", "from_lon", *grows]
@@ -126,9 +134,19 @@ def best_donor(need: DataFrame, offer: DataFrame, key: list[str], radius_km: flo
     pairs = (search.join(cells, [*on, *place]).withColumn("km", km)
              .filter((F.col("km") <= F.col("_bound")) & other & accept)
              .withColumn("distance_km", rnd("km", 1)).withColumn("is_substitution", F.col("_side") == 1))
-    rest = [c for c in dict.fromkeys([*need.columns, *offer.columns, "km"]) if c not in key and c not in order]
+    rest = ["_need", "_offer", *(["km"] if "km" not in order else [])]
     best = pairs.groupBy(*key).agg(F.min(F.struct("is_substitution", *order, *rest)).alias("b"))
-    return best.select(*key, "b.*")
+    return best.select(*key, "b.*").select(*key, "is_substitution", *order, "_need.*", "_offer.*", *rest[2:])
+
+
+def up_to_a_sure_one(offer: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """The offers of a place, ``on`` and item that some need may take: in ``order`` none after the second facility
+    that ``_serves`` all needs. Two, because a facility does not serve itself. Facilities share a place in towns
+    that have one position for all; without this every need there meets every offer. Equal rows stay together."""
+    place, rank = Window.partitionBy(*on, "supplied_item_id", "from_lat", "from_lon"), F.struct(*order)
+    return (offer.withColumn("_first", F.min(F.when(F.col("_serves"), rank)).over(place))
+            .withColumn("_second", F.min(F.when(F.col("_serves") & (F.col("from_facility_id") != F.col("_first.from_facility_id")), rank)).over(place))
+            .filter(F.col("_second").isNull() | (rank <= F.col("_second"))).drop("_serves", "_first", "_second"))
 
 
 def first_of_place(offer: DataFrame, on: list[str]) -> DataFrame:
@@ -179,7 +197,8 @@ def recommendations(rs: DataFrame, stock: DataFrame, facilities: DataFrame,
     best = best_donor(snapshot(need, "e1-need"), snapshot(offer, "e1-offer"),
                       ["to_facility_id", "requested_item_id"], max_km, accept,
                       ["distance_km", "fefo_days_to_expiry", "from_facility_id", "supplied_item_id"],
-                      grows=["fefo_days_to_expiry", "spare_units", "fefo_batch_qty"])
+                      grows=["fefo_days_to_expiry", "spare_units", "fefo_batch_qty"],
+                      asks={"fefo_days_to_expiry": F.col("receiver_lead_time") + usable_days, "spare_units": worth, "fefo_batch_qty": worth})
     q = F.col("quantity")
     return (best.withColumn("quantity", size)
             .select(transfer_id("to_facility_id", "requested_item_id", "from_facility_id",

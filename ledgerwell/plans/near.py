@@ -46,17 +46,19 @@ def with_probe_cells(df: DataFrame, lat: str, lon: str, radius_km: float | Colum
     tall = F.degrees(angle) + F.lit(1e-6)
     low, high = F.floor((F.col(lat) - tall) / deg), F.floor((F.col(lat) + tall) / deg)
     out = df.withColumn("_reach", reach).withColumn("_band", F.explode(F.sequence(low, high)))
-    width = _band_width(F.col("_band"), deg)
-    last, first = F.floor(F.lit(180.0) / width), F.floor(F.lit(-180.0) / width)
+    out = out.withColumn("_width", _band_width(F.col("_band"), deg))
+    last, first = F.floor(F.lit(180.0) / F.col("_width")), F.floor(F.lit(-180.0) / F.col("_width"))
 
     def between(shift):
-        lo = F.greatest(F.floor((F.col(lon) + shift - F.col("_reach")) / width), first)
-        hi = F.least(F.floor((F.col(lon) + shift + F.col("_reach")) / width), last)
+        lo = F.greatest(F.floor((F.col(lon) + shift - F.col("_reach")) / F.col("_width")), first)
+        hi = F.least(F.floor((F.col(lon) + shift + F.col("_reach")) / F.col("_width")), last)
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
+    # one short expression for every side of the map: the JVM does not compile generated methods that grow too long
     passes = F.abs(F.col(lon)) + F.col("_reach") >= 180.0            # only there the other sides of the map count
-    cells = F.when(passes, F.array_distinct(F.concat(*[between(F.lit(s)) for s in (-360.0, 0.0, 360.0)]))).otherwise(between(F.lit(0.0)))
-    return out.withColumn("_cell", F.explode(cells)).drop("_reach")
+    shifts = F.when(passes, F.array(*[F.lit(s) for s in (-360.0, 0.0, 360.0)])).otherwise(F.array(F.lit(0.0)))
+    cells = F.array_distinct(F.flatten(F.transform(shifts, between)))
+    return out.withColumn("_cell", F.explode(cells)).drop("_reach", "_width")
 
 
 def near_pairs(probe: DataFrame, build: DataFrame, radius_km: float,

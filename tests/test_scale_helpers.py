@@ -1,11 +1,12 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerwell.functions import haversine_km, rnd
-from ledgerwell.operators.transfers import best_donor
+from ledgerwell.operators.transfers import best_donor, up_to_a_sure_one
 from ledgerwell.plans.near import near_pairs, with_probe_cells
 from ledgerwell.plans.one_row import beside
 from ledgerwell.plans.ordered import running_totals
@@ -102,6 +103,35 @@ def test_crowded_spot(spark):
     assert got == brute_donors(need, offer, 150.0)
 
 
+@pytest.mark.parametrize("most", [20, 60])
+def test_offers_of_one_place(spark, most):
+    """Many facilities at each of a few positions, needs among them; ``most`` over 40 is an ask that no offer meets."""
+    r = random.Random(most)
+    spots = [(21.0, 76.0), (21.0, 76.3), (21.4, 76.0)]
+    need = [(f"f{i}", f"m{i % 4}", f"c{i % 2}", *spots[i % 3], r.randrange(1, 20)) for i in range(60)]
+    need += [("hard", "m9", "c0", *spots[0], most), ("no ask", "m1", "c1", *spots[0], None)]
+    offer = [(f"f{i}", f"m{r.randrange(6)}", r.choice(["c0", "c1", None]), *spots[i % 3], r.randrange(1, 40)) for i in range(240)]
+    offer += [o for o in offer[:9]] + [("none", "m1", "c1", *spots[1], None)]
+    _, got = donors(spark, need, offer, 120.0, asks={"have": F.col("want")})
+    asked, had = [n for n in need if n[-1] is not None], [o for o in offer if o[-1] is not None]
+    assert got == brute_donors(asked, had, 120.0)
+
+
+def test_a_place_offers_no_more_than_needs_take(spark):
+    rows = [(f"f{i:03}", "m", 21.0, 76.0, i, i % 10 == 0) for i in range(500)] + [("f000", "m", 21.0, 76.0, 3, True)]
+    df = spark.createDataFrame(rows, "from_facility_id string, supplied_item_id string, from_lat double, from_lon double, days int, _serves boolean")
+    got = up_to_a_sure_one(df, ["supplied_item_id"], ["days", "from_facility_id", "supplied_item_id"])
+    assert sorted(r.days for r in got.collect()) == sorted([*range(11), 3])
+
+
+def test_probe_cells_are_compiled(spark, capsys):
+    """The JVM leaves methods of over 8,000 bytes uncompiled."""
+    at = spark.range(9).select((F.col("id") + 0.5).alias("to_lat"), (F.col("id") + 0.5).alias("to_lon"), (F.col("id") % 3).alias("_level"), (F.col("id") * 0.1).alias("_bound"))
+    with_probe_cells(at, "to_lat", "to_lon", F.lit(150.0) / F.pow(F.lit(8.0), F.col("_level")), F.col("_bound")).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_beside_needs_no_join(spark):
     a, b = spark.range(5).agg(F.count("*").alias("a")), spark.range(7).agg(F.max("id").alias("b"))
     df = beside(a, b)
