@@ -228,14 +228,15 @@ def surge_recommendations(impact: DataFrame, rs: DataFrame, stock: DataFrame, fa
                       ["to_facility_id", "requested_item_id", "surge_month"], max_km,
                       F.col("fefo_days_to_expiry") >= F.col("receiver_lead_time") + usable_days,
                       ["distance_km", "fefo_days_to_expiry", "from_facility_id", "supplied_item_id"],
-                      grows=["fefo_days_to_expiry"])
+                      grows=["fefo_days_to_expiry"], asks={"fefo_days_to_expiry": F.col("receiver_lead_time") + usable_days})
     want = to_long(F.greatest(F.lit(0.0), F.least(
         F.col("r_point") * target - F.col("r_hand"), F.col("spare_units"), F.col("fefo_batch_qty"))))
     claims = (best.withColumn("requested_quantity", want)
               .filter(F.col("requested_quantity") >= F.greatest(F.lit(1).cast("bigint"), F.ceil("r_demand")))
               .withColumn("_ven", ven_rank()).withColumn("_late", F.when(F.col("lead_time_decisive"), 0).otherwise(1))
               .withColumn("_days", F.floor("receiver_cover_before")))
-    run = running_totals(claims, ["from_facility_id", "supplied_item_id", "surge_month"],
+    # the totals read the claims twice; the search is to run once
+    run = running_totals(snapshot(claims, "h10-claims"), ["from_facility_id", "supplied_item_id", "surge_month"],
                          ["_ven", "_late", "_days"],
                          ["receiver_cover_before", "distance_km", "to_facility_id", "requested_item_id"],
                          {"cumulative_claim": F.col("requested_quantity"),

@@ -132,6 +132,12 @@ def test_donor_is_never_promised_twice_and_vital_goes_first(d):
         assert order == sorted(order)
 
 
+def test_surge_search_runs_once(d):
+    """The totals over claims read them twice: from the written claims, not by searching again."""
+    read = surge.surge_recommendations(d.impact, d.reorder, d.stock, d.facilities).inputFiles()
+    assert any("h10-claims" in f for f in read) and not any("h10-offer" in f for f in read)
+
+
 def test_absorption_is_monotone_and_consistent(d):
     rows = {}
     for r in d.absorption.collect():
