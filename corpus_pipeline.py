@@ -34,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     but texts without letters goes."""
     model = langid.fit(docs)
     least = 1 / len(model.languages) + EVEN if len(model.languages) > 1 else 0.0
-    rows = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model)
-    letters = F.rlike("text", F.lit(r"\p{L}"))
+    rows = langid.identify(docs.select(F.struct("*").alias("row")), model, "row.text")
+    letters = F.rlike("row.text", F.lit(r"\p{L}"))
     kept = rows.filter((F.col("score") >= least) & (F.col("lang_pred") != langid.UNDETERMINED) if model.languages else letters)
     pred = F.when(F.col("lang_pred") != langid.UNDETERMINED, F.col("lang_pred"))
     return kept.select(*[(F.coalesce(F.col("row").getField(c), pred) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -170,19 +170,24 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", columns: lis
     """``columns`` of each row (all by default) with ``lang_pred`` and ``score``. A text that is
     null or has no letter, or a model without languages, gives ``und`` and 0; a text with letters
     of which the model knows none gets the first language and an even score. Repeated rows are
-    scored each by itself; columns of the new names are replaced."""
+    scored each by itself; columns of the new names are replaced. ``text_col`` may be a field of a kept
+    column (``row.text``); a text that is kept anyway goes to the tasks once."""
     keep = [c for c in (columns or docs.columns) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    path = text_col.split(".")
+    kept = path[0] in keep
 
     def run(batches):
+        import pyarrow.compute as pc
         predict = Predictor(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 b = batch.slice(at, TEXTS_AT_ONCE)
-                got = predict(list(map(plain, b.column(1))))
+                texts = pc.struct_field(b.column(0), path) if kept else b.column(1)
+                got = predict(list(map(plain, texts)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()),
                                                   pa.array([g[1] for g in got], pa.float64())], names=["row", "lang_pred", "score"])
 
-    src = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    src = docs.select(F.struct(*keep).alias("row"), *([] if kept else [F.col(text_col).alias("text")]))
     out = src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_pred", "score")

@@ -489,6 +489,18 @@ def test_language_id_cases(docs):
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
 
 
+def test_language_id_sends_a_text_once(docs):
+    """A kept text is not sent beside its row; fields of kept columns count as kept."""
+    model = langid.fit(docs)
+    got = langid.identify(docs.select(F.struct("*").alias("row")), model, "row.text")
+    for df in (got, langid.identify(docs, model)):
+        assert re.search(r"MapInArrow run\(([^)]*)\)", df._jdf.queryExecution().analyzed().toString())[1].count(",") == 0
+    plain = sorted(langid.identify(docs, model).select("lang_pred", "score", "text").collect(), key=str)
+    assert sorted(got.select("lang_pred", "score", "row.text").collect(), key=str) == plain
+    with_id = langid.identify(docs, model, columns=["doc_id"])
+    assert sorted((r.lang_pred, r.score) for r in with_id.collect()) == sorted((r.lang_pred, r.score) for r in plain)
+
+
 def test_language_id_without_labels(spark, empty):
     assert langid.identify(empty, langid.fit(empty)).collect() == []
     df = cases.frame(spark, [(1, "some text", None, None, 9)])
