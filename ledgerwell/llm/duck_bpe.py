@@ -117,9 +117,10 @@ class Merger:
         self.pairs = _Pairs(table)
 
     def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each word, as little-endian 32-bit integers."""
+        """The ids of each word, as little-endian 32-bit integers. Words of a length share a query: it takes as many steps as
+        its longest word, and every step reads the merge table."""
         done, todo, size = {}, [], 0
-        for w in words:
+        for w in sorted(words, key=len):
             r = self.ranks.get(w)
             if r is not None:
                 done[w] = r.to_bytes(4, "little")
@@ -160,28 +161,30 @@ class Encoder:
 
     def _strings(self, strings: list[str]) -> list[bytes]:
         # one blank and letters is one pre-token by any such pattern
-        cut = [[s] if s[:1] == " " and s[1:].isalpha() else self.find(s) for s in strings]
-        words = {w: w.encode("utf-8", "replace") for c in cut for w in c}
-        ids = self.merger.encode(list(words.values()))
-        own = {w: ids[b] for w, b in words.items()}
-        return [own[c[0]] if len(c) == 1 else b"".join([own[w] for w in c]) for c in cut]
+        cut = [(s,) if s[:1] == " " and s[1:].isalpha() else self.find(s) for s in strings]
+        words = list(set().union(*cut))
+        parts = [w.encode("utf-8", "replace") for w in words]
+        ids = self.merger.encode(list(dict.fromkeys(parts)))
+        own = dict(zip(words, map(ids.__getitem__, parts)))
+        return [b"".join(map(own.__getitem__, c)) for c in cut]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        cut = [t.split(" ") for t in texts]
-        got = [list(map(known.get, c[1:])) for c in cut]
-        missing = {p for c, g in zip(cut, got) if None in g for p, x in zip(c[1:], g) if x is None}
+        heads, rests = [], []
+        for t in texts:
+            head, *rest = t.split(" ")
+            heads.append(head)
+            rests.append(rest)
+        missing = set().union(*rests).difference(known)
         new = [p for p in missing if regular(p)]
         odd = missing.difference(new)            # a text with a part that breaks the rule is encoded whole
-        whole = [bool(odd) and not odd.isdisjoint(c[1:]) for c in cut]
-        ids = self._strings([" " + p for p in new] + [t if w else c[0] for t, c, w in zip(texts, cut, whole)])
-        fresh = dict(zip(new, ids))
-        out = []
-        for c, g, w, head in zip(cut, got, whole, ids[len(new):]):
-            if not w and None in g:
-                g = [fresh[p] if x is None else x for p, x in zip(c[1:], g)]
-            out.append(head if w else head + b"".join(g))
-        known.update((p, x) for p, x in fresh.items() if len(p) <= KNOWN_LENGTH)
+        whole = [bool(odd) and not odd.isdisjoint(r) for r in rests]
+        ids = self._strings([" " + p for p in new] + [t if w else h for t, h, w in zip(texts, heads, whole)])
+        known.update(zip(new, ids))
+        out = [i if w else i + b"".join(map(known.__getitem__, r)) for i, r, w in zip(ids[len(new):], rests, whole)]
+        for p in new:
+            if len(p) > KNOWN_LENGTH:
+                del known[p]
         if len(known) > KNOWN_PARTS:
             known.clear()
         return out

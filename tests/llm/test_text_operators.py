@@ -72,6 +72,28 @@ def test_decode_of_null_and_empty_ids(spark):
     assert got[1] == got[2] == b"" and len(got[3]) == 2
 
 
+def test_bpe_words_of_a_length_share_a_query(monkeypatch):
+    """A query takes as many steps as its longest word: long words are not spread over the queries of short ones."""
+    monkeypatch.setattr(duck_bpe, "WORDS_PER_QUERY", 10)
+    merger, query, steps = duck_bpe.Merger(duck_bpe.read_ranks(RANKS)), duck_bpe.Merger._query, []
+    monkeypatch.setattr(duck_bpe.Merger, "_query", lambda self, ws: (steps.append(max(map(len, ws))), query(self, ws))[1])
+    rng = random.Random(5)
+    words = list({bytes(rng.choices(b"qxzjvk", k=40 if i % 10 == 0 else 4)) for i in range(200)})
+    got = merger.encode(words)
+    enc = tiktoken.Encoding("x", pat_str=r"[\s\S]+", mergeable_ranks=duck_bpe.read_ranks(RANKS), special_tokens={})
+    assert {w: memoryview(x).cast("I").tolist() for w, x in got.items()} == {w: enc.encode_ordinary(w.decode()) for w in words}
+    assert steps == sorted(steps) and steps.count(40) <= 3
+
+
+def test_bpe_remembers_no_long_parts():
+    encoder = duck_bpe.Encoder(RANKS, P.PATTERN)
+    enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=duck_bpe.read_ranks(RANKS), special_tokens={})
+    texts = ["", " ", "a " + "b" * 200 + " c", "c d  e", "x\ty z", "b" * 200 + " 12345 a"] * 2
+    for _ in range(2):
+        assert [memoryview(x).cast("I").tolist() for x in encoder(texts)] == [enc.encode_ordinary(t) for t in texts]
+        assert encoder.known and max(map(len, encoder.known)) <= duck_bpe.KNOWN_LENGTH
+
+
 def test_bpe_without_rows(empty):
     assert duck_bpe.decode(duck_bpe.encode(empty, RANKS, P.PATTERN), RANKS).collect() == []
 
