@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from itertools import accumulate
+from itertools import accumulate, chain, compress
 from operator import methodcaller
 
 import pyarrow as pa
@@ -33,7 +33,7 @@ LONG_WORD = 1000
 IDS_PER_QUERY = 1 << 18
 KNOWN_PARTS = 500_000
 KNOWN_LENGTH = 64
-ROWS_OUT = 500
+TEXT_PER_CALL = 1 << 23
 plain = methodcaller("as_py")
 
 MERGE = """
@@ -152,54 +152,79 @@ class Merger:
 
 
 class Encoder:
-    """Ids of texts; remembers the parts it has met, up to a bound."""
+    """Ids of texts; remembers the words and the parts it has met, up to a bound."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         self.merger, self.find = Merger(read_ranks(path)), regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _strings(self, strings: list[str]) -> list[bytes]:
+        known, parts = self.known, self.parts
+        new = [s for s in strings if s not in parts]
         # one blank and letters is one pre-token by any such pattern
-        cut = [(s,) if s[:1] == " " and s[1:].isalpha() else self.find(s) for s in strings]
-        words = list(set().union(*cut))
-        parts = [w.encode("utf-8", "replace") for w in words]
-        ids = self.merger.encode(list(dict.fromkeys(parts)))
-        own = dict(zip(words, map(ids.__getitem__, parts)))
-        return [b"".join(map(own.__getitem__, c)) for c in cut]
+        cut = [(s,) if s[:1] == " " and s[1:].isalpha() else self.find(s) for s in new]
+        words = list(set(chain.from_iterable(cut)).difference(known))
+        in_bytes = [w.encode("utf-8", "replace") for w in words]
+        ids = self.merger.encode(list(dict.fromkeys(in_bytes)))
+        known.update(zip(words, map(ids.__getitem__, in_bytes)))
+        parts.update(zip(new, [known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for c in cut]))
+        out = [parts[s] for s in strings]
+        for seen, added in ((known, words), (parts, new)):
+            for s in added:
+                if len(s) > KNOWN_LENGTH:
+                    seen.pop(s, None)
+            if len(seen) > KNOWN_PARTS:
+                seen.clear()
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        heads, rests = [], []
-        for t in texts:
-            head, *rest = t.split(" ")
-            heads.append(head)
-            rests.append(rest)
-        missing = set().union(*rests).difference(known)
-        new = [p for p in missing if regular(p)]
-        odd = missing.difference(new)            # a text with a part that breaks the rule is encoded whole
-        whole = [bool(odd) and not odd.isdisjoint(r) for r in rests]
-        ids = self._strings([" " + p for p in new] + [t if w else h for t, h, w in zip(texts, heads, whole)])
-        known.update(zip(new, ids))
-        out = [i if w else i + b"".join(map(known.__getitem__, r)) for i, r, w in zip(ids[len(new):], rests, whole)]
-        for p in new:
-            if len(p) > KNOWN_LENGTH:
-                del known[p]
-        if len(known) > KNOWN_PARTS:
-            known.clear()
-        return out
+        """Each different blank-separated part is looked up once, and the ids of a text are gathered from those of its parts."""
+        import numpy as np
+        import pyarrow.compute as pc
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        firsts = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        text = np.repeat(np.arange(len(texts)), np.diff(firsts))
+        head = np.zeros(len(code), bool)
+        head[firsts[:-1]] = True
+        odd = ~np.fromiter(map(regular, names), bool, len(names))
+        whole = np.bincount(text[odd[code] & ~head], minlength=len(texts)) > 0      # a text with a part that breaks the rule is encoded whole
+        used = head | ~whole[text]
+        text, code, head = text[used], code[used], head[used]
+        rest = np.bincount(code[~head], minlength=len(names)) > 0
+        opening = [t if w else names[i] for t, w, i in zip(texts, whole, code[head])]
+        ids = self._strings([" " + p for p in compress(names, rest)] + opening)
+        place = np.where(head, rest.sum() + text, (np.cumsum(rest) - 1)[code])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = sizes[place]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[place] - (ends - n), n) + np.arange(ends[-1])
+        flat = np.frombuffer(b"".join(ids), "<i4")[at].tobytes()
+        bounds = (4 * np.append((ends - n)[head], ends[-1])).tolist()
+        return [flat[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
 def _encode_task(path: str, pattern: str):
     def run(batches):
+        import numpy as np
+        import pyarrow.compute as pc
         encoder = Encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                some = batch.slice(at, ROWS_OUT)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_PER_CALL, "right")))
+                some = batch.slice(at, end - at)
                 ids = encoder([t or "" for t in map(plain, some.column(1))])
                 offsets = [0, *accumulate(len(x) // 4 for x in ids)]
                 flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["row", "ids"])
+                at = end
     return run
 
 

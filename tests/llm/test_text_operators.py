@@ -94,6 +94,16 @@ def test_bpe_remembers_no_long_parts():
         assert encoder.known and max(map(len, encoder.known)) <= duck_bpe.KNOWN_LENGTH
 
 
+def test_bpe_merges_a_word_once_whatever_stands_around_it(monkeypatch):
+    encoder, sent = duck_bpe.Encoder(RANKS, P.PATTERN), []
+    merge = duck_bpe.Merger.encode
+    monkeypatch.setattr(duck_bpe.Merger, "encode", lambda self, ws: (sent.extend(ws), merge(self, ws))[1])
+    enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=duck_bpe.read_ranks(RANKS), special_tokens={})
+    for text in ("a qxzjvk, b", "a qxzjvk; b", "qxzjvk (qxzjvk)  qxzjvk\n qxzjvk", " qxzjvk qxzjvk", ""):
+        assert memoryview(encoder([text, text])[1]).cast("I").tolist() == enc.encode_ordinary(text)
+    assert len(sent) == len(set(sent)) and {b"qxzjvk", b" qxzjvk"} <= set(sent)
+
+
 def test_bpe_without_rows(empty):
     assert duck_bpe.decode(duck_bpe.encode(empty, RANKS, P.PATTERN), RANKS).collect() == []
 
