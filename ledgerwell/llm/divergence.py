@@ -16,6 +16,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +29,54 @@ SHARD_TERMS = 500_000
 SIZED_BY = 64                    # one term in so many, by digest, is counted to size the shards
 TOP = 10
 HELD_SUMS = 1_000_000
-#: Terms are what stands between runs of ASCII controls, digits, signs and blanks.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TEXT_PER_CUT = 1 << 22
+#: Odd numbers, for the bytes of a term by their place.
+WEIGHTS = np.random.default_rng(13).integers(0, 1 << 62, 16, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of UTF-8 as they stand in terms, A-Z in lower case. ASCII controls, digits, signs and blanks are blanks: they part the terms.
+PLAIN = np.array([b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 #: Stands in every document, so that no fit is left without a term. It is no term itself.
 MARK = " "
 
 
+def _terms(texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+    """The terms of each text, A-Z in lower case, and the mark behind them; and of these terms, one in ``SIZED_BY`` by digest."""
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    own = np.diff(at)
+    ends = np.cumsum(own + 3) - 3                                # behind each text: a blank, the mark, a blank
+    text = np.full(own.sum() + 3 * len(own), 32, np.uint8)
+    text[np.arange(own.sum()) + np.repeat(ends - (at[1:] - at[0]), own)] = PLAIN[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]]
+    held = text != 32
+    held[ends + 1] = True
+    edges = np.flatnonzero(np.diff(held, prepend=False))         # starts and ends of the terms in turn
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    first = np.append(0, np.searchsorted(starts, ends + 1) + 1)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    text = text[held]
+    names = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(text))
+    weight = WEIGHTS[(np.arange(len(text)) - np.repeat(offsets[:-1], sizes)) % len(WEIGHTS)]
+    digest = np.add.reduceat(text * weight, offsets[:-1]) * WEIGHTS[0]
+    some = (digest >> np.uint64(32)) % np.uint64(SIZED_BY) == 0
+    some[first[1:] - 1] = False                                  # the marks
+    return (pa.ListArray.from_arrays(pa.array(first, pa.int32()), names),
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some))[first], pa.int32()), names.filter(pa.array(some))))
+
+
+def _cut(batches):
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TEXT_PER_CUT, "right")))
+            some = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *_terms(some.column(2))], names=["lang", "source", "tokens", "some"])
+            lo = hi
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
-    """(lang, source, tokens), texts in lower case as far as A-Z go."""
-    def plain(c):
-        return F.coalesce(F.col(c), F.lit(""))
-    text = F.translate(plain("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return docs.select(plain("lang").alias("lang"), plain("source").alias("source"), F.array_remove(F.split(text, BETWEEN), "").alias("tokens"))
+    """(lang, source, tokens with the mark, some of the tokens), texts in lower case as far as A-Z go."""
+    plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    return plain.mapInArrow(_cut, "lang string, source string, tokens array<string>, some array<string>")
 
 
 def _fitted(tokens: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +127,7 @@ def _entries(vectors: DataFrame) -> DataFrame:
 def _shards(tokens: DataFrame, min_docs: int, shard_terms: int) -> dict[str, int]:
     """Shards by language. Terms with ``min_docs`` occurrences, of which the kept ones are a part,
     are counted exactly for one term in ``SIZED_BY``; this decides nothing but the number of fits."""
-    some = tokens.select("part", F.explode("tokens").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(SIZED_BY)) == 0)
+    some = tokens.select("part", F.explode("some").alias("t"))
     sizes = some.groupBy("part", "t").count().filter(F.col("count") >= min_docs).groupBy("part").count().collect()      # one row per language
     return {r.part: max(1, -(-r["count"] * SIZED_BY // shard_terms)) for r in sizes}
 
@@ -100,7 +137,7 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SH
     spark = docs.sparkSession
     base = f"{shared_folder(spark)}/ledgerwell/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
     _tokens(docs).withColumn("part", F.concat(F.lit("l"), F.md5(F.col("lang").cast("binary")))).write.partitionBy("part").option("parquet.enable.dictionary", "false").parquet(base)
-    tokens = spark.read.schema("lang string, source string, tokens array<string>, part string").parquet(base)
+    tokens = spark.read.schema("lang string, source string, tokens array<string>, some array<string>, part string").parquet(base)
     groups = snapshot(tokens.groupBy("part", "lang", "source").count(), "groups")
     sizes = groups.groupBy("part", "lang").agg(F.sum("count").alias("n")).filter(F.col("n") >= min_docs)    # no other keeps a term
     shards_of = _shards(tokens, min_docs, shard_terms)
@@ -109,8 +146,8 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SH
         mine = tokens.filter(F.col("part") == r.part).select("source", "tokens")
         shards = shards_of.get(r.part, 1)
         for k in range(shards):
-            own = F.col("tokens") if shards == 1 else F.filter("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k)
-            vectors, names = _fitted(mine.select("source", F.concat(own, F.array(F.lit(MARK))).alias("tokens")), min_docs)
+            own = F.col("tokens") if shards == 1 else F.filter("tokens", lambda t: (t == MARK) | (F.pmod(F.xxhash64(t), F.lit(shards)) == k))
+            vectors, names = _fitted(mine.select("source", own.alias("tokens")), min_docs)
             found = found.unionByName(_entries(vectors).join(names, "index").select(F.lit(r.lang).alias("lang"), "source", "term", "n"))
     return groups.select("lang", "source"), snapshot(found, "term-counts")
 

@@ -3,6 +3,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from ledgerwell.llm import divergence
@@ -55,6 +56,22 @@ def test_audit(spark, min_docs, top, shard_terms, clash):
     assert [c for c, _ in divergence.audit(docs.limit(3)).dtypes] == ["lang", "source", "part", "item", "value", "rank"]
 
 
+def test_terms_of_a_batch():
+    rng = random.Random(2)
+    for _ in range(100):
+        texts = ["".join(rng.choices("aZ{[@é日😀\x00\x7f 9`b\n", k=rng.randrange(12))) for _ in range(rng.randrange(1, 9))]
+        for batch in (pa.array(texts), pa.array(["q", "Zé1", *texts])[2:], pa.array(texts, pa.large_string())):
+            assert divergence._terms(batch)[0].to_pylist() == [TERM.findall(t.translate(LOWER)) + [divergence.MARK] for t in texts]
+
+
+def test_terms_that_size_the_shards():
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}é" for i in range(17576)]
+    terms, some = divergence._terms(pa.array([" ".join(words), "", " ".join(words[::-1])]))
+    some = some.to_pylist()
+    assert some[0] == some[2][::-1] and some[1] == [] and set(some[0]) <= set(words)
+    assert 0.7 < len(some[0]) * divergence.SIZED_BY / len(words) < 1.4
+
+
 def test_without_rows(spark):
     assert divergence.audit(cases.frame(spark, [])).collect() == []
 
