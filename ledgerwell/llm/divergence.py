@@ -1,8 +1,10 @@
 """How far the sources of a language use different words.
 
-Per language a CountVectorizer with a least number of documents and no effective limit on the
-vocabulary gives exact sparse vectors of all documents; their entries are added up per source as
-a sparse summary of the group. Pairs of sources are then evaluated on what is not zero only:
+Texts are cut and their terms counted in batches, which leave rows of different terms. Per language
+a CountVectorizer with a least number of documents and no effective limit on the vocabulary is
+fitted to rows that hold each term once per document, as far as that number; it gives exact sparse
+vectors of the rows of each source, which are added up by their weights as a sparse summary of the
+group. Pairs of sources are then evaluated on what is not zero only:
 terms that neither source holds all add the same amount, terms of one source add by their
 counts, and only terms held by both are met pair by pair.
 
@@ -29,63 +31,121 @@ SHARD_TERMS = 500_000
 SIZED_BY = 64                    # one term in so many, by digest, is counted to size the shards
 TOP = 10
 HELD_SUMS = 1_000_000
-TEXT_PER_CUT = 1 << 22
+TEXT_PER_CUT = 1 << 23
+DOCS_PER_CUT = 1 << 16
+ROW_TERMS = 512
 #: Odd numbers, for the bytes of a term by their place.
 WEIGHTS = np.random.default_rng(13).integers(0, 1 << 62, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of UTF-8 as they stand in terms, A-Z in lower case. ASCII controls, digits, signs and blanks are blanks: they part the terms.
-PLAIN = np.array([b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)], np.uint8)
+PLAIN = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 #: Stands in every document, so that no fit is left without a term. It is no term itself.
 MARK = " "
 
 
 def _terms(texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
-    """The terms of each text, A-Z in lower case, and the mark behind them; and of these terms, one in ``SIZED_BY`` by digest."""
+    """The terms of each text, A-Z in lower case, and the mark behind them, as codes of a dictionary that ends with the mark;
+    and of these terms, one in ``SIZED_BY`` by digest."""
     texts = texts.cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    own = np.diff(at)
-    ends = np.cumsum(own + 3) - 3                                # behind each text: a blank, the mark, a blank
-    text = np.full(own.sum() + 3 * len(own), 32, np.uint8)
-    text[np.arange(own.sum()) + np.repeat(ends - (at[1:] - at[0]), own)] = PLAIN[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]]
+    text = np.frombuffer(bytes(memoryview(texts.buffers()[2] or b"")[at[0]:at[-1]]).translate(PLAIN), np.uint8)
+    at = at - at[0]
     held = text != 32
-    held[ends + 1] = True
-    edges = np.flatnonzero(np.diff(held, prepend=False))         # starts and ends of the terms in turn
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
-    first = np.append(0, np.searchsorted(starts, ends + 1) + 1)
-    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-    text = text[held]
-    names = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(text))
-    weight = WEIGHTS[(np.arange(len(text)) - np.repeat(offsets[:-1], sizes)) % len(WEIGHTS)]
-    digest = np.add.reduceat(text * weight, offsets[:-1]) * WEIGHTS[0]
-    some = (digest >> np.uint64(32)) % np.uint64(SIZED_BY) == 0
-    some[first[1:] - 1] = False                                  # the marks
-    return (pa.ListArray.from_arrays(pa.array(first, pa.int32()), names),
-            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some))[first], pa.int32()), names.filter(pa.array(some))))
-
-
-def _cut(batches):
-    for batch in batches:
-        sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TEXT_PER_CUT, "right")))
-            some = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *_terms(some.column(2))], names=["lang", "source", "tokens", "some"])
-            lo = hi
-
-
-def _tokens(docs: DataFrame) -> DataFrame:
-    """(lang, source, tokens with the mark, some of the tokens), texts in lower case as far as A-Z go."""
+    apart = np.zeros(len(text) + 1, bool)                        # a term does not go on from one text to the next
+    apart[at] = True
+    starts = np.flatnonzero(held & (apart[:-1] | np.append(True, ~held)[:-1]))
+    ends = np.flatnonzero(held & (apart[1:] | np.append(~held, True)[1:])) + 1
+    names = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, np.cumsum(ends - starts)).astype(np.int32)), pa.py_buffer(text[held]))
+    coded, first = names.dictionary_encode(), np.searchsorted(starts, at)
+    some = _sizing(coded.dictionary)
+    code = np.insert(coded.indices.to_numpy(), first[1:], len(some))
+    some = np.append(some, False)[code]
+    first = first + np.arange(len(first))
+    coded = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), pa.concat_arrays([coded.dictionary, pa.array([MARK])]))
+    return (pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded),
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some))[first], pa.int32()), coded.filter(pa.array(some)).dictionary_decode()))
+
+
+def _sizing(names: pa.StringArray) -> np.ndarray:
+    """Whether a term is one of those that size the shards."""
+    if not len(names):
+        return np.zeros(0, bool)
+    at = np.frombuffer(names.buffers()[1], np.int32)[:len(names) + 1]
+    text = np.frombuffer(names.buffers()[2], np.uint8)[:at[-1]]
+    weight = WEIGHTS[(np.arange(len(text)) - np.repeat(at[:-1], np.diff(at))) % len(WEIGHTS)]
+    digest = np.add.reduceat(text * weight, at[:-1]) * WEIGHTS[0]
+    return (digest >> np.uint64(32)) % np.uint64(SIZED_BY) == 0
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and where the last one ends."""
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
+def _summed(lang: pa.Array, source: pa.Array, texts: pa.Array, min_docs: int) -> pa.RecordBatch:
+    """What these documents add to the fit of each language and to the sums of each source, in rows of different terms.
+
+    Fit (weight 0): a term is in as many rows as documents of the language hold it, but in no more than ``min_docs``: over
+    the rows of all batches it reaches ``min_docs`` just when it does over the documents. Sums: a term that stands n times
+    in a source is in rows whose weights, the powers of two in n, add up to n."""
+    tokens, some = _terms(texts)
+    names, code, lens = tokens.values.dictionary, tokens.values.indices.to_numpy(), np.diff(tokens.offsets.to_numpy())
+    lang, source = lang.dictionary_encode(), source.dictionary_encode()
+    v, n_sources, n_docs = len(names), len(source.dictionary), len(texts)
+    groups, own = np.unique(lang.indices.to_numpy().astype(np.int64) * n_sources + source.indices.to_numpy(), return_inverse=True)
+    lang_of, source_of = groups // n_sources, groups % n_sources
+    held = np.sort((np.repeat(own, lens) * v + code) * n_docs + np.repeat(np.arange(n_docs), lens))
+    pair = held // n_docs                                        # a term and its source
+    runs = _runs(pair)
+    pair, n, docs = pair[runs[:-1]], np.diff(runs), np.diff(np.searchsorted(_runs(held), runs))
+    parts = [(1 << k, pair[n >> k & 1 == 1]) for k in range(int(n.max()).bit_length())]
+    pair = np.searchsorted(lang_of, lang_of)[pair // v] * v + pair % v   # a term and the first source of its language
+    order = np.argsort(pair, kind="stable")
+    runs = _runs(pair[order])
+    pair, docs = pair[order][runs[:-1]], np.add.reduceat(docs[order], runs[:-1])
+    parts += [(0, pair[docs > k]) for k in range(min(min_docs, int(docs.max())))]
+    sizes = [len(p) for _, p in parts]
+    weight, pair = np.repeat([w for w, _ in parts], sizes), np.concatenate([p for _, p in parts])
+    own, code = pair // v, pair % v
+    runs = _runs(own * len(parts) + np.repeat(np.arange(len(parts)), sizes))
+    first = np.append(np.flatnonzero((np.arange(len(own)) - np.repeat(runs[:-1], np.diff(runs))) % ROW_TERMS == 0), len(own))
+    own, row_weight = own[first[:-1]], weight[first[:-1]]
+    sized = pc.is_in(names, value_set=pc.unique(some.values)).to_numpy(zero_copy_only=False)[code] & (weight == 0)
+    offsets = pa.array(first, pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [lang.dictionary.take(pa.array(lang_of[own])), source.dictionary.take(pa.array(source_of[own])), pa.array(row_weight),
+         pa.array(np.add.reduceat((code == v - 1).astype(np.int64), first[:-1]) * row_weight),
+         pa.ListArray.from_arrays(offsets, names.take(pa.array(code))),
+         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sized))[first], pa.int32()), names.take(pa.array(code[sized])))],
+        names=["lang", "source", "weight", "docs", "tokens", "some"])
+
+
+def _cut(min_docs: int):
+    def run(batches):
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, min(lo + DOCS_PER_CUT, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TEXT_PER_CUT, "right"))))
+                yield _summed(*batch.slice(lo, hi - lo).columns, min_docs)
+                lo = hi
+    return run
+
+
+def _tokens(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, weight, docs, tokens, some of the tokens): rows for the fits (weight 0, any source) and for the sums;
+    ``docs`` add up to the documents of a source."""
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return plain.mapInArrow(_cut, "lang string, source string, tokens array<string>, some array<string>")
+    return plain.mapInArrow(_cut(min_docs), "lang string, source string, weight long, docs long, tokens array<string>, some array<string>")
 
 
-def _fitted(tokens: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(vectors of all rows, vocabulary (index, term)) without the mark."""
+def _fitted(tokens: DataFrame, sums: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(``sums`` with their vectors, vocabulary (index, term) without the mark) by the terms in ``min_docs`` rows of ``tokens``."""
+    spark = tokens.sparkSession
     model = CountVectorizer(inputCol="tokens", outputCol="vector", minDF=float(min_docs), minTF=1.0, vocabSize=ALL_TERMS).fit(tokens)
-    path = f"{shared_folder(tokens.sparkSession)}/ledgerwell/{tokens.sparkSession.sparkContext.applicationId}/vocabulary-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/ledgerwell/{spark.sparkContext.applicationId}/vocabulary-{uuid.uuid4().hex[:12]}"
     model.write().save(path)
-    names = tokens.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "term"))
-    return model.transform(tokens), names.filter(F.col("term") != MARK)
+    names = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "term"))
+    return model.transform(sums), names.filter(F.col("term") != MARK)
 
 
 def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +157,7 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _partial_sums(batches):
-    """Sums (source, index, n) over many sparse vectors, at most ``HELD_SUMS`` of them and a batch at once."""
+    """Sums (source, index, n) over many weighted sparse vectors, at most ``HELD_SUMS`` of them and a batch at once."""
     number, keys, sums = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def rows():
@@ -108,7 +168,8 @@ def _partial_sums(batches):
         coded = batch.column(0).dictionary_encode()
         code = np.array([number.setdefault(s, len(number)) for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
         at, n = batch.column(1), batch.column(2).flatten().to_numpy().astype(np.int64)
-        source = np.repeat(code, np.diff(at.offsets.to_numpy()))
+        held = np.diff(at.offsets.to_numpy())
+        source, n = np.repeat(code, held), n * np.repeat(batch.column(3).to_numpy(), held)
         keys, sums = _added(np.concatenate([keys, source << 32 | at.flatten().to_numpy()]), np.concatenate([sums, n]))
         if len(keys) > HELD_SUMS:
             yield rows()
@@ -118,15 +179,15 @@ def _partial_sums(batches):
 
 
 def _entries(vectors: DataFrame) -> DataFrame:
-    """Group sums (source, index, n) of the sparse entries: added up in the task first."""
+    """Group sums (source, index, n) of the sparse entries times the weight of their row: added up in the task first."""
     raw = F.unwrap_udt(F.col("vector"))
-    parts = vectors.select("source", raw.getField("indices").alias("at"), raw.getField("values").alias("n"))
+    parts = vectors.select("source", raw.getField("indices").alias("at"), raw.getField("values").alias("n"), "weight")
     return parts.mapInArrow(_partial_sums, "source string, index int, n long").groupBy("source", "index").agg(F.sum("n").alias("n"))
 
 
 def _shards(tokens: DataFrame, min_docs: int, shard_terms: int) -> dict[str, int]:
-    """Shards by language. Terms with ``min_docs`` occurrences, of which the kept ones are a part,
-    are counted exactly for one term in ``SIZED_BY``; this decides nothing but the number of fits."""
+    """Shards by language. Terms in ``min_docs`` rows, which are the kept ones, are counted exactly
+    for one term in ``SIZED_BY``; this decides nothing but the number of fits."""
     some = tokens.select("part", F.explode("some").alias("t"))
     sizes = some.groupBy("part", "t").count().filter(F.col("count") >= min_docs).groupBy("part").count().collect()      # one row per language
     return {r.part: max(1, -(-r["count"] * SIZED_BY // shard_terms)) for r in sizes}
@@ -136,18 +197,20 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SH
     """(groups (lang, source) that occur, counts (lang, source, term, n > 0) of the kept terms)."""
     spark = docs.sparkSession
     base = f"{shared_folder(spark)}/ledgerwell/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
-    _tokens(docs).withColumn("part", F.concat(F.lit("l"), F.md5(F.col("lang").cast("binary")))).write.partitionBy("part").option("parquet.enable.dictionary", "false").parquet(base)
-    tokens = spark.read.schema("lang string, source string, tokens array<string>, some array<string>, part string").parquet(base)
-    groups = snapshot(tokens.groupBy("part", "lang", "source").count(), "groups")
+    rows = _tokens(docs, min_docs).withColumn("part", F.concat(F.lit("l"), F.md5(F.col("lang").cast("binary")))).withColumn("fit", F.col("weight") == 0)
+    rows.write.partitionBy("part", "fit").option("parquet.enable.dictionary", "false").parquet(base)
+    rows = spark.read.schema("lang string, source string, weight long, docs long, tokens array<string>, some array<string>, part string, fit boolean").parquet(base)
+    fits, sums = rows.filter("fit"), rows.filter("not fit")
+    groups = snapshot(sums.groupBy("part", "lang", "source").agg(F.sum("docs").alias("count")), "groups")
     sizes = groups.groupBy("part", "lang").agg(F.sum("count").alias("n")).filter(F.col("n") >= min_docs)    # no other keeps a term
-    shards_of = _shards(tokens, min_docs, shard_terms)
+    shards_of = _shards(fits, min_docs, shard_terms)
     found = spark.createDataFrame([], "lang string, source string, term string, n long")
     for r in sizes.orderBy("part").collect():                                                                # one row per language
-        mine = tokens.filter(F.col("part") == r.part).select("source", "tokens")
         shards = shards_of.get(r.part, 1)
         for k in range(shards):
             own = F.col("tokens") if shards == 1 else F.filter("tokens", lambda t: (t == MARK) | (F.pmod(F.xxhash64(t), F.lit(shards)) == k))
-            vectors, names = _fitted(mine.select("source", own.alias("tokens")), min_docs)
+            mine = [x.filter(F.col("part") == r.part).select("source", "weight", own.alias("tokens")) for x in (fits, sums)]
+            vectors, names = _fitted(*mine, min_docs)
             found = found.unionByName(_entries(vectors).join(names, "index").select(F.lit(r.lang).alias("lang"), "source", "term", "n"))
     return groups.select("lang", "source"), snapshot(found, "term-counts")
 

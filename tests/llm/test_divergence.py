@@ -80,3 +80,33 @@ def test_hot_source(spark):
     rng = random.Random(5)
     docs = cases.frame(spark, [(i, cases.sentence(rng, 12), "en", "hot" if i % 3 else f"s{i % 5}", 0) for i in range(300)])
     assert {tuple(r) for r in divergence.audit(docs).collect()} == plain([(r.lang, r.source, r.text) for r in docs.collect()], 10, 10)
+
+
+def test_a_batch_leaves_fewer_terms_to_the_fits_and_sums(monkeypatch):
+    monkeypatch.setattr(divergence, "ROW_TERMS", 5)
+    rng = random.Random(7)
+    docs = [(rng.choice("xy"), rng.choice("abc"), " ".join(rng.choices("stuvwé", k=rng.randrange(40))) + f" u{i}") for i in range(300)] + [("x", "d", "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs)], names=["lang", "source", "text"])
+    rows = [r for b in divergence._cut(10)(iter([batch])) for r in b.to_pylist()]
+    fits, sums, n_docs = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in rows:
+        assert 0 < len(r["tokens"]) == len(set(r["tokens"])) <= 5
+        n_docs[r["lang"], r["source"]] += r["docs"]
+        for t in r["tokens"]:
+            if r["weight"]:
+                sums[r["lang"], r["source"], t] += r["weight"]
+            else:
+                fits[r["lang"], t] += 1
+    tokens = [(lang, source, TERM.findall(text) + [divergence.MARK]) for lang, source, text in docs]
+    assert n_docs == collections.Counter(d[:2] for d in docs)
+    assert sums == collections.Counter((lang, source, t) for lang, source, ts in tokens for t in ts)
+    df = collections.Counter((lang, t) for lang, _, ts in tokens for t in set(ts))
+    assert fits == {k: min(n, 10) for k, n in df.items()}
+    assert sum(len(r["tokens"]) for r in rows) < sum(len(ts) for _, _, ts in tokens) / 5
+
+
+def test_audit_of_many_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "TEXT_PER_CUT", 400)
+    monkeypatch.setattr(divergence, "DOCS_PER_CUT", 7)
+    docs = cases.frame(spark, rows(4))
+    assert {tuple(r) for r in divergence.audit(docs, min_docs=4, top=5).collect()} == plain([(r.lang, r.source, r.text) for r in docs.collect()], 4, 5)
