@@ -8,7 +8,9 @@ import re
 import unicodedata
 import zlib
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -104,6 +106,36 @@ def test_bpe_merges_a_word_once_whatever_stands_around_it(monkeypatch):
     assert len(sent) == len(set(sent)) and {b"qxzjvk", b" qxzjvk"} <= set(sent)
 
 
+CL100K = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, CL100K])
+def test_bpe_parts_are_cut_where_the_pattern_cuts(pattern):
+    encoder, rng = duck_bpe.Encoder(RANKS, pattern), random.Random(9)
+    enc = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=duck_bpe.read_ranks(RANKS), special_tokens={})
+    signs = ["a", "s", "t", "ll", "'", "'", ",", "(", "1", " ", " ", "  ", "\n", "\t", "\r\n", "é", "ß", "日", "。", " ", "　", " ", "\x85", "́", "—", "😀", "_", "\x00", "\x7f"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(6000)]
+    assert [memoryview(x).cast("I").tolist() for x in encoder(texts)] == [enc.encode_ordinary(t) for t in texts]
+    assert encoder([]) == [] and encoder(["", ""]) == [b"", b""]
+
+
+def test_bpe_parts_are_words_but_for_a_few():
+    texts = ["(one two, three)\nfour  five; six.\n\n seven? 88 d'eux"]
+    at = np.array([0, len(texts[0])])
+    starts = duck_bpe._starts(texts[0].encode(), at, True)
+    parts = [texts[0][i:j] for i, j in zip(starts, [*starts[1:], len(texts[0])])]
+    assert parts == ["(", "one", " two", ",", " three", ")", "\n", "four", " ", " five", ";", " six", ".", "\n\n", " seven", "?", " 88", " d", "'eux"]
+
+
+def test_bpe_tasks_of_a_process_share_what_they_met(monkeypatch):
+    sent, merge = [], duck_bpe.Merger.encode
+    monkeypatch.setattr(duck_bpe.Merger, "encode", lambda self, ws: (sent.extend(ws), merge(self, ws))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["shared qxzjvkw, twice", None, " qxzjvkw!"])], names=["row", "text"])
+    got = [[b.to_pydict() for b in duck_bpe._round_trip_task(RANKS, P.PATTERN)(iter([batch]))] for _ in range(2)]
+    assert got[0] == got[1] and got[0][0]["bytes"] == [b"shared qxzjvkw, twice", b"", b" qxzjvkw!"]
+    assert sent.count(b" qxzjvkw") == 1
+
+
 def test_bpe_without_rows(empty):
     assert duck_bpe.decode(duck_bpe.encode(empty, RANKS, P.PATTERN), RANKS).collect() == []
 
